@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import pii, simhash
 from tessera.llm.common import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = tuple(k for k in pii.KINDS if k.base)
+    return pii.find(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed().alias("spans"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op10_simhash": op10_simhash,
 }
 

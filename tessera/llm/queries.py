@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, simhash
+from tessera.llm import pii, simhash, toxicity
 from tessera.llm.common import read_table
 
 
@@ -19,6 +19,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(id_col: str, n: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), _crc("id", 5) != 0)
+    scored = docs.select("doc_id", F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), toxicity.score_column(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -26,6 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash": op10_simhash,
 }
 

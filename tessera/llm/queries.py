@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, simhash, toxicity
+from tessera.llm import langid, pii, simhash, toxicity
 from tessera.llm.common import read_table
 
 
@@ -23,6 +23,13 @@ def _crc(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, _crc("id", 3) != 1)
+    found = docs.select("doc_id", F.coalesce(_crc("doc_id", 3) == 1, F.lit(False)).alias("held_out"), langid.predict_column(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), _crc("id", 5) != 0)
@@ -37,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_langid": op2_langid,
     "op8_toxicity": op8_toxicity,
     "op10_simhash": op10_simhash,
 }

@@ -30,6 +30,9 @@ TRAIN_CHARS = 8000
 CHUNK = 1 << 20
 #: Times in an epoch that the passages to learn from are chosen anew.
 RENEWALS = 3
+#: Small samples are gone through more often, so that the layer still gets this many steps.
+LEAST_STEPS = 300
+MOST_EPOCHS = 60
 _SPACE = 32
 
 
@@ -173,6 +176,7 @@ def train(texts: list[str], labels: list[int], width: int = 8, epochs: int = 9,
         return found
 
     usable = np.array([i for i, d in enumerate(docs) if len(d)])
+    epochs = max(epochs, min(MOST_EPOCHS, -(-LEAST_STEPS * batch // len(usable)))) if len(usable) else 0
     for epoch in range(epochs):
         order = rng.permutation(usable)
         renew = batch * max(1, len(order) // batch // RENEWALS)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, pii, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, langid, pii, simhash, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -50,6 +50,11 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("similarity", F.round("similarity", 6))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), _crc("id", 5) != 0)
@@ -77,6 +82,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
     "op4_topk": op4_topk,
+    "op5_decontamination": op5_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,

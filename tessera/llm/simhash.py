@@ -198,10 +198,10 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, parts: int = 3, bucket_ro
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
-    """(id, fp, component): one row per document.
+    """(id, fp, root, component): one row per document.
 
-    ``fp`` is the signed 64-bit SimHash over ``width``-word shingles of the whole text, ``component`` the
-    smallest id reachable over links of ``radius`` or fewer differing bits. Null and empty texts have
+    ``fp`` is the signed 64-bit SimHash over ``width``-word shingles of the whole text, ``root`` the smallest
+    fingerprint and ``component`` the smallest id reachable over links of ``radius`` or fewer differing bits. Null and empty texts have
     fingerprint 0 and link like any other. Rows with a null id take part and have the component of their
     fingerprint, null only if no row of the group has an id. Repeated rows stay repeated. An empty table
     gives an empty result. Other columns are ignored.
@@ -211,5 +211,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(fingerprint_links(distinct, radius, bucket_rows=bucket_rows))
     labelled = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    of = labelled.join(named, "root").select("fp", "component")
-    return prints.join(of, "fp").select("id", "fp", "component")
+    of = labelled.join(named, "root").select("fp", "root", "component")
+    return prints.join(of, "fp").select("id", "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of each near-duplicate group: the smallest id.
+
+    Of rows that share this id, one with the smallest fingerprint stays. A group without any id keeps one of
+    its rows with the smallest fingerprint.
+    """
+    groups = cut(simhash_groups(docs, id_col, text_col, **options))
+    mine = F.col("id").eqNullSafe(F.col("component"))
+    if groups.where("id is null").isEmpty() and groups.groupBy("id").count().where("count > 1").isEmpty():
+        keep = groups.where(mine).select(F.col("id").alias("_kept"))
+        return docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi")
+    keep = groups.where(mine).groupBy("root").agg(F.min("id").alias("_kept"), F.min("fp").alias("_kept_fp")).drop("root")
+    width = options.get("width", 4)
+    marked = docs.withColumn("_fp", fingerprint_column(F.col(text_col), width))
+    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
+    return kept.dropDuplicates([id_col, "_fp"]).drop("_fp")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, pii, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, langid, mainhtml, pii, simhash, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op3_mainhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.topk(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -81,6 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
+    "op3_mainhtml": op3_mainhtml,
     "op4_topk": op4_topk,
     "op5_decontamination": op5_decontamination,
     "op8_toxicity": op8_toxicity,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, mainhtml, pii, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, langid, license, mainhtml, pii, simhash, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -59,6 +59,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
+#: A document of at most this many characters that has a notice counts as the licence file of its folder.
+SHORT_NOTICE = 400
+
+
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files `source/lang/<hundreds of the id>/<id>.txt`."""
+    folder = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = read_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    short = F.length("text") <= SHORT_NOTICE
+    return license.scan(files, "doc_id", "path", "text", short).withColumnRenamed("id", "doc_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), _crc("id", 5) != 0)
@@ -88,6 +101,7 @@ QUERIES = {
     "op3_mainhtml": op3_mainhtml,
     "op4_topk": op4_topk,
     "op5_decontamination": op5_decontamination,
+    "op7_license": op7_license,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, license, mainhtml, pii, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, langid, license, mainhtml, pii, simhash, suffixes, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -59,6 +59,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
+def _stretches(col: str):
+    return F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "same_as",
+        F.col("words").cast("long").alias("n_words"),
+        F.aggregate("repeated", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long").alias("n_repeated"),
+        _stretches("repeated").alias("repeated"),
+        _stretches("later").alias("later"),
+    )
+
+
 #: A document of at most this many characters that has a notice counts as the licence file of its folder.
 SHORT_NOTICE = 400
 
@@ -101,6 +117,7 @@ QUERIES = {
     "op3_mainhtml": op3_mainhtml,
     "op4_topk": op4_topk,
     "op5_decontamination": op5_decontamination,
+    "op6_suffixes": op6_suffixes,
     "op7_license": op7_license,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,

@@ -222,9 +222,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     pick = F.lit(False)
     for label, n in sizes.items():
         pick = pick | ((F.col("label") == label) & (spread < min(1.0, per_label / n) * (1 << 20)))
-    chosen = known.where(pick)
+    # about 2 * per_label ids, so they go to the scan of the texts and not the texts to them
+    chosen = known.where(pick).toPandas()
+    if not len(chosen):
+        return pd.DataFrame({"id": [], "label": [], "text": []})
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, known.schema))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(chosen, "id").select("id", "label", "text").toPandas()
+    rows = texts.join(ids, "id").select("id", "label", "text").toPandas()
     return rows.drop_duplicates("id").sort_values("id", ignore_index=True)
 
 

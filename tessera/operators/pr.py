@@ -128,23 +128,23 @@ def risk(files: DataFrame, issues: DataFrame, key: str = "pr_number") -> DataFra
 
 
 def diff_lines(patches: DataFrame, *key: str) -> DataFrame:
-    """(key…, at, hunk, sign, new_line, text): each line of a unified diff with its number in the new file.
+    """(key…, pos, hunk, sign, new_line, text): each line of a unified diff with its number in the new file.
 
     The hunk is a running count of headers; the new line is the hunk's start plus the lines before that are not
     removals. Removed lines, headers and `\\ No newline` marks have none.
     """
-    rows = patches.select(*key, F.posexplode(F.split("patch", "\n")).alias("at", "line"))
+    rows = patches.select(*key, F.posexplode(F.split("patch", "\n")).alias("pos", "line"))
     header = F.col("line").startswith("@@")
-    by_file = Window.partitionBy(*key).orderBy("at")
+    by_file = Window.partitionBy(*key).orderBy("pos")
     rows = rows.withColumn("hunk", F.sum(header.cast("int")).over(by_file)).where("hunk > 0")
     start = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).cast("int")
     sign = F.when(header, "@").otherwise(F.when(F.col("line").startswith("\\"), "\\").otherwise(F.when(F.col("line") == "", " ").otherwise(F.substring("line", 1, 1))))
     rows = rows.withColumn("sign", sign)
-    in_hunk = Window.partitionBy(*key, "hunk").orderBy("at")
+    in_hunk = Window.partitionBy(*key, "hunk").orderBy("pos")
     counted = F.sum(F.col("sign").isin("+", " ").cast("int")).over(in_hunk)
     first = F.first(F.when(header, start)).over(in_hunk)
     new_line = F.when(F.col("sign").isin("+", " "), first + counted - 1)
-    return rows.select(*key, "at", "hunk", "sign", new_line.alias("new_line"), F.expr("substring(line, 2)").alias("text")).where("sign != '@'")
+    return rows.select(*key, "pos", "hunk", "sign", new_line.alias("new_line"), F.expr("substring(line, 2)").alias("text")).where("sign != '@'")
 
 
 def diff_snippet(lines: DataFrame, wanted: DataFrame, *key: str, context: int = 5, most: int = 25) -> DataFrame:

@@ -68,7 +68,7 @@ def containing(sites: DataFrame, functions: DataFrame, innermost: bool = False)
     hit = (F.col("path") == F.col("_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
     keys = sites.columns
     joined = sites.join(f, hit, "left")
-    order = F.struct("start_line", -F.col("end_line"))
+    order = F.struct("start_line", -F.col("end_line"), "_name")
     pick = F.max_by if innermost else F.min_by
     return joined.groupBy(*keys).agg(pick("_name", order).alias("context"))
 

@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Whole texts are cut into sentences and lines; those with a cue word are candidates, longer ones in windows
-of ``WINDOW`` words that overlap by half. A candidate and a template are vectors of term counts times the
+Whole texts are cut into sentences and lines; those with a cue word are candidates, longer ones in overlapping
+``WINDOWS``. A candidate and a template are vectors of term counts times the
 templates' inverse document frequency (unknown terms weigh like a term of one template). The template with
 the highest cosine of at least ``THRESHOLD`` gives a file its licence. A file named like a licence file, or so
 marked, gives its licence to its directory; files without one take that of the nearest directory above them.
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 
 THRESHOLD = 0.6
-WINDOW = 40
+#: Words and steps of the windows over longer candidates: for a notice, and for a paragraph of a licence.
+WINDOWS = ((12, 4), (40, 20))
 CUES = r"(?i)\blicen[sc]|\bcopyright|\bcopying\b|all rights reserved|creative commons|public domain|redistribution and use|\bspdx\b"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([-_.][^/]*)?$"
 
@@ -106,8 +107,11 @@ def candidates(text: Column) -> Column:
 
     def windows(p: Column) -> Column:
         def cutouts(terms: Column) -> Column:
-            last = F.greatest(F.lit(0), F.ceil((F.size(terms) - WINDOW) / (WINDOW // 2)).cast("int"))
-            return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(terms, k * (WINDOW // 2) + 1, F.lit(WINDOW)))
+            def of(size: int, step: int) -> Column:
+                last = F.greatest(F.lit(0), F.ceil((F.size(terms) - size) / step).cast("int"))
+                return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(terms, k * step + 1, F.lit(size)))
+
+            return F.array_distinct(F.concat(*[of(*w) for w in WINDOWS]))
 
         return _let(F.array_remove(F.split(F.lower(p), _SPLIT_TERMS, -1), ""), cutouts)
 

@@ -116,3 +116,19 @@ def unmatched_references(resolved: DataFrame, chunks: DataFrame) -> DataFrame:
     hit = F.expr("instr(content, ref) > 0 or instr(replace(lower(content), '_', ''), replace(lower(ref), '_', '')) > 0")
     found = open_.join(chunks.select("id", "chunk_rank", "content"), hit).groupBy("ref").agg(F.min_by("id", "chunk_rank").alias("chunk_id"))
     return open_.join(found, "ref", "left")
+
+
+def calls_made(sites: DataFrame) -> DataFrame:
+    """(path, context, calls): the names called within each function; ``sites`` have a context, those without are left out."""
+    known = sites.where("context is not null")
+    return known.groupBy("path", "context").agg(F.sort_array(F.collect_list("function_name")).alias("calls"))
+
+
+def called_by(sites: DataFrame) -> DataFrame:
+    """(function_name, caller): a `path:context` row per call site, `unknown` where there is no context."""
+    return sites.select("function_name", F.concat_ws(":", "path", F.coalesce("context", F.lit("unknown"))).alias("caller"))
+
+
+def file_dependencies(dependencies: DataFrame) -> DataFrame:
+    """(path, dependencies): what each file depends on, repeats kept."""
+    return dependencies.groupBy(F.col("from_path").alias("path")).agg(F.sort_array(F.collect_list("to_path")).alias("dependencies"))

@@ -116,3 +116,26 @@ def test_signatures_and_docstrings(spark):
     assert python_source.without_docstrings("def (") == "def ("
     df = spark.createDataFrame([('x\n"""A docstring that is long enough."""',), ("/** short */",)], "c string")
     assert [r.d for r in df.select(generated.docstring(df.c).alias("d")).collect()] == ["A docstring that is long enough.", None]
+
+
+def test_analysis_graph_and_vectors(spark):
+
+    from tessera.operators import analysis
+
+    files = spark.createDataFrame([("r", "src/shop.py", PY, 0), ("r", "src/util.py", "def helper(n):\n    return n\n", 1), ("r", "web/x.ts", JS, 2), ("r", "web/a.ts", "export function helper(y) { return y; }", 3), ("r", "docs/x.md", "t", 4)], "repo_id string, path string, content string, ordinal int")
+    found = analysis.analyze(files)
+    deps = {(r.from_path, r.to_path, r.type) for r in found["dependencies"].collect()}
+    assert ("web/x.ts", "web/a.ts", "import") in deps and ("src/shop.py", "Base", "extends") in deps and ("web/x.ts", "web/a.ts", "call") in deps
+    ids = {r.id for r in found["chunks"].collect()}
+    assert any(i.startswith("flow:web/x.ts:run") for i in ids) and "src/shop.py:Shop.load" in ids
+    nodes, edges = analysis.build_graph(files, found)
+    labels = {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()}
+    assert labels["File"] == 4 and labels["Folder"] == 2 and labels["Class"] == 3
+    kinds = {r["type"] for r in edges.select("type").distinct().collect()}
+    assert kinds == {"CONTAINS", "HAS_METHOD", "IMPORTS", "CALLS"}
+    known = {r.id for r in nodes.collect()}
+    assert all(r.source_id in known and r.target_id in known for r in edges.collect()) and len(known) == nodes.count()
+    scored = analysis.scored_graph(nodes, edges)
+    assert scored.count() == nodes.count() and scored.where("risk_score between 0 and 1").count() > 0
+    points = analysis.vectorize(found["chunks"], "c").collect()
+    assert len(points) == len(ids) and all(len(p.vector) == 64 for p in points)

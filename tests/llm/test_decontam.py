@@ -22,7 +22,10 @@ def brute(docs, items):
     bags = [(i, bag(words(t)), len(words(t))) for i, t in items if words(t)]
     for d, t in docs:
         w = words(t)
+        mine = set(bag(w))
         for i, b, n in bags:
+            if n >= 5 and not mine & set(b):
+                continue  # every window has similarity 0
             for s in range(max(1, len(w) - n + 1)):
                 c = bag(w[s : s + n]) if n >= 5 else Counter([tuple(w[s : s + n])]) if len(w) >= n else Counter()
                 shared = sum((c & b).values())

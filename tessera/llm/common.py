@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each up to which a counted side of a join is broadcast: some tens of MB.
+LIGHT_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def light(df: DataFrame, most: int = LIGHT_ROWS) -> DataFrame:
+    """``df``, materialised and counted, marked for broadcast if it has at most ``most`` rows.
+
+    Beyond that the join shuffles both sides. It spares shuffling whole texts to find a few of them.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import LIGHT_ROWS, cut, light
 from tessera.llm.simhash import segments
 
 WIDTH = 5
@@ -116,6 +116,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
 
     # texts with windows, each text once
     wanted = windows.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size", "length")).alias("windows"))
+    wanted = F.broadcast(wanted) if windows.count() <= LIGHT_ROWS else wanted
     found = docs.select(*text_key(text), text.alias("text")).join(wanted, list(KEY)).dropDuplicates(list(KEY))
     cutout = F.when(F.col("size") >= WIDTH, F.slice(f"w{WIDTH}", F.col("start") + 1, F.col("length") - WIDTH + 1))
     for w in sorted(short):
@@ -144,12 +145,12 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, item_id, similarity, …): every document that contains an item, with each item."""
-    hits = cut(leaks(docs, items, text_col, **options))
+    hits = light(leaks(docs, items, text_col, **options))
     return docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col))).join(hits, list(KEY)).drop(*KEY)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no item. Null texts stay."""
-    bad = cut(leaks(docs, items, text_col, **options).select(F.col(KEY[0]).alias("_leak_hash"), F.col(KEY[1]).alias("_leak_size")).distinct())
+    bad = light(leaks(docs, items, text_col, **options).select(F.col(KEY[0]).alias("_leak_hash"), F.col(KEY[1]).alias("_leak_size")).distinct())
     hash_, size = text_key(F.col(text_col))
     return docs.join(bad, (hash_ == F.col("_leak_hash")) & (size == F.col("_leak_size")), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ SCORED_LABELS = (*SYMBOL_LABELS, "File")
 COMMUNITY_EDGES = ("CALLS", "INHERITS", "IMPLEMENTS")
 RISK_EDGES = ("CALLS", "IMPORTS", "INHERITS", "IMPLEMENTS", "HAS_METHOD")
 RISK_WEIGHTS = {"in_degree": 0.40, "crossings": 0.30, "loc": 0.20, "out_degree": 0.10}
+#: Frontiers of a closure that stay apart; then they are put together once.
+ROUNDS_KEPT = 8
 RISK_LEVELS = (("low", 0.25), ("medium", 0.5), ("high", 0.75))
 
 
@@ -132,16 +136,19 @@ def closure(edges: DataFrame, max_depth: int | None = None, source: str = "sourc
     """
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
     starts = step.select(F.col("_from").alias("start")).distinct()
-    reached = checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
-    frontier, depth = reached, 0
+    frontier = checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    rounds, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(step, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
-        frontier = checkpointed(found.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = reduce(DataFrame.unionByName, rounds).select("start", "node")
+        frontier = checkpointed(found.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        reached = checkpointed(reached.unionByName(frontier))
-    return reached
+        rounds.append(frontier)
+        if len(rounds) > ROUNDS_KEPT:
+            rounds = [checkpointed(reduce(DataFrame.unionByName, rounds))]
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def communities_by_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:

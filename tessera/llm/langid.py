@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import light
+
 DEPTH = 3
 #: Bound of the training sample: texts per language, picked by hash. Prediction has no bound.
 SAMPLE_PER_LANGUAGE = 1500
@@ -145,7 +147,8 @@ def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
 def sample(docs: DataFrame, allowed: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """About ``per_language`` texts of each language, by a threshold on the hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(allowed).where("lang is not null and text is not null")
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    # a row for each language: few, so the texts are not dealt out by language
+    share = light(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")))
     picked = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     return rows.join(share, "lang").where(picked).select("lang", "text")
 

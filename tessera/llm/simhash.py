@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, light
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -224,8 +224,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     groups = cut(simhash_groups(docs, id_col, text_col, **options))
     mine = F.col("id").eqNullSafe(F.col("component"))
     if groups.where("id is null").isEmpty() and groups.groupBy("id").count().where("count > 1").isEmpty():
-        keep = groups.where(mine).select(F.col("id").alias("_kept"))
-        return docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi")
+        # there are fewer rows to drop than to keep, and the texts stay where they are while those are few
+        gone = light(groups.where(~mine).select(F.col("id").alias("_gone")))
+        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     keep = groups.where(mine).groupBy("root").agg(F.min("id").alias("_kept"), F.min("fp").alias("_kept_fp")).drop("root")
     width = options.get("width", 4)
     marked = docs.withColumn("_fp", fingerprint_column(F.col(text_col), width))

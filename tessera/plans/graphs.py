@@ -150,5 +150,5 @@ def flow_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("communities", "G4")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and parts by who delivers what; no SQL form, tested by its invariants."""
-    edges = _edges(spark, sf_dir).where("l_returnflag = 'R'").select("source_id", "target_id")
-    return graph.communities_by_labels(_nodes(spark, sf_dir).select("id"), edges, rounds=4)
+    edges = _edges(spark, sf_dir).select("source_id", "target_id")
+    return graph.communities_by_labels(_nodes(spark, sf_dir).select("id"), edges)

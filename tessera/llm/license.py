@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Whole texts are cut into sentences and lines; those with a cue word are candidates, longer ones in overlapping
-``WINDOWS``. A candidate and a template are vectors of term counts times the
+``WINDOWS``. Stretches of the size of a template are candidates as well, laid across line breaks wherever two
+neighbouring terms of it stand. A candidate and a template are vectors of term counts times the
 templates' inverse document frequency (unknown terms weigh like a term of one template). The template with
 the highest cosine of at least ``THRESHOLD`` gives a file its licence. A file named like a licence file, or so
 marked, gives its licence to its directory; files without one take that of the nearest directory above them.
@@ -24,6 +25,8 @@ from tessera.llm.common import cut
 THRESHOLD = 0.6
 #: Words and steps of the windows over longer candidates: for a notice, and for a paragraph of a licence.
 WINDOWS = ((12, 4), (40, 20))
+#: Stretches of a template's size with fewer terms than ``SHORT`` need ``SURE``: two words of three are met by chance.
+SHORT, SURE = 8, 0.85
 CUES = r"(?i)\blicen[sc]|\bcopyright|\bcopying\b|all rights reserved|creative commons|public domain|redistribution and use|\bspdx\b"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([-_.][^/]*)?$"
 
@@ -119,6 +122,54 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(CUES), F.filter(F.flatten(F.transform(pieces, windows)), lambda w: F.size(w) > 0)).otherwise(none)
 
 
+def anchors(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> dict[str, list[tuple[int, int]]]:
+    """(template, place) per pair of neighbouring terms, of which one at least has more than three characters."""
+    places: dict[str, set[tuple[int, int]]] = {}
+    for i, terms in enumerate(_terms(t) for ts in templates.values() for t in ts):
+        for k, pair in enumerate(zip(terms, terms[1:])):
+            if max(map(len, pair)) > 3:
+                places.setdefault(" ".join(pair), set()).add((i, k))
+    return {t: sorted(p) for t, p in sorted(places.items())}
+
+
+def _masses(templates: dict[str, tuple[str, ...]]) -> list[dict[str, float]]:
+    """Squared unit weight per term, for each template."""
+    found: dict[int, dict[str, float]] = {}
+    for term, i, _, w in model(templates)[0]:
+        found.setdefault(i, {})[term] = w * w
+    return [found[i] for i in sorted(found)]
+
+
+def _needed(size: int, threshold: float) -> float:
+    """Squared weight of a template that a stretch must share: a cosine is at most its root (Cauchy-Schwarz)."""
+    return (max(threshold, SURE) if size < SHORT else threshold) ** 2 - 1e-6
+
+
+def stretches(text: Column, threshold: float = THRESHOLD) -> Column:
+    """array<array<string>>: the terms of each stretch that lies to a pair of terms as a template does and shares enough
+    of its terms to be close to it. Empty for null texts."""
+    at = anchors()
+    none = F.array().cast("array<array<string>>")
+    sizes = [len(_terms(t)) for ts in TEMPLATES.values() for t in ts]
+    # by template: its size, and the squared weight of each of its terms and what they must add up to
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(_needed(n, threshold)).alias("need"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in mass.items()]).alias("mass")) for n, mass in zip(sizes, _masses(TEMPLATES))])
+    laid = F.create_map(*[x for t, p in at.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sizes[i]).alias("n"), F.lit(k).alias("k")) for i, k in p]))])
+
+    def around(terms: Column) -> Column:
+        pairs = F.zip_with(terms, F.slice(terms, F.lit(2), F.size(terms)), lambda a, b: F.concat(a, F.lit(" "), b))
+        hit = F.filter(F.transform(pairs, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(*at))
+
+        def of(x: Column) -> Column:
+            fits = F.filter(laid[x["t"]], lambda p: (p["k"] <= x["i"]) & (x["i"] - p["k"] + p["n"] <= F.size(terms)))
+            cutouts = F.transform(fits, lambda p: F.struct(known[p["i"]].alias("of"), F.slice(terms, x["i"] - p["k"] + 1, p["n"]).alias("terms")))
+            near = F.filter(cutouts, lambda c: F.aggregate(c["of"]["mass"], F.lit(0.0), lambda s, m: s + F.when(F.array_contains(c["terms"], m["t"]), m["m"]).otherwise(0.0)) >= c["of"]["need"])
+            return F.transform(near, lambda c: c["terms"])
+
+        return F.array_distinct(F.flatten(F.transform(hit, of)))
+
+    return F.coalesce(_let(F.array_remove(F.split(F.lower(text), _SPLIT_TERMS, -1), ""), around), none)
+
+
 def classify(notices: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(terms, licence, score) for the distinct ``terms`` arrays that reach the threshold; ties go by name."""
     spark = notices.sparkSession
@@ -147,13 +198,17 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
     named = F.coalesce(F.col(path_col).rlike(LICENSE_FILE), F.lit(False))
     marked = named | F.coalesce(is_license_file, F.lit(False)) if is_license_file is not None else named
     text = F.col(text_col)
-    rows = cut(files.select(F.col(id_col).alias("id"), F.regexp_replace(F.col(path_col), "/+", "/").alias("path"), marked.alias("gives"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), candidates(text).alias("notices")))
-    with_notice = rows.where("size(notices) > 0")
-    licences = classify(with_notice.select(F.explode("notices").alias("terms")), threshold)
-    by_text = with_notice.select("h", "n", "notices").distinct().select("h", "n", F.explode("notices").alias("terms")).join(licences, "terms")
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("l"))).alias("best")
-    own = by_text.groupBy("h", "n").agg(best).select("h", "n", F.col("best.l").alias("licence"), (-F.col("best.s")).alias("score"))
-    held = cut(rows.drop("notices").join(own, ["h", "n"], "left").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
+    rows = cut(files.select(F.col(id_col).alias("id"), F.regexp_replace(F.col(path_col), "/+", "/").alias("path"), marked.alias("gives"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), candidates(text).alias("notices"), stretches(text, threshold).alias("laid")))
+    with_notice = rows.where("size(notices) + size(laid) > 0").select("h", "n", "notices", "laid").distinct()
+    listed = with_notice.select("h", "n", F.explode("notices").alias("terms"), F.lit(True).alias("line"))
+    listed = listed.unionByName(with_notice.select("h", "n", F.explode("laid").alias("terms"), F.lit(False).alias("line")))
+    by_text = listed.join(classify(listed.select("terms"), threshold), "terms").where(F.col("line") | (F.size("terms") >= SHORT) | (F.col("score") >= SURE))
+    # the best candidate names the licence; its score is that of a line or sentence, where one reaches the threshold
+    shown = F.coalesce(F.max(F.when(F.col("line"), F.col("score"))), F.max("score")).alias("shown")
+    ranked = by_text.groupBy("h", "n", "licence").agg(F.max("score").alias("top"), shown)
+    best = F.min(F.struct((-F.col("top")).alias("s"), F.col("licence").alias("l"), F.col("shown").alias("shown"))).alias("best")
+    own = ranked.groupBy("h", "n").agg(best).select("h", "n", F.col("best.l").alias("licence"), F.col("best.shown").alias("score"))
+    held = cut(rows.drop("notices", "laid").join(own, ["h", "n"], "left").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
 
     given = F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"), F.col("licence").alias("l"))).alias("g")
     sources = held.where("gives and licence is not null and path is not null").groupBy("dir").agg(given)

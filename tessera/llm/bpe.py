@@ -1,31 +1,35 @@
 """Byte-level BPE by overlapping chunks, and back.
 
-Pre-tokens depend on the text to their right only, so two tokenisations that share one boundary agree from
-there on. A long text is cut into chunks that overlap; each chunk is pre-tokenised on its own, and
-neighbours are stitched at the first boundary both have. Where the overlap has none, the left chunk is
-continued until they meet. The same rule cuts ordinary text without a regular expression: a single space
-between two visible characters always begins a pre-token, so the pieces between such spaces are encoded
-on their own and remembered.
+A pre-token depends on the text from its start on, and on few characters behind its end, so two tokenisations
+that share one boundary agree from there on. A text of more than ``CHUNK`` code points becomes rows of
+overlapping chunks, dealt over the tasks and pre-tokenised on their own. Neighbours are stitched at the first boundary that
+both have in their overlap; then the pieces between the seams are encoded, and the ids put in order. Where two neighbours
+have no boundary in common (a run of one kind longer than the overlap), the whole text, which is
+one row of the input as well, is pre-tokenised in one go. A text of one chunk needs no stitching.
+
+Decoding concatenates the bytes of the tokens.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+from tessera.llm.common import cut, light
+
+CHUNK = 1 << 13
 OVERLAP = 1 << 8
-REMEMBERED = 200_000
-_MIXED_SPACE = re.compile(r"\s | \s")
+#: What a pre-token may look at behind its end: boundaries this near to the end of a chunk are not sure.
+MARGIN = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,83 +40,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one vocabulary. ``path``: ranks, one base64 token and its rank per line."""
 
-    def __init__(self, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
-        self.pattern, self.chunk, self.overlap = regex.compile(pattern), chunk, overlap
-        self._piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.pattern = regex.compile(pattern)
+        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._token = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self._token[rank] = token
-        self._ids: dict[str, bytes] = {}
-
-    def boundaries(self, text: str, start: int, stop: int) -> list[int]:
-        """Starts of the pre-tokens of ``text[start:stop]``, taken by itself."""
-        return [m.start() for m in self.pattern.finditer(text, start, stop)]
-
-    def stitched(self, text: str) -> list[int]:
-        """Starts of the pre-tokens of the whole text, from chunks pre-tokenised independently."""
-        n = len(text)
-        if n <= self.chunk:
-            return self.boundaries(text, 0, n)
-        starts = range(0, n, self.chunk)
-        chunks = [self.boundaries(text, s, min(n, s + self.chunk + self.overlap)) for s in starts]
-        out = chunks[0]
-        for k, right in enumerate(chunks[1:], 1):
-            # the last pre-token of a chunk, and a run of spaces before it, may go on behind its end
-            end = starts[k - 1] + self.chunk + self.overlap
-            sure = [b for b in out[-self.overlap - 2 :] if b < end - 2][:-2] if end < n else out[-self.overlap - 2 :]
-            known = set(sure)
-            meet = next((b for b in right if b in known), None)
-            if meet is None:
-                meet = self._continue(text, out, sure, set(right), starts[k])
-            if meet is None:
-                return out
-            while out and out[-1] >= meet:
-                out.pop()
-            out.extend(b for b in right if b >= meet)
-        return out
-
-    def _continue(self, text: str, out: list[int], sure: list[int], right: set[int], start: int) -> int | None:
-        """Go on from the last sure boundary of the left side until it meets ``right``; None at the text's end."""
-        at = sure[-1] if sure else out[0] if out else 0
-        while out and out[-1] >= at:
-            out.pop()
-        for m in self.pattern.finditer(text, at):
-            if m.start() >= start and m.start() in right:
-                return m.start()
-            out.append(m.start())
-        return None
-
-    def _encode(self, unit: str) -> bytes:
-        ids = [i for m in self.pattern.finditer(unit) for i in self._piece(m[0].encode("utf-8", "replace"))]
-        return np.array(ids, dtype=np.int32).tobytes()
-
-    def _get(self, unit: str) -> bytes:
-        found = self._ids.get(unit)
-        if found is None:
-            if len(self._ids) >= REMEMBERED:
-                self._ids.clear()
-            found = self._encode(unit)
-            if len(unit) <= 64:
-                self._ids[unit] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text as little-endian 32-bit numbers, without special tokens."""
-        text = text or ""
-        if _MIXED_SPACE.search(text):
-            starts = self.stitched(text)
-            units = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
-            return b"".join([self._get(u) for u in units])
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        known, get = self._ids.get, self._get
-        out = [get(head)] if head else []
-        for u in rest:
-            u = " " + u
-            out.append(known(u) or get(u))
-        return b"".join(out)
+
+    def boundaries(self, text: str) -> np.ndarray:
+        """Starts of the pre-tokens of ``text`` by itself that stand behind a visible character.
+
+        How a run of white space is split depends on what follows it, so a piece must not end with one."""
+        return np.fromiter((a for m in self.pattern.finditer(text) if (a := m.start()) and not text[a - 1].isspace()), dtype=np.int32)
+
+    def encode(self, piece: str | None) -> np.ndarray:
+        """Ids of a text, or of a piece of one between two boundaries, without special tokens."""
+        return np.array(self._encode(piece) if piece else [], dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         token = self._token
@@ -125,38 +69,136 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the token ids of each whole text; a null text counts as empty, an empty one has no ids.
+def _parts(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of a text column, so that long texts do not pile up in one result."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
 
-    Rows stay apart (repeated rows give repeated results); other columns are ignored. ``path`` must be
-    readable on every executor.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+
+def _encoded(path: str, pattern: str, keys: list[str], raw: bool):
+    """Texts to ``keys`` and ids, with the decoded bytes if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for part in _parts(batch):
-                raws = [c.encode(t) for t in part.column("text").to_pylist()]
-                offsets = np.r_[0, np.cumsum([len(r) // 4 for r in raws])].astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(raws), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "ids"])
+            for part in _parts(batch, "text"):
+                found = [c.encode(t) for t in part.column("text").to_pylist()]
+                columns = [part.column(k) for k in keys] + [_id_lists(found)]
+                if raw:
+                    columns.append(pa.array([c.decode(x.tolist()) for x in found], type=pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ids", "raw"][: len(columns)])
 
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>")
+    return run
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes, so that long texts do not pile up in one result."""
-    begin = size = 0
-    lengths = np.diff(np.frombuffer(batch.column("text").buffers()[1], dtype=np.int32, count=batch.column("text").offset + batch.num_rows + 1)) if batch.num_rows else []
-    for i, n in enumerate(lengths[-batch.num_rows :] if batch.num_rows else []):
-        if size and size + n > most:
-            yield batch.slice(begin, i - begin)
-            begin, size = i, 0
-        size += int(n)
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
+def chunk_rows(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(row, id, k, n, text): the chunks of each text, each with the overlap behind it; ``n`` is how many there are."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, text = batch.slice(i, 1), batch.column("text")[i].as_py()
+                n = -(-len(text) // chunk)
+                for k in range(0, n, 64):
+                    ks = range(k, min(n, k + 64))
+                    own = [pa.concat_arrays([row.column(c)] * len(ks)) for c in ("row", "id")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(ks, type=pa.int32()), pa.array([n] * len(ks), type=pa.int32()), pa.array([text[j * chunk : (j + 1) * chunk + overlap] for j in ks])], names=["row", "id", "k", "n", "text"])
+
+    return texts.mapInArrow(run, f"row long, id {kind}, k int, n int, text string")
+
+
+def pretokenised(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """``chunks`` with the boundaries of each by itself that its neighbours may share: ``head`` in its first ``overlap``
+    code points, ``tail`` in the ones behind it, counted from its end and without unsure ones."""
+    kind = chunks.schema["id"].dataType.simpleString()
+    lists = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            for part in _parts(batch, "text"):
+                heads, tails = [], []
+                for text, k, n in zip(*(part.column(x).to_pylist() for x in ("text", "k", "n"))):
+                    at = c.boundaries(text)
+                    # only the last chunks reach the end of the whole text
+                    ends = k >= n - 1 or (k == n - 2 and len(text) < chunk + overlap)
+                    sure = at if ends else at[at < len(text) - MARGIN][:-2]
+                    heads.append(at[at < overlap])
+                    tails.append(sure[sure >= chunk] - chunk)
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, type=lists) for x in (heads, tails)]], names=[*part.schema.names, "head", "tail"])
+
+    return chunks.mapInArrow(run, f"row long, id {kind}, k int, n int, text string, head array<int>, tail array<int>")
+
+
+def seams(chunks: DataFrame) -> DataFrame:
+    """(row, k, begin, end): where the piece of each chunk begins, and how far behind the chunk it ends, both by the
+    first boundary that neighbours share; ``begin`` is null where they share none. The window goes over the chunks of one text."""
+    order = Window.partitionBy("row").orderBy("k")
+    meet = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
+    met = chunks.select("row", "k", "n", meet.alias("begin"))
+    return met.select("row", "k", "begin", F.lead("begin").over(order).alias("end"))
+
+
+def _pieces(path: str, pattern: str, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            for part in _parts(batch, "text"):
+                columns = (part.column(x).to_pylist() for x in ("text", "begin", "end", "last"))
+                found = [c.encode(text[begin:] if last else text[begin : chunk + end]) for text, begin, end, last in zip(*columns)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("k"), _id_lists(found)], names=["row", "id", "k", "ids"])
+
+    return run
+
+
+def stitched(texts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id, ids) of (row, id, text) rows, ``row`` being unique, by chunks in parallel."""
+    kind = texts.schema["id"].dataType.simpleString()
+    dealt = chunk_rows(texts, chunk, overlap).repartition("row", "k")
+    chunks = cut(pretokenised(dealt, path, pattern, chunk, overlap))
+    seam = cut(seams(chunks.select("row", "k", "n", "head", "tail")))
+    apart = light(seam.where("begin is null").select("row").distinct())
+    joined = chunks.join(seam, ["row", "k"]).join(apart, "row", "left_anti")
+    pieces = joined.select("row", "id", "k", "text", "begin", "end", (F.col("k") == F.col("n") - 1).alias("last"))
+    done = pieces.mapInArrow(_pieces(path, pattern, chunk), f"row long, id {kind}, k int, ids array<int>")
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
+    met = done.groupBy("row").agg(F.first("id").alias("id"), in_order.alias("ids")).select("id", "ids")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, chunk).alias("text")))), lambda x: x["text"]), "")
+    texts = chunks.join(apart, "row", "left_semi").groupBy("row").agg(F.first("id").alias("id"), whole.alias("text"))
+    unmet = texts.select("id", "text").mapInArrow(_encoded(path, pattern, ["id"], False), f"id {kind}, ids array<int>")
+    return met.unionByName(unmet)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", raw: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id, ids): the token ids of each whole text; with ``raw`` also the bytes that they decode to.
+
+    A null text counts as empty, an empty one has no ids. Rows stay apart (repeated rows give repeated results, rows
+    with a null id stay); an empty table gives an empty result; other columns are ignored, whatever their names.
+    ``path`` must be readable on every executor.
+    """
+    if overlap > chunk:
+        raise ValueError("an overlap must not reach beyond the next chunk")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    schema = f"id {kind}, ids array<int>" + (", raw binary" if raw else "")
+    short = rows.where(~long).mapInArrow(_encoded(path, pattern, ["id"], raw), schema)
+    texts = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    joined = stitched(texts, path, pattern, chunk, overlap)
+    return short.unionByName(decode(joined, path, pattern) if raw else joined)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:

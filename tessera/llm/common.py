@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,15 +13,33 @@ from pyspark.sql import functions as F
 LIGHT_ROWS = 1_000_000
 
 
+#: Bytes of texts that go to a Python worker at once, so that ten thousand long texts do not.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at ``BATCH_BYTES`` as well as at their number of rows, unless the session has a lower bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key) or "").lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share."""
+    """The session's checkpoint folder, which driver and executors share.
+
+    A session on one machine without one gets a temporary folder; on a cluster that would lose data and is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -33,11 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a session without one (tests on a
-    single machine) gets a temporary folder.
-    """
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

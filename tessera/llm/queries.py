@@ -97,7 +97,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    tokens = bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern, raw=True)
     return tokens.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,38 +1,60 @@
 """Against the tiktoken library, whole texts and stitched chunks; exact round trips."""
 
 import hashlib
+import random
 
-import numpy as np
 import public_tokenizers
-import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, queries
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 REFERENCE = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
-WHOLE, SMALL = bpe.Codec(PATH, PATTERN), bpe.Codec(PATH, PATTERN, chunk=16, overlap=6)
+WHOLE = bpe.Codec(PATH, PATTERN)
 SIGNS = st.text(alphabet="ab  \n\t\r'sltve1２.!é你🎉<|>", max_size=120)
 
 
-def ids(codec, text):
-    return np.frombuffer(codec.encode(text), dtype=np.int32).tolist()
-
-
 @settings(max_examples=400, deadline=None)
 @given(SIGNS)
 def test_like_the_library(text):
     want = REFERENCE.encode_ordinary(text)
-    assert ids(WHOLE, text) == want and ids(SMALL, text) == want
-    assert SMALL.stitched(text) == [m.start() for m in SMALL.pattern.finditer(text)]
+    assert WHOLE.encode(text).tolist() == want
     assert WHOLE.decode(want) == text.encode()
+    # a piece between two boundaries has the same ids by itself
+    cuts = [0, *WHOLE.boundaries(text).tolist()[::2], len(text)]
+    assert [i for a, b in zip(cuts, cuts[1:]) for i in WHOLE.encode(text[a:b]).tolist()] == want
+
+
+def awkward(n, seed):
+    rng = random.Random(seed)
+    signs = "ab  \n\t\r'sltve1２.!é你🎉<|>"
+    return "".join(rng.choice(signs) * rng.choice((1, 1, 1, 2, 40)) if rng.random() < 0.5 else rng.choice([" we'll", " say", " 1234567", "\n\n  ", "......"]) for _ in range(n))
+
+
+RUNS = ["a" * 500, " " * 300 + "x", "x" + "\n" * 300, ("ab " * 40 + " " * 40) * 5, "1" * 200 + " " * 200, "<|endoftext|>", "we'll " * 60, "x" * 64, "x" * 65]
+
+
+def test_chunks_meet_or_the_text_is_taken_whole(spark):
+    texts = RUNS + [awkward(120, s) for s in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk, overlap in ((64, 32), (32, 24), (200, 64)):
+        got = {r.id: (r.ids, bytes(r.raw)) for r in bpe.encode(rows, PATH, PATTERN, raw=True, chunk=chunk, overlap=overlap).collect()}
+        assert got == {i: (REFERENCE.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("text", ["a" * 500, " " * 300 + "x", "x" + "\n" * 300, ("ab " * 40 + " " * 40) * 5, "1" * 200 + " " * 200, "<|endoftext|>"])
-def test_runs_across_chunks(text):
-    assert ids(SMALL, text) == REFERENCE.encode_ordinary(text)
+def test_long_texts_go_by_chunks(spark, monkeypatch):
+    """With the stitching gone wrong, the results of long texts go wrong: nothing else makes them."""
+    prose = " ".join(f"word{i} we'll" for i in range(5000))
+    rows = spark.createDataFrame([(1, prose), (2, "short")], "doc_id long, text string")
+    want = {1: REFERENCE.encode_ordinary(prose), 2: REFERENCE.encode_ordinary("short")}
+    assert {r.id: r.ids for r in bpe.encode(rows, PATH, PATTERN).collect()} == want
+    right = bpe.seams
+    monkeypatch.setattr(bpe, "seams", lambda chunks: right(chunks).withColumn("begin", F.col("begin") + 1))
+    wrong = {r.id: r.ids for r in bpe.encode(rows, PATH, PATTERN).collect()}
+    assert wrong[2] == want[2] and wrong[1] != want[1]
 
 
 def test_whole_table(spark, sf):
@@ -44,7 +66,8 @@ def test_whole_table(spark, sf):
 
 
 def test_odd_rows(spark, odd):
-    out = bpe.decode(bpe.encode(odd, PATH, PATTERN), PATH, PATTERN).collect()
+    out = bpe.encode(odd, PATH, PATTERN, raw=True).collect()
     assert len(out) == odd.count()
     assert sorted(bytes(r.raw).decode() for r in out) == sorted(r.text or "" for r in odd.collect())
-    assert bpe.decode(bpe.encode(odd.where("false"), PATH, PATTERN), PATH, PATTERN).count() == 0
+    assert sorted(r.ids for r in bpe.decode(bpe.encode(odd, PATH, PATTERN), PATH, PATTERN).collect()) == sorted(r.ids for r in out)
+    assert bpe.encode(odd.where("false"), PATH, PATTERN, raw=True).count() == 0

@@ -17,6 +17,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base],
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed().alias("spans"),
+        sum((F.size(k.name) for k in pii.KINDS), F.lit(0)).cast("long").alias("n_spans"),
+        pii.listed_scores().alias("scores"),
     )
 
 

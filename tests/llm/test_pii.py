@@ -52,6 +52,46 @@ def test_added_kinds_and_redaction(spark):
     assert red[3] == "mail [EMAIL] now" and red[4] is None and red[1].startswith("iban [IBAN] and DE89")
 
 
+def spans_of(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(pii.find(df).select("doc_id", pii.listed().alias("s"), pii.listed_scores().alias("c")).collect())
+    return [(r.s, r.c) for r in rows]
+
+
+def test_context_on_both_sides_and_across_matches(spark):
+    two = "My amex cards are 378282246310005 and 371449635398431 both"
+    behind, far = "378282246310005 is my amex card", "378282246310005 and quite a lot later in this text a card"
+    got = spans_of(spark, two, behind, far, "serial 378282246310005 card", "GB82 WEST 1234 5698 7654 32", "order GB82 WEST 1234 5698 7654 32")
+    assert [s for s, _ in got] == ["short_card:18:33,short_card:38:53", "short_card:0:15", "", "", "iban:0:27", ""]
+    assert got[0][1] == "0.80,0.80" and got[4][1] == "0.80"
+
+
+def test_secrets(spark):
+    hidden = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    got = spans_of(spark, f'token = "{hidden}" x', f"checksum {hidden}", f"commit {hidden} token", "token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", f"api_key:{hidden}")
+    assert [s for s, _ in got] == ["secret:9:49", "", "", "", "secret:8:48"]
+
+
+def test_redaction_takes_the_reported_spans(spark):
+    """Also where spans overlap, and in a text of many blocks."""
+    long = "é" * 5000 + " a@b.co " + "x " * 5000 + "+1 (988) 555-2485 " + "y" * 9000 + " 10.0.0.1"
+    texts = ["call +4111111111111111 now", "a@1.2.3.4.5", "nothing", "", long, " ".join(f"u{i}@h{i}.org" for i in range(700)), "10.0.0.1 a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = {r.doc_id: r.t for r in df.select("doc_id", pii.redacted(F.col("text")).alias("t")).collect()}
+    for i, (t, (s, _)) in enumerate(zip(texts, spans_of(spark, *texts))):
+        spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in s.split(",") if x))
+        merged = []
+        for a, b, k in spans:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], -b)
+            else:
+                merged.append([a, -b, k])
+        want, at = "", 0
+        for a, b, k in merged:
+            want, at = want + t[at:a] + f"[{k.upper()}]", b
+        assert red[i] == want + t[at:]
+
+
 def test_odd_rows(spark, odd):
     got = pii.find(odd).collect()
     assert len(got) == odd.count()

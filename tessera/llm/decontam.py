@@ -1,12 +1,14 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 1. Words are runs of letters and digits in lower case; a shingle is ``WIDTH`` of them.
-2. A window of a document that shares no shingle with an item has similarity 0 to it, so windows are laid
-   where a shingle of an item occurs: as long as the item, and shifted by the shingle's place in it.
+2. A window is as long as an item. A match needs a certain number of shingles in common (from the bound on the
+   similarity and the two sizes), so windows are laid at every start from which that many shingles of the item occur
+   within its length, whatever their order. Where neither the item nor its shingles in the text repeat one, the number in
+   common is the similarity, and of these starts only the first with the most is kept.
 3. Each window and each item gets a SimHash over its shingles, repeats included. Fingerprints are cut into
    ``BLOCKS`` blocks; every fingerprint within ``RADIUS`` bits agrees with the item in one block up to that
    block's share of the radius (see ``simhash.segments``), and these small balls are enumerated for the items.
-   So the lookup by (window size, block, value) finds all windows within the radius.
+   So the lookup by (item, block, value) finds all windows within the radius, among those laid for the item.
 4. The candidates are verified: a window matches if its shingles and the item's, weighted by how often each
    occurs, have a Jaccard similarity (sum of minima over sum of maxima) of at least ``SIMILARITY``.
 
@@ -28,7 +30,8 @@ from tessera.llm.simhash import segments
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 16
+#: Windows of at least ``SIMILARITY`` are nearly all within this many bits of their item, see the tests and the README.
+RADIUS = 24
 BLOCKS = 8
 KEY = ("text_hash", "text_size")
 _LANES = 32
@@ -91,8 +94,32 @@ def _block_values(radius: int, blocks: int, balls: bool) -> Column:
     return F.array(*out)
 
 
+def starts(similarity: float) -> Column:
+    """array<int>: where windows of ``m`` shingles begin that can match the item, from ``hits``, the sorted (pos, h) of its
+    shingles in the text, of which there are ``total``, and from its number ``n`` of shingles, ``kinds`` of them different."""
+    need = F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
+
+    def reach(c: Column) -> Column:
+        some = F.sequence(F.lit(0), F.size("hits") - c)
+
+        def of(i: Column) -> Column:
+            first, last = F.get("hits", i)["pos"], F.get("hits", i + c - 1)["pos"]
+            low, high = F.greatest(F.lit(0), last - F.col("m") + 1), F.least(first, F.col("total") - F.col("m"))
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size("hits") >= c, F.array_distinct(F.flatten(F.transform(some, of)))).otherwise(F.array().cast("array<int>"))
+
+    def best(found: Column) -> Column:
+        inside = lambda s: F.size(F.filter("hits", lambda x: (x["pos"] >= s) & (x["pos"] < s + F.col("m"))))
+        top = F.array_max(F.transform(found, lambda s: F.struct(inside(s).alias("n"), (-s).alias("s"))))
+        return F.array(-top["s"])
+
+    plain = (F.col("kinds") == F.col("n")) & (F.size(F.array_distinct(F.transform("hits", lambda x: x["h"]))) == F.size("hits"))
+    return _let(_let(need, reach), lambda found: F.when(plain & (F.size(found) > 1), best(found)).otherwise(found))
+
+
 def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(text_hash, text_size, item_id, similarity, distance, start_word, n_words, n_windows) per distinct text and item.
+    """(text_hash, text_size, item_id, similarity, distance, start_word, n_words) per distinct text and item.
 
     The best window is reported: highest similarity, then the first.
     """
@@ -105,18 +132,23 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
         return F.struct(F.size(words).alias("n_words"), *[shingles(words, w).alias(f"w{w}") for w in widths])
 
     texts = docs.select(*text_key(text), F.inline(F.array(_let(word_hashes(text), all_shingles)))).where("n_words > 0")
-    anchors = None
+    about = parts.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("h").alias("kinds"))
+    known = parts.select("h", "item", "size").distinct().join(about, "item")
+    hits = None
     for w in widths:
-        mine = parts.where(F.col("size") >= WIDTH if w == WIDTH else F.col("size") == w).select("h", "size", "off").distinct()
-        here = texts.select(*KEY, "n_words", F.posexplode(f"w{w}").alias("pos", "h")).join(mine, "h")
-        anchors = here if anchors is None else anchors.unionByName(here)
-    length = F.least("size", "n_words")
-    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n_words") - length))
-    windows = cut(anchors.select(*KEY, "size", begin.alias("start"), length.alias("length")).where(f"length >= least(size, {WIDTH})").distinct())
+        mine = light(known.where(F.col("size") >= WIDTH if w == WIDTH else F.col("size") == w))
+        here = texts.select(*KEY, "n_words", F.size(f"w{w}").alias("total"), F.posexplode(f"w{w}").alias("pos", "h")).join(mine, "h")
+        hits = here if hits is None else hits.unionByName(here)
+    # a set, as equal texts bring the same places
+    met = hits.groupBy(*KEY, "n_words", "total", "item", "size", "n", "kinds").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hits"))
+    met = met.withColumn("m", F.least("n", "total"))
+    laid = met.select(*KEY, "item", "size", F.least("size", "n_words").alias("length"), F.explode(starts(similarity)).alias("start"))
+    laid = cut(laid)
+    windows = laid.select(*KEY, "start", "size", "length").distinct()
 
     # texts with windows, each text once
     wanted = windows.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size", "length")).alias("windows"))
-    wanted = F.broadcast(wanted) if windows.count() <= LIGHT_ROWS else wanted
+    wanted = F.broadcast(wanted) if laid.count() <= LIGHT_ROWS else wanted
     found = docs.select(*text_key(text), text.alias("text")).join(wanted, list(KEY)).dropDuplicates(list(KEY))
     cutout = F.when(F.col("size") >= WIDTH, F.slice(f"w{WIDTH}", F.col("start") + 1, F.col("length") - WIDTH + 1))
     for w in sorted(short):
@@ -128,9 +160,9 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     window_fps = simhash_of(bags, place)
     item_fps = simhash_of(parts, ["item", "size"])
     probes = item_fps.select("item", "size", F.col("n").alias("item_n"), F.col("fp").alias("item_fp"), F.inline(_block_values(radius, blocks, True)))
-    own = window_fps.select(*place, "n", "fp", F.inline(_block_values(radius, blocks, False)))
+    own = laid.join(window_fps, place).select(*place, "item", "n", "fp", F.inline(_block_values(radius, blocks, False)))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    candidates = own.join(probes, ["size", "block", "value"]).where(distance <= radius)
+    candidates = own.join(probes, ["item", "size", "block", "value"]).where(distance <= radius)
     candidates = candidates.select(*place, "n", "item", "item_n", distance.alias("distance")).distinct()
 
     window_bag = bags.groupBy(*place, "h").agg(F.count(F.lit(1)).alias("c"))
@@ -139,8 +171,8 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     scored = common.groupBy(*place, "n", "item", "item_n", "distance").agg(F.sum(F.least("c", "item_c")).alias("shared"))
     scored = scored.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("item_n") - F.col("shared"))).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("similarity", "distance", "start", "length"), F.struct("similarity", -F.col("start")))
-    hits = scored.groupBy(*KEY, "item").agg(best.alias("best"), F.count(F.lit(1)).alias("n_windows"))
-    return hits.select(*KEY, F.col("item").alias("item_id"), "best.similarity", "best.distance", F.col("best.start").alias("start_word"), F.col("best.length").alias("n_words"), "n_windows")
+    hits = scored.groupBy(*KEY, "item").agg(best.alias("best"))
+    return hits.select(*KEY, F.col("item").alias("item_id"), "best.similarity", "best.distance", F.col("best.start").alias("start_word"), F.col("best.length").alias("n_words"))
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

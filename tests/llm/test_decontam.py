@@ -1,9 +1,11 @@
 """Leaks against a brute-force scan of all windows that share a shingle with an item."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, queries
 
@@ -59,9 +61,54 @@ def test_near_copies_short_items_and_odd_rows(spark):
     assert decontam.report(docs.where("false"), items).count() == 0 and decontam.report(docs, items.where("false")).count() == 0
 
 
-def test_simhash_of_is_the_majority(spark):
-    import random
+def edited(words, rng):
+    """A text with a changed copy of an item in it: words replaced, left out, put in, stretches moved or repeated."""
+    w = list(words)
+    for _ in range(rng.choice((0, 1, 1, 2, 3))):
+        i, k = rng.randrange(len(w)), rng.choice((1, 1, 2, 4))
+        kind = rng.choice("rdimx")
+        if kind == "r":
+            w[i] = f"other{rng.randrange(99)}"
+        elif kind == "d":
+            del w[i : i + k]
+        elif kind == "i":
+            w[i:i] = [f"new{rng.randrange(99)}" for _ in range(k)]
+        elif kind == "m":
+            w = w[i:] + w[:i]
+        else:
+            w[i:i] = w[i : i + k]
+        if len(w) < 8:
+            return list(words)
+    around = [[f"c{rng.randrange(500)}" for _ in range(rng.choice((0, 3, 150)))] for _ in range(2)]
+    return around[0] + w + around[1]
+
+
+def test_edits_and_reorderings_against_all_windows(spark):
+    rng = random.Random(5)
+    items = [(i, [f"i{i}w{j if rng.random() < 0.9 else j // 3}" for j in range(n)]) for i, n in enumerate([9, 12, 20, 35, 60, 90, 120, 120])]
+    items.append((90, ("one two three four five six " * 8).split()))  # repeats its own shingles
+    texts = [(d, " ".join(edited(rng.choice(items)[1], rng))) for d in range(1000)]
+    swapped = items[6][1][60:] + items[6][1][:60]
+    texts.append((5000, " ".join([f"a{i}" for i in range(150)] + swapped + [f"b{i}" for i in range(150)])))
+    texts.append((5001, " ".join(items[3][1] + ["x"] * 5 + items[3][1])))  # twice in one text
+    pairs = [(i, " ".join(w)) for i, w in items]
+    want = brute(texts, pairs)
+    got = {(r.id, r.item_id): r.similarity for r in decontam.report(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(pairs, "item_id long, text string")).collect()}
+    assert len(want) > 500 and (5000, 6) in want
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_nothing_is_found_without_the_fingerprints(spark, monkeypatch):
+    item = " ".join(f"word{i}" for i in range(60))
+    docs, items = spark.createDataFrame([(1, item)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert decontam.report(docs, items).count() == 1
+    right = decontam.simhash_of
+    monkeypatch.setattr(decontam, "simhash_of", lambda rows, by: right(rows, by).withColumn("fp", F.col("fp") if "item" in by else F.expr("~fp")))
+    assert decontam.report(docs, items).count() == 0
 
+
+def test_simhash_of_is_the_majority(spark):
     random.seed(2)
     hashes = [random.getrandbits(64) - (1 << 63) for _ in range(7)]
     df = spark.createDataFrame([(1, h) for h in hashes] + [(2, -1), (3, 5), (3, 5), (3, -1)], "k long, h long")

@@ -25,8 +25,6 @@ SIZES = (3, 4, 5)
 PASSAGE = 8
 #: Bound of the labelled sample the model is fitted on, per label. Scoring has no bound.
 SAMPLE_PER_LABEL = 2000
-#: Code points of a labelled text that training looks at: a random stretch of a longer one.
-TRAIN_CHARS = 8000
 CHUNK = 1 << 20
 #: Times in an epoch that the passages to learn from are chosen anew.
 RENEWALS = 3
@@ -119,23 +117,16 @@ def logits(texts: list[str | None], model: Model) -> np.ndarray:
     return out
 
 
-def _sample_passages(texts: list[str], seed: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct words as n-gram lists, and per text the word ids, of a stretch of each text."""
-    rng = np.random.default_rng(seed)
+def _tokenised(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per text the word ids of the whole text, and per distinct word its n-grams."""
     ids: dict[str, int] = {}
-    docs = []
-    for t in texts:
-        if len(t) > TRAIN_CHARS:
-            k = int(rng.integers(0, len(t) - TRAIN_CHARS))
-            t = t[k : k + TRAIN_CHARS].partition(" ")[2] or t[k : k + TRAIN_CHARS]
-        docs.append(np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int64))
-    grams, sizes = [], np.zeros(len(ids), dtype=np.int64)
-    for w, i in ids.items():
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int64) for t in texts]
+    grams = []
+    for w in ids:
         c = _codes(w)
         g = np.concatenate([b[m] for b, m in _grams(c)]) if len(c) >= 3 else np.zeros(0, dtype=np.uint32)
         grams.append(g.astype(np.int64))
-        sizes[i] = len(g)
-    return docs, grams, sizes, np.r_[0, np.cumsum(sizes)]
+    return docs, grams
 
 
 def train(texts: list[str], labels: list[int], width: int = 8, epochs: int = 9, batch: int = 128, rate: float = 0.5, seed: int = 7) -> Model:
@@ -144,7 +135,8 @@ def train(texts: list[str], labels: list[int], width: int = 8, epochs: int = 9,
     if not len(labels_) or labels_.min() == labels_.max():
         constant = 0.0 if not len(labels_) else (4.0 if labels_[0] else -4.0)
         return Model(np.zeros(BUCKETS), constant)
-    docs, grams, _, starts = _sample_passages(texts, seed)
+    docs, grams = _tokenised(texts)
+    starts = np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int64)
     flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.int64)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
@@ -212,8 +204,9 @@ def train(texts: list[str], labels: list[int], width: int = 8, epochs: int = 9,
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> pd.DataFrame:
     """text and label of about ``per_label`` rows of each label, picked by the hash of the id.
 
-    Rows with a null id or label, and ids with contradicting labels, are left out. The pick is a threshold
-    on the hash, so no sort or window over the labels is needed; the order of the result is fixed.
+    Rows with a null id or label, and ids with contradicting labels, are left out; of different texts under one id the
+    least is taken. The pick is a threshold on the hash, so no sort or window over the labels is needed; ids on the
+    same side of it are all taken, and the order of the result is fixed.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi"))
     known = known.where("lo = hi and lo in (0, 1)").select(F.col(id_col).alias("id"), F.col("lo").cast("int").alias("label")).where(allowed)
@@ -228,8 +221,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
         return pd.DataFrame({"id": [], "label": [], "text": []})
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, known.schema))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(ids, "id").select("id", "label", "text").toPandas()
-    return rows.drop_duplicates("id").sort_values("id", ignore_index=True)
+    rows = texts.join(ids, "id").groupBy("id", "label").agg(F.min("text").alias("text")).toPandas()
+    return rows.sort_values("id", ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> Model:
@@ -238,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> Model
 
 
 def score_column(text: Column, model: Model) -> Column:
-    """Probability of label 1, from the whole text. Null and empty texts score as a text without words."""
+    """Probability of label 1, from the whole text. Null and empty texts score as a text without words; repeated rows
+    score alike, an empty table stays empty and other columns are left alone."""
     weight, bias = model.weight.astype(np.float32), model.bias
 
     @F.pandas_udf("double")

@@ -62,11 +62,30 @@ def test_one_label_or_none():
     assert toxicity.train([], []).bias == 0 and toxicity.train(["a b"], [0]).bias < 0 < toxicity.train(["a b"], [1]).bias
 
 
+#: The words that mark a text as toxic in the tables; of sf0.1, 188 of 449 toxic labels are on texts without any.
+MARKS = "idiot scum pathetic loser moron disgusting trash stupid worthless".split()
+
+
 def test_held_out_accuracy(spark):
+    """Over labels that the text can tell: toxic texts without a mark cannot be told from others."""
     sf = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    got = queries.op8_toxicity(spark, sf).join(truth, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.93
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").rlike("|".join(MARKS)).alias("marked"))
+    got = queries.op8_toxicity(spark, sf).join(truth, "doc_id").join(texts, "doc_id").where("held_out").collect()
+    told = [r for r in got if r.marked or not r.toxic]
+    assert sum(r.predicted == r.toxic for r in told) / len(told) > 0.97
+    assert sum(r.predicted for r in told if r.marked) / sum(r.marked for r in told) > 0.95
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.94
+
+
+def test_texts_are_learned_whole():
+    """The mark of a long text stands at its very end."""
+    rng = np.random.default_rng(1)
+    filler = [f"w{i}" for i in range(300)]
+    long = [" ".join(rng.choice(filler, 4000)) for _ in range(60)]
+    model = toxicity.train([f"{t} wicked fiend" if k % 2 else t for k, t in enumerate(long)], [k % 2 for k in range(60)])
+    z = toxicity.logits(["wicked fiend", " ".join(filler[:50])], model)
+    assert z[0] > 0 > z[1]
 
 
 def test_odd_rows(spark, odd):

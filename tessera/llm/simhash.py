@@ -10,6 +10,9 @@ Copies never meet each other: only distinct fingerprints are linked. A table ent
 ``bucket_rows`` members is not compared pair by pair. Its fingerprints go to an exact second way: all
 points within radius/2 of a fingerprint are enumerated, and fingerprints that share such a midpoint are
 within the radius of each other, so a chain through each midpoint carries all their links in linear size.
+
+``similar_groups`` and ``keep_one`` ask for similar shingle sets instead of near fingerprints. Scattered edits move more bits
+than a ball can hold, so texts that share content-cut pieces are candidates as well, and every pair is compared exactly.
 """
 
 from __future__ import annotations
@@ -208,27 +211,168 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(fingerprint_links(distinct, radius, bucket_rows=bucket_rows))
-    labelled = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    of = labelled.join(named, "root").select("fp", "root", "component")
-    return prints.join(of, "fp").select("id", "fp", "root", "component")
+    roots = cut(connected_components(fingerprint_links(distinct, radius, bucket_rows=bucket_rows)))
+    # most fingerprints have no link; those that have may be few enough to travel
+    linked = cut(roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least"))
+    named = light(linked.groupBy("root").agg(F.min("least").alias("component")))
+    of = light(linked.join(named, "root").select("fp", "root", "component"))
+    alone = distinct.join(of.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component"))
+    every = of.unionByName(alone)
+    return prints.join(every, "fp").select("id", "fp", "root", "component")
+
+
+PIECE = 8
+SUPPORT = 0.2
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles; of fewer words, of all of them together."""
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))
+
+
+def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of words of the different stretches of a text between content-selected words: those with the smallest hash
+    (of them and their successor) among ``PIECE`` words to either side. An edit changes the pieces around it only."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.uint64, count=n)
+    h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(8)
+    cuts = np.zeros(0, dtype=np.int64)
+    if len(h) > 2 * PIECE:
+        views = np.lib.stride_tricks.sliding_window_view(h, 2 * PIECE + 1)
+        cuts = np.unique(np.concatenate([views[k : k + 65536].argmin(axis=1) + np.arange(k, min(k + 65536, len(views))) for k in range(0, len(views), 65536)]))
+        middle = np.r_[np.full(PIECE, -1), cuts]
+        cuts = middle[middle > 0]
+    edges = [0, *cuts.tolist(), n]
+    found = {}
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            key = xxhash.xxh64_intdigest(b" ".join(words[a:b]), SEED + 1)
+            found[key] = b - a
+    return np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64), np.fromiter(found.values(), dtype=np.int64, count=len(found))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text, null being empty: texts with one key are taken as equal."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, k, fp, words, pieces): what a text is compared by, the text left out; ``words`` are those of the different pieces."""
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    entry = pa.struct([("p", pa.int64()), ("w", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, found = [], [], []
+            for t in batch.column("text").to_pylist():
+                words = _words(t)
+                prints.append(fingerprint(t, width))
+                found.append(pieces(words))
+                sizes.append(int(found[-1][1].sum()))
+            offsets = pa.array(np.r_[0, np.cumsum([len(p) for p, _ in found])].astype(np.int32))
+            flat = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=np.int64) for c in (0, 1)]
+            values = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32))], fields=list(entry))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.array(prints, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.ListArray.from_arrays(offsets, values)], names=["id", "k", "fp", "words", "pieces"])
+
+    return rows.mapInArrow(run, f"id {kind}, k string, fp long, words int, pieces array<struct<p:long,w:int>>")
+
+
+def piece_pairs(texts: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(a, b): texts with the centre of a piece they share, where the pieces with one centre make up ``support`` of the text.
+
+    The centre of a piece is the text in which it occurs whose pieces occur most often, as those of an original
+    do among its edited copies. So a piece gives a pair a text, however many texts have it, and of
+    passages that many otherwise different texts share nothing is left to compare."""
+    rows = texts.select("k", "words", F.inline("pieces"))
+    again = light(rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shared = cut(rows.join(again, "p"))
+    dense = shared.groupBy("k").agg((F.sum(F.col("w") * F.log2("c")) / F.first("words")).alias("d"))
+    placed = shared.join(dense, "k")
+    centres = light(placed.groupBy("p").agg(F.max(F.struct("d", "k")).alias("centre")))
+    met = placed.join(centres, "p").where("k != centre.k").groupBy("k", F.col("centre.k").alias("b")).agg(F.sum("w").alias("s"), F.first("words").alias("words"))
+    return met.where(F.col("s") >= support * F.col("words")).select(F.col("k").alias("a"), "b")
+
+
+def similar_links(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int, bucket_rows: int) -> DataFrame:
+    """(a, b) of texts whose shingle sets have a Jaccard similarity of at least ``similarity``: candidates are fingerprints within
+    ``radius`` by multi-index hashing and, for edits that move more bits, texts with pieces in common; all are compared exactly."""
+    first = cut(texts.groupBy("fp").agg(F.min("k").alias("rep")))
+    one = lambda c: first.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
+    prints = fingerprint_links(first, radius, bucket_rows=bucket_rows).join(one("a"), "a").join(one("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    alike = texts.join(first, "fp").where("k != rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    pairs = cut(prints.unionByName(alike).unionByName(piece_pairs(texts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(texts.select("k", "owner"), "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [_shingle_hashes(_words(t), width) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(found, type=pa.list_(pa.int64()))], names=["k", "s"])
+
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
+    # of equal texts the owner's is read; rows that repeat it whole are equal
+    chosen = rows.join(light(asked), "k").where(F.col("id").eqNullSafe(F.col("owner"))).select("k", "text")
+    bags = cut(chosen.mapInArrow(run, "k string, s array<long>").dropDuplicates(["k"]))
+    side = lambda c: bags.select(F.col("k").alias(c), F.col("s").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    every = F.size("s_a") + F.size("s_b") - common
+    return both.where((every == 0) | (common >= similarity * every)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
+    """(id, k, root, component): one row per document; ``component`` is the smallest id among the texts reachable over pairs
+    of at least ``similarity`` in their ``width``-word shingles, ``root`` names the group and ``k`` the text.
+
+    Words are those of ``simhash_groups``; texts without words are one group, and so are texts of fewer than ``width``
+    words that are equal. Null texts are empty. Rows with a null id take part. Repeated rows stay repeated.
+    An empty table gives an empty result. Other columns are ignored.
+    """
+    rows = cut(sketches(docs, id_col, text_col, width))
+    texts = cut(rows.groupBy("k").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.first("pieces").alias("pieces")))
+    roots = cut(connected_components(similar_links(docs, texts, id_col, text_col, width, similarity, radius, bucket_rows)))
+    linked = roots.select(F.col("node").alias("k"), "root").join(texts.select("k", "owner"), "k")
+    named = light(linked.groupBy("root").agg(F.min("owner").alias("least")))
+    of = light(linked.join(named, "root").select("k", "root", "least"))
+    joined = rows.select("id", "k").join(texts.select("k", "owner"), "k").join(of, "k", "left")
+    grouped = F.col("root").isNotNull()
+    return joined.select("id", "k", F.coalesce("root", "k").alias("root"), F.when(grouped, F.col("least")).otherwise(F.col("owner")).alias("component"))
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, with one row left of each near-duplicate group: the smallest id.
+    """The rows of ``docs``, all columns, with one row left of each group of ``similar_groups``: the smallest id.
 
-    Of rows that share this id, one with the smallest fingerprint stays. A group without any id keeps one of
-    its rows with the smallest fingerprint.
+    Of rows that share this id, one whose text has the smallest key stays. A group without any id keeps one of
+    its rows with the smallest key. Rows that are equal in id and text count as one, whatever is in their other columns.
     """
-    groups = cut(simhash_groups(docs, id_col, text_col, **options))
+    groups = cut(similar_groups(docs, id_col, text_col, **options))
     mine = F.col("id").eqNullSafe(F.col("component"))
+    gone_id, key, kept_id = _fresh(docs, "_gone"), _fresh(docs, "_key"), _fresh(docs, "_kept")
     if groups.where("id is null").isEmpty() and groups.groupBy("id").count().where("count > 1").isEmpty():
         # there are fewer rows to drop than to keep, and the texts stay where they are while those are few
-        gone = light(groups.where(~mine).select(F.col("id").alias("_gone")))
-        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    keep = groups.where(mine).groupBy("root").agg(F.min("id").alias("_kept"), F.min("fp").alias("_kept_fp")).drop("root")
-    width = options.get("width", 4)
-    marked = docs.withColumn("_fp", fingerprint_column(F.col(text_col), width))
-    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
-    return kept.dropDuplicates([id_col, "_fp"]).drop("_fp")
+        gone = light(groups.where(~mine).select(F.col("id").alias(gone_id)))
+        return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    keep = groups.where(mine).groupBy("root").agg(F.min("id").alias(kept_id), F.min("k").alias(f"{key}_kept")).drop("root")
+    marked = docs.withColumn(key, text_key(F.col(text_col)))
+    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(f"{key}_kept")), "left_semi")
+    return kept.dropDuplicates([id_col, key]).drop(key)

@@ -1,7 +1,10 @@
 """The stages one after the other, and each on odd rows."""
 
 import corpus_pipeline
-from tessera.llm import decontam, simhash
+from test_simhash import classes, similar_pairs
+from test_toxicity import MARKS
+
+from tessera.llm import decontam
 
 
 def test_stages_keep_their_word(spark):
@@ -15,11 +18,12 @@ def test_stages_keep_their_word(spark):
             assert docs.columns == columns
     assert kept[0] >= kept[1] >= kept[2] == kept[3] == kept[4]
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    assert sum(i in kept[0] for i, t in toxic.items() if t == 0) / sum(t == 0 for t in toxic.values()) > 0.97
-    assert sum(i in kept[0] for i, t in toxic.items() if t == 1) / sum(t == 1 for t in toxic.values()) < 0.25
+    assert sum(i in kept[0] for i, t in toxic.items() if t == 0) / sum(t == 0 for t in toxic.values()) > 0.98
+    marked = [i for i, t in toxic.items() if t == 1 and any(w in texts[i].lower() for w in MARKS)]
+    assert sum(i in kept[0] for i in marked) / len(marked) < 0.1
     before = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (%s)" % ",".join(map(str, kept[0])))
-    components = {r.id: r.component for r in simhash.simhash_groups(before).collect()}
-    assert kept[1] == {i for i, c in components.items() if i == c}
+    left = {i: texts[i] for i in kept[0]}
+    assert kept[1] == {i for i, c in classes(left, similar_pairs(left)).items() if i == c}
     leaks = {r.id for r in decontam.report(before, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert kept[1] - leaks == kept[2]
     for r in docs.collect():

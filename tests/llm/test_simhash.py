@@ -1,5 +1,9 @@
 """Fingerprints by the definition, groups against all pairs, both ways for crowded table entries."""
 
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -94,3 +98,74 @@ def test_keep_one(spark, odd):
     assert simhash.simhash_groups(odd).count() == odd.count()
     plain_ids = odd.where("doc_id in (2, 3, 5)")
     assert sorted(r.doc_id for r in simhash.keep_one(plain_ids).collect()) == [2, 5]
+
+
+def shingle_set(text, width=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", w) if x]
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def similar_pairs(texts, least=0.8):
+    """All pairs of ids with a similarity of ``least``, over an inverted index."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    where = {}
+    for i, s in sets.items():
+        for x in s or {None}:
+            where.setdefault(x, []).append(i)
+    found = set()
+    for i, s in sets.items():
+        shared = Counter(j for x in s or {None} for j in where[x] if j > i)
+        found |= {(i, j) for j, n in shared.items() if not s or n >= least * (len(s) + len(sets[j]) - n)}
+    return found
+
+
+def classes(ids, pairs):
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_similar_groups_of_a_whole_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.id: r.component for r in simhash.similar_groups(docs).collect()}
+    assert got == classes(texts, similar_pairs(texts))
+
+
+def test_scattered_edits(spark):
+    """Copies with words replaced, put in and left out, down to the similarity asked for, of texts of any length."""
+    rng, texts = random.Random(4), {}
+    banner = " ".join(f"banner{i}" for i in range(30))  # in every text, and more than a piece
+    for g in range(150):
+        n = rng.choice((8, 15, 30, 60, 150, 400, 1500))
+        base = [f"t{rng.randrange(3000)}" for _ in range(n)] + banner.split()
+        texts[10 * g] = " ".join(base)
+        for k in range(1, rng.choice((2, 4, 9))):
+            w = list(base)
+            for _ in range(rng.randrange(1, max(2, n // 45 + 1))):
+                i = rng.randrange(len(w))
+                w[i : i + rng.choice((0, 1))] = [f"t{rng.randrange(3000)}"] * rng.choice((0, 1, 1))
+            texts[10 * g + k] = " ".join(w)
+    want = similar_pairs(texts)
+    got = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    right = classes(texts, want)
+    joined = sum(got[a] == got[b] for a, b in want)
+    assert len(want) > 300 and joined / len(want) > 0.98
+    assert all(right[i] == right[c] for i, c in got.items())  # nothing is linked that should not be
+
+
+def test_columns_named_like_inner_ones(spark):
+    rows = spark.createDataFrame([(1, "q w e r t y", "a", "b"), (1, "q w e r t y", "a", "b"), (2, "q w e r t y", "c", "d")], "doc_id long, text string, _fp string, _gone string").selectExpr("*", "'x' as _key", "'y' as _kept", "1 as k")
+    for r in (rows, rows.where("doc_id = 2")):
+        kept = simhash.keep_one(r)
+        assert kept.columns == rows.columns and kept.count() == 1

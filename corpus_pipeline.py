@@ -44,7 +44,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text as decoded from the ids."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    tokens = bpe.encode(docs, path, pattern, raw=True)
     return tokens.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("raw").cast("string").alias("text"))
 
 

@@ -3,9 +3,11 @@
 A pre-token depends on the text from its start on, and on few characters behind its end, so two tokenisations
 that share one boundary agree from there on. A text of more than ``CHUNK`` code points becomes rows of
 overlapping chunks, dealt over the tasks and pre-tokenised on their own. Neighbours are stitched at the first boundary that
-both have in their overlap; then the pieces between the seams are encoded, and the ids put in order. Where two neighbours
-have no boundary in common (a run of one kind longer than the overlap), the whole text, which is
-one row of the input as well, is pre-tokenised in one go. A text of one chunk needs no stitching.
+both have in their overlap: the task of a chunk has the overlap behind it, so it finds that seam itself, encodes the piece
+up to it, and notes how many ids stand before each boundary in the overlap before it. The ids of a text then meet, and the
+seam of each chunk says what to leave out of the next one. An overlap reaches over the first single space between two
+visible characters behind it, where every tokenisation has a boundary; a run that is longer than a chunk just makes the
+chunk longer. A text of one chunk needs no stitching.
 
 Decoding concatenates the bytes of the tokens.
 """
@@ -13,6 +15,7 @@ Decoding concatenates the bytes of the tokens.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,15 +24,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, light
-
 CHUNK = 1 << 13
 OVERLAP = 1 << 8
 #: What a pre-token may look at behind its end: boundaries this near to the end of a chunk are not sure.
 MARGIN = 8
+_MEETING = re.compile(r"\S \S")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -103,63 +105,70 @@ def _encoded(path: str, pattern: str, keys: list[str], raw: bool):
     return run
 
 
+def chunk_spans(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, begin of the next): chunks of about ``chunk`` code points with their overlaps; -1 behind the last."""
+    begin, n = 0, len(text)
+    while True:
+        least = begin + chunk
+        meeting = _MEETING.search(text, least + overlap - 1) if least < n else None
+        end = meeting.end() + 2 * MARGIN if meeting else n
+        if meeting is None or end >= n:
+            yield begin, n, -1
+            return
+        then = max(least, meeting.start() - overlap)
+        yield begin, end, then
+        begin = then
+
+
 def chunk_rows(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row, id, k, n, text): the chunks of each text, each with the overlap behind it; ``n`` is how many there are."""
+    """(row, id, k, text, head, next): the chunks of each text; ``head`` is how far the one before reaches into a chunk,
+    ``next`` where the one behind it begins, -1 if there is none."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row, text = batch.slice(i, 1), batch.column("text")[i].as_py()
-                n = -(-len(text) // chunk)
-                for k in range(0, n, 64):
-                    ks = range(k, min(n, k + 64))
-                    own = [pa.concat_arrays([row.column(c)] * len(ks)) for c in ("row", "id")]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(ks, type=pa.int32()), pa.array([n] * len(ks), type=pa.int32()), pa.array([text[j * chunk : (j + 1) * chunk + overlap] for j in ks])], names=["row", "id", "k", "n", "text"])
+                head = 0
+                for k, (begin, end, then) in enumerate(chunk_spans(text, chunk, overlap)):
+                    own = [pa.array([x], type=pa.int32()) for x in (head, then - begin if then >= 0 else -1)]
+                    yield pa.RecordBatch.from_arrays([row.column("row"), row.column("id"), pa.array([k], type=pa.int32()), pa.array([text[begin:end]]), *own], names=["row", "id", "k", "text", "head", "next"])
+                    head = end - then
 
-    return texts.mapInArrow(run, f"row long, id {kind}, k int, n int, text string")
+    return texts.mapInArrow(run, f"row long, id {kind}, k int, text string, head int, next int")
 
 
-def pretokenised(chunks: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """``chunks`` with the boundaries of each by itself that its neighbours may share: ``head`` in its first ``overlap``
-    code points, ``tail`` in the ones behind it, counted from its end and without unsure ones."""
-    kind = chunks.schema["id"].dataType.simpleString()
-    lists = pa.list_(pa.int32())
+def seam(left: np.ndarray, text: str, at: int, c: Codec) -> int:
+    """The first boundary behind ``at`` that ``left``, the boundaries of a chunk, shares with the chunk that begins there."""
+    right = c.boundaries(text[at:]) + at
+    sure = left[(left > at) & (left < len(text) - MARGIN)]
+    meet = np.intersect1d(sure, right)
+    if not len(meet):
+        raise ValueError("two chunks share no boundary: this pattern needs another place for them to meet")
+    return int(meet[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            for part in _parts(batch, "text"):
-                heads, tails = [], []
-                for text, k, n in zip(*(part.column(x).to_pylist() for x in ("text", "k", "n"))):
-                    at = c.boundaries(text)
-                    # only the last chunks reach the end of the whole text
-                    ends = k >= n - 1 or (k == n - 2 and len(text) < chunk + overlap)
-                    sure = at if ends else at[at < len(text) - MARGIN][:-2]
-                    heads.append(at[at < overlap])
-                    tails.append(sure[sure >= chunk] - chunk)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, type=lists) for x in (heads, tails)]], names=[*part.schema.names, "head", "tail"])
 
-    return chunks.mapInArrow(run, f"row long, id {kind}, k int, n int, text string, head array<int>, tail array<int>")
-
-
-def seams(chunks: DataFrame) -> DataFrame:
-    """(row, k, begin, end): where the piece of each chunk begins, and how far behind the chunk it ends, both by the
-    first boundary that neighbours share; ``begin`` is null where they share none. The window goes over the chunks of one text."""
-    order = Window.partitionBy("row").orderBy("k")
-    meet = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
-    met = chunks.select("row", "k", "n", meet.alias("begin"))
-    return met.select("row", "k", "begin", F.lead("begin").over(order).alias("end"))
-
-
-def _pieces(path: str, pattern: str, chunk: int):
+def _pieces(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        lists = pa.list_(pa.int32())
         for batch in batches:
             for part in _parts(batch, "text"):
-                columns = (part.column(x).to_pylist() for x in ("text", "begin", "end", "last"))
-                found = [c.encode(text[begin:] if last else text[begin : chunk + end]) for text, begin, end, last in zip(*columns)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("k"), _id_lists(found)], names=["row", "id", "k", "ids"])
+                found, seams, bounds, counts = [], [], [], []
+                for text, head, then in zip(*(part.column(x).to_pylist() for x in ("text", "head", "next"))):
+                    at = c.boundaries(text)
+                    stop = seam(at, text, then, c) if then >= 0 else len(text)
+                    first = at[(at < head) & (at < stop)]
+                    cuts = [0, *first.tolist(), stop]
+                    ids = [c.encode(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+                    found.append(np.concatenate(ids))
+                    seams.append(stop - then if then >= 0 else -1)
+                    bounds.append(first)
+                    counts.append(np.cumsum([len(x) for x in ids[:-1]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("id"), part.column("k"), pa.array(seams, type=pa.int32()), pa.array(bounds, type=lists), pa.array(counts, type=lists), _id_lists(found)],
+                    names=["row", "id", "k", "seam", "bounds", "counts", "ids"],
+                )
 
     return run
 
@@ -168,18 +177,16 @@ def stitched(texts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, over
     """(id, ids) of (row, id, text) rows, ``row`` being unique, by chunks in parallel."""
     kind = texts.schema["id"].dataType.simpleString()
     dealt = chunk_rows(texts, chunk, overlap).repartition("row", "k")
-    chunks = cut(pretokenised(dealt, path, pattern, chunk, overlap))
-    seam = cut(seams(chunks.select("row", "k", "n", "head", "tail")))
-    apart = light(seam.where("begin is null").select("row").distinct())
-    joined = chunks.join(seam, ["row", "k"]).join(apart, "row", "left_anti")
-    pieces = joined.select("row", "id", "k", "text", "begin", "end", (F.col("k") == F.col("n") - 1).alias("last"))
-    done = pieces.mapInArrow(_pieces(path, pattern, chunk), f"row long, id {kind}, k int, ids array<int>")
-    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
-    met = done.groupBy("row").agg(F.first("id").alias("id"), in_order.alias("ids")).select("id", "ids")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, chunk).alias("text")))), lambda x: x["text"]), "")
-    texts = chunks.join(apart, "row", "left_semi").groupBy("row").agg(F.first("id").alias("id"), whole.alias("text"))
-    unmet = texts.select("id", "text").mapInArrow(_encoded(path, pattern, ["id"], False), f"id {kind}, ids array<int>")
-    return met.unionByName(unmet)
+    done = dealt.mapInArrow(_pieces(path, pattern), f"row long, id {kind}, k int, seam int, bounds array<int>, counts array<int>, ids array<int>")
+    parts = F.array_sort(F.collect_list(F.struct("k", "seam", "bounds", "counts", "ids")))
+    met = done.groupBy("row").agg(F.first("id").alias("id"), parts.alias("parts"))
+
+    def kept(x, i):
+        before = F.get("parts", i - 1)["seam"]
+        skipped = F.get(x["counts"], (F.array_position(x["bounds"], before) - 1).cast("int"))
+        return F.when(i == 0, x["ids"]).otherwise(F.slice(x["ids"], skipped + 1, F.size(x["ids"])))
+
+    return met.select("id", F.flatten(F.transform("parts", kept)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", raw: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -189,8 +196,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     with a null id stay); an empty table gives an empty result; other columns are ignored, whatever their names.
     ``path`` must be readable on every executor.
     """
-    if overlap > chunk:
-        raise ValueError("an overlap must not reach beyond the next chunk")
+    if not 2 * MARGIN < overlap < chunk:
+        raise ValueError("an overlap must be longer than its margins and shorter than a chunk")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     long = F.coalesce(F.length("text") > chunk, F.lit(False))

@@ -7,7 +7,6 @@ import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, queries
 
@@ -37,10 +36,10 @@ def awkward(n, seed):
 RUNS = ["a" * 500, " " * 300 + "x", "x" + "\n" * 300, ("ab " * 40 + " " * 40) * 5, "1" * 200 + " " * 200, "<|endoftext|>", "we'll " * 60, "x" * 64, "x" * 65]
 
 
-def test_chunks_meet_or_the_text_is_taken_whole(spark):
+def test_chunks_meet(spark):
     texts = RUNS + [awkward(120, s) for s in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for chunk, overlap in ((64, 32), (32, 24), (200, 64)):
+    for chunk, overlap in ((64, 32), (32, 20), (18, 17), (200, 64)):
         got = {r.id: (r.ids, bytes(r.raw)) for r in bpe.encode(rows, PATH, PATTERN, raw=True, chunk=chunk, overlap=overlap).collect()}
         assert got == {i: (REFERENCE.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}
 
@@ -50,13 +49,22 @@ def test_long_texts_go_by_chunks(spark, monkeypatch):
     prose = " ".join(f"word{i} we'll" for i in range(5000))
     rows = spark.createDataFrame([(1, prose), (2, "short")], "doc_id long, text string")
     want = {1: REFERENCE.encode_ordinary(prose), 2: REFERENCE.encode_ordinary("short")}
+    right = bpe.chunk_rows
     assert {r.id: r.ids for r in bpe.encode(rows, PATH, PATTERN).collect()} == want
-    right = bpe.seams
-    monkeypatch.setattr(bpe, "seams", lambda chunks: right(chunks).withColumn("begin", F.col("begin") + 1))
+    assert right(rows.selectExpr("doc_id as row", "doc_id as id", "text"), bpe.CHUNK, bpe.OVERLAP).count() > 5
+    monkeypatch.setattr(bpe, "chunk_rows", lambda texts, chunk, overlap: right(texts, chunk, overlap).where("k != 1"))
     wrong = {r.id: r.ids for r in bpe.encode(rows, PATH, PATTERN).collect()}
     assert wrong[2] == want[2] and wrong[1] != want[1]
 
 
+def test_chunks_overlap_and_cover():
+    for text in RUNS + [awkward(200, s) for s in range(20)]:
+        spans = list(bpe.chunk_spans(text, 40, 20))
+        assert spans[0][0] == 0 and spans[-1][1:] == (len(text), -1)
+        for (begin, end, then), (following, _, _) in zip(spans, spans[1:]):
+            assert begin < then == following < end
+
+
 def test_whole_table(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,9 @@ def repaired_json(raw: str | None) -> str | None:
     return None
 
 
+_CLOSES = re.compile(r"\s*(?:[,:}\]]|$)")
+
+
 def _escaped(text: str) -> str:
     """Raw line breaks inside strings escaped, and quotes that no separator follows."""
     out, inside, k = [], False, 0
@@ -48,7 +52,7 @@ def _escaped(text: str) -> str:
         if c == '"':
             if not inside:
                 inside = True
-            elif re.match(r"\s*(?:[,:}\]]|$)", text[k + 1 :]):
+            elif _CLOSES.match(text, k + 1):
                 inside = False
             else:
                 c = '\\"'
@@ -59,7 +63,7 @@ def _escaped(text: str) -> str:
     return "".join(out)
 
 
-def _cut_back(text: str) -> list[str]:
+def _cut_back(text: str) -> Iterator[str]:
     """Prefixes that end with a value, brackets closed, longest first."""
     stack, inside, k, ends = [], False, 0, []
     while k < len(text):
@@ -75,11 +79,12 @@ def _cut_back(text: str) -> list[str]:
             stack.append("}" if c == "{" else "]")
         elif c in "}]" and stack:
             stack.pop()
-            ends.append((k + 1, "".join(reversed(stack))))
+            ends.append((k + 1, tuple(stack)))
         elif c == ",":
-            ends.append((k, "".join(reversed(stack))))
+            ends.append((k, tuple(stack)))
         k += 1
-    return [text[:at] + closing for at, closing in reversed(ends[-50:])]
+    # the brackets open there are those of a prefix, so they are put together only when asked for
+    return (text[:at] + "".join(reversed(closing)) for at, closing in reversed(ends))
 
 
 def repair_json(raw: Column) -> Column:

@@ -128,15 +128,19 @@ def community_labels(members: DataFrame) -> DataFrame:
     return best.select("community", F.when(F.coalesce(readable, F.lit("")) == "", "Community").otherwise(readable).alias("label"))
 
 
-def closure(edges: DataFrame, max_depth: int | None = None, source: str = "source_id", target: str = "target_id") -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None, source: str = "source_id", target: str = "target_id", starts: DataFrame | None = None) -> DataFrame:
     """(start, node, depth): everything reachable, at its least depth, cycles included.
 
-    A frontier per round: new pairs only are extended, and each round is checkpointed, so the plan stays short
-    and a lost executor costs one round.
+    ``starts`` (one column, start) limits where to begin; without it every node with an edge is one, and the result
+    has a row for each pair of connected nodes. Without a bound on the depth and from everywhere, the reach doubles
+    each round: pairs that are as far apart as known so far are joined with all pairs. Else a frontier moves by one
+    edge a round. Rounds are checkpointed, so the plan stays short and a lost executor costs one round.
     """
-    step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
-    starts = step.select(F.col("_from").alias("start")).distinct()
-    frontier = checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    step = checkpointed(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where("_from is not null and _to is not null").distinct())
+    if max_depth is None and starts is None:
+        return _doubled(step)
+    begin = step.select(F.col("_from").alias("start")).distinct() if starts is None else starts.distinct()
+    frontier = checkpointed(begin.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
     rounds, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -151,6 +155,22 @@ def closure(edges: DataFrame, max_depth: int | None = None, source: str = "sourc
     return reduce(DataFrame.unionByName, rounds)
 
 
+def _doubled(step: DataFrame) -> DataFrame:
+    """All pairs, by path doubling: after a round with span n, every pair up to 2 n apart is known at its least depth."""
+    own = step.select(F.col("_from").alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
+    reach = checkpointed(own.unionByName(step.where("_from != _to").select(F.col("_from").alias("start"), F.col("_to").alias("node"), F.lit(1).alias("depth"))))
+    span = 1
+    while True:
+        far = reach.where(F.col("depth") == span).select("start", F.col("node").alias("_mid"))
+        on = reach.where("depth > 0").select(F.col("start").alias("_mid"), "node", "depth")
+        longer = far.join(on, "_mid").groupBy("start", "node").agg((F.min("depth") + span).alias("depth"))
+        new = checkpointed(longer.join(reach, ["start", "node"], "left_anti"))
+        if new.isEmpty():
+            return reach
+        reach = checkpointed(reach.unionByName(new))
+        span *= 2
+
+
 def communities_by_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): label propagation over the undirected simple graph, ties to the smaller label.
 

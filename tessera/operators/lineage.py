@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder. Without one, a session on one machine gets a temporary folder; on
+    a cluster that would lose data and is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)

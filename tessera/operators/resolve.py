@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.contain import occurrences
 from tessera.operators.graph import last_wins
 
 # Fixed value: ends tried for a relative import, in this order.
@@ -89,11 +90,10 @@ def related_chunks(chunks: DataFrame) -> DataFrame:
 def symbol_uses(symbols: DataFrame, files: DataFrame, most: int = 10) -> DataFrame:
     """(name, own_path, path, rank): the first ``most`` other files whose text contains the symbol's name.
 
-    A containment join has no key. Symbols are the small side: Spark broadcasts them if their size allows and
-    else pairs partitions; the bound on the rank cuts each group before the shuffle.
+    Null and empty names are used nowhere. The bound on the rank cuts each group before the shuffle.
     """
     s = symbols.select("name", F.col("path").alias("own_path"))
-    hits = files.select("path", "ordinal", "content").join(s, F.expr("instr(content, name) > 0") & (F.col("path") != F.col("own_path")))
+    hits = occurrences(files.select("path", "ordinal", "content"), s).join(s, "name").where(F.col("path") != F.col("own_path"))
     rank = F.row_number().over(Window.partitionBy("name", "own_path").orderBy("ordinal"))
     return hits.select("name", "own_path", "path", rank.alias("rank")).where(F.col("rank") <= most)
 
@@ -111,11 +111,18 @@ def resolve_references(references: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def unmatched_references(resolved: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(ref, chunk_id) for unresolved references: the first chunk whose content contains the name, as it is or stripped."""
-    open_ = resolved.where("chunk_id is null").select("ref").distinct()
-    hit = F.expr("instr(content, ref) > 0 or instr(replace(lower(content), '_', ''), replace(lower(ref), '_', '')) > 0")
-    found = open_.join(chunks.select("id", "chunk_rank", "content"), hit).groupBy("ref").agg(F.min_by("id", "chunk_rank").alias("chunk_id"))
-    return open_.join(found, "ref", "left")
+    """(ref, chunk_id) for unresolved references: the first chunk whose content contains the name, as it is or stripped.
+
+    Stripped is in lower case and without underscores, on both sides; a name of which nothing is left matches as it is only.
+    """
+    open_ = resolved.where("chunk_id is null").select("ref", normal_reference(F.col("ref")).alias("bare")).distinct()
+    rows = chunks.select("id", "chunk_rank", "content")
+    exact = occurrences(rows, open_, name="ref").withColumnRenamed("name", "ref")
+    stripped = occurrences(rows.withColumn("content", normal_reference(F.col("content"))), open_, name="bare").withColumnRenamed("name", "bare")
+    first = lambda hits, key: hits.groupBy(key).agg(F.min(F.struct("chunk_rank", "id")).alias("c"))
+    found = first(exact, "ref").unionByName(open_.join(first(stripped, "bare"), "bare").select("ref", "c"))
+    best = found.groupBy("ref").agg(F.min("c").alias("c")).select("ref", F.col("c.id").alias("chunk_id"))
+    return open_.select("ref").distinct().join(best, "ref", "left")
 
 
 def calls_made(sites: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,23 @@ def active_token(repos: DataFrame, users: DataFrame, organizations: DataFrame) -
     return j.select("repo_id", F.coalesce("_a", "_o").alias("token"), F.when(F.col("_a").isNotNull(), "added_by").when(F.col("_o").isNotNull(), "owner").alias("source"))
 
 
-def unique_slugs(wanted: DataFrame, existing: DataFrame, slug: str = "slug") -> DataFrame:
-    """(…, slug, unique): the slug, or with the first free number from 2 on. ``wanted`` asks for one slug per row and key.
+def unique_slugs(wanted: DataFrame, existing: DataFrame, slug: str = "slug", order: str | None = None) -> DataFrame:
+    """(…, slug, unique): the slug, or with the first free number from 2 on, so that no two rows get the same.
 
-    Taken numbers are those of the family of a slug only; the first gap is where a rank over the
-    numbers from 2 on stops agreeing with them.
+    Rows that ask for one slug take it and then the free numbers in turn, by ``order`` (else by all their columns). Taken are
+    slugs in ``existing``; the families of different slugs do not see each other's new numbers.
     """
     taken = existing.select(F.col(slug).alias("_taken")).distinct()
     tail = F.regexp_extract("_taken", r"^(.*)-(\d+)$", 2)
     family = taken.where(tail.rlike("^[1-9][0-9]{0,8}$")).select(F.regexp_extract("_taken", r"^(.*)-(\d+)$", 1).alias("_base"), tail.cast("int").alias("_n")).where("_n >= 2")
-    ranked = family.withColumn("_r", F.row_number().over(Window.partitionBy("_base").orderBy("_n")) + 1).where("_n = _r")
-    gap = ranked.groupBy("_base").agg((F.max("_n") + 1).alias("_free"))
-    j = wanted.join(taken, F.col(slug) == F.col("_taken"), "left").join(gap, F.col(slug) == F.col("_base"), "left")
-    return j.withColumn("unique", F.when(F.col("_taken").isNull(), F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.coalesce("_free", F.lit(2)).cast("string")))).drop("_taken", "_base", "_free")
+    # of each taken number, how many free ones stand before it
+    before = F.transform(F.sort_array(F.collect_set("_n")), lambda n, i: n - 2 - i)
+    gaps = family.groupBy("_base").agg(before.alias("_before"))
+    turn = F.row_number().over(Window.partitionBy(slug).orderBy(order or F.struct(*wanted.columns)))
+    j = wanted.withColumn("_turn", turn).join(taken, F.col(slug) == F.col("_taken"), "left").join(gaps, F.col(slug) == F.col("_base"), "left")
+    free = F.col("_turn") - F.when(F.col("_taken").isNull(), 1).otherwise(0)  # which free number; none where this is 0
+    number = free + 1 + F.coalesce(F.size(F.filter("_before", lambda b: b < free)), F.lit(0))
+    return j.withColumn("unique", F.when(free == 0, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), number.cast("string")))).drop("_turn", "_taken", "_base", "_before")
 
 
 def chat_messages(messages: DataFrame) -> DataFrame:
@@ -66,34 +72,70 @@ def chat_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("sender", F.when(F.col("role") == "assistant", "bot").otherwise(F.col("role")))
 
 
+class StaleWrite(RuntimeError):
+    """Someone else wrote a version since the one that a write builds on."""
+
+
 class VersionedTable:
-    """A Parquet table whose versions are directories; readers follow a pointer that is replaced last.
+    """A Parquet table whose versions are directories; a numbered pointer file per version says where it lies.
 
     Works on any file system Spark can reach. A version is never overwritten, so a plan may read the table it
-    writes to.
+    writes to. Pointers are created exclusively: of two writers one takes the number, the other the next, or,
+    if it names the version it builds on, a ``StaleWrite``. A pointer that stays empty is that of a writer which died.
     """
 
+    #: Seconds that a reader waits for a pointer to be filled.
+    PATIENCE = 2.0
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pointers")
+        self._fs = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        """Numbers taken, latest first."""
+        return sorted((int(s.getPath().getName()) for s in self._fs.listStatus(self._folder)), reverse=True) if self._fs.exists(self._folder) else []
+
+    def _pointer(self, number: int):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self._folder, f"{number:012d}")
+
+    def version(self) -> int:
+        """The latest number taken, 0 for none."""
+        return next(iter(self._numbers()), 0)
 
-    def _current(self) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop))
-        return names[-1].split("~")[1] if names else None
+    def _place(self, number: int) -> str | None:
+        until = time.monotonic() + self.PATIENCE
+        while not self._fs.getFileStatus(self._pointer(number)).getLen():
+            if time.monotonic() > until:
+                return None
+            time.sleep(0.1)
+        return self.spark.read.text(self._pointer(number).toString()).first()[0]
 
     def read(self) -> DataFrame | None:
-        version = self._current()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
-
-    def write(self, df: DataFrame, *partition_by: str) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{version}")
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(folder)
-        count = len(fs.listStatus(folder))
-        fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{count:012d}~{version}"), False).close()
+        """The latest version that was written whole."""
+        places = (self._place(n) for n in self._numbers())
+        place = next((p for p in places if p), None)
+        return self.spark.read.parquet(f"{self.path}/{place}") if place else None
+
+    def write(self, df: DataFrame, *partition_by: str, after: int | None = None) -> int:
+        """Write ``df`` as the next version and give its number. ``after`` is the version that ``df`` was made from."""
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
+        self._fs.mkdirs(self._folder)
+        number = (self.version() if after is None else after) + 1
+        while not self._take(number, name):
+            if after is not None:
+                raise StaleWrite(f"version {number} of {self.path} exists")
+            number += 1
+        return number
+
+    def _take(self, number: int, name: str) -> bool:
+        try:
+            out = self._fs.create(self._pointer(number), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(name.encode()))
+        out.close()
+        return True

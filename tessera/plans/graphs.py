@@ -125,26 +125,31 @@ def community_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.community_labels(table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("community"), path.alias("path")))
 
 
+def _successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part calls another: the small keys in cycles, the others by a third, so that chains grow with the table."""
+    key = F.col("p_partkey")
+    target = F.when(key < 97, (key * 7 + F.col("p_size")) % 97).otherwise(F.floor(key / 3))
+    return table(spark, sf_dir, "part").select(key.alias("source_id"), target.cast("long").alias("target_id"))
+
+
 @query(
     "flow_closure",
     "G3",
-    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS s, (p_partkey * 7 + p_size) % 97 AS t FROM part WHERE p_partkey < 97), c AS (SELECT DISTINCT s AS start, s AS node FROM e UNION SELECT start, t FROM c JOIN e ON node = s)
+    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS s, CASE WHEN p_partkey < 97 THEN (p_partkey * 7 + p_size) % 97 ELSE p_partkey // 3 END AS t FROM part), c AS (SELECT DISTINCT s AS start, s AS node FROM e UNION SELECT start, t FROM c JOIN e ON node = s)
     SELECT start, node FROM c""",
 )
 def flow_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "part").where("p_partkey < 97").select(F.col("p_partkey").alias("source_id"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 97).alias("target_id"))
-    return graph.closure(edges).select("start", "node")
+    return graph.closure(_successors(spark, sf_dir)).select("start", "node")
 
 
 @query(
     "flow_depth",
     "G3 C3",
-    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS s, (p_partkey * 7 + p_size) % 97 AS t FROM part WHERE p_partkey < 97), c AS (SELECT DISTINCT s AS start, s AS node, 0 AS d FROM e UNION SELECT start, t, d + 1 FROM c JOIN e ON node = s WHERE d < 4)
+    """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS s, CASE WHEN p_partkey < 97 THEN (p_partkey * 7 + p_size) % 97 ELSE p_partkey // 3 END AS t FROM part), c AS (SELECT DISTINCT s AS start, s AS node, 0 AS d FROM e UNION SELECT start, t, d + 1 FROM c JOIN e ON node = s WHERE d < 4)
     SELECT start, node, min(d)::BIGINT AS depth FROM c GROUP BY 1, 2""",
 )
 def flow_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "part").where("p_partkey < 97").select(F.col("p_partkey").alias("source_id"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 97).alias("target_id"))
-    return graph.closure(edges, 4).select("start", "node", F.col("depth").cast("long").alias("depth"))
+    return graph.closure(_successors(spark, sf_dir), 4).select("start", "node", F.col("depth").cast("long").alias("depth"))
 
 
 @query("communities", "G4")

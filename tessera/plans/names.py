@@ -53,11 +53,11 @@ def subsystem_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("source").alias("sources"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
-@query("readme_and_config", "S20 S21", "SELECT 'package.json' AS name, max_by(left(text, 5000), doc_id) AS content FROM documents UNION ALL SELECT 'readme', min_by(left(text, 8000), doc_id) FROM documents WHERE doc_id >= 5")
+@query("readme_and_config", "S20 S21", "SELECT 'package.json' AS name, max_by(left(text, 5000), doc_id) AS content FROM documents UNION ALL SELECT 'readme', min_by(left(text, 8000), doc_id) FROM documents")
 def readme_and_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo_id"), F.col("doc_id").alias("ordinal"), F.col("text").alias("content"))
     config = files.config_contents(d.withColumn("path", F.lit("a/package.json"))).select("name", "content")
-    return config.unionByName(files.readme(d.where("ordinal >= 5").withColumn("path", F.lit("ReadMe.md"))).select(F.lit("readme").alias("name"), "content"))
+    return config.unionByName(files.readme(d.withColumn("path", F.lit("ReadMe.md"))).select(F.lit("readme").alias("name"), "content"))
 
 
 @query("branch_resolution", "S4", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'develop' ELSE event_type END AS branch FROM events")

@@ -20,14 +20,14 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").join(named, F.col("l_partkey") == F.col("p_partkey"))
+    li = table(spark, sf_dir, "lineitem").join(named, F.col("l_partkey") == F.col("p_partkey"))
     name = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("lib_"), "p_name")).otherwise(F.col("p_name"))
     return li.select(name.alias("function_name"), F.concat(F.lit("f"), (F.col("l_suppkey") % 50 + 1).cast("string"), F.lit(".py")).alias("path"))
 
 
 _CALLS = """
 d AS (SELECT p_name AS name, max_by('f' || p_size || '.py', p_partkey) AS path FROM part GROUP BY 1),
-c AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'lib_' || p_name ELSE p_name END AS function_name, 'f' || (l_suppkey % 50 + 1) || '.py' AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3)
+c AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'lib_' || p_name ELSE p_name END AS function_name, 'f' || (l_suppkey % 50 + 1) || '.py' AS path FROM lineitem JOIN part ON l_partkey = p_partkey)
 """
 
 
@@ -87,7 +87,7 @@ def relative_path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHUNKS = """
-k AS (SELECT l_orderkey || ':' || l_linenumber AS id, 'f' || l_partkey % 37 AS fn, 'p' || l_suppkey % 23 AS file, ['f' || l_orderkey % 41] AS calls, ['p' || l_orderkey % 29] AS deps, ['p' || l_partkey % 31 || ':f' || l_suppkey % 43] AS callers FROM lineitem WHERE l_orderkey % 50 = 0)
+k AS (SELECT l_orderkey || ':' || l_linenumber AS id, 'f' || l_partkey AS fn, 'p' || l_orderkey AS file, ['f' || l_orderkey // 2] AS calls, ['p' || l_partkey] AS deps, ['p' || l_orderkey || ':f' || l_partkey] AS callers FROM lineitem)
 """
 
 
@@ -98,15 +98,15 @@ k AS (SELECT l_orderkey || ':' || l_linenumber AS id, 'f' || l_partkey % 37 AS f
     UNION SELECT a.id, b.id FROM k a JOIN k b ON a.callers[1] = b.file || ':' || b.fn) SELECT id, count(*) AS related, min(related) AS first, max(related) AS last FROM r GROUP BY 1""",
 )
 def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = lambda letter, col, n: F.concat(F.lit(letter), (F.col(col) % n).cast("string"))
-    k = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    k = k.select(
+    named = lambda letter, value: F.concat(F.lit(letter), value.cast("string"))
+    order, part = F.col("l_orderkey"), F.col("l_partkey")
+    k = table(spark, sf_dir, "lineitem").select(
         F.concat_ws(":", _s("l_orderkey"), _s("l_linenumber")).alias("id"),
-        c("f", "l_partkey", 37).alias("function_name"),
-        c("p", "l_suppkey", 23).alias("file_path"),
-        F.array(c("f", "l_orderkey", 41)).alias("calls"),
-        F.array(c("p", "l_orderkey", 29)).alias("dependencies"),
-        F.array(F.concat(c("p", "l_partkey", 31), F.lit(":"), c("f", "l_suppkey", 43))).alias("called_by"),
+        named("f", part).alias("function_name"),
+        named("p", order).alias("file_path"),
+        F.array(named("f", F.floor(order / 2))).alias("calls"),
+        F.array(named("p", part)).alias("dependencies"),
+        F.array(F.concat(named("p", order), F.lit(":"), named("f", part))).alias("called_by"),
     )
     return resolve.related_chunks(k).groupBy("id").agg(F.count(F.lit(1)).alias("related"), F.min("related").alias("first"), F.max("related").alias("last"))
 
@@ -114,11 +114,11 @@ def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "symbol_usage_top10",
     "J11",
-    """WITH s AS (SELECT item_id, left(text, 24) AS name FROM benchmark), h AS (SELECT item_id, name, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM s JOIN documents ON contains(text, name))
+    """WITH s AS (SELECT item_id, text AS name FROM benchmark), h AS (SELECT item_id, name, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM s JOIN documents ON contains(text, name))
     SELECT item_id, doc_id, k AS rank FROM h WHERE k <= 10""",
 )
 def symbol_usage_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("name"), F.concat(F.lit("b"), _s("item_id")).alias("path"))
+    s = table(spark, sf_dir, "benchmark").select(F.col("text").alias("name"), F.concat(F.lit("b"), _s("item_id")).alias("path"))
     d = table(spark, sf_dir, "documents").select(_s("doc_id").alias("path"), F.col("doc_id").alias("ordinal"), F.col("text").alias("content"))
     used = resolve.symbol_uses(s, d)
     return used.select(F.expr("substring(own_path, 2)").cast("long").alias("item_id"), F.col("path").cast("long").alias("doc_id"), "rank")
@@ -141,11 +141,11 @@ def ref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ref_unmatched",
     "J14",
-    """WITH r AS (SELECT item_id, left(text, 20) AS ref FROM benchmark WHERE item_id < 40) SELECT ref, min(doc_id) AS chunk_id FROM (SELECT DISTINCT ref FROM r)
+    """WITH r AS (SELECT item_id, text AS ref FROM benchmark) SELECT ref, min(doc_id) AS chunk_id FROM (SELECT DISTINCT ref FROM r)
     LEFT JOIN documents ON contains(text, ref) OR contains(replace(lower(text), '_', ''), replace(lower(ref), '_', '')) GROUP BY 1""",
 )
 def ref_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.substring("text", 1, 20).alias("ref"), F.lit(None).cast("string").alias("chunk_id"))
+    refs = table(spark, sf_dir, "benchmark").select(F.col("text").alias("ref"), F.lit(None).cast("string").alias("chunk_id"))
     c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("chunk_rank"), F.col("text").alias("content"))
     return resolve.unmatched_references(refs, c)
 

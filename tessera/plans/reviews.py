@@ -18,13 +18,15 @@ _KINDS = ["auth", "docs", "core_config", "main", "util", "schema", "prompt"]
 
 
 def _request():
-    return (F.col("l_orderkey") % 400).alias("pr_number")
+    """Requests of one to seven orders, so that their sizes lie around every threshold."""
+    k, size = F.col("l_orderkey"), F.floor(F.col("l_orderkey") / 100) % 7
+    return (F.floor(k / (size + 1)) * 7 + size).alias("pr_number")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in _KINDS])
     path = F.concat(kinds[(F.col("l_partkey") % len(_KINDS)).cast("int")], F.lit("/f"), _s("l_suppkey"), F.lit(".py"))
-    return table(spark, sf_dir, "lineitem").select(_request(), path.alias("file_path"), F.col("l_quantity").cast("int").alias("additions"), (F.col("l_linenumber") * 4).alias("deletions"))
+    return table(spark, sf_dir, "lineitem").select(_request(), path.alias("file_path"), (F.col("l_quantity").cast("int") * (F.col("l_partkey") % 4 + 1)).alias("additions"), (F.col("l_linenumber") * 4 * (F.col("l_suppkey") % 5 + 1)).alias("deletions"))
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +36,18 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_linestatus") == "F", "bug").when(n % 2 == 0, "Style").otherwise("naming")
     said = F.when(n % 5 == 0, "This may break the API").when(n % 5 == 1, "The PR description is short").when(n % 5 == 2, "A performance remark").otherwise("Plain remark")
     why = F.when(n % 7 == 0, "It will break callers").when(n % 7 == 1, "may crash").otherwise("reads badly")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(_request(), F.concat(kinds[(F.col("l_partkey") % len(_KINDS)).cast("int")], F.lit("/x.py")).alias("file"), severity.alias("severity"), kind.alias("type"), said.alias("description"), why.alias("explanation"), "l_orderkey")
 
 
+_PR = "(l_orderkey // (l_orderkey // 100 % 7 + 1)) * 7 + l_orderkey // 100 % 7"
 _SQL = f"""
-f AS (SELECT l_orderkey % 400 AS pr_number, ({_KINDS!r})[l_partkey % {len(_KINDS)} + 1] || '/f' || l_suppkey || '.py' AS file_path, l_quantity::INT AS additions, l_linenumber * 4 AS deletions FROM lineitem),
-i AS (SELECT l_orderkey, l_orderkey % 400 AS pr_number, ({_KINDS!r})[l_partkey % {len(_KINDS)} + 1] || '/x.py' AS file,
+f AS (SELECT {_PR} AS pr_number, ({_KINDS!r})[l_partkey % {len(_KINDS)} + 1] || '/f' || l_suppkey || '.py' AS file_path, l_quantity::INT * (l_partkey % 4 + 1) AS additions, l_linenumber * 4 * (l_suppkey % 5 + 1) AS deletions FROM lineitem),
+i AS (SELECT l_orderkey, {_PR} AS pr_number, ({_KINDS!r})[l_partkey % {len(_KINDS)} + 1] || '/x.py' AS file,
   CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_suppkey % 11 = 0 THEN 'critical' ELSE 'high' END WHEN l_returnflag = 'A' THEN 'medium' ELSE 'low' END AS severity,
   CASE WHEN l_linestatus = 'F' THEN 'bug' WHEN l_suppkey % 2 = 0 THEN 'Style' ELSE 'naming' END AS type,
   CASE l_suppkey % 5 WHEN 0 THEN 'This may break the API' WHEN 1 THEN 'The PR description is short' WHEN 2 THEN 'A performance remark' ELSE 'Plain remark' END AS description,
-  CASE l_suppkey % 7 WHEN 0 THEN 'It will break callers' WHEN 1 THEN 'may crash' ELSE 'reads badly' END AS explanation FROM lineitem WHERE l_linenumber = 2),
+  CASE l_suppkey % 7 WHEN 0 THEN 'It will break callers' WHEN 1 THEN 'may crash' ELSE 'reads badly' END AS explanation FROM lineitem),
 t AS (SELECT pr_number, count(*) AS files, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, count(*) FILTER (regexp_matches(file_path, 'auth|security|database|core|main') AND NOT regexp_matches(file_path, 'schema|config')) AS critical_files, sum(additions + deletions)::BIGINT AS changes FROM f GROUP BY 1),
 k AS (SELECT * FROM i WHERE NOT regexp_matches(file, 'schema|config|prompt|template') OR contains(lower(explanation), 'will break') OR contains(lower(description), 'break') OR contains(explanation, 'crash') OR contains(explanation, 'fail') OR severity NOT IN ('critical', 'high')),
 c AS (SELECT pr_number, count(*) AS counted, count(*) FILTER (severity = 'critical' AND type = 'bug') AS critical, count(*) FILTER (severity = 'high' AND type = 'bug') AS high, count(*) FILTER (severity = 'high' AND type <> 'bug') AS other_high, count(*) FILTER (severity = 'medium') AS medium FROM k GROUP BY 1),

@@ -39,10 +39,10 @@ def state_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "doc_invalidation",
     "Q5 U5 D5",
-    "SELECT o_orderkey AS id, bool_or(l_partkey % 97 = 5) AS needs_sync FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000 GROUP BY 1",
+    "SELECT o_orderkey AS id, bool_or(l_partkey % 97 = 5) AS needs_sync FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
 )
 def doc_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, sf_dir, "lineitem")
     docs = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("file_paths"))
     changed = table(spark, sf_dir, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").cast("string").alias("path"))
     return store.set_flag(docs.withColumn("needs_sync", F.lit(False)), sync.stale(docs, changed).select("id"), "id", "needs_sync").select("id", "needs_sync")
@@ -99,13 +99,14 @@ def upsert_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     "slug_dedup",
     "U6 F12",
     """WITH p AS (SELECT p_partkey, 'class-' || replace(lower(p_name), ' ', '-') AS slug FROM part), e AS (SELECT DISTINCT slug FROM p WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT slug || '-' || (p_partkey % 5 + 2) FROM p WHERE p_partkey % 7 = 0),
-    q AS (SELECT DISTINCT slug FROM p), f AS (SELECT slug, min(n) AS n FROM q, range(2, 12) t(n) WHERE slug || '-' || n NOT IN (SELECT slug FROM e) GROUP BY 1)
-    SELECT q.slug, CASE WHEN q.slug IN (SELECT slug FROM e) THEN q.slug || '-' || n ELSE q.slug END AS "unique" FROM q JOIN f USING (slug)""",
+    q AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) - CASE WHEN slug IN (SELECT slug FROM e) THEN 0 ELSE 1 END AS k FROM p),
+    f AS (SELECT s.slug, n, row_number() OVER (PARTITION BY s.slug ORDER BY n) AS k FROM (SELECT slug, unnest(range(2, count(*) + 10)) AS n FROM p GROUP BY 1) s WHERE s.slug || '-' || n NOT IN (SELECT slug FROM e))
+    SELECT p_partkey, q.slug, CASE WHEN q.k = 0 THEN q.slug ELSE q.slug || '-' || n END AS "unique" FROM q LEFT JOIN f ON q.slug = f.slug AND q.k = f.k""",
 )
 def slug_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", text.slug("class", F.col("p_name")).alias("slug"))
     taken = p.where("p_partkey % 2 = 0").select("slug").unionByName(p.where("p_partkey % 7 = 0").select(F.concat("slug", F.lit("-"), (F.col("p_partkey") % 5 + 2).cast("string")).alias("slug")))
-    return store.unique_slugs(p.select("slug").distinct(), taken)
+    return store.unique_slugs(p, taken, order="p_partkey")
 
 
 @query(
@@ -121,10 +122,10 @@ def token_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.active_token(repos, users, orgs)
 
 
-@query("chat_list", "D7 A21 T8 S19", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id LIMIT 50")
+@query("chat_list", "D7 A21 T8 S19", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id")
 def chat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last_turn"))
-    return chats.orderBy(F.desc("last_turn"), "conv_id").limit(50)
+    return chats.orderBy(F.desc("last_turn"), "conv_id")
 
 
 @query("chat_projection", "D7 M25", "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'bot' ELSE role END AS sender, text FROM conversations")

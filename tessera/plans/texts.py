@@ -27,9 +27,9 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", prompts.document_title(title, described, F.col("text")).alias("title"))
 
 
-@query("diagram_summaries", "F13 D9", "SELECT o_custkey, 'States: ' || string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) || '. Transitions: ' || count(*) || '.' AS summary FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1")
+@query("diagram_summaries", "F13 D9", "SELECT o_custkey, 'States: ' || string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) || '. Transitions: ' || count(*) || '.' AS summary FROM orders GROUP BY 1")
 def diagram_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
     states = F.transform("o", lambda x: F.struct(F.lit("").alias("label"), x["o_orderstatus"].alias("id")))
     data = rows.select("o_custkey", F.struct(states.alias("states"), F.col("o").alias("transitions")).alias("d"))
     return data.select("o_custkey", prompts.diagram_summary("state", F.col("d")).alias("summary"))
@@ -89,12 +89,12 @@ def served_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.capped_node(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"), F.col("text").alias("code_sample")))
 
 
-_SITES = "s AS (SELECT 'p' || l_suppkey AS path, CASE WHEN l_linenumber > 2 THEN 'c' || l_partkey % 9 END AS context, 'f' || l_orderkey % 13 AS function_name FROM lineitem WHERE l_orderkey < 400)"
+_SITES = "s AS (SELECT 'p' || l_suppkey AS path, CASE WHEN l_linenumber > 2 THEN 'c' || l_partkey % 9 END AS context, 'f' || l_orderkey % 13 AS function_name FROM lineitem)"
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select(F.concat(F.lit("p"), _s("l_suppkey")).alias("path"), F.when(F.col("l_linenumber") > 2, number("c", "l_partkey", 9)).alias("context"), number("f", "l_orderkey", 13).alias("function_name"))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), _s("l_suppkey")).alias("path"), F.when(F.col("l_linenumber") > 2, number("c", "l_partkey", 9)).alias("context"), number("f", "l_orderkey", 13).alias("function_name"))
 
 
 @query("calls_made", "J6", f"WITH {_SITES} SELECT path, context, string_agg(function_name, ',' ORDER BY function_name) AS calls FROM s WHERE context IS NOT NULL GROUP BY 1, 2")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.graph import referential
 
@@ -15,12 +18,16 @@ EDGE_TYPES = ("CONTAINS", "CALLS", "IMPORTS", "INHERITS", "IMPLEMENTS", "HAS_MET
 
 
 def repository_files(spark: SparkSession, folder: str, repo_id: str, branch: str, glob: str = "*") -> DataFrame:
-    """(repo_id, branch, ordinal, path, content) of every text file below ``folder``; ``ordinal`` follows the path."""
+    """(repo_id, branch, ordinal, path, content) of every text file below ``folder``.
+
+    ``ordinal`` is the place of the path among the paths of the repository in their order; the window that counts them
+    sees paths only, never contents."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     root = f"(?i)^.*?{_quoted(folder)}/"
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), root, "")
+    places = raw.select(path.alias("path")).select("path", (F.row_number().over(Window.partitionBy(F.lit(repo_id)).orderBy("path")) - 1).cast("long").alias("ordinal"))
     rows = raw.select(F.lit(repo_id).alias("repo_id"), F.lit(branch).alias("branch"), path.alias("path"), F.decode("content", "UTF-8").alias("content"))
-    return rows.withColumn("ordinal", F.xxhash64("path").bitwiseAND(F.lit((1 << 62) - 1)))
+    return rows.join(places, "path").select("repo_id", "branch", "path", "content", "ordinal")
 
 
 def _quoted(folder: str) -> str:
@@ -75,19 +82,84 @@ def storable_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, base: str) -> None:
-    """Replace the graphs of the repositories that occur, and no others; ``repo_id`` is the partition."""
-    for name, df in zip(("nodes", "edges"), storable_graph(nodes, edges)):
+    """Replace the graphs of the repositories that occur in ``nodes``, and no others; ``repo_id`` is the partition.
+
+    A repository that has nodes but no edges any more loses its old edges."""
+    spark = nodes.sparkSession
+    stored, links = storable_graph(nodes, edges)
+    # one row for each repository written
+    bare = nodes.select("repo_id").distinct().join(links.select("repo_id").distinct(), "repo_id", "left_anti").collect()
+    for name, df in (("nodes", stored), ("edges", links)):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{base}/{name}")
+        # a store without any rows left has no file to take the schema from
+        _put(spark, f"{base}/{name}/_schema.json", df.schema.json())
+    for row in bare:
+        _delete(spark, f"{base}/edges/repo_id={row['repo_id']}")
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def read_graph(spark: SparkSession, base: str, repo_id: str) -> tuple[DataFrame, DataFrame] | None:
     """Nodes and edges of one repository by partition pruning; None if it has no nodes."""
-    nodes, edges = (spark.read.parquet(f"{base}/{n}").where(F.col("repo_id") == repo_id) for n in ("nodes", "edges"))
+    def part(name: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads(spark.read.text(f"{base}/{name}/_schema.json", wholetext=True).first()[0]))
+        return spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("repo_id") == repo_id)
+
+    nodes, edges = part("nodes"), part("edges")
     return None if nodes.isEmpty() else (nodes, edges)
 
 
 def delete_graph(spark: SparkSession, base: str, repo_id: str) -> None:
-    jvm = spark._jvm
     for name in ("nodes", "edges"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/repo_id={repo_id}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{base}/{name}/repo_id={repo_id}")
+
+
+def graph_exists(spark: SparkSession, base: str, repo_id: str) -> bool:
+    """Whether the repository has nodes; false where there is no store."""
+    return _exists(spark, f"{base}/nodes/repo_id={repo_id}") and read_graph(spark, base, repo_id) is not None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def document_exists(spark: SparkSession, path: str, key: str) -> bool:
+    return _exists(spark, f"{path}/key={key}")
+
+
+def delete_document(spark: SparkSession, path: str, key: str) -> bool:
+    """Whether there was a document under ``key``; it is gone afterwards."""
+    return document_exists(spark, path, key) and _delete(spark, f"{path}/key={key}")
+
+
+def vector_count(spark: SparkSession, path: str, collection: str) -> int:
+    """Points of a collection, -1 where there is no such collection, which counts as absent."""
+    folder = f"{path}/collection={collection}"
+    return spark.read.parquet(folder).count() if _exists(spark, folder) else -1
+
+
+def needs_index(spark: SparkSession, path: str, collection: str) -> bool:
+    """The guard before indexing: nothing is done again for a collection that has points."""
+    return vector_count(spark, path, collection) <= 0
+
+
+def needs_graph(spark: SparkSession, base: str, repo_id: str) -> bool:
+    return not graph_exists(spark, base, repo_id)
+
+
+def write_vectors(vectors: DataFrame, path: str, *, replace: bool = False) -> None:
+    """Points by collection. Unless ``replace``, points of equal id in the store are kept apart from new ones by the reader's
+    last-wins merge, as a store that appends does."""
+    writer = vectors.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("collection").parquet(path)

@@ -107,6 +107,8 @@ def test_json_repair():
     assert generated.repaired_json('{"a": "x\ny"}') == '{"a":"x\\ny"}'
     assert generated.repaired_json('{"a": "say "hi" now"}') == '{"a":"say \\"hi\\" now"}'
     assert generated.repaired_json('{"a": [{"b": 1}, {"b": 2}, {"b"') == '{"a":[{"b":1},{"b":2}]}'
+    far = '{"a": [' + ", ".join('{"b": [1, 2, {"c": 3}]}' for _ in range(4)) + ', {"d": ' + "[" * 80 + ", ".join("bad" for _ in range(80))
+    assert generated.repaired_json(far) == '{"a":[' + ",".join(['{"b":[1,2,{"c":3}]}'] * 4) + "]}"
     assert generated.repaired_json("none") is None and generated.repaired_json(None) is None
 
 

@@ -126,6 +126,59 @@ def test_unique_slugs(spark):
     assert {r.slug: r.unique for r in store.unique_slugs(wanted, taken).collect()} == {"a": "a-3", "b": "b-2", "c": "c", "d": "d-2"}
 
 
+def test_unique_slugs_of_several_askers(spark):
+    wanted = spark.createDataFrame([("a", k) for k in range(5)] + [("b", 0), ("b", 1)], "slug string, k int")
+    taken = spark.createDataFrame([("a",), ("a-2",), ("a-4",), ("b-2",)], "slug string")
+    got = {(r.slug, r.k): r.unique for r in store.unique_slugs(wanted, taken, order="k").collect()}
+    assert got == {("a", 0): "a-3", ("a", 1): "a-5", ("a", 2): "a-6", ("a", 3): "a-7", ("a", 4): "a-8", ("b", 0): "b", ("b", 1): "b-3"}
+
+
+def test_versions_are_not_lost(spark, tmp_path):
+    one, two = (store.VersionedTable(spark, str(tmp_path / "t")) for _ in range(2))
+    assert one.read() is None and one.version() == 0
+    assert one.write(spark.range(1)) == 1
+    base = one.version()
+    assert two.write(spark.range(2), after=base) == 2
+    with pytest.raises(store.StaleWrite):
+        one.write(spark.range(3), after=base)
+    assert one.write(spark.range(4)) == 3 and two.read().count() == 4
+    (tmp_path / "t/_pointers/000000000004").touch()  # a writer that died
+    two.PATIENCE = 0.1
+    assert two.read().count() == 4 and two.write(spark.range(5)) == 5 and two.read().count() == 5
+
+
+def test_closure_both_ways(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(45)} | {(k, k + 1) for k in range(50, 90)}
+    df = spark.createDataFrame(sorted(edges) + [(None, 1), (1, None)], "source_id long, target_id long")
+    want = {}
+    for s in {a for a, _ in edges}:
+        level, seen, d = {s}, {s: 0}, 0
+        while level:
+            d += 1
+            level = {b for a, b in edges if a in level} - set(seen)
+            seen |= dict.fromkeys(level, d)
+        want |= {(s, n): k for n, k in seen.items()}
+    assert {(r.start, r.node): r.depth for r in graph.closure(df).collect()} == want
+    starts = spark.createDataFrame([(50,), (3,), (999,)], "start long")
+    some = {(r.start, r.node): r.depth for r in graph.closure(df, starts=starts).collect()}
+    assert some == {k: d for k, d in want.items() if k[0] in (50, 3)} | {(s, s): 0 for s in (3, 50, 999)}
+    assert {(r.start, r.node): r.depth for r in graph.closure(df, 4).collect()} == {k: d for k, d in want.items() if d <= 4}
+
+
+def test_occurrences(spark):
+    from tessera.operators import contain
+
+    texts = spark.createDataFrame([(1, "abcabc é🎉"), (2, "bc"), (3, None), (4, "")], "id long, content string")
+    names = spark.createDataFrame([("abc",), ("bc",), ("🎉",), ("",), (None,), ("zz",), ("abc",)], "name string")
+    want = {(1, "abc"), (1, "bc"), (1, "🎉"), (2, "bc")}
+    for size in (1 << 20, 2):
+        assert {tuple(r) for r in contain.occurrences(texts, names, block_chars=size).collect()} == want
+    assert contain.occurrences(texts, names.where("false")).count() == 0
+
+
 def test_vector_store(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, [3.0, 0.0])], "id long, v array<float>")
     scored = vector.similar_to(v, v.where("id = 1").select(F.col("v").alias("q")), "v")
@@ -146,6 +199,7 @@ def test_graph_store_round_trip(spark, tmp_path):
     assert repos.read_graph(spark, base, "none") is None
     repos.delete_graph(spark, base, "r2")
     assert repos.read_graph(spark, base, "r2") is None
+    assert repos.read_graph(spark, base, "r1")[1].count() == 0 and repos.graph_exists(spark, base, "r1") and not repos.graph_exists(spark, base, "r2")
 
 
 def test_sources(spark, tmp_path):
@@ -153,6 +207,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "repo/src/a.py").write_text("x = 1\n")
     got = repos.repository_files(spark, str(tmp_path / "repo"), "r", "main").collect()
     assert [(r.path, r.content) for r in got] == [("src/a.py", "x = 1\n")]
+    for k in range(5):
+        (tmp_path / f"repo/src/b{k}.py").write_text("y")
+    assert [r.path for r in repos.repository_files(spark, str(tmp_path / "repo"), "r", "main").orderBy("ordinal").collect()] == ["src/a.py"] + [f"src/b{k}.py" for k in range(5)]
     people = spark.createDataFrame([("a", "User", 5, None), ("b", "Bot", 9, "B"), ("c", "User", 7, "C")], "login string, type string, contributions long, name string")
     assert [(r.name, r.contributions) for r in repos.contributors(people, "x").collect()] == [("C", "7"), ("a", "5")]
     vectors = spark.createDataFrame([("a", 1), ("b", 2)], "collection string, id long")

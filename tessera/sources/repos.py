@@ -104,6 +104,15 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def _get(spark: SparkSession, path: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -111,8 +120,9 @@ def _delete(spark: SparkSession, path: str) -> bool:
 
 def read_graph(spark: SparkSession, base: str, repo_id: str) -> tuple[DataFrame, DataFrame] | None:
     """Nodes and edges of one repository by partition pruning; None if it has no nodes."""
+
     def part(name: str) -> DataFrame:
-        schema = StructType.fromJson(json.loads(spark.read.text(f"{base}/{name}/_schema.json", wholetext=True).first()[0]))
+        schema = StructType.fromJson(json.loads(_get(spark, f"{base}/{name}/_schema.json")))
         return spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("repo_id") == repo_id)
 
     nodes, edges = part("nodes"), part("edges")

@@ -77,17 +77,19 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: A document of at most this many characters that has a notice counts as the licence file of its folder.
-SHORT_NOTICE = 400
+def document_path(doc_id):
+    """`source/lang/<id>.txt` for ids that end in 00, one folder down for those that end in 0, two for the others."""
+    n = lambda k: F.floor(doc_id / k).cast("string")
+    deeper = F.when(doc_id % 100 == 0, F.array()).when(doc_id % 10 == 0, F.array(n(100))).otherwise(F.array(n(100), n(10)))
+    return F.array_join(F.concat(F.array(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))), deeper, F.array(F.concat(doc_id.cast("string"), F.lit(".txt")))), "/")
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files `source/lang/<hundreds of the id>/<id>.txt`."""
-    folder = F.floor(F.col("doc_id") / 100).cast("string")
-    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = read_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    short = F.length("text") <= SHORT_NOTICE
-    return license.scan(files, "doc_id", "path", "text", short).withColumnRenamed("id", "doc_id")
+    """Documents as files of a tree; one without a notice takes the best notice of the nearest folder that has one.
+
+    A document without an id has no path, so it inherits nothing."""
+    files = read_table(spark, sf_dir, "documents").select("doc_id", document_path(F.col("doc_id")).alias("path"), "text")
+    return license.scan(files, "doc_id", "path", "text", F.lit(True)).withColumnRenamed("id", "doc_id")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scores against a plain cosine; inheritance along directories; odd rows."""
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -59,9 +60,51 @@ def test_long_line_is_scanned_whole(spark):
     assert lic.scan(df, threshold=0.5).first().licence == "Apache-2.0"
 
 
+def own(text):
+    """(licence, score) of a text by scoring every line, window and stretch there is."""
+    at, templates = lic.anchors(), [t for ts in lic.TEMPLATES.values() for t in ts]
+    sizes = [len(lic._terms(t)) for t in templates]
+    found = []
+    for piece in re.split(r"\n|(?<=[.!?;])\s+", text or ""):
+        terms = lic._terms(piece)
+        if any(" ".join(p) in at for p in zip(terms, terms[1:])):
+            for size, step in lic.WINDOWS:
+                last = max(0, math.ceil((len(terms) - size) / step))
+                found += [(True, terms[k * step : k * step + size]) for k in range(last + 1)]
+    terms = lic._terms(text or "")
+    for i in range(len(terms) - 1):
+        for template, k in at.get(" ".join(terms[i : i + 2]), ()):
+            if i >= k and i - k + sizes[template] <= len(terms):
+                found.append((False, terms[i - k : i - k + sizes[template]]))
+    by = {}
+    for line, terms in found:
+        name, score = cosine(" ".join(terms))
+        if score >= lic.THRESHOLD and (line or len(terms) >= lic.SHORT or score >= lic.SURE):
+            by.setdefault(name, []).append((line, score))
+    if not by:
+        return None, None
+    name = min(by, key=lambda n: (-max(s for _, s in by[n]), n))
+    return name, max((s for line, s in by[name] if line), default=max(s for _, s in by[name]))
+
+
 def test_whole_table(spark, sf):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "version 3.": "GPL-3.0"}
-    for r in queries.op7_license(spark, sf).collect():
-        want = {v for k, v in lines.items() if k in docs[r.doc_id]}
-        assert (r.origin == "own") == bool(want) and (not want or r.licence in want)
+    """Licence, score and origin of every document, by scoring everything and by walking up the folders."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in queries.op7_license(spark, sf).collect()}
+    mine = {i: own(d.text) for i, d in docs.items()}
+    folders = {}
+    for i, r in rows.items():
+        if mine[i][0]:
+            folders.setdefault(r.path.rpartition("/")[0], []).append((-mine[i][1], r.path, mine[i][0]))
+    assert len({n for n, _ in mine.values()}) > 3 and len(rows) == len(docs)
+    for i, r in rows.items():
+        name, score, origin, source = *mine[i], "own", None
+        if not name:
+            folder, origin = r.path.rpartition("/")[0], None
+            while folder and folder not in folders:
+                folder = folder.rpartition("/")[0]
+            if folder:
+                minus, source, name = min(folders[folder])
+                score, origin = -minus, "inherited"
+        assert (r.licence, r.origin, r.origin_path) == (name, origin, source) and r.score == pytest.approx(score, abs=2e-6)
+    assert any(r.origin == "inherited" for r in rows.values())

@@ -2,17 +2,19 @@
 
 Each page is parsed into elements. The subtrees of container elements (lists, boxes, navigation, …) are
 hashed by tags and text and counted per host in Spark, over pages with different main text, so that copies of a
-page do not make a template of its article. Subtrees that recur on many pages of their host are deleted,
-then elements that are by their tag, role or class no part of an article. Of a page with an `article` (else a
-`main`) element, the rest of the page is left out as well; paragraphs and headings of the article are
-never taken for a template, since pages may quote the same passage.
+page do not make a template of its article. Subtrees that recur on at least ``MIN_PAGES`` such pages of their host are
+deleted wherever they stand, in the article as well; the number is the same for hosts of any size. Paragraphs and headings
+are no containers, since pages may quote the same passage.
+
+What a single page tells is used beside that: elements that are by their tag, role or names no part of an article go (inside
+the article by far fewer names than outside), and of a page with an `article` (else a `main`) element the rest is left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: A subtree is a template if it is on at least this many pages of different text of its host, and this share of them.
+#: A subtree is a template if it is on at least this many pages of different text of its host.
 MIN_PAGES = 4
-MIN_SHARE = 0.005
 #: Up to this many templates travel with the tasks (8 bytes each); more are joined by page.
 SHIPPED_TEMPLATES = 500_000
 
@@ -69,6 +70,11 @@ DROPPED_WORDS = frozenset(
     " pagination pager footer masthead topbar toolbar comment comments commentlist disqus reply replies respond related recommended"
     " recommendations share sharing social widget login skip".split()
 )
+#: The names that count inside an article: adverts, menus, comments, and notices about cookies and letters.
+DROPPED_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors cookie cookies consent gdpr newsletter"
+    " subscribe sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments commentlist disqus".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -82,8 +88,10 @@ class Page:
 
 
 def parse(html: str) -> Page:
+    """Elements in page order. The open ones are kept by tag as well, so that an end tag need not look through them."""
     page, stack = Page(), [-1]
     tags, events = page.tags, page.events
+    depths: dict[str, list[int]] = {}
 
     def open_(tag: str, attr: str) -> None:
         tags.append(tag)
@@ -91,17 +99,19 @@ def parse(html: str) -> Page:
         page.attrs.append(attr)
         events.append(len(tags) - 1)
 
+    def deepest(names: Iterable[str]) -> int:
+        return max((depths[t][-1] for t in names if depths.get(t)), default=0)
+
     def close_to(depth: int) -> None:
         while len(stack) > depth:
-            events.append(~stack.pop())
+            node = stack.pop()
+            depths[tags[node]].pop()
+            events.append(~node)
 
     def end_open(ended: frozenset[str], stops: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[depth]]
-            if tag in ended:
-                return close_to(depth)
-            if tag in stops:
-                return None
+        depth = deepest(ended)
+        if depth > deepest(stops):
+            close_to(depth)
 
     at, n = 0, len(html)
     while at < n:
@@ -122,10 +132,8 @@ def parse(html: str) -> Page:
             if tag == "br":
                 events.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == tag:
-                    close_to(depth)
-                    break
+            if depth := deepest([tag]):
+                close_to(depth)
             continue
         if tag in CLOSES_P:
             end_open(frozenset(["p"]), P_STOPS)
@@ -144,6 +152,7 @@ def parse(html: str) -> Page:
         elif attr.endswith("/") and tag in ("path", "rect", "use", "circle", "g"):
             events.append(~node)
         else:
+            depths.setdefault(tag, []).append(len(stack))
             stack.append(node)
     close_to(1)
     return page
@@ -153,8 +162,8 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
 
-def _no_article(tag: str, raw: str) -> bool:
-    """By its tag, role or names the element is no part of an article."""
+def _no_article(tag: str, raw: str, inside: bool) -> bool:
+    """By its tag, role or names the element is no part of an article; ``inside`` if it stands in one."""
     if tag in DROPPED:
         return True
     if not raw or tag in ("html", "body", "main"):
@@ -167,7 +176,7 @@ def _no_article(tag: str, raw: str) -> bool:
     names = _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())
     if tag == "article":
         return any(w in ("comment", "comments", "reply", "ad", "advert", "sponsored", "related") for w in names)
-    return any(w in DROPPED_WORDS for w in names)
+    return any(w in (DROPPED_INSIDE if inside else DROPPED_WORDS) for w in names)
 
 
 def subtree_hashes(page: Page) -> list[int | None]:
@@ -203,7 +212,7 @@ def main_text(page: Page, templates: set[int] | frozenset[int] = frozenset(), ha
     roots: dict[str, list[int]] = {"article": [], "main": []}
     for i, (tag, parent, raw) in enumerate(zip(page.tags, page.parents, page.attrs)):
         up = parent >= 0
-        gone[i] = (up and gone[parent]) or _no_article(tag, raw) or bool(templates and hashes and hashes[i] in templates)
+        gone[i] = (up and gone[parent]) or _no_article(tag, raw, up and inside[parent]) or bool(templates and hashes and hashes[i] in templates)
         kind = "main" if tag != "article" and (tag == "main" or _attributes(raw).get("role", "").lower() == "main") else tag
         inside[i] = (up and inside[parent]) or kind in roots
         if kind in roots and not gone[i]:
@@ -282,11 +291,10 @@ def page_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return rows.mapInArrow(run, "page long, host string, main long, subtree long")
 
 
-def templates_of(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates_of(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, subtree) of the templates. Counts are combined before the shuffle, so a large host is no hot key."""
-    pages = subtrees.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = subtrees.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(pages, "host").where(F.col("n") >= F.greatest(F.lit(float(min_pages)), F.col("pages") * min_share)).select("host", "subtree")
+    return counts.where(F.col("n") >= min_pages).select("host", "subtree")
 
 
 def _extract(shipped: np.ndarray | None):
@@ -316,14 +324,14 @@ def _template_key(host: str, subtree: int) -> int:
     return xxhash.xxh64_intdigest(f"{host}\0{subtree}") - (1 << 63)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shipped: int = SHIPPED_TEMPLATES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, shipped: int = SHIPPED_TEMPLATES) -> DataFrame:
     """(page_id, url, text) per row.
 
     A null or empty html gives an empty text; a null url belongs to the host without a name. Repeated rows stay
     repeated and count as one page for templates. Other columns are ignored.
     """
     subtrees = cut(page_subtrees(pages, url_col, html_col))
-    templates = cut(templates_of(subtrees, min_pages, min_share))
+    templates = cut(templates_of(subtrees, min_pages))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), page_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
     if templates.count() <= shipped:

@@ -45,6 +45,48 @@ def test_templates_both_ways(spark):
     assert mainhtml.extract(df.where("false")).count() == 0
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, url, page) for i, (url, page) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in mainhtml.extract(df).collect()}
+
+
+def test_templates_decide(spark, monkeypatch):
+    """Boxes without a telling tag or name, outside and inside the article, and on pages without any article element."""
+    bare = lambda i: f"<body><div>Site of things<ul><li>one<li>two</ul></div><div><h2>T{i}</h2><p>Body of {i}</p></div><div>All about us</div></body>"
+    inside = lambda i: f"<body><article><h1>T{i}</h1><p>Body of {i}</p><div>Read more of it here</div><p>End {i}</p></article></body>"
+    pages = [(f"http://a.org/{i}", bare(i)) for i in range(6)] + [(f"http://b.org/{i}", inside(i)) for i in range(6)]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(6)] == [f"T{i}\nBody of {i}" for i in range(6)]
+    assert [got[6 + i] for i in range(6)] == [f"T{i}\nBody of {i}\nEnd {i}" for i in range(6)]
+    none = mainhtml.templates_of
+    monkeypatch.setattr(mainhtml, "templates_of", lambda rows, least: none(rows, 1 << 30))
+    got = extracted(spark, pages)
+    assert "Site of things" in got[0] and "Read more of it here" in got[6]
+
+
+def test_a_large_host_has_no_other_bar(spark):
+    pages = [(f"http://a.org/{i}", f"<body><div>Text {i} alone</div>{'<div>On some pages</div>' if i < 5 else ''}</body>") for i in range(3000)]
+    got = extracted(spark, pages)
+    assert set(got.values()) == {f"Text {i} alone" for i in range(3000)}
+
+
+def test_names_inside_the_article():
+    page = "<article><h1>A</h1><div class='notice'>Mind the gap</div><section id='related-work'><p>Others</p></section><p class='login-help'>Log in</p><div class='comments'>hi</div><div class='ad-box'>buy</div></article>"
+    assert text(page) == "A\nMind the gap\nOthers\nLog in"
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def took(n):
+        t = time.perf_counter()
+        mainhtml.parse("<p><button>" + "<div></span></i>" * n + "x")
+        return time.perf_counter() - t
+
+    took(1000)
+    assert took(40_000) < 20 * max(took(8000), 0.02)
+
+
 def test_copies_make_no_template(spark):
     rows = [(i, f"http://h.com/{i}", "<body><div class='x'>Same article</div><div>and more</div></body>") for i in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

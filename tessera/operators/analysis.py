@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import content_id
+from tessera.functions.text import content_id, embedding_text
 from tessera.operators import chunks, graph, resolve
 from tessera.operators.extract import scan
 from tessera.operators.files import is_code, language, subsystem
@@ -32,7 +32,8 @@ def analyze(files: DataFrame, strategy: str = "hybrid") -> dict[str, DataFrame]:
     imported = resolve.resolve_imports(scan.imports(found).select("from_path", "source"), code.select("path", "ordinal"))
     imports = scan.imports(found).join(imported, ["from_path", "source"], "left").select("from_path", F.coalesce("to_path", "source").alias("to_path"), F.lit("import").alias("type"), F.concat_ws(",", "imports").alias("relationship"))
     dependencies = imports.unionByName(scan.inheritance(found)).unionByName(resolve.call_dependencies(calls, functions))
-    named = functions.select(F.concat_ws(":", "path", "name").alias("id"), "path", "name", F.col("body").alias("content")).dropDuplicates(["id"])
+    named = functions.select(F.concat_ws(":", "path", "name").alias("id"), "path", "name", F.col("body").alias("content"), "ordinal")
+    named = graph.last_wins(named, "id", "ordinal").drop("ordinal")
     targets = functions.select("name", F.col("path").alias("to_path"), "ordinal").groupBy("name").agg(F.max_by("to_path", "ordinal").alias("to_path"))
     edges = sites.where("context is not null").join(targets, F.col("function_name") == F.col("name")).select(F.concat_ws(":", "path", "context").alias("source_id"), F.concat_ws(":", "to_path", "name").alias("target_id"))
     made = chunks.create_chunks(strategy, code, symbols.where("kind != 'property'").select("path", "kind", "name", "parent", "start_line", "end_line", "ordinal"), named, edges)
@@ -86,6 +87,15 @@ def scored_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(communities, "id", "left").join(risks.select("id", "risk_score", "risk_level"), "id", "left")
 
 
+def embedded_text(chunk_rows: DataFrame) -> Column:
+    """The labelled text of a chunk, from whichever of the known columns there are."""
+    none, lists = F.lit(None).cast("string"), F.array().cast("array<string>")
+    text = lambda c: F.col(c) if c in chunk_rows.columns else none
+    many = lambda c: F.col(c) if c in chunk_rows.columns else lists
+    return embedding_text(text("function_name"), text("class_name"), text("file_path"), text("subsystem"), many("calls"), many("dependencies"), text("summary"), many("keywords"), F.col("content"))
+
+
 def vectorize(chunk_rows: DataFrame, collection: str, load: Callable[[], Embedder] = hashing_embedder) -> DataFrame:
-    """(collection, point_id, chunk_id, content, vector): chunks ready for the vector store."""
-    return chunk_rows.select(F.lit(collection).alias("collection"), point_id(F.col("id")).alias("point_id"), F.col("id").alias("chunk_id"), "content", embed_column(F.col("content"), load).alias("vector"))
+    """(collection, point_id, chunk_id, content, vector): chunks ready for the vector store, embedded by their labelled text."""
+    vector = embed_column(embedded_text(chunk_rows), load).alias("vector")
+    return chunk_rows.select(F.lit(collection).alias("collection"), point_id(F.col("id")).alias("point_id"), F.col("id").alias("chunk_id"), "content", vector)

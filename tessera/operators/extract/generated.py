@@ -97,7 +97,7 @@ def repair_json(raw: Column) -> Column:
 
 def docstring(code: Column, most: int = 800) -> Column:
     """The first block comment or docstring of more than 20 signs, without comment marks; null if there is none."""
-    found = [F.trim(F.regexp_replace(F.regexp_extract(code, p, 1), r"(?m)^\s*\*\s?", "")) for p in (r"(?s)/\*\*(.*?)\*/", r'(?s)"""(.*?)"""', r"(?s)'''(.*?)'''")]
+    found = [F.regexp_replace(F.regexp_replace(F.regexp_extract(code, p, 1), r"(?m)^\s*\*\s?", ""), r"^\s+|\s+$", "") for p in (r"(?s)/\*\*(.*?)\*/", r'(?s)"""(.*?)"""', r"(?s)'''(.*?)'''")]
     return F.substring(F.coalesce(*[F.when(F.length(f) > 20, f) for f in found]), 1, most)
 
 

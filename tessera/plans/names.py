@@ -47,7 +47,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).select("doc_id", files.language(F.col("path"), hint).alias("language"))
 
 
-@query("subsystem_rollup", "P5 A9 A10", f"WITH {FILES_SQL} SELECT split_part(path, '/', 1) AS subsystem, count(*) AS files, count(DISTINCT source) AS sources, sum(length(content))::BIGINT AS chars FROM f GROUP BY 1")
+@query("subsystem_rollup", "P5 A9", f"WITH {FILES_SQL} SELECT split_part(path, '/', 1) AS subsystem, count(*) AS files, count(DISTINCT source) AS sources, sum(length(content))::BIGINT AS chars FROM f GROUP BY 1")
 def subsystem_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir).groupBy(files.subsystem(F.col("path")).alias("subsystem"))
     return f.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("source").alias("sources"), F.sum(F.length("content")).cast("long").alias("chars"))

@@ -31,7 +31,7 @@ c AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'lib_' || p_name ELSE p_name END
 """
 
 
-@query("call_resolution", "J2 U2 M8 U4", f"WITH {_CALLS} SELECT c.path AS from_path, d.path AS to_path, 'call' AS type, function_name AS relationship, count(*) AS n FROM c JOIN d ON function_name = name WHERE c.path <> d.path GROUP BY ALL")
+@query("call_resolution", "J2 U2 M8", f"WITH {_CALLS} SELECT c.path AS from_path, d.path AS to_path, 'call' AS type, function_name AS relationship, count(*) AS n FROM c JOIN d ON function_name = name WHERE c.path <> d.path GROUP BY ALL")
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve.call_dependencies(_calls(spark, sf_dir), _definitions(spark, sf_dir))
     return found.groupBy("from_path", "to_path", "type", "relationship").agg(F.count(F.lit(1)).alias("n"))
@@ -152,7 +152,7 @@ def ref_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hybrid_override",
-    "J10 U3 C4 C5 K12",
+    "J10 U3 C4 K12",
     """WITH f AS (SELECT 'c' || p_partkey % 300 AS id, 'function' AS type, p_name AS content, p_partkey AS o FROM part), g AS (SELECT 'flow:' || s_suppkey AS id, 'flow' AS type, s_name AS content, 'c' || s_suppkey % 300 AS member FROM supplier),
     k AS (SELECT * FROM f WHERE id NOT IN (SELECT member FROM g)) SELECT id, max_by(type, o) AS type, max_by(content, o) AS content FROM k GROUP BY 1 UNION ALL SELECT id, type, content FROM g""",
 )

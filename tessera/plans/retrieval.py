@@ -94,14 +94,14 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(F.broadcast(ends)).select("vec_id", *scaled)
 
 
-@query("collection_counts", "V4 S13 A20", "SELECT label AS collection, count(*) AS points, any_value(len(embedding))::BIGINT AS dim FROM embeddings GROUP BY 1")
+@query("collection_counts", "V4", "SELECT label AS collection, count(*) AS points, any_value(len(embedding))::BIGINT AS dim FROM embeddings GROUP BY 1")
 def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("collection")).agg(F.count(F.lit(1)).alias("points"), F.any_value(F.size("embedding")).cast("long").alias("dim"))
 
 
 @query(
     "point_upsert_latest",
-    "D8 S14 F6",
+    "D8 F6",
     """SELECT 'u' || user_id || ':' || event_type AS chunk_id, max_by(event_id, event_id) AS event_id, max_by(round(value, 2), event_id) AS value FROM events GROUP BY 1""",
 )
 def point_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,15 @@ def point_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.upsert_points(e.where("batch = 0").drop("batch"), e.where("batch = 1").drop("batch"), "chunk_id", "event_id").select("chunk_id", "event_id", "value")
 
 
-@query("point_ids", "F6 D8")
+_UUID5 = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({0}))"
+
+
+@query(
+    "point_ids",
+    "F6 D8",
+    f"""WITH h AS (SELECT p_partkey, {_UUID5.format("'src/p.py:' || p_partkey")} AS h FROM part)
+    SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
+)
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", vector.point_id(F.concat(F.lit("src/p.py:"), F.col("p_partkey").cast("string"))).alias("point_id"))
 

@@ -57,7 +57,7 @@ r AS (SELECT pr_number, files, changes, deletions, CASE WHEN files > 20 THEN 25
 """
 
 
-@query("pr_size_points", "A14 P12 P9", f"WITH {_SQL} SELECT * FROM t")
+@query("pr_size_points", "A14 P12", f"WITH {_SQL} SELECT * FROM t")
 def pr_size_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.size_totals(_files(spark, sf_dir))
 
@@ -121,7 +121,7 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("k"), F.concat_ws("\n", *lines).alias("patch"))
 
 
-@query("diff_line_index", "F21 T15", f"WITH {_PATCH} SELECT k, pos::BIGINT AS pos, hunk::BIGINT AS hunk, sign, new_line::BIGINT AS new_line, line[2:] AS text FROM n WHERE sign <> '@'")
+@query("diff_line_index", "F21", f"WITH {_PATCH} SELECT k, pos::BIGINT AS pos, hunk::BIGINT AS hunk, sign, new_line::BIGINT AS new_line, line[2:] AS text FROM n WHERE sign <> '@'")
 def diff_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pr.diff_lines(_patches(spark, sf_dir), "k")
     return rows.select("k", *[F.col(c).cast("long").alias(c) for c in ("pos", "hunk")], "sign", F.col("new_line").cast("long").alias("new_line"), "text")

@@ -24,7 +24,7 @@ c AS (SELECT user_id AS repo_id, event_type AS branch, max(event_id)::VARCHAR AS
 """
 
 
-@query("branch_cdc", "Q2 M21 S2 Q4", f"WITH {_HEADS} SELECT c.repo_id, c.branch, c.sha, s.sha AS old_sha FROM c LEFT JOIN s USING (repo_id, branch) WHERE c.sha IS DISTINCT FROM s.sha")
+@query("branch_cdc", "Q2 M21", f"WITH {_HEADS} SELECT c.repo_id, c.branch, c.sha, s.sha AS old_sha FROM c LEFT JOIN s USING (repo_id, branch) WHERE c.sha IS DISTINCT FROM s.sha")
 def branch_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_map = lambda d: d.groupBy("repo_id").agg(F.map_from_entries(F.collect_list(F.struct("branch", "sha"))).alias("heads"))
     old, new = (sync.heads(as_map(_heads(spark, sf_dir, n)), "heads", "repo_id") for n in (False, True))
@@ -50,7 +50,7 @@ def doc_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "changed_files",
-    "S3 Q3 Q6",
+    "S3",
     "SELECT coalesce(a.l_orderkey, b.l_orderkey) || '/' || coalesce(a.l_linenumber, b.l_linenumber) AS path FROM (SELECT l_orderkey, l_linenumber, string_agg(l_partkey, ',' ORDER BY l_partkey) AS c FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1, 2) a FULL JOIN (SELECT l_orderkey, l_linenumber, string_agg(l_partkey + CASE WHEN l_orderkey % 10 = 1 THEN 1 ELSE 0 END, ',' ORDER BY l_partkey) AS c FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1, 2) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.c IS DISTINCT FROM b.c",
 )
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, new, ["user_id", "event_type"], keep_old=["note"], replace=["event_id"], created="created")
 
 
-@query("upsert_keep_old", "D1 D2 D4", f"WITH {_RECORDS} SELECT * FROM m")
+@query("upsert_keep_old", "D1 D2", f"WITH {_RECORDS} SELECT * FROM m")
 def upsert_keep_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upsert(spark, sf_dir)
 
@@ -122,7 +122,7 @@ def token_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.active_token(repos, users, orgs)
 
 
-@query("chat_list", "D7 A21 T8 S19", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id")
+@query("chat_list", "D7 A21 T8", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id")
 def chat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last_turn"))
     return chats.orderBy(F.desc("last_turn"), "conv_id")

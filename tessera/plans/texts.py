@@ -27,7 +27,7 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", prompts.document_title(title, described, F.col("text")).alias("title"))
 
 
-@query("diagram_summaries", "F13 D9", "SELECT o_custkey, 'States: ' || string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) || '. Transitions: ' || count(*) || '.' AS summary FROM orders GROUP BY 1")
+@query("diagram_summaries", "F13", "SELECT o_custkey, 'States: ' || string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) || '. Transitions: ' || count(*) || '.' AS summary FROM orders GROUP BY 1")
 def diagram_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
     states = F.transform("o", lambda x: F.struct(F.lit("").alias("label"), x["o_orderstatus"].alias("id")))
@@ -64,7 +64,7 @@ def path_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("r_regionkey", prompts.path_query(F.col("r_name"), F.lit(None).cast("string"), F.col("modules")).alias("q"))
 
 
-@query("contributor_lines", "S6 F26 M27", "SELECT s_suppkey, '- ' || s_name || ' (@s' || s_suppkey || ') — ' || s_nationkey || ' commits to r' AS line FROM supplier")
+@query("contributor_lines", "F26 M27", "SELECT s_suppkey, '- ' || s_name || ' (@s' || s_suppkey || ') — ' || s_nationkey || ' commits to r' AS line FROM supplier")
 def contributor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = prompts.contributor_line(F.col("s_name"), F.concat(F.lit("s"), _s("s_suppkey")), _s("s_nationkey"), F.lit("r"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line"))
@@ -84,7 +84,7 @@ def sample_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", prompts.sample_signature(path, F.col("p_brand"), given).alias("signature"), said.alias("said"))
 
 
-@query("served_nodes", "T12 T14", "SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS description, CASE WHEN length(text) > 1500 THEN left(text, 1500) || chr(10) || '// ... (truncated)' ELSE text END AS code_sample FROM documents")
+@query("served_nodes", "T12", "SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS description, CASE WHEN length(text) > 1500 THEN left(text, 1500) || chr(10) || '// ... (truncated)' ELSE text END AS code_sample FROM documents")
 def served_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.capped_node(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"), F.col("text").alias("code_sample")))
 

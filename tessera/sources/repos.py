@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def repository_files(spark: SparkSession, folder: str, repo_id: str, branch: str
 
 
 def _quoted(folder: str) -> str:
-    return r"\Q" + folder.rstrip("/").split("://")[-1].rstrip("/") + r"\E"
+    return r"\Q" + re.sub("^[a-z]+:/*", "/", folder).rstrip("/") + r"\E"
 
 
 def pull_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -60,13 +61,21 @@ def write_report(tables: dict[str, DataFrame], base: str, run: str, *partition_b
         df.withColumn("run", F.lit(run)).write.mode("append").partitionBy(*partition_by, "run").json(f"{base}/{name}")
 
 
-def write_documents(rendered: DataFrame, path: str) -> None:
-    """One text per row, with its key as a partition so that a key can be read alone."""
-    rendered.select("key", "text").write.mode("overwrite").partitionBy("key").text(path)
+def write_documents(rendered: DataFrame, path: str, metadata: str | None = None) -> None:
+    """One text per row, with its key as a partition so that a key can be read alone; other keys stay. The other columns go
+    to ``metadata`` as JSON, by key as well."""
+    rendered.select("key", "text").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\0").partitionBy("key").text(path)
+    if metadata:
+        rendered.drop("text").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").json(metadata)
 
 
 def read_document(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).where(F.col("key") == key)
+    return read_documents(spark, path).where(F.col("key") == key)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(key, text) of all documents."""
+    return spark.read.text(path, lineSep="\0").select(F.col("key").cast("string").alias("key"), F.col("value").alias("text"))
 
 
 def copy_collection(vectors: DataFrame, source: str, target: str) -> DataFrame:

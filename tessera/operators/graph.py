@@ -119,6 +119,21 @@ def cohesion(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return sizes.join(inside, "community", "left").select("community", "size", F.round(F.coalesce("inner", F.lit(0)) / possible, 3).alias("cohesion"))
 
 
+def community_graph(communities: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Community nodes (id, label, size) and MEMBER_OF edges of the communities of ``least`` or more members."""
+    sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    name = F.concat(F.lit("comm_"), F.col("community").cast("string"))
+    nodes = sizes.select(name.alias("id"), F.lit("Community").alias("label"), "size")
+    edges = communities.join(sizes.select("community"), "community").select(F.lit("MEMBER_OF").alias("type"), F.col("id").alias("source_id"), name.alias("target_id"))
+    return nodes, edges
+
+
+def communities_of(edges: DataFrame) -> DataFrame:
+    """(id, community) read back from MEMBER_OF edges."""
+    number = F.regexp_extract("target_id", "^comm_(-?[0-9]+)$", 1)
+    return edges.where(F.col("type") == "MEMBER_OF").where(number != "").select(F.col("source_id").alias("id"), number.cast("long").alias("community"))
+
+
 def community_labels(members: DataFrame) -> DataFrame:
     """(community, label): the most frequent first folder of the members' paths, ties by name; `Community` if none."""
     parts = F.split("path", "/")

@@ -60,6 +60,23 @@ def counts_for_risk(path: Column, severity: Column, description: Column, explana
     return F.when(soft, breaks | ~serious).otherwise(True)
 
 
+# What a prompt shows of a request.
+PROMPT_FILES, PROMPT_LINES, PROMPT_CHARS, PROMPT_ISSUES, CONTEXT_FILES = 15, 500, 2000, 10, 3
+
+
+def prompt_files(files: DataFrame, key: str = "pr_number") -> DataFrame:
+    """(key, file_path, rank, patch): the first files of each request, their patches cut by lines and then by signs."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("file_path"))
+    cut = F.substring(F.array_join(F.slice(F.split("patch", "\n", -1), 1, PROMPT_LINES), "\n"), 1, PROMPT_CHARS)
+    return with_patch(files).withColumn("rank", rank).where(F.col("rank") <= PROMPT_FILES).select(key, "file_path", "rank", cut.alias("patch"))
+
+
+def context_query(files: DataFrame, title: str = "title", key: str = "pr_number") -> DataFrame:
+    """(key, query): the title and the names of the first files, to look for context with."""
+    first = F.slice(F.sort_array(F.collect_list("file_path")), 1, CONTEXT_FILES)
+    return files.groupBy(key).agg(F.concat_ws(" ", F.first(title), F.array_join(first, " ")).alias("query"))
+
+
 def with_patch(files: DataFrame) -> DataFrame:
     return files.where(F.length(F.coalesce("patch", F.lit(""))) > 0)
 

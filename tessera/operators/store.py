@@ -39,6 +39,33 @@ def set_flag(rows: DataFrame, ids: DataFrame, key: str, flag: str, value: bool =
     return rows.join(marked, F.col(key) == F.col("_k"), "left").withColumn(flag, F.when(F.col("_hit"), F.lit(value)).otherwise(F.col(flag))).drop("_k", "_hit")
 
 
+def new_documents(rows: DataFrame) -> DataFrame:
+    """``rows`` as they are inserted: up to date and not being worked on."""
+    return rows.withColumns({"needs_sync": F.lit(False), "is_updating": F.lit(False)})
+
+
+def cleared(rows: DataFrame, payload: DataFrame, key: str, *fields: str) -> DataFrame:
+    """``rows`` with both flags off where ``payload`` has their key, and ``fields`` from it where it gives a value."""
+    p = payload.select(F.col(key).alias("_k"), F.lit(True).alias("_hit"), *[F.col(f).alias(f"_p_{f}") for f in fields])
+    j = rows.join(p, F.col(key) == F.col("_k"), "left")
+    flags = {f: F.when(F.col("_hit"), F.lit(False)).otherwise(F.col(f)) for f in ("needs_sync", "is_updating")}
+    return j.withColumns(flags | {f: F.coalesce(f"_p_{f}", f) for f in fields}).drop("_k", "_hit", *[f"_p_{f}" for f in fields])
+
+
+def listed(rows: DataFrame, *keys: str, **known: str) -> DataFrame:
+    """The rows with all of the ``known`` values; the text columns ``keys`` without nulls."""
+    for name, value in known.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
+
+
+def looked_up(collections: DataFrame, organizations: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(collection, organization, repository, error) by short id and repository token; the first side that is missing is the error."""
+    j = collections.join(organizations, "short_id", "left").join(repositories, ["short_id", "token"], "left")
+    error = F.when(F.col("organization").isNull(), "organization not found").when(F.col("repository").isNull(), "repository not found")
+    return j.select("collection", "organization", "repository", error.alias("error"))
+
+
 def active_token(repos: DataFrame, users: DataFrame, organizations: DataFrame) -> DataFrame:
     """(repo_id, token, source): of the user who added the repository, else of the organisation's owner; active and not blank only."""
     usable = users.where((F.col("status") == "active") & (F.trim(F.coalesce("token", F.lit(""))) != "")).select(F.col("user_id").alias("_u"), "token")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,28 @@ def advance(stored: DataFrame, current: DataFrame, *keys: str) -> DataFrame:
     """All current heads, and those stored of repositories that do not occur now."""
     rest = stored.join(current.select(*keys).distinct(), list(keys), "left_anti")
     return current.select(*keys, "branch", "sha").unionByName(rest.select(*keys, "branch", "sha"))
+
+
+def changed_sets(moved: DataFrame, changed: DataFrame, *keys: str) -> DataFrame:
+    """``moved`` heads with ``files``, the paths that changed since the old sha; null where there is no old sha, so that
+    everything counts as changed. ``changed`` has a row per path; the sets are those of a commit, not of a repository."""
+    sets = changed.groupBy(*keys, "branch").agg(F.sort_array(F.collect_set("path")).alias("_files"))
+    joined = moved.join(sets, [*keys, "branch"], "left")
+    known = F.coalesce("_files", F.array().cast("array<string>"))
+    return joined.withColumn("files", F.when(F.col("old_sha").isNotNull(), known)).drop("_files")
+
+
+def jobs_of(documents: DataFrame, changed: DataFrame, kind: str, key: str = "id", paths: str = "file_paths") -> DataFrame:
+    """(kind, key): a job for each document that a change makes stale, once; the table is the queue."""
+    return stale(documents, changed, key, paths).select(F.lit(kind).alias("kind"), F.col(key).alias("key")).distinct()
+
+
+def run_each(keys: list[str], job: Callable[[str], int]) -> list[tuple[str, str, int]]:
+    """(key, status, done) of ``job`` for each key in turn: one that fails is noted, and the others go on."""
+    out = []
+    for key in keys:
+        try:
+            out.append((key, "done", job(key)))
+        except Exception as e:  # whatever a branch does to its job, the next one is another branch
+            out.append((key, f"failed: {type(e).__name__}", 0))
+    return out

@@ -55,6 +55,24 @@ def graft(tree: DataFrame, described: DataFrame) -> DataFrame:
     return j.withColumns({"summary": F.coalesce("summary", "_s"), "description": F.coalesce("description", "_d")}).drop("_p", "_s", "_d")
 
 
+# How much of a repository a prompt shows.
+TOP_FOLDERS, ROOT_FILES, COMPACT_FILES, COMPACT_SYMBOLS = 80, 60, 500, 20
+
+
+def compact(tree: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, symbols): the first files by path with the first names in each."""
+    files = tree.where("type = 'file'").select("path").orderBy("path").limit(COMPACT_FILES)
+    named = symbols.join(F.broadcast(files), "path", "left_semi").groupBy("path").agg(F.slice(F.sort_array(F.collect_list(F.struct("start_line", "name"))), 1, COMPACT_SYMBOLS).alias("s"))
+    return files.join(named, "path", "left").select("path", F.coalesce(F.transform("s", lambda x: x["name"]), F.array().cast("array<string>")).alias("symbols"))
+
+
+def top_folders(tree: DataFrame) -> DataFrame:
+    """(kind, path): the first folders of the root and the first files in it, by name."""
+    at_root = tree.where("parent is null")
+    folders = at_root.where("type = 'folder'").select(F.lit("folder").alias("kind"), "path").orderBy("path").limit(TOP_FOLDERS)
+    return folders.unionByName(at_root.where("type = 'file'").select(F.lit("file").alias("kind"), "path").orderBy("path").limit(ROOT_FILES))
+
+
 def missing(tree: DataFrame, described: DataFrame) -> DataFrame:
     """Paths that still have no description: the next batch to ask for."""
     return tree.select("path").join(described.where("description is not null").select("path"), "path", "left_anti")

@@ -35,7 +35,7 @@ s AS (
 _HOT = f"WITH {_SCORED}, h AS (SELECT * FROM r WHERE rank <= 8 ORDER BY score DESC, vec_id LIMIT 30)"
 
 
-@query("hot_zones_files", "V1 T3 A12 T2", f"{_HOT} SELECT file_path, round(sum(score), 5) AS score FROM h GROUP BY 1")
+@query("hot_zones_files", "V1 T3 A12", f"{_HOT} SELECT file_path, round(sum(score), 5) AS score FROM h GROUP BY 1")
 def hot_zones_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieve.hot_hits(_scored(spark, sf_dir), "collection", "vec_id")
     return retrieve.file_scores(hits).withColumn("score", F.round("score", 5))
@@ -56,7 +56,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(_scored(spark, sf_dir), 5, "vec_id").select("vec_id", "score")
 
 
-@query("vector_topk_filtered", "T1 P8 T7", f"WITH {_SCORED} SELECT vec_id, score FROM s WHERE collection = 3 ORDER BY score DESC, vec_id LIMIT 5")
+@query("vector_topk_filtered", "T1 P8", f"WITH {_SCORED} SELECT vec_id, score FROM s WHERE collection = 3 ORDER BY score DESC, vec_id LIMIT 5")
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(_scored(spark, sf_dir), 5, "vec_id", where={"collection": 3}).select("vec_id", "score")
 
@@ -75,7 +75,7 @@ def onboarding_concat_40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.concatenated(_scored(spark, sf_dir), "collection", 12, 40, "vec_id").select("vec_id", "collection", "score")
 
 
-@query("rag_context_files", "T6 J18 A13 Q11", f"WITH {_SCORED} SELECT DISTINCT collection, file_path FROM r WHERE rank <= CASE WHEN collection = 2 THEN 20 ELSE 5 END")
+@query("rag_context_files", "T6 J18 A13", f"WITH {_SCORED} SELECT DISTINCT collection, file_path FROM r WHERE rank <= CASE WHEN collection = 2 THEN 20 ELSE 5 END")
 def rag_context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieve.context_hits(_scored(spark, sf_dir), "collection", 2, 20, 5, "vec_id")
     return hits.select("collection", "file_path").distinct()

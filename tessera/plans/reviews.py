@@ -71,7 +71,23 @@ def pr_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.risk(_files(spark, sf_dir), _issues(spark, sf_dir)).select("pr_number", "files", "changes", "deletions", "score", "level")
 
 
-@query("pr_risk_words", "A15 T12")
+_FACTORS = """[CASE WHEN files > 20 THEN 'Very large number of files changed (' || files || ')' WHEN files > 10 THEN 'Large number of files changed (' || files || ')' WHEN files > 5 THEN 'Multiple files changed (' || files || ')' END,
+  CASE WHEN changes > 2000 THEN 'Very large changes (' || changes || ' lines)' WHEN changes > 1000 THEN 'Large changes (' || changes || ' lines)' WHEN changes > 500 THEN 'Moderate changes (' || changes || ' lines)' END,
+  CASE WHEN critical_files > 0 THEN 'Critical infrastructure files modified (' || critical_files || ')' END,
+  CASE WHEN deletions > 500 THEN 'Very significant deletions (' || deletions || ' lines)' WHEN deletions > 200 THEN 'Significant deletions (' || deletions || ' lines)' END,
+  CASE WHEN critical > 0 THEN critical || ' critical breaking issue(s) detected' END, CASE WHEN high > 0 THEN high || ' high-severity breaking issue(s) detected' END,
+  CASE WHEN other_high > 0 THEN other_high || ' high-severity issue(s) detected' END, CASE WHEN medium > 0 THEN medium || ' medium-severity issue(s) detected' END,
+  CASE WHEN counted > 15 THEN 'Many issues detected (' || counted || ' total)' END]"""
+
+
+@query(
+    "pr_risk_words",
+    "A15 T12",
+    f"""WITH {_SQL}, j AS (SELECT t.*, raw, coalesce(counted, 0) AS counted, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(other_high, 0) AS other_high, coalesce(medium, 0) AS medium FROM t JOIN r USING (pr_number) LEFT JOIN p USING (pr_number)),
+    w AS (SELECT pr_number, raw, list_filter({_FACTORS}, lambda x: x IS NOT NULL) AS factors FROM j)
+    SELECT pr_number, array_to_string(factors, '; ') AS factors, CASE WHEN raw >= 70 THEN 'This PR contains changes that may break the codebase. ' WHEN raw >= 50 THEN 'This PR has significant changes that require careful review. ' WHEN raw >= 30 THEN 'This PR has notable changes that should be reviewed. '
+      WHEN raw >= 15 THEN 'This PR has moderate changes. ' ELSE 'This PR appears to be low risk. ' END || CASE WHEN len(factors) > 0 THEN 'Consider: ' || array_to_string(factors[1:2], '; ') WHEN raw < 30 THEN 'Changes appear safe to merge.' ELSE 'Review recommended before merging.' END AS explanation FROM w""",
+)
 def pr_risk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.risk(_files(spark, sf_dir), _issues(spark, sf_dir)).select("pr_number", "factors", "explanation")
 

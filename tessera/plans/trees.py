@@ -23,14 +23,14 @@ def tree_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.min_file_depth(graph.path_prefixes(_paths(spark, sf_dir))).withColumn("min_depth", F.col("min_depth").cast("long"))
 
 
-@query("folder_counts", "A23 T9 M19", f"WITH {_TREE_SQL} SELECT parent AS path, count(*) FILTER (type = 'file') AS files, count(*) FILTER (type = 'folder') AS folders FROM t WHERE parent IS NOT NULL GROUP BY 1")
+@query("folder_counts", "A23 M19", f"WITH {_TREE_SQL} SELECT parent AS path, count(*) FILTER (type = 'file') AS files, count(*) FILTER (type = 'folder') AS folders FROM t WHERE parent IS NOT NULL GROUP BY 1")
 def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.child_counts(_tree(spark, sf_dir))
 
 
 @query(
     "tree_groups",
-    "T10 T13 V5",
+    "T10",
     f'WITH {_TREE_SQL}, g AS (SELECT CASE WHEN contains(path, \'/\') THEN split_part(path, \'/\', 1) ELSE \'(root files)\' END AS "group", path FROM t WHERE type = \'file\') SELECT "group", path, row_number() OVER (PARTITION BY "group" ORDER BY path) AS rank FROM g QUALIFY rank <= 60',
 )
 def tree_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def tree_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tree_descriptions",
-    "F25 J12 J15",
+    "F25",
     f"""WITH {_TREE_SQL}, c AS (SELECT parent AS path, count(*) FILTER (type = 'file') AS files, count(*) FILTER (type = 'folder') AS folders FROM t WHERE parent IS NOT NULL GROUP BY 1)
     SELECT path, CASE WHEN type = 'folder' THEN 'Folder ' || name || ' with ' || coalesce(files, 0) || ' files and ' || coalesce(folders, 0) || ' folders' ELSE 'File ' || name END AS description FROM t LEFT JOIN c USING (path)""",
 )
@@ -48,7 +48,7 @@ def tree_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(tree.child_counts(t), "path", "left").select("path", tree.description(F.col("type"), F.col("name"), F.col("files"), F.col("folders")).alias("description"))
 
 
-@query("markdown_render", "F27 F28", "SELECT conv_id AS doc_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role || text) AS text FROM conversations GROUP BY 1")
+@query("markdown_render", "F27", "SELECT conv_id AS doc_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role || text) AS text FROM conversations GROUP BY 1")
 def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.format_string("%06d.%s%s", "turn", "role", "text")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), section.alias("section"), F.lit(1).alias("depth"), F.col("role").alias("title"), F.col("text").alias("body"))

@@ -19,38 +19,67 @@ from tessera.sources.embeddings import Embedder, embed_column, hashing_embedder
 EDGE_OF = {"import": "IMPORTS", "call": "CALLS", "extends": "INHERITS", "implements": "IMPLEMENTS"}
 
 
+#: Begins a path that names its repository as its first folder, which no rule on folders knows.
+_MARK = "\x1e"
+
+
+def _qualified(repo: Column, name: Column) -> Column:
+    return F.concat(F.lit(_MARK), F.translate(F.coalesce(repo, F.lit("")), "/", "\x1f"), F.lit("/"), name)
+
+
+def _repo(name: Column) -> Column:
+    return F.translate(F.regexp_extract(name, f"^{_MARK}([^/]*)/", 1), "\x1f", "/")
+
+
+def _plain(rows: DataFrame, by: str, *names: str) -> DataFrame:
+    """``rows`` with ``repo_id``, which ``by`` tells, and without it in ``by`` and ``names``."""
+    bare = {n: F.regexp_replace(n, f"{_MARK}[^/]*/", "") for n in (by, *names)}
+    return rows.withColumn("repo_id", _repo(F.col(by))).withColumns(bare)
+
+
 def analyze(files: DataFrame, strategy: str = "hybrid") -> dict[str, DataFrame]:
     """symbols, imports, calls, usage, dependencies, chunks, subsystems and errors of ``files`` (repo_id, path, content, ordinal).
 
-    The files are parsed once; what the parser found is checkpointed, since six tables read it.
+    Every table has ``repo_id``; names and paths of one repository never meet those of another. The files are parsed once;
+    what the parser found is checkpointed, since six tables read it.
     """
-    code = files.where(is_code(F.col("path"), F.col("content")))
+    code = files.where(is_code(F.col("path"), F.col("content"))).withColumn("path", _qualified(F.col("repo_id"), F.col("path")))
     found = checkpointed(scan.found(code))
     symbols, calls = scan.symbols(found), scan.calls(found)
+    own = lambda c: _qualified(_repo(F.col("path")), F.col(c))
+    calls = calls.withColumn("function_name", own("function_name"))
     functions = symbols.where("kind = 'function'")
+    defined = functions.withColumn("name", own("name"))
     sites = resolve.containing(calls, functions.select("path", "name", "start_line", "end_line"))
     imported = resolve.resolve_imports(scan.imports(found).select("from_path", "source"), code.select("path", "ordinal"))
     imports = scan.imports(found).join(imported, ["from_path", "source"], "left").select("from_path", F.coalesce("to_path", "source").alias("to_path"), F.lit("import").alias("type"), F.concat_ws(",", "imports").alias("relationship"))
-    dependencies = imports.unionByName(scan.inheritance(found)).unionByName(resolve.call_dependencies(calls, functions))
+    dependencies = imports.unionByName(scan.inheritance(found)).unionByName(resolve.call_dependencies(calls, defined))
     named = functions.select(F.concat_ws(":", "path", "name").alias("id"), "path", "name", F.col("body").alias("content"), "ordinal")
     named = graph.last_wins(named, "id", "ordinal").drop("ordinal")
-    targets = functions.select("name", F.col("path").alias("to_path"), "ordinal").groupBy("name").agg(F.max_by("to_path", "ordinal").alias("to_path"))
-    edges = sites.where("context is not null").join(targets, F.col("function_name") == F.col("name")).select(F.concat_ws(":", "path", "context").alias("source_id"), F.concat_ws(":", "to_path", "name").alias("target_id"))
+    targets = graph.last_wins(defined.select("name", F.col("path").alias("to_path"), "ordinal"), "name", "ordinal")
+    edges = sites.where("context is not null").join(targets, F.col("function_name") == F.col("name")).select(F.concat_ws(":", "path", "context").alias("source_id"), F.concat_ws(":", "to_path", F.regexp_replace("name", f"{_MARK}[^/]*/", "")).alias("target_id"))
     made = chunks.create_chunks(strategy, code, symbols.where("kind != 'property'").select("path", "kind", "name", "parent", "start_line", "end_line", "ordinal"), named, edges)
+    bare_id = F.regexp_replace("id", "^flow:", "")
+    made = made.withColumn("repo_id", _repo(bare_id)).withColumns({c: F.regexp_replace(c, f"{_MARK}[^/]*/", "") for c in ("id", "content", "file_path") if c in made.columns})
     return {
-        "symbols": symbols,
-        "imports": scan.imports(found),
-        "calls": sites,
-        "usage": resolve.usage(calls, functions),
-        "dependencies": dependencies,
+        "symbols": _plain(symbols, "path"),
+        "imports": _plain(scan.imports(found), "from_path"),
+        "calls": _plain(sites, "path", "function_name"),
+        "usage": _plain(resolve.usage(calls, defined), "name", "defined_in"),
+        "dependencies": _plain(dependencies, "from_path", "to_path", "relationship"),
         "chunks": made,
-        "subsystems": code.groupBy(subsystem(F.col("path")).alias("subsystem")).agg(F.count(F.lit(1)).alias("files")),
-        "errors": scan.errors(found),
+        "subsystems": files.where(is_code(F.col("path"), F.col("content"))).groupBy("repo_id", subsystem(F.col("path")).alias("subsystem")).agg(F.count(F.lit(1)).alias("files")),
+        "errors": _plain(scan.errors(found), "path"),
     }
 
 
-def build_graph(files: DataFrame, analysis: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges: folders and files, their symbols, and dependencies between files that exist."""
+def build_graph(files: DataFrame, analysis: dict[str, DataFrame], repo_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one repository: folders and files, their symbols, and dependencies between files that exist.
+
+    ``repo_id`` says which where ``files`` hold several, since ids come from paths."""
+    if repo_id is not None:
+        files = files.where(F.col("repo_id") == repo_id)
+        analysis = {name: rows.where(F.col("repo_id") == repo_id) for name, rows in analysis.items()}
     code = files.where(is_code(F.col("path"), F.col("content"))).withColumn("path", graph.normal_path(F.col("path")))
     prefixes = graph.path_prefixes(code.select("path", "ordinal"))
     line = F.col("start_line").cast("string")

@@ -141,3 +141,19 @@ def test_analysis_graph_and_vectors(spark):
     assert scored.count() == nodes.count() and scored.where("risk_score between 0 and 1").count() > 0
     points = analysis.vectorize(found["chunks"], "c").collect()
     assert len(points) == len(ids) and all(len(p.vector) == 64 for p in points)
+
+
+def test_repositories_do_not_mix(spark):
+    from tessera.operators import analysis
+
+    one = [("a/x", "m.py", "from .n import f\n\ndef g():\n    return f()\n", 0), ("a/x", "n.py", "def f():\n    return 1\n", 1)]
+    two = [("b", "m.py", "def h():\n    return f()\n", 0), ("b", "n.py", "def other():\n    return g()\n", 1)]
+    files = spark.createDataFrame(one + two, "repo_id string, path string, content string, ordinal int")
+    both, alone = analysis.analyze(files), analysis.analyze(files.where("repo_id = 'a/x'"))
+    for name, rows in both.items():
+        mine = rows.where("repo_id = 'a/x'").select(sorted(alone[name].columns))
+        assert sorted(map(str, mine.collect())) == sorted(map(str, alone[name].select(sorted(alone[name].columns)).collect())), name
+    assert {(r.repo_id, r.name, r.defined_in, r.total_calls) for r in both["usage"].collect()} == {("a/x", "f", "n.py", 1), ("a/x", "g", "m.py", 0), ("b", "f", None, 1), ("b", "g", None, 1), ("b", "h", "m.py", 0), ("b", "other", "n.py", 0)}
+    assert {(r.repo_id, r.id) for r in both["chunks"].where("type = 'flow'").collect()} == {("a/x", "flow:m.py:g")}
+    nodes, edges = analysis.build_graph(files, both, "b")
+    assert {r.name for r in nodes.collect()} == {"m.py", "n.py", "h", "other"} and edges.where("type = 'CALLS'").count() == 0

@@ -109,7 +109,7 @@ def scored_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with community, risk score and risk level where the label is scored."""
     symbols = nodes.where(F.col("label").isin(*graph.SYMBOL_LABELS)).select("id")
     links = graph.referential(edges.where(F.col("type").isin(*graph.COMMUNITY_EDGES)), symbols)
-    communities = graph.communities_by_labels(symbols, links)
+    communities = graph.communities_by_modularity(symbols, links)
     sizes = communities.groupBy("community").count().where("count >= 2").select("community")
     scored = nodes.where(F.col("label").isin(*graph.SCORED_LABELS))
     risks = graph.risk_scores(scored.select("id", "start_line", "end_line"), edges.where(F.col("type").isin(*graph.RISK_EDGES)), communities.join(sizes, "community", "left_semi"))

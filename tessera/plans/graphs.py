@@ -156,4 +156,4 @@ def flow_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and parts by who delivers what; no SQL form, tested by its invariants."""
     edges = _edges(spark, sf_dir).select("source_id", "target_id")
-    return graph.communities_by_labels(_nodes(spark, sf_dir).select("id"), edges)
+    return graph.communities_by_modularity(_nodes(spark, sf_dir).select("id"), edges)

@@ -168,6 +168,22 @@ def test_closure_both_ways(spark):
     assert {(r.start, r.node): r.depth for r in graph.closure(df, 4).collect()} == {k: d for k, d in want.items() if d <= 4}
 
 
+def test_communities_by_modularity(spark):
+    import random
+
+    cliques = [(f"{g}{a}", f"{g}{b}") for g in "xyz" for a in range(5) for b in range(a)] + [("x0", "y0"), ("y1", "z1"), ("x0", "x0"), ("y0", "x0")]
+    nodes = spark.createDataFrame([(f"{g}{a}",) for g in "xyz" for a in range(5)] + [("alone",)], "id string")
+    got = {r.id: r.community for r in graph.communities_by_modularity(nodes, spark.createDataFrame(cliques, "source_id string, target_id string")).collect()}
+    assert got == {f"{g}{a}": f"{g}0" for g in "xyz" for a in range(5)} | {"alone": "alone"}
+    rng = random.Random(1)
+    planted = [(a, b) for a in range(90) for b in range(a) if rng.random() < (0.35 if a % 3 == b % 3 else 0.03)]
+    edges, nodes = spark.createDataFrame(planted, "source_id long, target_id long"), spark.range(90)
+    found = graph.communities_by_modularity(nodes, edges)
+    truth = nodes.selectExpr("id", "id % 3 as community")
+    assert graph.modularity(edges, found) >= graph.modularity(edges, truth) - 0.02
+    assert graph.modularity(edges, found) >= graph.modularity(edges, graph.communities_by_labels(nodes, edges)) - 1e-9
+
+
 def test_occurrences(spark):
     from tessera.operators import contain
 

@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, light
 
 MIN_WORDS = 50
 GRAM = 8
+#: A passage with more places than this is not dealt out by its hash.
+CROWDED = 1000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -214,8 +216,12 @@ def passage_matches(suffixes: DataFrame, least: int, gram: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(rows.owner[mine]), pa.array(rows.h[mine]), pa.array(start[mine].astype(np.int32))], schema=schema)
 
     places = suffixes.where("many").mapInArrow(run, "w long, owner long, h long, start int").select("w", F.struct("owner", "h", "start").alias("place"))
-    again = places.groupBy("w").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least != most").select("w", "least")
-    hits = places.join(again, "w")
+    places = cut(places)
+    again = cut(places.groupBy("w").agg(F.min("place").alias("least"), F.max("place").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most").select("w", "least", "n"))
+    # a passage that many texts share is looked up where its places are; there can be few of them, since each has many places
+    crowded = light(again.where(F.col("n") > CROWDED))
+    rare = again.where(F.col("n") <= CROWDED)
+    hits = places.join(crowded, "w").unionByName(places.join(crowded.select("w"), "w", "left_anti").join(light(rare), "w"))
     return hits.select("place.h", "place.start", (F.col("place.start") + least).alias("end"), (F.col("place") != F.col("least")).alias("later"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -57,6 +59,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def released() -> None:
+    """Give memory that is free in this process back to the system: a driver may go on for long after it has trained a model."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def light(df: DataFrame, most: int = LIGHT_ROWS) -> DataFrame:
     """``df``, materialised and counted, marked for broadcast if it has at most ``most`` rows.
 

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LIGHT_ROWS, cut, light
+from tessera.llm.common import LIGHT_ROWS, cut, fresh, light
 from tessera.llm.simhash import segments
 
 WIDTH = 5
@@ -137,6 +137,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col
     hits = None
     for w in widths:
         mine = light(known.where(F.col("size") >= WIDTH if w == WIDTH else F.col("size") == w))
+        # a text in which an item stands has many of its shingles
         here = texts.select(*KEY, "n_words", F.size(f"w{w}").alias("total"), F.posexplode(f"w{w}").alias("pos", "h")).join(mine, "h")
         hits = here if hits is None else hits.unionByName(here)
     # a set, as equal texts bring the same places
@@ -183,6 +184,7 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no item. Null texts stay."""
-    bad = light(leaks(docs, items, text_col, **options).select(F.col(KEY[0]).alias("_leak_hash"), F.col(KEY[1]).alias("_leak_size")).distinct())
+    names = [fresh(docs, f"_leak_{k}") for k in KEY]
+    bad = light(leaks(docs, items, text_col, **options).select(*[F.col(k).alias(n) for k, n in zip(KEY, names)]).distinct())
     hash_, size = text_key(F.col(text_col))
-    return docs.join(bad, (hash_ == F.col("_leak_hash")) & (size == F.col("_leak_size")), "left_anti")
+    return docs.join(bad, (hash_ == F.col(names[0])) & (size == F.col(names[1])), "left_anti")

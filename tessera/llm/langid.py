@@ -145,7 +145,8 @@ def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def sample(docs: DataFrame, allowed: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` texts of each language, by a threshold on the hash of the id."""
+    """About ``per_language`` texts of each language, by a threshold on the hash of the id: rows that share an id are all
+    taken or all left, rows with a null id, language or text are left."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(allowed).where("lang is not null and text is not null")
     # a row for each language: few, so the texts are not dealt out by language
     share = light(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share")))
@@ -161,7 +162,9 @@ def fit(docs: DataFrame, allowed: Column, **options) -> Model | None:
 def predict_column(text: Column, model: Model | None) -> Column:
     """struct(lang, score): the language of the whole text and its posterior under equal priors.
 
-    ``und`` with score 0 for a null text, a text without a letter, and where nothing was learned.
+    ``und`` with score 0 for a null text, a text without a letter, and where nothing was learned. Of languages with equally
+    long codes the first by name is taken. Rows are treated one by one, so repeated rows have equal results; an empty
+    table stays empty; other columns are left alone, whatever their names.
     """
     nothing = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     if model is None:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, light
+from tessera.llm.common import cut, fresh, light
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -184,12 +184,17 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     return spreaded.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(chain, "a long, b long")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, parts: int = 3, bucket_rows: int = 4096) -> DataFrame:
+#: Up to this many fingerprints three segments leave few of them in a table entry; beyond, two wider ones do.
+THREE_SEGMENTS = 1 << 27
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 4, parts: int | None = None, bucket_rows: int = 4096) -> DataFrame:
     """(a, b) links between distinct fingerprints of column ``fp``: a forest per table entry that
-    connects exactly what the links within ``radius`` connect."""
+    connects exactly what the links within ``radius`` connect, with any number of segments (``parts``)."""
     if radius % 2:
         raise ValueError("radius must be even")
-    rows = index_rows(fps.select("fp").where("fp is not null").distinct(), radius, parts)
+    distinct = fps.select("fp").where("fp is not null").distinct()
+    rows = index_rows(distinct, radius, parts or (3 if distinct.count() <= THREE_SEGMENTS else 2))
     crowded = rows.groupBy("seg", "key").count().where(F.col("count") > bucket_rows).select("seg", "key")
     crowded = cut(crowded)
     ordinary = rows.join(crowded, ["seg", "key"], "left_anti")
@@ -223,6 +228,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 PIECE = 8
 SUPPORT = 0.2
+#: Rows with text keys up to which a counted side is broadcast: some ten MB, which the driver has to hold as well.
+LIGHT_KEYS = 100_000
 
 
 def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -259,7 +266,7 @@ def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def text_key(text: Column) -> Column:
     """128 bits of a text, null being empty: texts with one key are taken as equal."""
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -285,7 +292,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             values = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32))], fields=list(entry))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.array(prints, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.ListArray.from_arrays(offsets, values)], names=["id", "k", "fp", "words", "pieces"])
 
-    return rows.mapInArrow(run, f"id {kind}, k string, fp long, words int, pieces array<struct<p:long,w:int>>")
+    return rows.mapInArrow(run, f"id {kind}, k binary, fp long, words int, pieces array<struct<p:long,w:int>>")
 
 
 def piece_pairs(texts: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -295,11 +302,11 @@ def piece_pairs(texts: DataFrame, support: float = SUPPORT) -> DataFrame:
     do among its edited copies. So a piece gives a pair a text, however many texts have it, and of
     passages that many otherwise different texts share nothing is left to compare."""
     rows = texts.select("k", "words", F.inline("pieces"))
-    again = light(rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    again = light(rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), LIGHT_KEYS)
     shared = cut(rows.join(again, "p"))
     dense = shared.groupBy("k").agg((F.sum(F.col("w") * F.log2("c")) / F.first("words")).alias("d"))
     placed = shared.join(dense, "k")
-    centres = light(placed.groupBy("p").agg(F.max(F.struct("d", "k")).alias("centre")))
+    centres = light(placed.groupBy("p").agg(F.max(F.struct("d", "k")).alias("centre")), LIGHT_KEYS)
     met = placed.join(centres, "p").where("k != centre.k").groupBy("k", F.col("centre.k").alias("b")).agg(F.sum("w").alias("s"), F.first("words").alias("words"))
     return met.where(F.col("s") >= support * F.col("words")).select(F.col("k").alias("a"), "b")
 
@@ -323,8 +330,8 @@ def similar_links(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
     # of equal texts the owner's is read; rows that repeat it whole are equal
-    chosen = rows.join(light(asked), "k").where(F.col("id").eqNullSafe(F.col("owner"))).select("k", "text")
-    bags = cut(chosen.mapInArrow(run, "k string, s array<long>").dropDuplicates(["k"]))
+    chosen = rows.join(light(asked, LIGHT_KEYS), "k").where(F.col("id").eqNullSafe(F.col("owner"))).select("k", "text")
+    bags = cut(chosen.mapInArrow(run, "k binary, s array<long>").dropDuplicates(["k"]))
     side = lambda c: bags.select(F.col("k").alias(c), F.col("s").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -344,21 +351,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = cut(rows.groupBy("k").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.first("pieces").alias("pieces")))
     roots = cut(connected_components(similar_links(docs, texts, id_col, text_col, width, similarity, radius, bucket_rows)))
     linked = roots.select(F.col("node").alias("k"), "root").join(texts.select("k", "owner"), "k")
-    named = light(linked.groupBy("root").agg(F.min("owner").alias("least")))
-    of = light(linked.join(named, "root").select("k", "root", "least"))
+    named = light(linked.groupBy("root").agg(F.min("owner").alias("least")), LIGHT_KEYS)
+    of = light(linked.join(named, "root").select("k", "root", "least"), LIGHT_KEYS)
     joined = rows.select("id", "k").join(texts.select("k", "owner"), "k").join(of, "k", "left")
     grouped = F.col("root").isNotNull()
     return joined.select("id", "k", F.coalesce("root", "k").alias("root"), F.when(grouped, F.col("least")).otherwise(F.col("owner")).alias("component"))
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """``name``, longer until no column of ``docs`` is called so."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, with one row left of each group of ``similar_groups``: the smallest id.
 
@@ -367,7 +366,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     groups = cut(similar_groups(docs, id_col, text_col, **options))
     mine = F.col("id").eqNullSafe(F.col("component"))
-    gone_id, key, kept_id = _fresh(docs, "_gone"), _fresh(docs, "_key"), _fresh(docs, "_kept")
+    gone_id, key, kept_id = fresh(docs, "_gone"), fresh(docs, "_key"), fresh(docs, "_kept")
     if groups.where("id is null").isEmpty() and groups.groupBy("id").count().where("count > 1").isEmpty():
         # there are fewer rows to drop than to keep, and the texts stay where they are while those are few
         gone = light(groups.where(~mine).select(F.col("id").alias(gone_id)))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import released
+
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 PASSAGE = 8
@@ -117,34 +119,39 @@ def logits(texts: list[str | None], model: Model) -> np.ndarray:
     return out
 
 
-def _tokenised(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per text the word ids of the whole text, and per distinct word its n-grams."""
+def _tokenised(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Per text the word ids of the whole text; the n-grams of the distinct words end to end, and where each word's begin."""
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int64) for t in texts]
-    grams = []
-    for w in ids:
-        c = _codes(w)
-        g = np.concatenate([b[m] for b, m in _grams(c)]) if len(c) >= 3 else np.zeros(0, dtype=np.uint32)
-        grams.append(g.astype(np.int64))
-    return docs, grams
-
-
-def train(texts: list[str], labels: list[int], width: int = 8, epochs: int = 9, batch: int = 128, rate: float = 0.5, seed: int = 7) -> Model:
-    """Adagrad on the softmax loss of each text's most toxic passage; classes weigh the same."""
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int32) for t in texts]
+    blocks, sizes = [np.zeros(0, dtype=np.int32)], np.zeros(len(ids), dtype=np.int64)
+    words = list(ids)
+    del ids
+    for k in range(0, len(words), 4096):
+        grams = []
+        for i, w in enumerate(words[k : k + 4096], k):
+            found = [b[m] for b, m in _grams(_codes(w))] if w else []
+            sizes[i] = sum(map(len, found))
+            grams += found
+        if grams:
+            blocks.append(np.concatenate(grams).astype(np.int32))
+    return docs, np.concatenate(blocks), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+
+def train(texts: list[str], labels: list[int], width: int = 16, epochs: int = 9, batch: int = 128, rate: float = 0.5, seed: int = 7) -> Model:
+    """Adagrad on the softmax loss of each text's most toxic passage; the rarer class weighs more."""
     labels_ = np.asarray(labels, dtype=np.int64)
     if not len(labels_) or labels_.min() == labels_.max():
         constant = 0.0 if not len(labels_) else (4.0 if labels_[0] else -4.0)
         return Model(np.zeros(BUCKETS), constant)
-    docs, grams = _tokenised(texts)
-    starts = np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int64)
-    flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.int64)
+    docs, flat, starts = _tokenised(texts)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
     layer = np.zeros((width, 2), dtype=np.float32)
     layer[:, 1] = rng.normal(0, 0.5, width)
     bias = np.zeros(2, dtype=np.float32)
     seen_v, seen_l, seen_b = np.full(BUCKETS, 1e-2, dtype=np.float32), np.full((width, 2), 1e-2, dtype=np.float32), np.full(2, 1e-2, dtype=np.float32)
-    balance = len(labels_) / (2.0 * np.bincount(labels_, minlength=2))
+    # half way to equal weight: with full weight, wrong labels of the rarer class are learned from clean words
+    balance = np.sqrt(len(labels_) / (2.0 * np.bincount(labels_, minlength=2)))
 
     def gather(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-gram ids of ``words`` end to end, and the word each belongs to."""
@@ -227,7 +234,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> Model:
     rows = labelled_sample(docs, labels, allowed, **options)
-    return train(rows["text"].tolist(), rows["label"].tolist())
+    texts, marks = rows["text"].tolist(), rows["label"].tolist()
+    del rows
+    model = train(texts, marks)
+    del texts, marks
+    released()
+    return model
 
 
 def score_column(text: Column, model: Model) -> Column:

@@ -37,8 +37,8 @@ def groups(fps):
         label = new
 
 
-@pytest.mark.parametrize("crowd", [3, 4096])
-def test_groups_against_all_pairs(spark, crowd):
+@pytest.mark.parametrize("crowd,parts", [(3, None), (4096, None), (4096, 2)])
+def test_groups_against_all_pairs(spark, crowd, parts):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = list(base)
@@ -49,7 +49,7 @@ def test_groups_against_all_pairs(spark, crowd):
                 x = x ^ np.uint64(1 << int(j))
             fps.append(x)
     df = spark.createDataFrame([(int(x.view(np.int64)),) for x in np.array(fps, dtype=np.uint64)], "fp long")
-    links = simhash.fingerprint_links(df, bucket_rows=crowd)
+    links = simhash.fingerprint_links(df, bucket_rows=crowd, parts=parts)
     got = {r.node: r.root for r in connected_components(links).collect()}
     want = groups(fps)
     by_root = {}

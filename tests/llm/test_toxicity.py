@@ -79,13 +79,13 @@ def test_held_out_accuracy(spark):
 
 
 def test_texts_are_learned_whole():
-    """The mark of a long text stands at its very end."""
-    rng = np.random.default_rng(1)
-    filler = [f"w{i}" for i in range(300)]
-    long = [" ".join(rng.choice(filler, 4000)) for _ in range(60)]
-    model = toxicity.train([f"{t} wicked fiend" if k % 2 else t for k, t in enumerate(long)], [k % 2 for k in range(60)])
-    z = toxicity.logits(["wicked fiend", " ".join(filler[:50])], model)
-    assert z[0] > 0 > z[1]
+    """Every word of a long text is among what training looks at, each with all its n-grams."""
+    texts = [" ".join(f"w{i}" for i in range(30_000)) + " wicked fiend", "short"]
+    docs, flat, starts = toxicity._tokenised(texts)
+    assert [len(d) for d in docs] == [30_002, 1] and len(starts) == 30_003 + 1
+    for word, i in (("wicked", docs[0][-2]), ("short", docs[1][0])):
+        grams = np.concatenate([b[m] for b, m in toxicity._grams(toxicity._codes(word))])
+        assert flat[starts[i] : starts[i + 1]].tolist() == grams.tolist()
 
 
 def test_odd_rows(spark, odd):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, license, mainhtml, pii, simhash, suffixes, topk, toxicity
+from tessera.llm import bpe, codes, decontam, langid, lexical, license, mainhtml, minhash, pii, simhash, suffixes, topk, toxicity
 from tessera.llm.common import read_table
 
 
@@ -115,6 +115,87 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, text, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+w AS (SELECT item_id, text, term, count(*) * floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM q JOIN df USING (term), s GROUP BY item_id, text, term, n, df),
+scored AS (
+  SELECT item_id, text, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(terms) * n) // l))))::BIGINT AS score
+  FROM w JOIN tf USING (term) JOIN d USING (r), s GROUP BY item_id, text, doc_id, r
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.minhash_groups(read_table(spark, sf_dir, "documents"))
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), h AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS h FROM w WHERE len(w) > 0
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+e AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM n
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node WHERE r.root < e.b
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.root, w.doc_id) AS component_id, coalesce(c.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) c ON c.node = w.doc_id
+"""
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.encode(read_table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return found.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.col("digest").alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    """Six rounds over all entries, for vectors of one dimension that eight divides."""
+    nearest = """a{n} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, d) AS entry, min(d.d) AS error FROM (
+    SELECT p.r, p.part, c.entry, {{'d': sum((p.x - c.x) * (p.x - c.x)), 'e': c.entry}} AS d FROM p JOIN c{n} c USING (part, place) GROUP BY p.r, p.part, c.entry
+  ) GROUP BY r, part
+)"""
+    moved = """c{m} AS MATERIALIZED (
+  SELECT part, place, entry, coalesce(m.x, c.x) AS x FROM c{n} c
+  LEFT JOIN (SELECT part, place, entry, floor(sum(x) / count(*))::BIGINT AS x FROM p JOIN a{n} USING (r, part) GROUP BY part, place, entry) m USING (part, place, entry)
+)"""
+    steps = [s.format(n=n, m=n + 1) for n in range(codes.ROUNDS) for s in (nearest, moved)] + [nearest.format(n=codes.ROUNDS)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS r, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, (i - 1) // (len(v) // {codes.PARTS}) AS part, (i - 1) % (len(v) // {codes.PARTS}) AS place, v[i] AS x FROM (SELECT r, v, unnest(generate_series(1, len(v))) AS i FROM v)
+), c0 AS MATERIALIZED (SELECT part, place, r AS entry, x FROM p WHERE r < {codes.ENTRIES}),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY r),
+total AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN v USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM c{codes.ROUNDS}) AS codebooks_sha256
+FROM coded JOIN v USING (r) JOIN total t ON t.label IS NOT DISTINCT FROM v.label
+"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
@@ -126,8 +207,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_lexical": op11_lexical,
+    "op12_minhash": op12_minhash,
+    "op13_codes": op13_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": OP4_SQL,
+    "op11_lexical": OP11_SQL,
+    "op12_minhash": OP12_SQL,
+    "op13_codes": _op13_sql(),
 }

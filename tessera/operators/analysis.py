@@ -54,13 +54,16 @@ def analyze(files: DataFrame, strategy: str = "hybrid") -> dict[str, DataFrame]:
     imported = resolve.resolve_imports(scan.imports(found).select("from_path", "source"), code.select("path", "ordinal"))
     imports = scan.imports(found).join(imported, ["from_path", "source"], "left").select("from_path", F.coalesce("to_path", "source").alias("to_path"), F.lit("import").alias("type"), F.concat_ws(",", "imports").alias("relationship"))
     dependencies = imports.unionByName(scan.inheritance(found)).unionByName(resolve.call_dependencies(calls, defined))
-    named = functions.select(F.concat_ws(":", "path", "name").alias("id"), "path", "name", F.col("body").alias("content"), "ordinal")
-    named = graph.last_wins(named, "id", "ordinal").drop("ordinal")
-    targets = graph.last_wins(defined.select("name", F.col("path").alias("to_path"), "ordinal"), "name", "ordinal")
-    edges = sites.where("context is not null").join(targets, F.col("function_name") == F.col("name")).select(F.concat_ws(":", "path", "context").alias("source_id"), F.concat_ws(":", "to_path", F.regexp_replace("name", f"{_MARK}[^/]*/", "")).alias("target_id"))
-    made = chunks.create_chunks(strategy, code, symbols.where("kind != 'property'").select("path", "kind", "name", "parent", "start_line", "end_line", "ordinal"), named, edges)
+    # places: files in their order, functions in theirs within a file; of equal ids the first counts
+    placed = functions.join(code.select("path", F.col("ordinal").alias("_file")), "path").withColumn("place", F.struct("_file", "path", "ordinal"))
+    named = placed.select(F.concat_ws(":", "path", "name").alias("id"), "path", own("name").alias("name"), F.col("body").alias("content"), "place")
+    named = graph.first_wins(named, "id", "place")
+    called = sites.where("context is not null").select(F.concat_ws(":", "path", "context").alias("source_id"), F.col("function_name").alias("name"))
+    made = chunks.create_chunks(strategy, code, symbols.where("kind != 'property'").select("path", "kind", "name", "parent", "start_line", "end_line", "ordinal"), named, called)
     bare_id = F.regexp_replace("id", "^flow:", "")
     made = made.withColumn("repo_id", _repo(bare_id)).withColumns({c: F.regexp_replace(c, f"{_MARK}[^/]*/", "") for c in ("id", "content", "file_path") if c in made.columns})
+    if "members" in made.columns:
+        made = made.withColumn("members", F.transform("members", lambda m: F.regexp_replace(m, f"{_MARK}[^/]*/", "")))
     return {
         "symbols": _plain(symbols, "path"),
         "imports": _plain(scan.imports(found), "from_path"),

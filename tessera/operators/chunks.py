@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines_between
-from tessera.operators.graph import closure, last_wins
+from tessera.operators import graph
+from tessera.operators.graph import last_wins
+from tessera.operators.lineage import checkpointed
 
 STRATEGIES = ("function", "flow", "hybrid")
 
@@ -30,18 +32,26 @@ def function_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.unionByName(whole)
 
 
-def flow_chunks(functions: DataFrame, call_edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(id, type, content, members): per function all it reaches, in breadth-first order, as one chunk.
+def flow_chunks(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, type, content, members): functions with all they reach, in breadth-first order, as one chunk each.
 
-    ``functions`` has id, path, name and content; ``call_edges`` source_id and target_id. A function that calls
-    nothing stays a function chunk.
+    ``functions`` has id, path, name, content and place, an order in which they are gone through; ``calls`` (source_id,
+    name) reach every function of the name. A function that an earlier one reaches begins no chunk; one that reaches
+    no other is a function chunk. Callees of one function come in the order of their places.
     """
-    reach = closure(call_edges, max_depth).withColumnRenamed("node", "id")
-    parts = reach.join(functions, "id").select("start", "depth", "id", F.concat(F.lit("// "), "path", F.lit(":"), "name", F.lit("\n"), "content").alias("part"))
-    chains = parts.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("depth", "id", "part"))).alias("c")).where("size(c) > 1")
-    flows = chains.select(F.concat(F.lit("flow:"), "start").alias("id"), F.lit("flow").alias("type"), F.array_join(F.transform("c", lambda x: x["part"]), "\n\n").alias("content"), F.transform("c", lambda x: x["id"]).alias("members"))
-    single = functions.join(chains.select(F.col("start").alias("id")), "id", "left_anti").select("id", F.lit("function").alias("type"), "content", F.array("id").alias("members"))
-    return flows.unionByName(single)
+    known = functions.select("id", "name", "place")
+    begins = checkpointed(graph.first_callers(known, calls).where("place = first").select(F.col("id").alias("start")))
+    reach = graph.discovered(begins, known, calls).withColumnRenamed("node", "id")
+    part = F.concat(F.lit("// "), "path", F.lit(":"), "name", F.lit("\n"), "content").alias("part")
+    parts = reach.join(functions, "id").select("start", "depth", "number", "id", part, "content")
+    chains = parts.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("depth", "number", "id", "part", "content"))).alias("c"))
+    alone = F.size("c") == 1
+    return chains.select(
+        F.when(alone, F.col("start")).otherwise(F.concat(F.lit("flow:"), "start")).alias("id"),
+        F.when(alone, "function").otherwise("flow").alias("type"),
+        F.when(alone, F.col("c")[0]["content"]).otherwise(F.array_join(F.transform("c", lambda x: x["part"]), "\n\n")).alias("content"),
+        F.transform("c", lambda x: x["id"]).alias("members"),
+    )
 
 
 def hybrid(function: DataFrame, flow: DataFrame) -> DataFrame:
@@ -52,10 +62,10 @@ def hybrid(function: DataFrame, flow: DataFrame) -> DataFrame:
     return last_wins(kept.unionByName(added), "id", "ordinal")
 
 
-def create_chunks(strategy: str, files: DataFrame, symbols: DataFrame, functions: DataFrame, call_edges: DataFrame) -> DataFrame:
+def create_chunks(strategy: str, files: DataFrame, symbols: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "function":
         return function_chunks(files, symbols)
-    flow = flow_chunks(functions, call_edges)
+    flow = flow_chunks(functions, calls)
     return flow if strategy == "flow" else hybrid(function_chunks(files, symbols), flow)

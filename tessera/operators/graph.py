@@ -186,6 +186,52 @@ def _doubled(step: DataFrame) -> DataFrame:
         span *= 2
 
 
+def first_callers(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, name, place, first): for each function the least place among itself and all that reach it by calls.
+
+    ``functions`` has (id, name, place), places are unique; ``calls`` (source_id, name): a call reaches every function
+    of the name. Names stand between callers and functions, so a name called and defined many times costs the sum and
+    not the product of both. A round hands the least place on by one call and, as whoever has the place a function has got
+    reaches it too, takes over what that one has got; it ends when nothing changes.
+    """
+    step = checkpointed(calls.select(F.col("source_id").alias("id"), F.col("name").alias("called")).distinct())
+    labels = checkpointed(functions.select("id", "name", "place", F.col("place").alias("first")))
+    while True:
+        told = step.join(labels.select("id", "first"), "id").groupBy(F.col("called").alias("name")).agg(F.min("first").alias("_told"))
+        near = labels.join(told, "name", "left").withColumn("_near", F.least("first", F.coalesce("_told", "first")))
+        over = near.select(F.col("place").alias("_near"), F.col("_near").alias("_far"))
+        far = near.join(over, "_near").select("id", "name", "place", "first", F.least("_near", "_far").alias("_new"))
+        moved = checkpointed(far)
+        labels = moved.select("id", "name", "place", F.col("_new").alias("first"))
+        if moved.where("_new != first").isEmpty():
+            return labels
+
+
+def discovered(starts: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(start, node, depth, number): all that each of ``starts`` (start) reaches, in breadth-first order by (depth, number).
+
+    Within a level functions come by the number of who finds them first, then by their place. Arguments are those of
+    ``first_callers``. A level is two joins and a sum; it is checkpointed, and what is known is put together now and then.
+    """
+    step = checkpointed(calls.select(F.col("source_id").alias("node"), "name").distinct())
+    named = functions.select("name", F.col("id").alias("node"), "place")
+    frontier = checkpointed(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("number")))
+    rounds, depth = [frontier], 0
+    while True:
+        depth += 1
+        asked = frontier.join(step, "node").groupBy("start", "name").agg(F.min("number").alias("by"))
+        found = asked.join(named, "name").groupBy("start", "node").agg(F.min(F.struct("by", "place")).alias("key"))
+        known = reduce(DataFrame.unionByName, rounds).select("start", "node")
+        number = F.row_number().over(Window.partitionBy("start").orderBy("key"))
+        new = found.join(known, ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), number.alias("number"))
+        frontier = checkpointed(new)
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(frontier)
+        if len(rounds) > ROUNDS_KEPT:
+            rounds = [checkpointed(reduce(DataFrame.unionByName, rounds))]
+
+
 def communities_by_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): label propagation over the undirected simple graph, ties to the smaller label.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cleaned_comment, embedding_text
-from tessera.operators import analysis, chunks, summaries
+from tessera.operators import analysis, summaries
 from tessera.operators.extract import generated, scan
 from tessera.operators.extract.python_source import without_docstrings
 from tessera.operators.lineage import checkpointed
@@ -157,20 +157,51 @@ def function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "type", F.size(F.split("content", "\n", -1)).alias("lines"))
 
 
+#: Families of six functions in a file each: every one calls one of its own, some a second, and some families the next one.
+_FAMILIES = """
+fam AS (SELECT DISTINCT p_partkey // 6 AS f FROM part), fn AS (
+  SELECT f, j, (f - j % 6 + 6) % 6 AS pos, 'flow/d' || f % 7 || '/m' || f || '.py' AS path, 'fn' || f || '_' || j AS name FROM fam, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS j)
+), called AS (
+  SELECT f, j, 1 AS n, 'fn' || f || '_' || (j * (f % 5 + 1) + 1) % 6 AS name FROM fn UNION ALL SELECT f, j, 2, 'fn' || f || '_' || (j + f) % 6 FROM fn WHERE (j + f) % 3 = 0
+  UNION ALL SELECT f, j, 3, 'fn' || f + 1 || '_2' FROM fn WHERE f % 4 = 0 AND j = 3
+), body AS (SELECT f, j, 'def fn' || f || '_' || j || '():' || string_agg(chr(10) || '    ' || name || '()', '' ORDER BY n) AS code FROM called GROUP BY f, j),
+node AS (SELECT path || ':' || fn.name AS id, path, fn.name, f * 6 + pos AS place, code FROM fn JOIN body USING (f, j)),
+edge AS (SELECT DISTINCT fn.path || ':' || fn.name AS s, t.id AS t, t.place FROM called JOIN fn USING (f, j) JOIN node t ON t.name = called.name)
+"""
+
+
+def _family_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content, ordinal, repo_id): the files of ``_FAMILIES``."""
+    f = F.col("f")
+    families = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 6).alias("f")).distinct()
+
+    def function(i: int) -> Column:
+        j = (5 * i + f) % 6
+        name = lambda family, k: F.concat(F.lit("fn"), family.cast("string"), F.lit("_"), k.cast("string"))
+        call = lambda n: F.concat(F.lit("\n    "), n, F.lit("()"))
+        second = F.when((j + f) % 3 == 0, call(name(f, (j + f) % 6))).otherwise("")
+        third = F.when((f % 4 == 0) & (j == 3), call(name(f + 1, F.lit(2)))).otherwise("")
+        return F.concat(F.lit("def "), name(f, j), F.lit("():"), call(name(f, (j * (f % 5 + 1) + 1) % 6)), second, third)
+
+    path = F.concat(F.lit("flow/d"), (f % 7).cast("string"), F.lit("/m"), f.cast("string"), F.lit(".py"))
+    return families.select(path.alias("path"), F.concat_ws("\n\n", *[function(i) for i in range(6)]).alias("content"), f.alias("ordinal"), F.lit("r").alias("repo_id"))
+
+
 @query(
     "flow_chunks",
     "C1 C3 G3",
-    f"""WITH {_FILES} SELECT 'flow:' || path || ':run' || k AS id, 2 AS members FROM p WHERE nx IN (SELECT k FROM p)""",
+    f"""WITH RECURSIVE {_FAMILIES}, walk AS (
+      SELECT id AS start, id AS node, 0 AS d, [place] AS k, [id] AS seen FROM node
+      UNION ALL SELECT start, t, d + 1, list_append(k, edge.place), list_append(seen, t) FROM walk JOIN edge ON s = node WHERE NOT list_contains(seen, t)
+    ), best AS (SELECT start, node, min({{'d': d, 'k': k}}) AS o FROM walk GROUP BY 1, 2),
+    late AS (SELECT DISTINCT b.node FROM best b JOIN node x ON x.id = b.start JOIN node y ON y.id = b.node WHERE x.place < y.place),
+    chain AS (SELECT start, count(*) AS n, string_agg(node, ',' ORDER BY o) AS members, string_agg('// ' || path || ':' || name || chr(10) || code, chr(10) || chr(10) ORDER BY o) AS text, min(code) AS code FROM best JOIN node ON id = node WHERE start NOT IN (SELECT node FROM late) GROUP BY 1)
+    SELECT CASE WHEN n = 1 THEN start ELSE 'flow:' || start END AS id, CASE WHEN n = 1 THEN 'function' ELSE 'flow' END AS type, members, CASE WHEN n = 1 THEN code ELSE text END AS content FROM chain""",
 )
 def flow_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A method calls the function of the next file, which calls what is defined nowhere but its own class."""
-    files = _python_files(spark, sf_dir)
-    functions = scan.symbols(checkpointed(scan.found(files))).where("kind = 'function' and name != 'wait'")
-    ided = functions.select(F.concat_ws(":", "path", "name").alias("id"), "path", "name", F.col("body").alias("content"))
-    number = F.regexp_extract("name", "^run([0-9]+)$", 1)
-    callers = ided.where(number != "").select(F.col("id").alias("source_id"), F.concat(F.lit("f"), (number.cast("long") + 1).cast("string")).alias("name"))
-    edges = callers.join(ided.select("name", F.col("id").alias("target_id")), "name").select("source_id", "target_id")
-    return chunks.flow_chunks(ided, edges).where("type = 'flow'").select("id", F.size("members").alias("members"))
+    """Branches, cycles and chains that several functions share, from the files to the chunks."""
+    made = analysis.analyze(_family_files(spark, sf_dir), "flow")["chunks"]
+    return made.select("id", "type", F.array_join("members", ",").alias("members"), "content")
 
 
 @query("analysis_counters", "A10 C6", f"WITH {_FILES} SELECT (SELECT count(*) FROM part) AS files, 6 * count(*) + (SELECT count(*) FROM b) AS chunks, (SELECT count(*) FROM b) AS errors, 3 * count(*) AS \"function\", count(*) AS class, 0::BIGINT AS constant, 2 * count(*) AS method, 0::BIGINT AS route, 0::BIGINT AS default_export FROM p")

@@ -1,5 +1,7 @@
 """Extractors on a small hand-made repository."""
 
+import random
+
 from tessera.operators import chunks, graph, resolve
 from tessera.operators.extract import generated, python_source, scan, script_source
 
@@ -85,12 +87,47 @@ def test_tables_and_chunks(spark):
     assert deps.count() >= 0
 
 
+def _flows_one_by_one(functions, calls):
+    """Functions in order; a chain is a breadth-first walk over callees in order, and what it meets begins no other."""
+    done, chains = set(), {}
+    for f in functions:
+        if f in done:
+            continue
+        chain, queue = [f], [f]
+        while queue:
+            called = {n for s, n in calls if s == queue[0]}
+            queue.pop(0)
+            new = [g for g in functions if names[g] in called and g not in chain]
+            chain += new
+            queue += new
+        chains[f] = chain
+        done |= set(chain)
+    return chains
+
+
+names = {f"p{i}:{n}": n for i, n in enumerate("abcadxyzbwvu")}
+
+
+def test_flow_chunks_against_walks(spark):
+    """Random graphs with cycles, shared names and callers that are no function."""
+    rng = random.Random(3)
+    ids = list(names)
+    for density in (4, 9, 16, 30):
+        calls = {(rng.choice([*ids, "p0:unknown"]), rng.choice([*names.values(), "print"])) for _ in range(density)}
+        functions = spark.createDataFrame([(i, i.split(":")[0], names[i], f"body {i}", k) for k, i in enumerate(ids)], "id string, path string, name string, content string, place int")
+        made = chunks.flow_chunks(functions, spark.createDataFrame(list(calls), "source_id string, name string")).collect()
+        want = _flows_one_by_one(ids, calls)
+        assert {r.id.removeprefix("flow:"): r.members for r in made} == want
+        assert all((r.type == "flow") == (len(r.members) > 1) == r.id.startswith("flow:") for r in made)
+
+
 def test_flow_and_closure(spark):
-    functions = spark.createDataFrame([(i, "p", i, f"body {i}") for i in "fghz"], "id string, path string, name string, content string")
+    functions = spark.createDataFrame([(i, "p", i, f"body {i}", k) for k, i in enumerate("fghz")], "id string, path string, name string, content string, place int")
     edges = spark.createDataFrame([("f", "g"), ("g", "h"), ("h", "f"), ("z", "z")], "source_id string, target_id string")
-    got = {r.id: r for r in chunks.flow_chunks(functions, edges).collect()}
+    got = {r.id: r for r in chunks.flow_chunks(functions, edges.withColumnRenamed("target_id", "name")).collect()}
+    assert set(got) == {"flow:f", "z"}
     assert got["flow:f"].members == ["f", "g", "h"] and got["flow:f"].content.startswith("// p:f\nbody f")
-    assert got["z"].type == "function"
+    assert got["z"].type == "function" and got["z"].content == "body z"
     reached = {(r.start, r.node): r.depth for r in graph.closure(edges).collect()}
     assert reached[("f", "h")] == 2 and reached[("f", "f")] == 0
 

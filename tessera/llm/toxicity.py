@@ -1,7 +1,7 @@
 """Toxicity by subword bags: character n-gram vectors averaged into a linear softmax, trained jointly.
 
-A word is the mean of the vectors of its character n-grams (3 to 5 code points, lower case, white space
-marks word edges, hashed into ``BUCKETS`` rows). The words of a passage of ``PASSAGE`` words are averaged
+A word is the mean of the vectors of its character n-grams (3 to 5 code points, lower case, white space and
+punctuation mark word edges, hashed into ``BUCKETS`` rows). The words of a passage of ``PASSAGE`` words are averaged
 and go through a linear layer and a two-way softmax. A text scores as its most toxic passage, over
 passages at every word, so that a few words in a very long text are not averaged away. Vectors and the
 linear layer are trained together in numpy; misspelt and unseen words share n-grams with known ones.
@@ -12,6 +12,7 @@ prefix sums over them. This is the same function, without the width of the vecto
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,10 @@ SAMPLE_PER_LABEL = 2000
 CHUNK = 1 << 20
 #: Times in an epoch that the passages to learn from are chosen anew.
 RENEWALS = 3
+#: Part of the epochs whose passages are chosen by how the words spread over the labels, before the vectors can tell.
+WARM_SHARE = 3
+#: Weight of a text of label 1 none of whose passages stands out more than those of nearly all texts of label 0.
+PLAIN_WEIGHT = 0.2
 #: Small samples are gone through more often, so that the layer still gets this many steps.
 LEAST_STEPS = 300
 MOST_EPOCHS = 60
@@ -42,9 +47,17 @@ class Model:
     bias: float
 
 
+#: Punctuation of ASCII parts words as white space does.
+_GAPS = str.maketrans(dict.fromkeys(string.punctuation, " "))
+
+
+def _split(text: str) -> list[str]:
+    return text.lower().translate(_GAPS).split()
+
+
 def _codes(text: str) -> np.ndarray:
-    """Lower-cased code points with one space at either end and for each run of white space."""
-    return np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+    """Lower-cased code points with one space at either end and for each run of white space and punctuation."""
+    return np.frombuffer(f" {' '.join(_split(text))} ".encode("utf-32-le", "replace"), dtype=np.uint32)
 
 
 def _grams(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,7 +135,7 @@ def logits(texts: list[str | None], model: Model) -> np.ndarray:
 def _tokenised(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Per text the word ids of the whole text; the n-grams of the distinct words end to end, and where each word's begin."""
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int32) for t in texts]
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in _split(t)], dtype=np.int32) for t in texts]
     blocks, sizes = [np.zeros(0, dtype=np.int32)], np.zeros(len(ids), dtype=np.int64)
     words = list(ids)
     del ids
@@ -137,8 +150,19 @@ def _tokenised(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return docs, np.concatenate(blocks), np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
 
+def _telling(docs: list[np.ndarray], labels: np.ndarray, words: int) -> np.ndarray:
+    """Per word, by how many standard deviations more texts of label 1 have it than its number of texts makes one expect."""
+    of = [np.zeros(words, dtype=np.int64), np.zeros(words, dtype=np.int64)]
+    for d, label in zip(docs, labels):
+        of[label][np.unique(d)] += 1
+    expected = (of[0] + of[1]) * labels.mean()
+    return (of[1] - expected) / np.sqrt(expected + 1.0)
+
+
 def train(texts: list[str], labels: list[int], width: int = 16, epochs: int = 9, batch: int = 128, rate: float = 0.5, seed: int = 7) -> Model:
-    """Adagrad on the softmax loss of each text's most toxic passage; the rarer class weighs more."""
+    """Adagrad on the softmax loss of each text's most toxic passage; the rarer class weighs more.
+
+    A whole text is searched for its passage: at first by which words stand out in texts of label 1, then by the vectors."""
     labels_ = np.asarray(labels, dtype=np.int64)
     if not len(labels_) or labels_.min() == labels_.max():
         constant = 0.0 if not len(labels_) else (4.0 if labels_[0] else -4.0)
@@ -150,7 +174,7 @@ def train(texts: list[str], labels: list[int], width: int = 16, epochs: int = 9,
     layer[:, 1] = rng.normal(0, 0.5, width)
     bias = np.zeros(2, dtype=np.float32)
     seen_v, seen_l, seen_b = np.full(BUCKETS, 1e-2, dtype=np.float32), np.full((width, 2), 1e-2, dtype=np.float32), np.full(2, 1e-2, dtype=np.float32)
-    # half way to equal weight: with full weight, wrong labels of the rarer class are learned from clean words
+    # half way to equal weight: with full weight, more clean texts are rejected
     balance = np.sqrt(len(labels_) / (2.0 * np.bincount(labels_, minlength=2)))
 
     def gather(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +184,24 @@ def train(texts: list[str], labels: list[int], width: int = 16, epochs: int = 9,
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         return flat[starts[words][owner] + inside], owner
 
-    def best_passages() -> list[np.ndarray]:
-        """The most toxic passage of each text under the vectors as they are."""
-        folded = vectors @ (layer[:, 1] - layer[:, 0])
-        mean = np.add.reduceat(folded[flat], starts[:-1]) if len(flat) else np.zeros(0)
-        mean = mean / np.maximum(np.diff(starts), 1)
+    telling = _telling(docs, labels_, len(starts) - 1)
+
+    def standing_out() -> np.ndarray:
+        """Weight of each text: labels that no word of the text tells are learned from less."""
+        top = np.array([np.convolve(telling[d], np.ones(min(len(d), PASSAGE)), "valid").max() if len(d) else -np.inf for d in docs])
+        usual = np.quantile(top[labels_ == 0], 0.99)
+        return np.where((labels_ == 1) & (top <= usual), PLAIN_WEIGHT, 1.0)
+
+    weight = standing_out()
+
+    def best_passages(warm: bool) -> list[np.ndarray]:
+        """The most toxic passage of each text, by the words' spread or under the vectors as they are."""
+        if warm:
+            mean = telling
+        else:
+            folded = vectors @ (layer[:, 1] - layer[:, 0])
+            mean = np.add.reduceat(folded[flat], starts[:-1]) if len(flat) else np.zeros(0)
+            mean = mean / np.maximum(np.diff(starts), 1)
         found = []
         for d in docs:
             if len(d) > PASSAGE:
@@ -182,7 +219,7 @@ def train(texts: list[str], labels: list[int], width: int = 16, epochs: int = 9,
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
             if k % renew == 0:
-                passages = best_passages()
+                passages = best_passages(epoch * WARM_SHARE < epochs)
             chosen = [passages[i] for i in part]
             tokens = np.concatenate(chosen)
             of_doc = np.repeat(np.arange(len(part)), [len(c) for c in chosen])
@@ -195,7 +232,7 @@ def train(texts: list[str], labels: list[int], width: int = 16, epochs: int = 9,
             p /= p.sum(axis=1, keepdims=True)
             y = labels_[part]
             p[np.arange(len(part)), y] -= 1.0
-            p *= balance[y][:, None]
+            p *= (balance[y] * weight[part])[:, None]
             step = rate * (1 - epoch / epochs)
             back = (p @ layer.T)[target] * share[:, None]
             rows, inverse = np.unique(g, return_inverse=True)

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpointed
+
 #: Rows of a few numbers each up to which a counted side of a join is broadcast: some tens of MB.
 LIGHT_ROWS = 1_000_000
 
@@ -56,7 +58,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def fresh(docs: DataFrame, name: str) -> str:

@@ -181,6 +181,8 @@ def seeds(blocks: DataFrame, queries, weight: np.ndarray, count: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Queries = queries.value
         held: list[tuple[np.ndarray, list[str]]] = []
+        if not len(asked):
+            return
 
         def best() -> tuple[np.ndarray, np.ndarray]:
             bound = np.concatenate([b for b, _ in held])

@@ -1,18 +1,12 @@
-"""Semantic clusters of vectors and their labels.
-
-The projection is MLlib's PCA and the clustering bisecting k-means: both run distributed. They stand in for
-a manifold projection and density clustering that have no distributed form here and are no parity claim.
-"""
+"""Semantic clusters of vectors with their places in the plane, and labels for them."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import identifier_words, title_case
+from tessera.operators import density, layout
 
 # Fixed value: words that do not name a cluster.
 STOP_WORDS = (
@@ -33,14 +27,16 @@ def cluster_labels(members: DataFrame) -> DataFrame:
     return best.select("cluster", F.when(F.size("top") > 0, label).otherwise("General").alias("label"))
 
 
-def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, k: int, seed: int = 42) -> DataFrame:
-    """(id, cluster, x, y): a cluster per vector and its place in the plane, scaled to [-1, 1] per axis."""
-    rows = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("v")).where("v is not null")
+def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, min_cluster_size: int | None = None) -> DataFrame:
+    """(id, cluster, x, y): a density cluster per vector, -1 for noise, and its place in the plane, scaled to [-1, 1] per axis.
+
+    Rows as in ``density.numbered``; fewer than ``LEAST_SNIPPETS`` are noise in the middle."""
+    rows = density.numbered(vectors, id_col, vector_col)
     if len(rows.take(LEAST_SNIPPETS)) < LEAST_SNIPPETS:
         return rows.select("id", F.lit(-1).alias("cluster"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    plane = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows)
-    placed = BisectingKMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows).transform(plane)
-    xy = placed.select("id", "cluster", vector_to_array("p").alias("p")).select("id", "cluster", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    blocks = density.blocked(rows)
+    clustered = density.density_clusters(vectors, min_cluster_size=min_cluster_size, blocks=(rows, blocks))
+    xy = rows.select("n", "id").join(layout.laid_out(rows, blocks), "n").select("id", "x", "y")
     ends = xy.agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))])
-    scaled = [((F.col(c) - F.col(f"{c}0")) / F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-6)) * 2 - 1).alias(c) for c in "xy"]
-    return xy.join(F.broadcast(ends)).select("id", "cluster", *scaled)
+    scaled = [F.round((F.col(c) - F.col(f"{c}0")) / F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-6)) * 2 - 1, 4).alias(c) for c in "xy"]
+    return xy.join(F.broadcast(ends)).join(clustered, "id").select("id", "cluster", *scaled)

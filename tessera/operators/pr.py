@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,8 +166,48 @@ def diff_lines(patches: DataFrame, *key: str) -> DataFrame:
     return rows.select(*key, "pos", "hunk", "sign", new_line.alias("new_line"), F.expr("substring(line, 2)").alias("text")).where("sign != '@'")
 
 
-def diff_snippet(lines: DataFrame, wanted: DataFrame, *key: str, context: int = 5, most: int = 25) -> DataFrame:
-    """(key…, target, snippet): the new lines within ``context`` of each wanted line, at most ``most``."""
-    near = wanted.join(lines.where("new_line is not null"), list(key)).where(F.abs(F.col("new_line") - F.col("target")) <= context)
-    rows = near.groupBy(*key, "target").agg(F.sort_array(F.collect_list(F.struct("new_line", "text"))).alias("l"))
-    return rows.select(*key, "target", F.array_join(F.transform(F.slice("l", 1, most), lambda x: x["text"]), "\n").alias("snippet"))
+# Begins of lines that are no part of a hunk.
+FILE_HEADERS = ("diff --git", "index ", "--- a/", "+++ b/")
+
+
+def _begins(line: Column, *heads: str) -> Column:
+    return reduce(Column.__or__, [line.startswith(h) for h in heads])
+
+
+def _place_of_line(lines: Column, target: Column) -> Column:
+    """Place of the line that is number ``target`` of the new file, counted within hunks that can reach it; -1 for none.
+
+    A hunk can reach up to 20 lines behind its stated length. Empty lines, removals and ``\\`` marks are not counted."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("on"), F.lit(-1).alias("at"))
+
+    def step(s: Column, line: Column) -> Column:
+        head = line.startswith("@@")
+        number = lambda g: F.regexp_extract(line, r"\+([0-9]+)(?:,([0-9]+))?", g)
+        begins = head & (number(1) != "")
+        first, length = number(1).try_cast("int"), F.coalesce(number(2).try_cast("int"), F.lit(0))
+        on = F.when(begins, F.coalesce(target.between(first, first + length + 20), F.lit(False))).otherwise(s["on"])
+        counts = s["on"] & ~head & ~_begins(line, *FILE_HEADERS) & (line != "") & ~line.startswith("\\") & (~line.startswith("-") | line.startswith("---"))
+        n = F.when(begins & on, first - 1).when(counts, s["n"] + 1).otherwise(s["n"])
+        at = F.when((s["at"] < 0) & counts & (n == target), s["i"]).otherwise(s["at"])
+        return F.struct((s["i"] + 1).alias("i"), F.coalesce(n, s["n"]).alias("n"), on.alias("on"), at.alias("at"))
+
+    return F.aggregate(lines, state, step, lambda s: s["at"])
+
+
+def diff_snippet(patches: DataFrame, wanted: DataFrame, *key: str, context: int = 5) -> DataFrame:
+    """(key…, target, snippet): what a patch shows around a line of the new file.
+
+    These are the lines up to ``context`` before and behind it as they stand in the patch, at most 25, without blank lines
+    and headers. Where the patch does not have the line, it is what stands around its first hunk header, at most 20
+    lines; where it has no hunk either, or there is no patch, the snippet is empty. One row per wanted line; a patch is one value, so
+    its lines stay in it."""
+    j = wanted.join(patches, list(key), "left").withColumn("_l", F.split(F.coalesce("patch", F.lit("")), "\n"))
+    bare = lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")
+    shown = lambda lines, most, *heads: F.slice(F.filter(lines, lambda x: (bare(x) != "") & ~_begins(bare(x), *heads)), 1, most)
+    around = lambda at, before, behind: F.slice("_l", F.greatest(at - before, F.lit(0)) + 1, at + behind - F.greatest(at - before, F.lit(0)))
+    j = j.withColumn("_at", _place_of_line(F.col("_l"), F.col("target")))
+    j = j.withColumn("_first", F.coalesce(F.array_position(F.transform("_l", lambda x: x.startswith("@@")), F.lit(True)).cast("int"), F.lit(0)) - 1)
+    near = F.when(F.col("_at") >= 0, shown(around(F.col("_at"), context, context + 1), 25, *FILE_HEADERS, "@@"))
+    hunk = F.when(F.col("_first") >= 0, shown(around(F.col("_first"), 2, 15), 20, *FILE_HEADERS))
+    lines = F.when(F.size(near) > 0, near).when(F.size(hunk) > 0, hunk).otherwise(F.array().cast("array<string>"))
+    return j.select(*key, "target", F.array_join(lines, "\n").alias("snippet"))

@@ -110,19 +110,30 @@ def resolve_references(references: DataFrame, chunks: DataFrame) -> DataFrame:
     return references.select("ref", normal_reference(F.col("ref")).alias("key")).join(best, "key", "left").select("ref", "chunk_id")
 
 
-def unmatched_references(resolved: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(ref, chunk_id) for unresolved references: the first chunk whose content contains the name, as it is or stripped.
+def _bare(name: Column) -> Column:
+    return F.translate(name, "_", "")
 
-    Stripped is in lower case and without underscores, on both sides; a name of which nothing is left matches as it is only.
+
+def unmatched_references(resolved: DataFrame, chunks: DataFrame, context: int = 5) -> DataFrame:
+    """(ref, chunk_id, context) for unresolved references: the first chunk one of whose lines contains the name, as it is or
+    with underscores left out on both sides, and that line with ``context`` lines to either side. The case of letters counts.
+
+    A name with a line break is in no line; one of which nothing is left without underscores matches as it is only. Only the
+    chunk that is found is cut into lines: the line is the number of breaks before the first occurrence of either form.
     """
-    open_ = resolved.where("chunk_id is null").select("ref", normal_reference(F.col("ref")).alias("bare")).distinct()
+    open_ = resolved.where("chunk_id is null").select("ref", _bare(F.col("ref")).alias("bare")).distinct()
+    asked = open_.where(~F.contains("ref", F.lit("\n")))
     rows = chunks.select("id", "chunk_rank", "content")
-    exact = occurrences(rows, open_, name="ref").withColumnRenamed("name", "ref")
-    stripped = occurrences(rows.withColumn("content", normal_reference(F.col("content"))), open_, name="bare").withColumnRenamed("name", "bare")
+    exact = occurrences(rows, asked, name="ref").withColumnRenamed("name", "ref")
+    stripped = occurrences(rows.withColumn("content", _bare(F.col("content"))), asked, name="bare").withColumnRenamed("name", "bare")
     first = lambda hits, key: hits.groupBy(key).agg(F.min(F.struct("chunk_rank", "id")).alias("c"))
-    found = first(exact, "ref").unionByName(open_.join(first(stripped, "bare"), "bare").select("ref", "c"))
-    best = found.groupBy("ref").agg(F.min("c").alias("c")).select("ref", F.col("c.id").alias("chunk_id"))
-    return open_.select("ref").distinct().join(best, "ref", "left")
+    found = first(exact, "ref").unionByName(asked.join(first(stripped, "bare"), "bare").select("ref", "c"))
+    best = found.groupBy("ref").agg(F.min("c").alias("c")).select("ref", F.col("c.id").alias("chunk_id"), _bare(F.col("ref")).alias("bare"))
+    line = lambda name, text: F.when((F.length(name) > 0) & F.contains(text, name), F.size(F.split(F.left(text, F.position(name, text) - 1), "\n")))
+    shown = best.join(rows.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").withColumn("_at", F.least(line(F.col("ref"), F.col("content")), line(F.col("bare"), _bare(F.col("content")))))
+    start = F.greatest(F.col("_at") - context, F.lit(1))
+    text = F.array_join(F.slice(F.split("content", "\n"), start, F.col("_at") + context + 1 - start), "\n")
+    return open_.select("ref").join(shown.select("ref", "chunk_id", text.alias("context")), "ref", "left")
 
 
 def calls_made(sites: DataFrame) -> DataFrame:

@@ -142,9 +142,23 @@ def cluster_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_labels(table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("cluster"), F.regexp_replace("p_name", " ", "_").alias("name")))
 
 
-@query("vector_clusters", "V3 A18")
+@query("vector_clusters", "V3")
 def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substitute for the reference's projection and density clustering; tested by its invariants."""
+    """Density clusters and places in the plane; held against a single-linkage tree built edge by edge in the tests."""
     from tessera.operators.cluster import cluster_vectors
 
-    return cluster_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("cluster_noise", "A18 V3", """WITH v AS (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) SELECT count(*) AS vectors, true AS all_placed, greatest(2, count(*) // 40)::INT AS least_size, true AS least_held FROM v""")
+def cluster_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters and noise counted: every vector is in one or the other, and no cluster is smaller than a fortieth of all."""
+    from tessera.operators import density
+
+    rows = density.numbered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    count = rows.count()
+    least = max(2, count // 40)
+    clustered = density.density_clusters(rows, "id", "v", least, blocks=(rows, density.blocked(rows)))
+    sizes = clustered.where("cluster >= 0").groupBy("cluster").count().agg(F.coalesce(F.min("count"), F.lit(least)).alias("_s"))
+    totals = density.cluster_counts(clustered).join(F.broadcast(sizes))
+    return totals.select((F.col("noise") + F.col("members")).alias("vectors"), (F.col("noise") + F.col("members") == count).alias("all_placed"), F.lit(least).alias("least_size"), (F.col("_s") >= least).alias("least_held"))

@@ -141,11 +141,18 @@ def ref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ref_unmatched",
     "J14",
-    """WITH r AS (SELECT item_id, text AS ref FROM benchmark) SELECT ref, min(doc_id) AS chunk_id FROM (SELECT DISTINCT ref FROM r)
-    LEFT JOIN documents ON contains(text, ref) OR contains(replace(lower(text), '_', ''), replace(lower(ref), '_', '')) GROUP BY 1""",
+    """WITH b AS (SELECT item_id, split_part(text, chr(10), 1) AS t, text FROM benchmark),
+    r AS (SELECT t AS ref FROM b UNION SELECT left(t, 3) || '_' || t[4:] FROM b UNION SELECT replace(t, 'e', 'E') FROM b UNION SELECT text FROM b UNION SELECT '_' || split_part(t, ' ', 2) FROM b),
+    f AS (SELECT ref, min(doc_id) AS chunk_id FROM r JOIN documents ON NOT contains(ref, chr(10)) AND (contains(text, ref) OR replace(ref, '_', '') <> '' AND contains(replace(text, '_', ''), replace(ref, '_', ''))) GROUP BY 1),
+    l AS (SELECT ref, chunk_id, string_split(text, chr(10)) AS ls FROM f JOIN documents ON doc_id = chunk_id),
+    n AS (SELECT *, list_position(list_transform(ls, lambda x: contains(x, ref) OR replace(ref, '_', '') <> '' AND contains(replace(x, '_', ''), replace(ref, '_', ''))), true) AS i FROM l)
+    SELECT ref, chunk_id, array_to_string(ls[greatest(1, i - 5):i + 5], chr(10)) AS context FROM r LEFT JOIN n USING (ref)""",
 )
 def ref_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "benchmark").select(F.col("text").alias("ref"), F.lit(None).cast("string").alias("chunk_id"))
+    """Names as they stand in a text, with an underscore more, in other case, and over several lines."""
+    t = F.substring_index("text", "\n", 1)
+    forms = [t, F.concat(F.substring(t, 1, 3), F.lit("_"), t.substr(F.lit(4), F.length(t))), F.regexp_replace(t, "e", "E"), F.col("text"), F.concat(F.lit("_"), F.split_part(t, F.lit(" "), F.lit(2)))]
+    refs = table(spark, sf_dir, "benchmark").select(F.explode(F.array(*forms)).alias("ref"), F.lit(None).cast("string").alias("chunk_id"))
     c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("chunk_rank"), F.col("text").alias("content"))
     return resolve.unmatched_references(refs, c)
 

@@ -143,8 +143,29 @@ def diff_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", *[F.col(c).cast("long").alias(c) for c in ("pos", "hunk")], "sign", F.col("new_line").cast("long").alias("new_line"), "text")
 
 
-@query("diff_snippets", "F21", f"WITH {_PATCH} SELECT k, 3::BIGINT AS target, string_agg(line[2:], chr(10) ORDER BY new_line) AS snippet FROM n WHERE new_line BETWEEN 3 - 5 AND 3 + 5 GROUP BY 1")
+#: Patches with file headers, blank lines, removals that look like headers, hunks longer than they say, and none at all.
+_TARGETS = """
+o AS (SELECT c_custkey AS k, (c_custkey % 71)::INT AS target, CASE c_custkey % 10 WHEN 0 THEN ['no hunk here'] WHEN 1 THEN ['diff --git a/x b/x', '@@ nothing @@', '   '] ELSE
+  list_concat(['diff --git a/x b/x', 'index 1..2', '--- a/x', '+++ b/x', '@@ -1,3 +' || (c_custkey % 9 + 1) || ',4 @@ head', ' ' || c_name, '-old', '---- old rule', '', '+new ' || c_mktsegment, '  ', '++++more', ' end'],
+    list_concat(list_transform(range(0, c_custkey % 30), lambda i: '+line ' || i), ['@@ -40 +' || (50 + c_custkey % 5) || ' @@', '+last', '\\ No newline at end of file'])) END AS ls FROM customer),
+l AS (SELECT k, target, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM o),
+b AS (SELECT *, trim(line) AS bare, starts_with(line, '@@') AS head, regexp_extract(line, '\\+([0-9]+)(?:,([0-9]+))?', 1) AS s1, regexp_extract(line, '\\+([0-9]+)(?:,([0-9]+))?', 2) AS s2, regexp_matches(line, '^(diff --git|index |--- a/|[+]{3} b/)') AS file FROM l),
+h AS (SELECT *, sum(CASE WHEN head AND s1 <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS hunk, NOT head AND NOT file AND line <> '' AND NOT starts_with(line, chr(92)) AND (NOT starts_with(line, '-') OR starts_with(line, '---')) AS counts FROM b),
+g AS (SELECT *, max(CASE WHEN head AND s1 <> '' THEN s1::INT END) OVER (PARTITION BY k, hunk) AS s, max(CASE WHEN head AND s1 <> '' THEN CASE WHEN s2 = '' THEN 0 ELSE s2::INT END END) OVER (PARTITION BY k, hunk) AS c FROM h),
+n AS (SELECT *, s - 1 + sum(CASE WHEN counts THEN 1 ELSE 0 END) OVER (PARTITION BY k, hunk ORDER BY pos) AS number FROM g),
+found AS (SELECT k, min(pos) FILTER (hunk > 0 AND counts AND target BETWEEN s AND s + c + 20 AND number = target) AS hit, min(pos) FILTER (head) AS first FROM n GROUP BY k),
+p AS (SELECT k, pos, line, 1 AS way FROM n JOIN found USING (k) WHERE pos BETWEEN hit - 5 AND hit + 5 AND bare <> '' AND NOT regexp_matches(bare, '^(diff --git|index |--- a/|[+]{3} b/|@@)')
+  UNION ALL SELECT k, pos, line, 2 FROM n JOIN found USING (k) WHERE pos BETWEEN first - 2 AND first + 14 AND bare <> '' AND NOT regexp_matches(bare, '^(diff --git|index |--- a/|[+]{3} b/)')),
+t AS (SELECT k, way, string_agg(line, chr(10) ORDER BY pos) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY k, way ORDER BY pos) AS r FROM p) WHERE r <= CASE way WHEN 1 THEN 25 ELSE 20 END GROUP BY k, way)
+"""
+
+
+@query("diff_snippets", "F21", f"WITH {_TARGETS} SELECT o.k, o.target, coalesce(min_by(snippet, way), '') AS snippet FROM o LEFT JOIN t ON t.k = o.k GROUP BY 1, 2")
 def diff_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patches = _patches(spark, sf_dir)
-    wanted = patches.select("k", F.lit(3).cast("long").alias("target"))
-    return pr.diff_snippet(pr.diff_lines(patches, "k"), wanted, "k")
+    k = F.col("c_custkey")
+    hunk = F.array(*[F.lit(x) for x in ("diff --git a/x b/x", "index 1..2", "--- a/x", "+++ b/x")], F.concat(F.lit("@@ -1,3 +"), (k % 9 + 1).cast("string"), F.lit(",4 @@ head")), F.concat(F.lit(" "), "c_name"), F.lit("-old"), F.lit("---- old rule"), F.lit(""), F.concat(F.lit("+new "), "c_mktsegment"), F.lit("  "), F.lit("++++more"), F.lit(" end"))
+    more = F.filter(F.transform(F.sequence(F.lit(0), k % 30), lambda i: F.when(i < k % 30, F.concat(F.lit("+line "), i.cast("string")))), lambda x: x.isNotNull())
+    last = F.array(F.concat(F.lit("@@ -40 +"), (k % 5 + 50).cast("string"), F.lit(" @@")), F.lit("+last"), F.lit("\\ No newline at end of file"))
+    lines = F.when(k % 10 == 0, F.array(F.lit("no hunk here"))).when(k % 10 == 1, F.array(F.lit("diff --git a/x b/x"), F.lit("@@ nothing @@"), F.lit("   "))).otherwise(F.concat(hunk, more, last))
+    patches = table(spark, sf_dir, "customer").select(k.alias("k"), F.array_join(lines, "\n").alias("patch"))
+    return pr.diff_snippet(patches, table(spark, sf_dir, "customer").select(k.alias("k"), (k % 71).cast("int").alias("target")), "k")

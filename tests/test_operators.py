@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import chunks, cluster, files, graph, pr, retrieve, store, sync, tree, validate, vector
+from tessera.operators import chunks, cluster, files, graph, pr, resolve, retrieve, store, sync, tree, validate, vector
 from tessera.sources import embeddings, repos
 from tessera.streaming import sync_jobs
 
@@ -74,10 +74,11 @@ def test_communities(spark):
 
 
 def test_clusters(spark):
-    v = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2, 0.01 * i]) for i in range(20)], "id long, v array<double>")
-    got = cluster.cluster_vectors(v, "id", "v", 2).collect()
-    assert len({r.cluster for r in got if r.id % 2}) == 1 and {r.cluster for r in got} == {0, 1}
-    assert all(-1 <= r.x <= 1 and -1 <= r.y <= 1 for r in got)
+    """Two groups far apart and a row between them; near rows stay near in the plane."""
+    v = spark.createDataFrame([(i, [10.0 * (i % 2), 0.1 * (i // 2), 0.01 * (i % 3)]) for i in range(20)] + [(20, [5.0, 50.0, 0.0])], "id long, v array<double>")
+    got = {r.id: r for r in cluster.cluster_vectors(v, "id", "v", 5).collect()}
+    assert {i: r.cluster for i, r in got.items()} == {i: i % 2 if i < 20 else -1 for i in range(21)}
+    assert all(-1 <= r.x <= 1 and -1 <= r.y <= 1 for r in got.values())
     assert {r.cluster for r in cluster.cluster_vectors(v.limit(2), "id", "v", 2).collect()} == {-1}
     labels = cluster.cluster_labels(spark.createDataFrame([(0, "getUser"), (0, "userName"), (1, "get"), (2, "x")], "cluster int, name string"))
     assert {r.cluster: r.label for r in labels.collect()} == {0: "User & Name", 1: "General", 2: "General"}
@@ -259,3 +260,27 @@ def test_tree(spark):
 def test_strategies(spark):
     with pytest.raises(ValueError):
         chunks.create_chunks("other", None, None, None, None)
+
+
+def test_unmatched_references(spark):
+    """Case counts, underscores do not; the context is the lines around the first line that has the name."""
+    lines = [f"line {i}" for i in range(20)]
+    lines[8], lines[12] = "uses load_it_all here", "loaditall"
+    chunks_ = spark.createDataFrame([(1, 1, "LoadItAll\nonly in other case"), (2, 2, "\n".join(lines)), (3, 3, "load_itall")], "id long, chunk_rank long, content string")
+    refs = spark.createDataFrame([("loadItAll", None), ("loaditall", None), ("load_it_all", None), ("LoadItAll", None), ("two\nlines", None), ("_", None), ("done", 5)], "ref string, chunk_id long")
+    got = {r.ref: (r.chunk_id, r.context) for r in resolve.unmatched_references(refs, chunks_).collect()}
+    around = "\n".join(lines[3:14])
+    assert got == {"loadItAll": (None, None), "loaditall": (2, around), "load_it_all": (2, around), "LoadItAll": (1, "LoadItAll\nonly in other case"), "two\nlines": (None, None), "_": (2, around)}
+
+
+def test_diff_snippets(spark):
+    """The line in its hunk; a line behind the hunk or without one falls back; nothing where there is no patch."""
+    patch = "diff --git a b\n--- a/f\n+++ b/f\n@@ -1,3 +10,4 @@\n ten\n-gone\n+eleven\n\n twelve\n@@ -90 +100 @@\n+hundred\n" + "\n".join(f"+l{i}" for i in range(40))
+    patches = spark.createDataFrame([("p", patch), ("q", "no hunk"), ("n", None)], "k string, patch string")
+    wanted = spark.createDataFrame([("p", 11), ("p", 12), ("p", 100), ("p", 130), ("p", 5), ("q", 1), ("n", 1), ("none", 1)], "k string, target int")
+    got = {(r.k, r.target): r.snippet for r in pr.diff_snippet(patches, wanted, "k").collect()}
+    assert got["p", 11] == " ten\n-gone\n+eleven\n twelve\n+hundred\n+l0" and got["p", 12].endswith(" twelve\n+hundred\n+l0\n+l1\n+l2")
+    assert got["p", 100].split("\n")[-6:] == ["+hundred", "+l0", "+l1", "+l2", "+l3", "+l4"]
+    fallback = "@@ -1,3 +10,4 @@\n ten\n-gone\n+eleven\n twelve\n@@ -90 +100 @@\n+hundred\n" + "\n".join(f"+l{i}" for i in range(7))
+    assert got["p", 5] == got["p", 130] == fallback
+    assert got["q", 1] == got["n", 1] == got["none", 1] == ""

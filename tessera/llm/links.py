@@ -3,8 +3,9 @@
 ``spanned`` gets keys with the rows that have them and a check of pairs. In a round every key compares its rows with
 one of them, its centre, and drops it; what the links have joined by then needs no comparison any more. Keys whose
 rows are all of one group are done, keys with the same rows count once. As soon as the pairs between different groups
-that are left are few for the number of rows, all of them are checked. So the groups are exactly those that all pairs
-of each key would give, while a family of copies costs each of its members a comparison or two.
+that are left are few for the number of rows, all of them are checked; or, after one round, those that a cheaper look at
+the rows of a key leaves. So the groups are exactly those that all pairs of each key would give, while a family of copies
+costs each of its members a comparison or two.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from tessera.llm.components import connected_components
 #: Rounds with centres before the pairs that are left are checked whatever their number.
 ROUNDS = 12
 #: Pairs for each row of the open keys that are few enough to check all of them.
-FEW = 4
-LEAST = 100_000
+FEW = 2
+LEAST = 20_000
 
 
 def _same_rows() -> list[Column]:
@@ -38,11 +39,12 @@ def _once(groups: DataFrame) -> DataFrame:
     return groups.groupBy("n", "x", "y").agg(F.min(F.struct("key", "centre")).alias("g")).select("g.key", F.col("g.centre.t").alias("centre"))
 
 
-def spanned(members: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def spanned(members: DataFrame, check: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of all rows linked to another, over links that join the same groups as all pairs would.
 
     ``members`` has (key long, t long, d): a row ``t`` under a key once, with the same ``d`` everywhere, which says how
-    likely it is a good centre. ``check`` keeps those pairs (a, b) that are links.
+    likely it is a good centre. ``check`` keeps those pairs (a, b) that are links. ``within``, if given, gets rows (key, t, of)
+    and gives the pairs (a, b), a < b, under one key and with different ``of`` that may be links.
     """
     spark = members.sparkSession
     members = cut(members.select("key", "t", "d"))
@@ -63,8 +65,10 @@ def spanned(members: DataFrame, check: Callable[[DataFrame], DataFrame], rounds:
         if not rows:
             return roots
         open_rows = cut(left.join(light(_once(groups)), "key"))
-        last = pairs <= max(LEAST, FEW * rows) or n == rounds - 1
-        if last:
+        last = within is not None or pairs <= max(LEAST, FEW * rows) or n == rounds - 1
+        if within is not None:
+            asked = within(open_rows.select("key", "t", "of"))
+        elif last:
             one, other = open_rows.select("key", "t", "of"), open_rows.select("key", F.col("t").alias("u"), F.col("of").alias("of_u"))
             asked = one.join(other, "key").where("of < of_u").select(*_ordered(F.col("t"), F.col("u")))
         else:

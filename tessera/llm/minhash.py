@@ -3,11 +3,12 @@
 A table key needs ``2 * width`` minhashes to tell texts apart, and ``tables`` tables each with new ones would cost
 their product. Here two collections of ``side`` short keys, each of ``width`` minhashes, are made, and a table takes
 one key of either: ``side`` squared tables from ``2 * side * width`` minhashes. Two sets of similarity s meet in no
-table only if all keys of a collection differ, (1 - s**width)**side for either: 7e-5 together at 0.85 and less
-above. Keys of which no second set has the same are left out before they are combined.
+table only if all keys of a collection differ, (1 - s**width)**side for either: 1.5e-4 together at 0.85, 2.4e-5 at 0.87.
+Keys of which no second set has the same are left out before they are combined.
 
-Texts with one shingle set are one entry. The sets that share a table key are compared on their full shingle sets,
-by ``links.spanned``, which gives the groups of all pairs of a table without making them.
+Texts with one shingle set are one entry. Sets that share a table key are compared by ``links.spanned``, which gives
+the groups of all pairs of a table without making them: first by a byte of each minhash, of which similar sets
+have so many in common that none fails (``SIGMAS``), then by their full shingle sets.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from tessera.llm.links import spanned
 from tessera.llm.simhash import LIGHT_KEYS, text_key
 
 SEED = 42
-SIDE = 14
-WIDTH = 4
+SIDE = 20
+WIDTH = 6
+#: Standard deviations below the expected number of equal minhashes at which a pair is not compared in full: 1e-11.
+SIGMAS = 7
 _ROWS = 2048
 
 
@@ -57,24 +60,26 @@ class Collections:
         self.mask = rng.integers(0, 2**64, n, dtype=np.uint64)
         self.factor = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The keys of a set that isn't empty, those of the first collection before those of the second."""
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """The keys of a set that isn't empty, those of the first collection before those of the second; a byte of each minhash."""
         least = np.full(len(self.mask), np.iinfo(np.uint64).max, dtype=np.uint64)
         for k in range(0, len(hashes), _ROWS):
             mixed = hashes[k : k + _ROWS, None] ^ self.mask
             mixed ^= mixed >> np.uint64(32)
             mixed *= self.factor
             np.minimum(least, mixed.min(axis=0), out=least)
+        small = (least >> np.uint64(8)).astype(np.uint8).tobytes()
         least = least.reshape(2 * self.side, self.width)
         out = np.zeros(2 * self.side, dtype=np.uint64)
         for j in range(self.width):
             out = (out ^ least[:, j]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
-        return out.view(np.int64)
+        return out.view(np.int64), small
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, collections: Collections) -> DataFrame:
-    """(id, k, s, n, keys): the keys of the text and of its shingle set (null without words), its size and short keys."""
+    """(id, k, s, n, keys, small): the keys of the text and of its shingle set (null without words), its size, short keys
+    and a byte of each minhash."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -82,10 +87,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, collection
         for batch in batches:
             found = [shingles(t.as_py(), width) for t in batch.column("text")]
             sets = pa.array([hashlib.md5(h.tobytes()).digest() if len(h) else None for h in found], type=pa.binary())
-            keys = pa.array([collections.keys(h) if len(h) else None for h in found], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), sets, pa.array([len(h) for h in found], type=pa.int64()), keys], names=["id", "k", "s", "n", "keys"])
+            made = [collections.keys(h) if len(h) else (None, None) for h in found]
+            keys, small = pa.array([k for k, _ in made], type=pa.list_(pa.int64())), pa.array([b for _, b in made], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), sets, pa.array([len(h) for h in found], type=pa.int64()), keys, small], names=["id", "k", "s", "n", "keys", "small"])
 
-    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, keys array<long>, small binary")
 
 
 def table_entries(texts: DataFrame, side: int) -> DataFrame:
@@ -93,8 +99,8 @@ def table_entries(texts: DataFrame, side: int) -> DataFrame:
     short = texts.select("t", F.posexplode("keys").alias("i", "v"))
     again = short.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     own = short.join(again, ["i", "v"]).groupBy("t").agg(F.collect_list(F.struct("i", "v")).alias("own"), F.floor(F.sum(F.log2("c")) * 16).alias("d"))
-    a, b = (F.filter("own", lambda e, low=low: (e["i"] >= low) & (e["i"] < low + side)) for low in (0, side))
-    both = own.select("t", "d", F.explode(a).alias("a"), b.alias("b")).select("t", "d", "a", F.explode("b").alias("b"))
+    first, second = F.filter("own", lambda e: e["i"] < side), F.filter("own", lambda e: e["i"] >= side)
+    both = own.select("t", "d", F.explode(first).alias("a"), second.alias("b")).select("t", "d", "a", F.explode("b").alias("b"))
     return both.select(F.xxhash64("a.i", "a.v", "b.i", "b.v").alias("key"), "t", "d")
 
 
@@ -114,14 +120,87 @@ def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, wid
     return chosen.mapInArrow(run, "t long, h array<long>").dropDuplicates(["t"])
 
 
-def compared(sets: DataFrame, sizes: DataFrame, num: int, den: int):
-    """A check of pairs: those whose full sets have an intersection of at least ``num`` / ``den`` of their union."""
+def alike(pairs: DataFrame, least: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ``small_a`` and ``small_b`` have ``least`` or more bytes in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("small_a", "small_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return pairs.select("a", "b", "small_a", "small_b").mapInArrow(run, "a long, b long")
+
+
+def least_equal(num: int, den: int, minhashes: int) -> int:
+    """How many of the minhashes of similar sets are equal at least."""
+    share = num / den
+    return int(minhashes * share - SIGMAS * (minhashes * share * (1 - share)) ** 0.5)
+
+
+#: Bytes of minhashes that are compared at once.
+_AT_ONCE = 1 << 24
+
+
+def near_rows(t: np.ndarray, of: np.ndarray, n: np.ndarray, small: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
+    """The pairs among the rows of a key, of different groups, that sizes and bytes of minhashes let be similar."""
+    found, width = [np.zeros((0, 2), dtype=np.int64)], small.shape[1]
+    step = max(1, _AT_ONCE // (len(t) * width))
+    for i in range(0, len(t), step):
+        a = slice(i, i + step)
+        ok = (of[a, None] != of[None, :]) & (t[a, None] < t[None, :]) & (den * np.minimum(n[a, None], n[None, :]) >= num * np.maximum(n[a, None], n[None, :]))
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), _AT_ONCE // width):
+            p, q = x[k : k + _AT_ONCE // width] + i, y[k : k + _AT_ONCE // width]
+            same = (small[p] == small[q]).sum(axis=1) >= least
+            found.append(np.stack([t[p[same]], t[q[same]]], axis=1))
+    return np.concatenate(found)
+
+
+def within_keys(sizes: DataFrame, least: int, num: int, den: int):
+    """Pairs under one key by ``near_rows``; ``sizes`` has (t, n, small)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+            key, *rest = (np.concatenate(c) for c in zip(*held))
+            ends = np.flatnonzero(np.r_[key[1:] != key[:-1], last])
+            start, pairs = 0, []
+            for e in (ends + 1).tolist():
+                if e - start > 1:
+                    pairs.append(near_rows(*[c[start:e] for c in rest], least, num, den))
+                start = e
+            held[:] = [tuple(c[start:] for c in (key, *rest))] if start < len(key) else []
+            if pairs:
+                p = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                bytes_ = np.frombuffer(b"".join(batch.column("small").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+                held.append((*[batch.column(c).to_numpy() for c in ("key", "t", "of", "n")], bytes_))
+                yield from groups(False)
+        if held:
+            yield from groups(True)
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        full = rows.join(sizes, "t").select("key", "t", "of", "n", "small").repartition("key").sortWithinPartitions("key")
+        return full.mapInArrow(scan, "a long, b long")
+
+    return pairs
+
+
+def compared(sets: DataFrame, sizes: DataFrame, num: int, den: int, least: int):
+    """A check of pairs: those whose full sets have an intersection of at least ``num`` / ``den`` of their union.
+
+    ``sizes`` has (t, n, small). Pairs whose sizes or minhashes exclude that don't get their sets."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"))
+        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"small_{c}"))
         side = lambda c: sets.select(F.col("t").alias(c), F.col("h").alias(f"h_{c}"))
-        near = pairs.join(size("a"), "a").join(size("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b")
-        both = near.join(side("a"), "a").join(side("b"), "b")
+        near = pairs.join(size("a"), "a").join(size("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        both = cut(alike(near, least)).join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("h_a", "h_b"))
         return both.where(den * common >= num * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
 
@@ -138,7 +217,7 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored, whatever their names.
     """
     rows = cut(sketches(docs, id_col, text_col, width, Collections(side, minhashes, seed)))
-    one = rows.where("s is not null").groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    one = rows.where("s is not null").groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     # ids of the sets are their places in the table as it is written here
     texts = cut(one.withColumn("t", F.monotonically_increasing_id()))
     members = cut(table_entries(texts, side))
@@ -146,7 +225,8 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = members.join(met, "key", "left_semi").select("t").distinct()
     read = texts.join(asked, "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
     sets = cut(full_sets(docs, read, id_col, text_col, width))
-    roots = spanned(members, compared(sets, texts.select("t", "n"), percent, 100))
+    sizes, least = texts.select("t", "n", "small"), least_equal(percent, 100, 2 * side * minhashes)
+    roots = spanned(members, compared(sets, sizes, percent, 100, least), within=within_keys(sizes, least, percent, 100))
     linked = roots.select(F.col("node").alias("t"), "root").join(texts.select("t", "s", "owner"), "t")
     named = light(linked.groupBy("root").agg(F.min("owner").alias("component")), LIGHT_KEYS)
     of = light(linked.join(named, "root").select("s", F.lit(True).alias("joined"), "component"), LIGHT_KEYS)

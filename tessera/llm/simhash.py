@@ -12,11 +12,13 @@ points within radius/2 of a fingerprint are enumerated, and fingerprints that sh
 within the radius of each other, so a chain through each midpoint carries all their links in linear size.
 
 ``similar_groups`` and ``keep_one`` ask for similar shingle sets instead of near fingerprints. Scattered edits move more bits
-than a ball can hold, so texts that share content-cut pieces are candidates as well, and every pair is compared exactly.
+than a ball can hold, so texts that share one of their rarest shingles are candidates as well (a prefix filter, which loses no
+pair), and candidates are compared on their whole sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, light
+from tessera.llm.common import cut, fresh, light, released
 from tessera.llm.components import connected_components
+from tessera.llm.links import spanned
 
 SEED = 42
 SHINGLE_BLOCK = 1 << 16
@@ -226,10 +229,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(every, "fp").select("id", "fp", "root", "component")
 
 
-PIECE = 8
-SUPPORT = 0.2
 #: Rows with text keys up to which a counted side is broadcast: some ten MB, which the driver has to hold as well.
 LIGHT_KEYS = 100_000
+#: Counters of shingles, as a power of two, and the slices in which they are summed.
+COUNTERS, SLICES = 21, 64
+#: Counts of one slice that a task adds up.
+FAN = 64
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text, null being empty: texts with one key are taken as equal."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -241,121 +255,140 @@ def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))
 
 
-def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of the different stretches of a text between content-selected words: those with the smallest hash
-    (of them and their successor) among ``PIECE`` words to either side. An edit changes the pieces around it only."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    h = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.uint64, count=n)
-    h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(8)
-    cuts = np.zeros(0, dtype=np.int64)
-    if len(h) > 2 * PIECE:
-        views = np.lib.stride_tricks.sliding_window_view(h, 2 * PIECE + 1)
-        cuts = np.unique(np.concatenate([views[k : k + 65536].argmin(axis=1) + np.arange(k, min(k + 65536, len(views))) for k in range(0, len(views), 65536)]))
-        middle = np.r_[np.full(PIECE, -1), cuts]
-        cuts = middle[middle > 0]
-    edges = [0, *cuts.tolist(), n]
-    found = {}
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            key = xxhash.xxh64_intdigest(b" ".join(words[a:b]), SEED + 1)
-            found[key] = b - a
-    return np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64), np.fromiter(found.values(), dtype=np.int64, count=len(found))
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def text_key(text: Column) -> Column:
-    """128 bits of a text, null being empty: texts with one key are taken as equal."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+def shingle_counts(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """For each counter of shingles, in how many texts those that fall on it are, in steps of powers of two.
 
+    All texts count. The counters are as many whatever the size of the table; rare shingles that share one look more
+    frequent than they are, which costs time in ``similar_links`` and no link."""
+    part = 1 << COUNTERS >> (SLICES.bit_length() - 1)
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, k, fp, words, pieces): what a text is compared by, the text left out; ``words`` are those of the different pieces."""
+        total = np.zeros(1 << COUNTERS, dtype=np.uint32)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                np.add.at(total, _counter(_shingle_hashes(_words(t), width)), np.uint32(1))
+        used = [k for k in range(SLICES) if total[k * part : (k + 1) * part].any()]
+        data = [total[k * part : (k + 1) * part].tobytes() for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), pa.array([TaskContext.get().partitionId()] * len(used), type=pa.int32()), pa.array(data, type=pa.binary())], names=["slice", "task", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, dtype=np.uint32).astype(np.uint64) for c in rows["counts"])
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "task": [rows["task"].iloc[0] // FAN], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+
+    texts = docs.select(F.col(text_col).alias("text"))
+    schema = "slice int, task int, counts binary"
+    found, left = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
+    while left > 1:
+        found, left = found.groupBy("slice", F.floor(F.col("task") / FAN)).applyInPandas(add, schema), -(-left // FAN)
+    counts = np.zeros(1 << COUNTERS, dtype=np.float64)
+    for r in found.collect():  # SLICES rows of a fixed size
+        counts[r["slice"] * part : (r["slice"] + 1) * part] += np.frombuffer(r["counts"], dtype=np.uint32)
+    return np.ceil(np.log2(counts + 1)).astype(np.uint8)
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of a set's shingles that come first, rare ones before frequent ones, one of which any set of ``similarity`` or more has
+    among its own first ones: if two sets share none of them, they share too few in all."""
+    n = len(hashes)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, counts[_counter(hashes)]))[:most]] if n else hashes
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """(id, k, s, n, fp, first): what a text is compared by, the text left out: the keys of the text and of its shingle set, the size
+    of the set, the fingerprint and the set's rarest shingles."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    entry = pa.struct([("p", pa.int64()), ("w", pa.int32())])
+    known = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, found = [], [], []
-            for t in batch.column("text").to_pylist():
-                words = _words(t)
-                prints.append(fingerprint(t, width))
-                found.append(pieces(words))
-                sizes.append(int(found[-1][1].sum()))
-            offsets = pa.array(np.r_[0, np.cumsum([len(p) for p, _ in found])].astype(np.int32))
-            flat = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=np.int64) for c in (0, 1)]
-            values = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32))], fields=list(entry))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.array(prints, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.ListArray.from_arrays(offsets, values)], names=["id", "k", "fp", "words", "pieces"])
-
-    return rows.mapInArrow(run, f"id {kind}, k binary, fp long, words int, pieces array<struct<p:long,w:int>>")
-
-
-def piece_pairs(texts: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(a, b): texts with the centre of a piece they share, where the pieces with one centre make up ``support`` of the text.
-
-    The centre of a piece is the text in which it occurs whose pieces occur most often, as those of an original
-    do among its edited copies. So a piece gives a pair a text, however many texts have it, and of
-    passages that many otherwise different texts share nothing is left to compare."""
-    rows = texts.select("k", "words", F.inline("pieces"))
-    again = light(rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), LIGHT_KEYS)
-    shared = cut(rows.join(again, "p"))
-    dense = shared.groupBy("k").agg((F.sum(F.col("w") * F.log2("c")) / F.first("words")).alias("d"))
-    placed = shared.join(dense, "k")
-    centres = light(placed.groupBy("p").agg(F.max(F.struct("d", "k")).alias("centre")), LIGHT_KEYS)
-    met = placed.join(centres, "p").where("k != centre.k").groupBy("k", F.col("centre.k").alias("b")).agg(F.sum("w").alias("s"), F.first("words").alias("words"))
-    return met.where(F.col("s") >= support * F.col("words")).select(F.col("k").alias("a"), "b")
-
-
-def similar_links(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, width: int, similarity: float, radius: int, bucket_rows: int) -> DataFrame:
-    """(a, b) of texts whose shingle sets have a Jaccard similarity of at least ``similarity``: candidates are fingerprints within
-    ``radius`` by multi-index hashing and, for edits that move more bits, texts with pieces in common; all are compared exactly."""
-    first = cut(texts.groupBy("fp").agg(F.min("k").alias("rep")))
-    one = lambda c: first.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
-    prints = fingerprint_links(first, radius, bucket_rows=bucket_rows).join(one("a"), "a").join(one("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    alike = texts.join(first, "fp").where("k != rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    pairs = cut(prints.unionByName(alike).unionByName(piece_pairs(texts)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(texts.select("k", "owner"), "k")
+            texts = batch.column("text").to_pylist()
+            sets = [_shingle_hashes(_words(t), width) for t in texts]
+            first = [rarest(h, known.value, similarity) for h in sets]
+            columns = [pa.array([hashlib.md5(h.tobytes()).digest() for h in sets], type=pa.binary()), pa.array([len(h) for h in sets], type=pa.int64()), pa.array([fingerprint(t, width) for t in texts], type=pa.int64()), pa.array(first, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), *columns], names=["id", "k", "s", "n", "fp", "first"])
+
+    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, fp long, first array<long>")
+
+
+def shared_keys(sets: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(key, t, d) under which sets meet: each rare shingle that two or more have, each fingerprint, and each link of the
+    fingerprints by multi-index hashing; ``d`` grows with how many share the shingles of a set."""
+    each = sets.select("t", F.explode("first").alias("key"))
+    again = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = each.join(again, "key").groupBy("t").agg(F.collect_list("key").alias("keys"), F.floor(F.sum(F.log2("c")) * 16).alias("d"))
+    rare = own.select(F.explode("keys").alias("key"), "t", "d")
+    prints = cut(sets.groupBy("fp").agg(F.min("t").alias("t")))
+    same = sets.join(prints.select("fp", F.col("t").alias("rep")), "fp").where("t != rep").select(F.col("t").alias("a"), F.col("rep").alias("b"))
+    one = lambda c: prints.select(F.col("fp").alias(f"fp_{c}"), F.col("t").alias(c))
+    near = fingerprint_links(prints, radius, bucket_rows=bucket_rows).toDF("fp_a", "fp_b").join(one("a"), "fp_a").join(one("b"), "fp_b").select("a", "b")
+    pairs = same.unionByName(near).distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("t"))
+    return rare.unionByName(pairs.select("key", "t", F.lit(0).cast("long").alias("d")))
+
+
+def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(t, h): the shingle sets of ``asked`` (t, k, owner), each from one text that has the key ``k`` and the id ``owner``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [_shingle_hashes(_words(t), width) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(found, type=pa.list_(pa.int64()))], names=["k", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("t"), pa.array(found, type=pa.list_(pa.int64()))], names=["t", "h"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
-    # of equal texts the owner's is read; rows that repeat it whole are equal
-    chosen = rows.join(light(asked, LIGHT_KEYS), "k").where(F.col("id").eqNullSafe(F.col("owner"))).select("k", "text")
-    bags = cut(chosen.mapInArrow(run, "k binary, s array<long>").dropDuplicates(["k"]))
-    side = lambda c: bags.select(F.col("k").alias(c), F.col("s").alias(f"s_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    every = F.size("s_a") + F.size("s_b") - common
-    return both.where((every == 0) | (common >= similarity * every)).select("a", "b")
+    # a copy with another id is not read again; rows that repeat the owner are equal
+    chosen = rows.join(light(asked, LIGHT_KEYS), "k").where(F.col("id").eqNullSafe(F.col("owner"))).select("t", "text")
+    return chosen.mapInArrow(run, "t long, h array<long>").dropDuplicates(["t"])
+
+
+def alike(sizes: DataFrame, sets: DataFrame, similarity: float):
+    """A check of pairs of sets: those with a Jaccard similarity of at least ``similarity``; sizes that exclude it come first."""
+
+    def check(pairs: DataFrame) -> DataFrame:
+        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"))
+        side = lambda c: sets.select(F.col("t").alias(c), F.col("h").alias(f"h_{c}"))
+        near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+        both = near.join(side("a"), "a").join(side("b"), "b")
+        common = F.size(F.array_intersect("h_a", "h_b"))
+        return both.where(common >= similarity * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
+
+    return check
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
     """(id, k, root, component): one row per document; ``component`` is the smallest id among the texts reachable over pairs
     of at least ``similarity`` in their ``width``-word shingles, ``root`` names the group and ``k`` the text.
 
-    Words are those of ``simhash_groups``; texts without words are one group, and so are texts of fewer than ``width``
-    words that are equal. Null texts are empty. Rows with a null id take part. Repeated rows stay repeated.
-    An empty table gives an empty result. Other columns are ignored.
+    Exact: sets within ``similarity`` share one of their rarest shingles, and all that share one are compared by ``links.spanned``,
+    as are those whose fingerprints multi-index hashing links. Words are those of ``simhash_groups``; texts without words are one
+    group, and so are texts of fewer than ``width`` words that are equal. Null texts are empty. Rows with a null id take
+    part. Repeated rows stay repeated. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = cut(sketches(docs, id_col, text_col, width))
-    texts = cut(rows.groupBy("k").agg(F.min("id").alias("owner"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.first("pieces").alias("pieces")))
-    roots = cut(connected_components(similar_links(docs, texts, id_col, text_col, width, similarity, radius, bucket_rows)))
-    linked = roots.select(F.col("node").alias("k"), "root").join(texts.select("k", "owner"), "k")
+    counts = shingle_counts(docs, text_col, width)
+    rows = cut(sketches(docs, id_col, text_col, width, similarity, counts))
+    released()
+    one = rows.groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("first").alias("first"))
+    # ids of the sets are their places in the table as it is written here
+    sets = cut(one.withColumn("t", F.monotonically_increasing_id()))
+    members = cut(shared_keys(sets, radius, bucket_rows))
+    asked = sets.join(members.select("t").distinct(), "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
+    full = cut(full_sets(docs, asked, id_col, text_col, width))
+    roots = spanned(members, alike(sets.select("t", "n"), full, similarity))
+    linked = roots.select(F.col("node").alias("t"), "root").join(sets.select("t", "s", "owner"), "t")
     named = light(linked.groupBy("root").agg(F.min("owner").alias("least")), LIGHT_KEYS)
-    of = light(linked.join(named, "root").select("k", "root", "least"), LIGHT_KEYS)
-    joined = rows.select("id", "k").join(texts.select("k", "owner"), "k").join(of, "k", "left")
+    of = light(linked.join(named, "root").select("s", "root", "least"), LIGHT_KEYS)
+    every = sets.select("s", "t", "owner").join(of, "s", "left")
     grouped = F.col("root").isNotNull()
-    return joined.select("id", "k", F.coalesce("root", "k").alias("root"), F.when(grouped, F.col("least")).otherwise(F.col("owner")).alias("component"))
+    each = every.select("s", F.coalesce("root", "t").alias("root"), F.when(grouped, F.col("least")).otherwise(F.col("owner")).alias("component"))
+    return rows.select("id", "k", "s").join(each, "s").select("id", "k", "root", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

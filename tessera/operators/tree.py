@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpointed
+
 
 def nodes(prefixes: DataFrame) -> DataFrame:
     """(path, parent, name, type, depth): one row per folder and file of ``graph.path_prefixes``."""
@@ -55,6 +59,40 @@ def graft(tree: DataFrame, described: DataFrame) -> DataFrame:
     return j.withColumns({"summary": F.coalesce("summary", "_s"), "description": F.coalesce("description", "_d")}).drop("_p", "_s", "_d")
 
 
+def folded(tree: DataFrame) -> DataFrame:
+    """(path, parent, name, type, depth, size, files, json) of each node with all below it as nested JSON, children by name.
+
+    Level by level from the deepest: the children of a folder are strings by the time it is made, so a level is one grouping of
+    the level below and one join, and no path is sorted as a whole. ``size`` and ``files`` count the nodes and the files of
+    the subtree, itself included. A node's JSON is as long as its subtree: ask for those that go to a sink."""
+    rows = checkpointed(tree.select("path", "parent", "name", "type", "depth"))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    levels: list[DataFrame] = []
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        own = rows.where(F.col("depth") == depth)
+        head = F.to_json(F.struct("name", "path", "type"))
+        if levels:
+            told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "json"))), lambda k: k["json"]), ",")
+            kids = levels[-1].groupBy(F.col("parent").alias("_p")).agg(told.alias("_kids"), F.sum("size").alias("_size"), F.sum("files").alias("_files"))
+            own = own.join(kids, F.col("path") == F.col("_p"), "left")
+        else:
+            own = own.withColumns({"_kids": F.lit(""), "_size": F.lit(0), "_files": F.lit(0)})
+        text = F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(',"children":['), F.coalesce("_kids", F.lit("")), F.lit("]}"))
+        counted = F.coalesce("_files", F.lit(0)) + F.when(F.col("type") == "file", 1).otherwise(0)
+        levels.append(checkpointed(own.select("path", "parent", "name", "type", "depth", (1 + F.coalesce("_size", F.lit(0))).cast("long").alias("size"), counted.cast("long").alias("files"), text.alias("json"))))
+    return reduce(DataFrame.unionByName, levels) if levels else rows.select("*", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("files"), F.lit("").alias("json"))
+
+
+def areas(tree: DataFrame, most: int = 60) -> DataFrame:
+    """(group, files, json): the feature view where no model names features: a component for each first folder, with its first
+    ``most`` files by path as they are in the code tree, and one for the files of the root."""
+    shown = root_groups(tree, most).join(folded(tree).select("path", F.col("json").alias("_json")), "path")
+    held = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_json"))), lambda k: k["_json"]), ",")
+    head = F.to_json(F.struct(F.col("group").alias("name"), F.lit("").alias("path"), F.lit("component").alias("type"), F.concat(F.lit("Code area: "), "group").alias("description")))
+    rows = shown.groupBy("group").agg(held.alias("_kids"), F.count(F.lit(1)).alias("files"))
+    return rows.select("group", "files", F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(',"children":['), "_kids", F.lit("]}")).alias("json"))
+
+
 # How much of a repository a prompt shows.
 TOP_FOLDERS, ROOT_FILES, COMPACT_FILES, COMPACT_SYMBOLS = 80, 60, 500, 20
 

@@ -37,6 +37,35 @@ def tree_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.root_groups(_tree(spark, sf_dir))
 
 
+def _folded_sql(levels: int = 8) -> str:
+    """The levels of ``_TREE_SQL`` from the deepest up, each with what is below it."""
+    head = """concat('{"name":', to_json(name), ',"path":', to_json(t.path), ',"type":', to_json(type), ',"children":[', coalesce(js, ''), ']}')"""
+    first = f"d{levels} AS (SELECT NULL::VARCHAR AS path, NULL::VARCHAR AS parent, NULL::VARCHAR AS name, 0::BIGINT AS size, 0::BIGINT AS files, NULL::VARCHAR AS json WHERE false)"
+    rest = [
+        f"""k{n} AS (SELECT parent AS p, string_agg(json, ',' ORDER BY name) AS js, sum(size) AS s, sum(files) AS f FROM d{n + 1} GROUP BY 1),
+    d{n} AS (SELECT t.path, parent, name, (1 + coalesce(s, 0))::BIGINT AS size, (coalesce(f, 0) + CASE WHEN type = 'file' THEN 1 ELSE 0 END)::BIGINT AS files, {head} AS json FROM t LEFT JOIN k{n} ON p = t.path WHERE len(string_split(t.path, '/')) = {n + 1})"""
+        for n in range(levels - 1, -1, -1)
+    ]
+    return ", ".join([_TREE_SQL, first, *rest])
+
+
+@query("tree_json", "V5 M19", f"WITH {_folded_sql()} SELECT path, size, files, json FROM d0")
+def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree, by what stands in the root."""
+    return tree.folded(_tree(spark, sf_dir)).where("depth = 0").select("path", "size", "files", "json")
+
+
+@query(
+    "feature_areas",
+    "V5 T10",
+    f"""WITH {_TREE_SQL}, g AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root files)' END AS "group", path, name FROM t WHERE type = 'file'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY path) AS rank FROM g QUALIFY rank <= 60)
+    SELECT "group", count(*) AS files, concat('{{"name":', to_json("group"), ',"path":"","type":"component","description":', to_json('Code area: ' || "group"), ',"children":[', string_agg(concat('{{"name":', to_json(name), ',"path":', to_json(path), ',"type":"file","children":[]}}'), ',' ORDER BY rank), ']}}') AS json FROM r GROUP BY 1""",
+)
+def feature_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.areas(_tree(spark, sf_dir))
+
+
 @query(
     "tree_descriptions",
     "F25",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, pr, prompts, store, sync, tree
+from tessera.operators import graph, pr, prompts, regenerate, store, sync, tree
+from tessera.operators.lineage import scratch
 from tessera.plans.reviews import _PR
 from tessera.plans.trees import _TREE_SQL, _tree
 from tessera.registry import query
@@ -161,3 +162,32 @@ def pr_context_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = prompts.rule_document(F.col("p_brand"), F.concat(F.lit(" "), "p_type"), F.col("p_name"), F.lit("Body"))
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract(text, r"(?s)^(----\n.*?\n----)", 1).alias("head"))
+
+
+@query(
+    "regenerated_documents",
+    "Q11 Q10 J18 A13 K26",
+    """WITH h AS (SELECT l_suppkey AS doc_id, l_returnflag AS collection, l_returnflag = 'N' AS own, l_extendedprice AS score, l_orderkey || ':' || l_linenumber AS chunk, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE 'p' || l_partkey % 50 END AS path FROM lineitem WHERE l_suppkey % 7 <> 0 OR l_returnflag <> 'N'),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN own THEN '' ELSE collection END ORDER BY score DESC, chunk) AS r FROM h QUALIFY r <= CASE WHEN own THEN 20 ELSE 5 END),
+    c AS (SELECT doc_id, string_agg(chunk, ',' ORDER BY NOT own, CASE WHEN own THEN '' ELSE collection END, score DESC, chunk) AS context, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (path <> ' ') AS paths FROM b GROUP BY 1 HAVING bool_or(own)),
+    d AS (SELECT s_suppkey AS doc_id, s_suppkey % 3 = 0 AS stale, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE s_name END AS prompt FROM supplier),
+    e AS (SELECT d.*, context, paths, CASE WHEN NOT stale THEN NULL WHEN prompt = '' THEN 'no stored prompt' WHEN context IS NULL THEN 'no chunks' END AS error FROM d LEFT JOIN c USING (doc_id))
+    SELECT doc_id, CASE WHEN stale AND error IS NULL THEN prompt || ': ' || context ELSE 'old' END AS text, CASE WHEN stale AND error IS NULL THEN paths ELSE 'was' END AS file_paths, stale AND error IS NOT NULL AS needs_sync, false AS is_updating, error FROM e""",
+)
+def regenerated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents, their lines as chunks. The run that has written its intents dies; the next one finishes it."""
+    k = F.col("s_suppkey")
+    s, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem").where("l_suppkey % 7 != 0 or l_returnflag != 'N'")
+    at = scratch(spark, "regenerated")
+    stores = regenerate.Stores(*[store.VersionedTable(spark, f"{at}/{name}") for name in ("texts", "metadata", "log")])
+    stores.texts.write(s.select(k.alias("doc_id"), F.lit("old").alias("text")))
+    stores.metadata.write(s.select(k.alias("doc_id"), F.array(F.lit("was")).alias("file_paths"), (k % 3 == 0).alias("needs_sync"), (k % 3 == 0).alias("is_updating"), F.lit(None).cast("string").alias("error")))
+    path = F.when(F.col("l_partkey") % 50 == 0, " ").otherwise(F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")))
+    hits = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("collection"), (F.col("l_returnflag") == "N").alias("own"), F.col("l_extendedprice").alias("score"), F.concat_ws(":", _s("l_orderkey"), _s("l_linenumber")).alias("chunk"), path.alias("path"))
+    prompts = s.select(k.alias("doc_id"), F.when(k % 9 == 0, "").otherwise(F.col("s_name")).alias("prompt"))
+    make = lambda prompt, chunks: F.concat(prompt, F.lit(": "), F.array_join(chunks, ","))
+    stale = stores.metadata.read().where("needs_sync").select("doc_id").join(prompts, "doc_id")
+    regenerate.begin(stores, regenerate.intents(stale, regenerate.context(hits), make))
+    regenerate.finish(stores)
+    done = stores.metadata.read().join(stores.texts.read(), "doc_id")
+    return done.select("doc_id", "text", F.array_join("file_paths", ",").alias("file_paths"), "needs_sync", "is_updating", "error")

@@ -61,17 +61,25 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def containing(sites: DataFrame, functions: DataFrame, innermost: bool = False) -> DataFrame:
-    """Each call site with the ``context`` function whose lines contain it: the outermost, or the innermost.
+    """Each call site with the ``context`` function whose lines contain it: the one that begins first, or the innermost.
 
-    The join is on the file, the lines are a residual condition; sites without a function keep a null.
-    """
+    Sites without a function keep a null. For the first one, functions and sites of a file are gone through in order of lines, so
+    a file costs the sum of both: functions that end before or with an earlier one contain no line for which they count, and
+    of the others, whose ends rise with their starts, it is the first that has not ended. Equal sites are one row."""
     f = functions.select(F.col("path").alias("_path"), "start_line", "end_line", F.coalesce("name", F.lit("anonymous")).alias("_name"))
-    hit = (F.col("path") == F.col("_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
     keys = sites.columns
-    joined = sites.join(f, hit, "left")
-    order = F.struct("start_line", -F.col("end_line"), "_name")
-    pick = F.max_by if innermost else F.min_by
-    return joined.groupBy(*keys).agg(pick("_name", order).alias("context"))
+    if innermost:
+        hit = (F.col("path") == F.col("_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
+        return sites.join(f, hit, "left").groupBy(*keys).agg(F.max_by("_name", F.struct("start_line", -F.col("end_line"), "_name")).alias("context"))
+    before = Window.partitionBy("_path").orderBy("start_line", F.desc("end_line"), "_name").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max("end_line").over(before)
+    outer = f.withColumn("_reach", reach).where("_reach is null or end_line > _reach")
+    marks = outer.select(F.col("_path").alias("path"), F.col("end_line").alias("_at"), F.lit(1).alias("_kind"), F.struct("start_line", "_name").alias("_f"), F.lit(None).cast(sites.select(F.struct(*keys)).schema[0].dataType).alias("_s"))
+    asked = sites.distinct().select("path", F.col("line").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(marks.schema["_f"].dataType).alias("_f"), F.struct(*keys).alias("_s"))
+    behind = Window.partitionBy("path").orderBy("_at", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = marks.unionByName(asked).withColumn("_next", F.first("_f", ignorenulls=True).over(behind)).where("_kind = 0")
+    inside = F.col("_next.start_line") <= F.col("_at")
+    return met.select("_s.*", F.when(inside, F.col("_next._name")).alias("context"))
 
 
 def related_chunks(chunks: DataFrame) -> DataFrame:

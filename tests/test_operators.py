@@ -1,5 +1,6 @@
 """Operators on hand-made rows: boundaries, invariants and what SQL cannot express."""
 
+import random
 import uuid
 
 import pytest
@@ -284,3 +285,17 @@ def test_diff_snippets(spark):
     fallback = "@@ -1,3 +10,4 @@\n ten\n-gone\n+eleven\n twelve\n@@ -90 +100 @@\n+hundred\n" + "\n".join(f"+l{i}" for i in range(7))
     assert got["p", 5] == got["p", 130] == fallback
     assert got["q", 1] == got["n", 1] == got["none", 1] == ""
+
+
+def test_containing_by_a_sweep(spark):
+    """Nested, touching, equal and one-line functions, against looking at every function for every line."""
+    rng = random.Random(8)
+    functions = [(p, s, s + rng.choice((0, 1, 3, 9, 25)), rng.choice((None, f"f{k}"))) for k, (p, s) in enumerate((rng.choice("ab"), rng.randrange(80)) for _ in range(60))]
+    functions += [("a", 100, 110, "one"), ("a", 110, 120, "two"), ("a", 100, 110, "same")]
+    sites = [(p, line, f"c{line}") for p in "abc" for line in range(-1, 125)]
+    got = resolve.containing(spark.createDataFrame(sites, "path string, line int, function_name string"), spark.createDataFrame(functions, "path string, start_line int, end_line int, name string")).collect()
+    want = {}
+    for p, line, _ in sites:
+        inside = [(s, -e, n or "anonymous") for q, s, e, n in functions if q == p and s <= line <= e]
+        want[p, line] = min(inside)[2] if inside else None
+    assert len(got) == len(sites) and {(r.path, r.line): r.context for r in got} == want

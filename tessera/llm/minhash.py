@@ -185,7 +185,9 @@ def within_keys(sizes: DataFrame, least: int, num: int, den: int):
             yield from groups(True)
 
     def pairs(rows: DataFrame) -> DataFrame:
-        full = rows.join(sizes, "t").select("key", "t", "of", "n", "small").repartition("key").sortWithinPartitions("key")
+        # a set meets its minhashes once, whatever the number of its keys
+        own = rows.groupBy("t").agg(F.first("of").alias("of"), F.collect_list("key").alias("keys")).join(sizes, "t")
+        full = own.select(F.explode("keys").alias("key"), "t", "of", "n", "small").repartition("key").sortWithinPartitions("key")
         return full.mapInArrow(scan, "a long, b long")
 
     return pairs

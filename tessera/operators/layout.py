@@ -23,6 +23,8 @@ MOST_NEIGHBOURS, LEAST_NEIGHBOURS = 15, 2
 SAMPLE = 2048
 ROUNDS = 24
 BUCKET = 6
+#: Part of a pull that is taken, as all edges of a row pull at once and only a few others push it.
+PULL = 0.1
 _UNIT = 1 << 24
 
 
@@ -97,7 +99,7 @@ def laid_out(rows: DataFrame, blocks: Blocks, rounds: int = ROUNDS) -> DataFrame
         d2 = F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)
         met = met.withColumn("d2", d2)
         curve = 1 + A * F.pow("d2", F.lit(B))
-        pull = F.when(F.col("d2") > 0, -2 * A * B * F.pow("d2", F.lit(B - 1)) / curve).otherwise(0.0)
+        pull = F.when(F.col("d2") > 0, -2 * PULL * A * B * F.pow("d2", F.lit(B - 1)) / curve).otherwise(0.0)
         push = 2 * B / ((0.001 + F.col("d2")) * curve)
         size = F.when(F.col("pull"), pull).otherwise(push)
         step = [F.round(_clipped(size * (F.col(f"{c}_a") - F.col(f"{c}_b"))) * _UNIT).cast("long").alias(f"f{c}") for c in "xy"]

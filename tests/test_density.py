@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import density
+from tessera.operators import density, layout
 
 
 def condensed(ids, v, least):
@@ -90,3 +90,15 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert {(r.id, r.cluster) for r in density.density_clusters(df).collect()} == {(1, -1), (6, -1)}
     assert density.density_clusters(df.where("false")).count() == 0
+
+
+def test_layout_keeps_neighbours(spark):
+    """More of the nearest rows stay near than under the projection that the layout begins with; a second run is the same."""
+    rows = density.numbered(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), "vec_id", "embedding")
+    blocks = density.blocked(rows)
+    near = density.neighbours(blocks, 15).select("n", "near").cache()
+    at = layout.laid_out(rows, blocks)
+    kept, flat = layout.kept_neighbours(at, near, 15), layout.kept_neighbours(layout.projected(rows), near, 15)
+    print(f"kept by the layout {kept:.3f}, by the projection {flat:.3f}")
+    assert kept > 1.1 * flat
+    assert sorted(at.collect()) == sorted(layout.laid_out(rows.repartition(3), blocks).collect())

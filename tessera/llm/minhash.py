@@ -8,7 +8,7 @@ Keys of which no second set has the same are left out before they are combined.
 
 Texts with one shingle set are one entry. Sets that share a table key are compared by ``links.spanned``, which gives
 the groups of all pairs of a table without making them: first by a byte of each minhash, of which similar sets
-have so many in common that none fails (``SIGMAS``), then by their full shingle sets.
+have so many in common that none fails (``signatures.SIGMAS``), then by their full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,14 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, light
 from tessera.llm.links import spanned
+from tessera.llm.signatures import Collections, alike, least_equal, table_entries, within_keys
 from tessera.llm.simhash import LIGHT_KEYS, text_key
 
 SEED = 42
 SIDE = 20
 WIDTH = 6
-#: Standard deviations below the expected number of equal minhashes at which a pair is not compared in full: 1e-11.
-SIGMAS = 7
-_ROWS = 2048
 
 
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -50,33 +48,6 @@ def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends)]), dtype=">u8").astype(np.uint64))
 
 
-class Collections:
-    """Two collections of ``side`` keys of ``width`` minhashes each."""
-
-    def __init__(self, side: int = SIDE, width: int = WIDTH, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        n = 2 * side * width
-        self.side, self.width = side, width
-        self.mask = rng.integers(0, 2**64, n, dtype=np.uint64)
-        self.factor = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """The keys of a set that isn't empty, those of the first collection before those of the second; a byte of each minhash."""
-        least = np.full(len(self.mask), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for k in range(0, len(hashes), _ROWS):
-            mixed = hashes[k : k + _ROWS, None] ^ self.mask
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= self.factor
-            np.minimum(least, mixed.min(axis=0), out=least)
-        small = (least >> np.uint64(8)).astype(np.uint8).tobytes()
-        least = least.reshape(2 * self.side, self.width)
-        out = np.zeros(2 * self.side, dtype=np.uint64)
-        for j in range(self.width):
-            out = (out ^ least[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out.view(np.int64), small
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, collections: Collections) -> DataFrame:
     """(id, k, s, n, keys, small): the keys of the text and of its shingle set (null without words), its size, short keys
     and a byte of each minhash."""
@@ -94,16 +65,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, collection
     return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, keys array<long>, small binary")
 
 
-def table_entries(texts: DataFrame, side: int) -> DataFrame:
-    """(key, t, d): each set under the tables in which it can meet another; ``d`` grows with how many share its short keys."""
-    short = texts.select("t", F.posexplode("keys").alias("i", "v"))
-    again = short.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = short.join(again, ["i", "v"]).groupBy("t").agg(F.collect_list(F.struct("i", "v")).alias("own"), F.floor(F.sum(F.log2("c")) * 16).alias("d"))
-    first, second = F.filter("own", lambda e: e["i"] < side), F.filter("own", lambda e: e["i"] >= side)
-    both = own.select("t", "d", F.explode(first).alias("a"), second.alias("b")).select("t", "d", "a", F.explode("b").alias("b"))
-    return both.select(F.xxhash64("a.i", "a.v", "b.i", "b.v").alias("key"), "t", "d")
-
-
 def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(t, h): the shingle sets of ``asked`` (t, k, owner), each from one text that has the key ``k`` and the id ``owner``."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("text"))
@@ -120,79 +81,6 @@ def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, wid
     return chosen.mapInArrow(run, "t long, h array<long>").dropDuplicates(["t"])
 
 
-def alike(pairs: DataFrame, least: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose ``small_a`` and ``small_b`` have ``least`` or more bytes in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("small_a", "small_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
-
-    return pairs.select("a", "b", "small_a", "small_b").mapInArrow(run, "a long, b long")
-
-
-def least_equal(num: int, den: int, minhashes: int) -> int:
-    """How many of the minhashes of similar sets are equal at least."""
-    share = num / den
-    return int(minhashes * share - SIGMAS * (minhashes * share * (1 - share)) ** 0.5)
-
-
-#: Bytes of minhashes that are compared at once.
-_AT_ONCE = 1 << 24
-
-
-def near_rows(t: np.ndarray, of: np.ndarray, n: np.ndarray, small: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
-    """The pairs among the rows of a key, of different groups, that sizes and bytes of minhashes let be similar."""
-    found, width = [np.zeros((0, 2), dtype=np.int64)], small.shape[1]
-    step = max(1, _AT_ONCE // (len(t) * width))
-    for i in range(0, len(t), step):
-        a = slice(i, i + step)
-        ok = (of[a, None] != of[None, :]) & (t[a, None] < t[None, :]) & (den * np.minimum(n[a, None], n[None, :]) >= num * np.maximum(n[a, None], n[None, :]))
-        x, y = np.nonzero(ok)
-        for k in range(0, len(x), _AT_ONCE // width):
-            p, q = x[k : k + _AT_ONCE // width] + i, y[k : k + _AT_ONCE // width]
-            same = (small[p] == small[q]).sum(axis=1) >= least
-            found.append(np.stack([t[p[same]], t[q[same]]], axis=1))
-    return np.concatenate(found)
-
-
-def within_keys(sizes: DataFrame, least: int, num: int, den: int):
-    """Pairs under one key by ``near_rows``; ``sizes`` has (t, n, small)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            key, *rest = (np.concatenate(c) for c in zip(*held))
-            ends = np.flatnonzero(np.r_[key[1:] != key[:-1], last])
-            start, pairs = 0, []
-            for e in (ends + 1).tolist():
-                if e - start > 1:
-                    pairs.append(near_rows(*[c[start:e] for c in rest], least, num, den))
-                start = e
-            held[:] = [tuple(c[start:] for c in (key, *rest))] if start < len(key) else []
-            if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                bytes_ = np.frombuffer(b"".join(batch.column("small").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                held.append((*[batch.column(c).to_numpy() for c in ("key", "t", "of", "n")], bytes_))
-                yield from groups(False)
-        if held:
-            yield from groups(True)
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        # a set meets its minhashes once, whatever the number of its keys
-        own = rows.groupBy("t").agg(F.first("of").alias("of"), F.collect_list("key").alias("keys")).join(sizes, "t")
-        full = own.select(F.explode("keys").alias("key"), "t", "of", "n", "small").repartition("key").sortWithinPartitions("key")
-        return full.mapInArrow(scan, "a long, b long")
-
-    return pairs
-
-
 def compared(sets: DataFrame, sizes: DataFrame, num: int, den: int, least: int):
     """A check of pairs: those whose full sets have an intersection of at least ``num`` / ``den`` of their union.
 

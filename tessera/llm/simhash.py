@@ -12,8 +12,8 @@ points within radius/2 of a fingerprint are enumerated, and fingerprints that sh
 within the radius of each other, so a chain through each midpoint carries all their links in linear size.
 
 ``similar_groups`` and ``keep_one`` ask for similar shingle sets instead of near fingerprints. Scattered edits move more bits
-than a ball can hold, so texts that share one of their rarest shingles are candidates as well (a prefix filter, which loses no
-pair), and candidates are compared on their whole sets.
+than a ball can hold, so sets that meet in a table of minhashes (see ``minhash``) are candidates as well, and candidates are
+compared on their whole sets.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, light, released
+from tessera.llm.common import cut, fresh, light
 from tessera.llm.components import connected_components
 from tessera.llm.links import spanned
+from tessera.llm.signatures import Collections, alike, least_equal, table_entries, within_keys
 
 SEED = 42
 SHINGLE_BLOCK = 1 << 16
@@ -231,10 +232,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Rows with text keys up to which a counted side is broadcast: some ten MB, which the driver has to hold as well.
 LIGHT_KEYS = 100_000
-#: Counters of shingles, as a power of two, and the slices in which they are summed.
-COUNTERS, SLICES = 21, 64
-#: Counts of one slice that a task adds up.
-FAN = 64
+#: Short keys of either collection, and minhashes of a short key: two sets of similarity 0.8 meet in none of the tables
+#: with a probability of 1.5e-4, of 0.85 with 5e-6.
+SIDE, WIDTH = 18, 4
 
 
 def text_key(text: Column) -> Column:
@@ -255,82 +255,37 @@ def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - COUNTERS)).astype(np.int64)
-
-
-def shingle_counts(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """For each counter of shingles, in how many texts those that fall on it are, in steps of powers of two.
-
-    All texts count. The counters are as many whatever the size of the table; rare shingles that share one look more
-    frequent than they are, which costs time in ``similar_links`` and no link."""
-    part = 1 << COUNTERS >> (SLICES.bit_length() - 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros(1 << COUNTERS, dtype=np.uint32)
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                np.add.at(total, _counter(_shingle_hashes(_words(t), width)), np.uint32(1))
-        used = [k for k in range(SLICES) if total[k * part : (k + 1) * part].any()]
-        data = [total[k * part : (k + 1) * part].tobytes() for k in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), pa.array([TaskContext.get().partitionId()] * len(used), type=pa.int32()), pa.array(data, type=pa.binary())], names=["slice", "task", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.uint32).astype(np.uint64) for c in rows["counts"])
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "task": [rows["task"].iloc[0] // FAN], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-    texts = docs.select(F.col(text_col).alias("text"))
-    schema = "slice int, task int, counts binary"
-    found, left = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
-    while left > 1:
-        found, left = found.groupBy("slice", F.floor(F.col("task") / FAN)).applyInPandas(add, schema), -(-left // FAN)
-    counts = np.zeros(1 << COUNTERS, dtype=np.float64)
-    for r in found.collect():  # SLICES rows of a fixed size
-        counts[r["slice"] * part : (r["slice"] + 1) * part] += np.frombuffer(r["counts"], dtype=np.uint32)
-    return np.ceil(np.log2(counts + 1)).astype(np.uint8)
-
-
-def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """Those of a set's shingles that come first, rare ones before frequent ones, one of which any set of ``similarity`` or more has
-    among its own first ones: if two sets share none of them, they share too few in all."""
-    n = len(hashes)
-    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    return hashes[np.lexsort((hashes, counts[_counter(hashes)]))[:most]] if n else hashes
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """(id, k, s, n, fp, first): what a text is compared by, the text left out: the keys of the text and of its shingle set, the size
-    of the set, the fingerprint and the set's rarest shingles."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, k, s, n, fp, keys, small): what a text is compared by, the text left out: the keys of the text and of its shingle set, the
+    size of the set, the fingerprint, the set's short keys and a byte of each of its minhashes."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    known = docs.sparkSession.sparkContext.broadcast(counts)
+    hashes = Collections(SIDE, WIDTH)
+    none = ([], bytes(2 * SIDE * WIDTH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sets = [_shingle_hashes(_words(t), width) for t in texts]
-            first = [rarest(h, known.value, similarity) for h in sets]
-            columns = [pa.array([hashlib.md5(h.tobytes()).digest() for h in sets], type=pa.binary()), pa.array([len(h) for h in sets], type=pa.int64()), pa.array([fingerprint(t, width) for t in texts], type=pa.int64()), pa.array(first, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), *columns], names=["id", "k", "s", "n", "fp", "first"])
+            made = [hashes.keys(h.view(np.uint64)) if len(h) else none for h in sets]
+            columns = [pa.array([hashlib.md5(h.tobytes()).digest() for h in sets], type=pa.binary()), pa.array([len(h) for h in sets], type=pa.int64()), pa.array([fingerprint(t, width) for t in texts], type=pa.int64())]
+            columns += [pa.array([k for k, _ in made], type=pa.list_(pa.int64())), pa.array([b for _, b in made], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), *columns], names=["id", "k", "s", "n", "fp", "keys", "small"])
 
-    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, fp long, first array<long>")
+    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, fp long, keys array<long>, small binary")
 
 
 def shared_keys(sets: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
-    """(key, t, d) under which sets meet: each rare shingle that two or more have, each fingerprint, and each link of the
-    fingerprints by multi-index hashing; ``d`` grows with how many share the shingles of a set."""
-    each = sets.select("t", F.explode("first").alias("key"))
-    again = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = each.join(again, "key").groupBy("t").agg(F.collect_list("key").alias("keys"), F.floor(F.sum(F.log2("c")) * 16).alias("d"))
-    rare = own.select(F.explode("keys").alias("key"), "t", "d")
+    """(key, t, d) under which sets meet: each fingerprint, each link of the fingerprints by multi-index hashing, and the tables
+    of minhashes; ``d`` grows with how many share the short keys of a set."""
+    tables = table_entries(sets, SIDE)
     prints = cut(sets.groupBy("fp").agg(F.min("t").alias("t")))
     same = sets.join(prints.select("fp", F.col("t").alias("rep")), "fp").where("t != rep").select(F.col("t").alias("a"), F.col("rep").alias("b"))
     one = lambda c: prints.select(F.col("fp").alias(f"fp_{c}"), F.col("t").alias(c))
     near = fingerprint_links(prints, radius, bucket_rows=bucket_rows).toDF("fp_a", "fp_b").join(one("a"), "fp_a").join(one("b"), "fp_b").select("a", "b")
     pairs = same.unionByName(near).distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("t"))
-    return rare.unionByName(pairs.select("key", "t", F.lit(0).cast("long").alias("d")))
+    own = tables.groupBy("t").agg(F.first("d").alias("d"))
+    return tables.unionByName(pairs.join(own, "t", "left").select("key", "t", F.coalesce("d", F.lit(0)).alias("d")))
 
 
 def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -349,14 +304,15 @@ def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, wid
     return chosen.mapInArrow(run, "t long, h array<long>").dropDuplicates(["t"])
 
 
-def alike(sizes: DataFrame, sets: DataFrame, similarity: float):
-    """A check of pairs of sets: those with a Jaccard similarity of at least ``similarity``; sizes that exclude it come first."""
+def compared(sizes: DataFrame, sets: DataFrame, similarity: float, least: int):
+    """A check of pairs of sets: those with a Jaccard similarity of at least ``similarity``; sizes and minhashes that exclude it
+    come first, and pairs left out by them don't get their sets. ``sizes`` has (t, n, small)."""
 
     def check(pairs: DataFrame) -> DataFrame:
-        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"))
+        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"small_{c}"))
         side = lambda c: sets.select(F.col("t").alias(c), F.col("h").alias(f"h_{c}"))
-        near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
-        both = near.join(side("a"), "a").join(side("b"), "b")
+        near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+        both = cut(alike(near, least)).join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("h_a", "h_b"))
         return both.where(common >= similarity * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
 
@@ -367,21 +323,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, k, root, component): one row per document; ``component`` is the smallest id among the texts reachable over pairs
     of at least ``similarity`` in their ``width``-word shingles, ``root`` names the group and ``k`` the text.
 
-    Exact: sets within ``similarity`` share one of their rarest shingles, and all that share one are compared by ``links.spanned``,
-    as are those whose fingerprints multi-index hashing links. Words are those of ``simhash_groups``; texts without words are one
+    Sets whose fingerprints multi-index hashing links, and sets that meet in a table of minhashes, are compared by ``links.spanned``
+    on their whole sets. A pair can be lost only if it meets nowhere (``SIDE``), or by ``signatures.SIGMAS``. Words are those of ``simhash_groups``; texts without words are one
     group, and so are texts of fewer than ``width`` words that are equal. Null texts are empty. Rows with a null id take
     part. Repeated rows stay repeated. An empty table gives an empty result. Other columns are ignored.
     """
-    counts = shingle_counts(docs, text_col, width)
-    rows = cut(sketches(docs, id_col, text_col, width, similarity, counts))
-    released()
-    one = rows.groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("first").alias("first"))
+    rows = cut(sketches(docs, id_col, text_col, width))
+    one = rows.groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     # ids of the sets are their places in the table as it is written here
     sets = cut(one.withColumn("t", F.monotonically_increasing_id()))
     members = cut(shared_keys(sets, radius, bucket_rows))
     asked = sets.join(members.select("t").distinct(), "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
     full = cut(full_sets(docs, asked, id_col, text_col, width))
-    roots = spanned(members, alike(sets.select("t", "n"), full, similarity))
+    sizes, least = sets.select("t", "n", "small"), least_equal(similarity, 1, 2 * SIDE * WIDTH)
+    roots = spanned(members, compared(sizes, full, similarity, least), within=within_keys(sizes, least, similarity, 1))
     linked = roots.select(F.col("node").alias("t"), "root").join(sets.select("t", "s", "owner"), "t")
     named = light(linked.groupBy("root").agg(F.min("owner").alias("least")), LIGHT_KEYS)
     of = light(linked.join(named, "root").select("s", "root", "least"), LIGHT_KEYS)

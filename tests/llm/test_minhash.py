@@ -66,7 +66,7 @@ def test_equals_all_pairs(spark):
 def test_recall_of_the_tables():
     """Of pairs just above the threshold, nearly all share a table: a key of either collection."""
     rng, found, tried = np.random.default_rng(5), 0, 400
-    keys = minhash.Collections()
+    keys = minhash.Collections(minhash.SIDE, minhash.WIDTH)
     for _ in range(tried):
         common = rng.integers(0, 2**64, 350, dtype=np.uint64)
         a, b = (keys.keys(np.r_[common, rng.integers(0, 2**64, 30, dtype=np.uint64)])[0] for _ in range(2))

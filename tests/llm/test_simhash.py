@@ -178,13 +178,6 @@ def test_pairs_whose_passage_stands_in_denser_texts(spark):
     assert all(got[100 * g + 1] == 100 * g and got[100 * g + 7] == 100 * g + 2 for g in range(20))
 
 
-def test_counts_are_added_in_steps(spark, monkeypatch):
-    """The counters of many tasks, added a few at a time, are those of one task."""
-    docs = spark.createDataFrame([(f"a b c d e w{i % 7}",) for i in range(60)], "text string")
-    monkeypatch.setattr(simhash, "FAN", 3)
-    assert (simhash.shingle_counts(docs.repartition(11), "text", 5) == simhash.shingle_counts(docs.coalesce(1), "text", 5)).all()
-
-
 def test_columns_named_like_inner_ones(spark):
     rows = spark.createDataFrame([(1, "q w e r t y", "a", "b"), (1, "q w e r t y", "a", "b"), (2, "q w e r t y", "c", "d")], "doc_id long, text string, _fp string, _gone string").selectExpr("*", "'x' as _key", "'y' as _kept", "1 as k")
     for r in (rows, rows.where("doc_id = 2")):

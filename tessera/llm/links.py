@@ -3,7 +3,7 @@
 ``spanned`` gets keys with the rows that have them and a check of pairs. In a round every key compares its rows with
 one of them, its centre, and drops it; what the links have joined by then needs no comparison any more. Keys whose
 rows are all of one group are done, keys with the same rows count once. As soon as the pairs between different groups
-that are left are few for the number of rows, all of them are checked; or, after one round, those that a cheaper look at
+that are left are few for the number of rows, all of them are checked; or, after ``CENTRES`` rounds, those that a cheaper look at
 the rows of a key leaves. So the groups are exactly those that all pairs of each key would give, while a family of copies
 costs each of its members a comparison or two.
 """
@@ -20,6 +20,8 @@ from tessera.llm.components import connected_components
 
 #: Rounds with centres before the pairs that are left are checked whatever their number.
 ROUNDS = 12
+#: Rounds with centres before a cheaper look at the rows of a key takes over: a first centre may join few of its family.
+CENTRES = 3
 #: Pairs for each row of the open keys that are few enough to check all of them.
 FEW = 2
 LEAST = 20_000
@@ -65,8 +67,8 @@ def spanned(members: DataFrame, check: Callable[[DataFrame], DataFrame], rounds:
         if not rows:
             return roots
         open_rows = cut(left.join(light(_once(groups)), "key"))
-        last = within is not None or pairs <= max(LEAST, FEW * rows) or n == rounds - 1
-        if within is not None:
+        last = pairs <= max(LEAST, FEW * rows) or n == rounds - 1 or (within is not None and n == CENTRES)
+        if last and within is not None:
             asked = within(open_rows.select("key", "t", "of"))
         elif last:
             one, other = open_rows.select("key", "t", "of"), open_rows.select("key", F.col("t").alias("u"), F.col("of").alias("of_u"))

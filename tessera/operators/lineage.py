@@ -18,20 +18,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` in a few partitions for each core, for work that costs far more than reading its input."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *key)
+
+
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """``rows``, whose joins are by shuffle. The size of texts that a plan makes is estimated from the columns they are made
+    of; by that number a table of texts would go to the driver to be broadcast."""
+    return rows.hint("shuffle_merge")
+
+
+def checkpointed(df: DataFrame, sized: bool = True) -> DataFrame:
     """``df`` written to the session's checkpoint folder. Without one, a session on one machine gets a temporary folder; on
-    a cluster that would lose data and is an error."""
+    a cluster that would lose data and is an error. With ``sized`` false its estimated size is not kept, so that joins with
+    what is taken from it go by what they shuffle."""
     shared_folder(df.sparkSession)
-    return _with_plain_size(df.checkpoint(eager=True))
+    return _with_plain_size(df.checkpoint(eager=True), sized)
 
 
-def _with_plain_size(df: DataFrame) -> DataFrame:
+def _with_plain_size(df: DataFrame, sized: bool = True) -> DataFrame:
     """``df``, which is materialised, with the default in place of an estimated size beyond all tables.
 
     A checkpoint keeps the estimate of the plan that made it, and joins multiply the estimates of their sides. In a loop
     the number grows until planning does little else than multiply it."""
     planned = df._jdf.queryExecution()
-    if int(planned.optimizedPlan().stats().sizeInBytes()).bit_length() <= SIZE_BITS:
+    if sized and int(planned.optimizedPlan().stats().sizeInBytes()).bit_length() <= SIZE_BITS:
         return df
     rows = df.sparkSession._jsparkSession.internalCreateDataFrame(planned.toRdd(), df._jdf.schema(), False)
     return DataFrame(rows, df.sparkSession)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.contain import occurrences
 from tessera.operators.graph import last_wins
+from tessera.operators.lineage import by_shuffle
 
 # Fixed value: ends tried for a relative import, in this order.
 CANDIDATE_ENDS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx")
@@ -41,23 +42,29 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(from_path, source, to_path): the file a relative import means, null if there is none.
 
     Candidates are tried in order; each first for an exact path, then for the first file that begins with it
-    (its extension left out). Exact hits are an equi-join. A prefix hit joins on the candidate's folder, since a
-    path that begins with `a/b/c` lies in `a/b` or below it.
+    (its extension left out). Both are equi-joins: a path is cut to the lengths that such beginnings have in one of the
+    folders it lies in or below, and the first file of each beginning is found once. So a folder costs the sum of its
+    files and imports, times the lengths of names.
     """
     folder = F.regexp_replace("from_path", "/?[^/]*$", "")
-    base = joined_path(folder, F.col("source"))
-    tries = imports.where(F.col("source").startswith(".")).select("from_path", "source", base.alias("base")).distinct()
+    base = F.when(F.col("source").startswith("."), joined_path(folder, F.col("source")))
+    asked = imports.select("from_path", "source", base.alias("base")).distinct()
     ends = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("end")) for i, e in enumerate(CANDIDATE_ENDS)])
-    tries = tries.select("from_path", "source", "base", F.inline(ends)).withColumn("candidate", F.concat("base", "end"))
-    exact = tries.join(files.select(F.col("path").alias("to_path"), F.col("path").alias("candidate"), "ordinal"), "candidate").select("from_path", "source", "to_path", (F.col("rank") * 2).alias("k"), "ordinal")
+    bases = asked.select("base").where("base is not null").distinct()
+    tries = bases.select("base", F.inline(ends)).withColumn("candidate", F.concat("base", "end"))
+    paths = by_shuffle(files.select(F.col("path").alias("candidate"), F.struct("ordinal", "path").alias("first")))
+    exact = tries.join(paths, "candidate").select("base", (F.col("rank") * 2).alias("k"), "first")
     stem = F.regexp_replace("candidate", r"\.(tsx?|jsx?)$", "")
-    stems = tries.withColumn("stem", stem).withColumn("folder", F.regexp_replace("stem", "/?[^/]*$", ""))
+    stems = tries.groupBy("base", stem.alias("stem")).agg(F.min("rank").alias("rank"))
+    lengths = stems.groupBy(F.regexp_replace("stem", "/?[^/]*$", "").alias("folder")).agg(F.collect_set(F.length("stem")).alias("lengths"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    placed = files.select(F.col("path").alias("to_path"), "ordinal", F.explode(above).alias("folder"))
-    begun = stems.join(placed, "folder").where(F.expr("startswith(to_path, stem)")).select("from_path", "source", "to_path", (F.col("rank") * 2 + 1).alias("k"), "ordinal")
-    best = exact.unionByName(begun).groupBy("from_path", "source").agg(F.min_by("to_path", F.struct("k", "ordinal")).alias("to_path"))
-    return imports.select("from_path", "source").distinct().join(best, ["from_path", "source"], "left")
+    placed = files.select("path", "ordinal", F.explode(above).alias("folder")).join(lengths, "folder")
+    cut = placed.select("path", "ordinal", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    begun = cut.groupBy(F.left("path", F.col("n")).alias("stem")).agg(F.min(F.struct("ordinal", "path")).alias("first"))
+    found = exact.unionByName(stems.join(begun, "stem").select("base", (F.col("rank") * 2 + 1).alias("k"), "first"))
+    best = found.groupBy("base").agg(F.min(F.struct("k", "first")).alias("b")).select("base", F.col("b.first.path").alias("to_path"))
+    return asked.join(best, "base", "left").select("from_path", "source", "to_path")
 
 
 def containing(sites: DataFrame, functions: DataFrame, innermost: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 COLUMNS = (
     "path string, what string, kind string, name string, parent string, start_line int, end_line int, is_async boolean, is_exported boolean,"
@@ -36,7 +36,7 @@ class Found:
     column: int | None = None
 
     def row(self, path: str, ordinal: int) -> dict:
-        return {"path": path, **asdict(self), "ordinal": ordinal}
+        return {"path": path, **vars(self), "ordinal": ordinal}
 
 
 def parameter(name: str, type_: str | None = None, optional: bool = False, default: str | None = None) -> dict:

@@ -9,7 +9,6 @@ from tessera.functions.text import cleaned_comment, embedding_text
 from tessera.operators import analysis, summaries
 from tessera.operators.extract import generated, scan
 from tessera.operators.extract.python_source import without_docstrings
-from tessera.operators.lineage import checkpointed
 from tessera.registry import query
 from tessera.session import table
 
@@ -81,20 +80,20 @@ UNION ALL SELECT path, 'wait', 8, 9, true, NULL FROM p UNION ALL SELECT path, 'f
 
 @query("extract_functions", "X1 X3 X9 P4", f"WITH {_FILES} {_FUNCTIONS}")
 def extract_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.symbols(scan.found(_python_files(spark, sf_dir))).where("kind = 'function'")
+    rows = scan.symbols(scan.found(_python_files(spark, sf_dir), "symbol")).where("kind = 'function'")
     return rows.select("path", "name", "start_line", "end_line", "is_async", "return_type")
 
 
 @query("extract_classes", "X4", f"WITH {_FILES} SELECT path, 'class' AS kind, 'C' || k AS name, NULL::VARCHAR AS parent, 4 AS start_line, 9 AS end_line, 'Base' || k % 5 AS extends FROM p UNION ALL SELECT path, 'method', 'run' || k, 'C' || k, 5, 6, NULL FROM p UNION ALL SELECT path, 'method', 'wait', 'C' || k, 8, 9, NULL FROM p")
 def extract_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.symbols(scan.found(_python_files(spark, sf_dir))).where("kind in ('class', 'method')")
+    rows = scan.symbols(scan.found(_python_files(spark, sf_dir), "symbol")).where("kind in ('class', 'method')")
     return rows.select("path", "kind", "name", "parent", "start_line", "end_line", "extends")
 
 
 @query("extract_parameters", "X9", f"WITH {_FILES} SELECT path, 'run' || k AS name, 'self,a,b: int = ' || p_size AS parameters FROM p UNION ALL SELECT path, 'wait', 'self' FROM p UNION ALL SELECT path, 'f' || k, 'x: str' FROM p UNION ALL SELECT path, 'load' || k, 'x: number,y = 2' FROM t")
 def extract_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python_files(spark, sf_dir).select("path", "content").unionByName(_script_files(spark, sf_dir).select("path", "content"))
-    rows = scan.symbols(scan.found(files)).where("kind = 'function' and name is not null")
+    rows = scan.symbols(scan.found(files, "symbol")).where("kind = 'function' and name is not null")
     shown = F.transform("parameters", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["type"]), F.lit("")), F.coalesce(F.concat(F.lit(" = "), p["default_value"]), F.lit(""))))
     return rows.select("path", "name", F.array_join(shown, ",").alias("parameters"))
 
@@ -102,26 +101,26 @@ def extract_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extract_imports", "X10", f"WITH {_FILES} SELECT path, 'os' AS source, 'os' AS imports FROM p UNION ALL SELECT path, '.m' || nx, 'f' || nx || ',g' FROM p UNION ALL SELECT path, './s' || nx, 'h' FROM t")
 def extract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python_files(spark, sf_dir).select("path", "content").unionByName(_script_files(spark, sf_dir).select("path", "content"))
-    return scan.imports(scan.found(files)).select(F.col("from_path").alias("path"), "source", F.array_join("imports", ",").alias("imports"))
+    return scan.imports(scan.found(files, "import")).select(F.col("from_path").alias("path"), "source", F.array_join("imports", ",").alias("imports"))
 
 
 @query("extract_inheritance", "X11", f"WITH {_FILES} SELECT path AS from_path, 'Base' || k % 5 AS to_path, 'extends' AS type, 'C' || k AS relationship FROM p UNION ALL SELECT path, 'Base', 'extends', 'Box' || k FROM t")
 def extract_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python_files(spark, sf_dir).select("path", "content").unionByName(_script_files(spark, sf_dir).select("path", "content"))
-    return scan.inheritance(scan.found(files))
+    return scan.inheritance(scan.found(files, "inheritance"))
 
 
 @query("extract_calls", "X12", f"WITH {_FILES} SELECT path, 'f' || nx AS function_name, 6 AS line, 'function' AS call_type FROM p UNION ALL SELECT path, 'helper', 13, 'function' FROM p UNION ALL SELECT path, 'run' || k, 14, 'method' FROM p UNION ALL SELECT path, 'C' || k, 14, 'constructor' FROM p")
 def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.calls(scan.found(_python_files(spark, sf_dir))).select("path", "function_name", "line", "call_type")
+    return scan.calls(scan.found(_python_files(spark, sf_dir), "call")).select("path", "function_name", "line", "call_type")
 
 
 @query("extract_errors", "X1 X2", f"WITH {_FILES} SELECT path, 'SyntaxError' AS kind, 0 AS symbols FROM b")
 def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that cannot be parsed give an error and nothing else; the others are not kept from being read."""
-    found = checkpointed(scan.found(_python_files(spark, sf_dir)))
-    known = scan.symbols(found).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    return scan.errors(found).join(known, "path", "left").select("path", "kind", F.coalesce("n", F.lit(0)).cast("int").alias("symbols"))
+    found = scan.found(_python_files(spark, sf_dir), "symbol").where("what in ('error', 'symbol')")
+    by_file = found.groupBy("path").agg(F.collect_list(F.when(F.col("what") == "error", F.col("kind"))).alias("kinds"), F.count_if(F.col("what") == "symbol").cast("int").alias("symbols"))
+    return by_file.select("path", F.explode("kinds").alias("kind"), "symbols")
 
 
 @query(
@@ -131,14 +130,14 @@ def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT path, 'default_export', 'load' || k, 11, NULL FROM t UNION ALL SELECT path, 'class', 'Box' || k, 6, NULL FROM t UNION ALL SELECT path, 'method', 'make', 8, NULL FROM t UNION ALL SELECT path, 'property', 'size', 7, NULL FROM t""",
 )
 def extract_script_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.symbols(scan.found(_script_files(spark, sf_dir))).where("kind != 'function'")
+    rows = scan.symbols(scan.found(_script_files(spark, sf_dir), "symbol")).where("kind != 'function'")
     return rows.select("path", "kind", "name", "start_line", "source")
 
 
 @query("extract_exports", "X6", f"WITH {_FILES} SELECT path, 'load' || k AS name FROM t UNION ALL SELECT path, 'Box' || k FROM t UNION ALL SELECT path, 'cfg' || k FROM t")
 def extract_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names exported where they are declared."""
-    return scan.symbols(scan.found(_script_files(spark, sf_dir))).where("is_exported and kind in ('function', 'class', 'constant')").select("path", "name")
+    return scan.symbols(scan.found(_script_files(spark, sf_dir), "symbol")).where("is_exported and kind in ('function', 'class', 'constant')").select("path", "name")
 
 
 def _analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -212,7 +211,7 @@ def analysis_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("symbol_summaries", "P20", f"WITH {_FILES} SELECT path, 'run' || k || ',wait,f' || k AS functions, 'run' || k || ':3,wait:1' AS methods, length('    def run' || k || '(self, a, b: int = ' || p_size || '):' || chr(10) || '        return f' || nx || '(a)') AS snippet FROM p")
 def symbol_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summaries.symbol_summary(scan.symbols(scan.found(_python_files(spark, sf_dir))))
+    rows = summaries.symbol_summary(scan.symbols(scan.found(_python_files(spark, sf_dir), "symbol")))
     by_line = F.array_sort(F.transform("functions", lambda f: F.struct(f["start_line"].alias("l"), f["name"].alias("n"), f["snippet"].alias("s"))))
     methods = F.transform(F.col("classes")[0]["methods"], lambda m: F.concat_ws(":", m["name"], m["parameters"].cast("string")))
     return rows.select("path", F.array_join(F.transform(by_line, lambda f: f["n"]), ",").alias("functions"), F.array_join(F.array_sort(methods), ",").alias("methods"), F.length(by_line[0]["s"]).alias("snippet"))
@@ -247,7 +246,7 @@ def chunk_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def enrichment_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python_files(spark, sf_dir)
-    batches = summaries.enrichment_batches(summaries.enrichment_rows(files, scan.symbols(scan.found(files))))
+    batches = summaries.enrichment_batches(summaries.enrichment_rows(files, scan.symbols(scan.found(files, "symbol"))))
     paths = F.transform(F.from_json("files", "array<struct<path:string>>"), lambda f: f["path"])
     return batches.select("batch", F.array_join(paths, ",").alias("paths"))
 
@@ -284,7 +283,7 @@ def fallback_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shallow_symbols", "X14", f"WITH {_FILES} SELECT path, 'class' AS kind, 'C' || k AS name, 4 AS start_line, 'class C' || k || '(Base' || k % 5 || '):' AS head FROM p UNION ALL SELECT path, 'function', 'f' || k, 11, 'def f' || k || '(x: str) -> str:' FROM p")
 def shallow_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python_files(spark, sf_dir)
-    rows = summaries.shallow_symbols(files, scan.symbols(scan.found(files)))
+    rows = summaries.shallow_symbols(files, scan.symbols(scan.found(files, "symbol")))
     return rows.select("path", "kind", "name", "start_line", F.substring_index("code_sample", "\n", 1).alias("head"))
 
 
@@ -292,7 +291,7 @@ def shallow_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shallow_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function of twenty lines shows twelve and a mark."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), F.concat(F.lit("a"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def f():\n"), F.repeat(F.lit("    go()\n"), 19)).alias("content"))
-    rows = summaries.shallow_symbols(s, scan.symbols(scan.found(s.select("path", "content"))))
+    rows = summaries.shallow_symbols(s, scan.symbols(scan.found(s.select("path", "content"), "symbol")))
     lines = F.split("code_sample", "\n", -1)
     return rows.join(s.select("path", "s_suppkey"), "path").select("s_suppkey", F.size(lines).alias("lines"), F.element_at(lines, -1).alias("last"))
 

@@ -24,3 +24,18 @@ def test_a_beginning_means_the_first_file(spark):
     imports = spark.createDataFrame([("a/x.ts", "./util"), ("a/x.ts", "../b"), ("a/x.ts", "./none"), ("a/x.ts", "react")], "from_path string, source string")
     got = {r["source"]: r["to_path"] for r in resolve.resolve_imports(imports, files).collect()}
     assert got == {"./util": "a/util/deep/x.ts", "../b": "b/y.ts", "./none": None, "react": None}
+
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.range(0, 400, 1, 1).select(F.format_string("a/m%d.py", "id").alias("path"), F.lit("def f():\n    g()\n").alias("content"))
+    found = scan.found(files)
+    assert found.count() == 800
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+
+def test_kinds_that_are_asked_for_keep_their_ordinals(spark):
+    files = spark.createDataFrame([("a.py", "import os\ndef f():\n    g()\n"), ("b.py", "def (\n")], "path string, content string")
+    whole = {tuple(r) for r in scan.found(files).where("what in ('call', 'error')").select("path", "what", "name", "ordinal").collect()}
+    assert {tuple(r) for r in scan.found(files, "call").select("path", "what", "name", "ordinal").collect()} == whole

@@ -11,7 +11,7 @@ from tessera.functions.text import content_id, embedding_text
 from tessera.operators import chunks, graph, resolve
 from tessera.operators.extract import scan
 from tessera.operators.files import is_code, language, subsystem
-from tessera.operators.lineage import checkpointed
+from tessera.operators.lineage import by_shuffle, checkpointed
 from tessera.operators.vector import point_id
 from tessera.sources.embeddings import Embedder, embed_column, hashing_embedder
 
@@ -44,18 +44,18 @@ def analyze(files: DataFrame, strategy: str = "hybrid") -> dict[str, DataFrame]:
     what the parser found is checkpointed, since six tables read it.
     """
     code = files.where(is_code(F.col("path"), F.col("content"))).withColumn("path", _qualified(F.col("repo_id"), F.col("path")))
-    found = checkpointed(scan.found(code))
+    found = checkpointed(scan.found(code), sized=False)
     symbols, calls = scan.symbols(found), scan.calls(found)
     own = lambda c: _qualified(_repo(F.col("path")), F.col(c))
     calls = calls.withColumn("function_name", own("function_name"))
     functions = symbols.where("kind = 'function'")
-    defined = functions.withColumn("name", own("name"))
+    # places: files in their order, functions in theirs within a file; of equal ids the first counts, of equal names the last
+    placed = functions.join(by_shuffle(code.select("path", F.col("ordinal").alias("_file"))), "path").withColumn("place", F.struct("_file", "path", "ordinal"))
+    defined = placed.withColumn("name", own("name")).withColumn("ordinal", F.col("place"))
     sites = resolve.containing(calls, functions.select("path", "name", "start_line", "end_line"))
     imported = resolve.resolve_imports(scan.imports(found).select("from_path", "source"), code.select("path", "ordinal"))
     imports = scan.imports(found).join(imported, ["from_path", "source"], "left").select("from_path", F.coalesce("to_path", "source").alias("to_path"), F.lit("import").alias("type"), F.concat_ws(",", "imports").alias("relationship"))
     dependencies = imports.unionByName(scan.inheritance(found)).unionByName(resolve.call_dependencies(calls, defined))
-    # places: files in their order, functions in theirs within a file; of equal ids the first counts
-    placed = functions.join(code.select("path", F.col("ordinal").alias("_file")), "path").withColumn("place", F.struct("_file", "path", "ordinal"))
     named = placed.select(F.concat_ws(":", "path", "name").alias("id"), "path", own("name").alias("name"), F.col("body").alias("content"), "place")
     named = graph.first_wins(named, "id", "place")
     called = sites.where("context is not null").select(F.concat_ws(":", "path", "context").alias("source_id"), F.col("function_name").alias("name"))
@@ -90,7 +90,7 @@ def build_graph(files: DataFrame, analysis: dict[str, DataFrame], repo_id: str |
     label = F.initcap("kind")
     sid = F.when(F.col("kind") == "method", content_id(label, F.col("path"), F.col("parent"), F.col("name"), line)).otherwise(content_id(label, F.col("path"), F.col("name"), line))
     s = s.select(sid.alias("id"), label.alias("label"), "name", "path", "parent", "start_line", "end_line", "ordinal")
-    tree = graph.hierarchy_nodes(prefixes, "ordinal").join(code.select(F.col("path").alias("prefix"), language(F.col("path"), F.lit(None).cast("string")).alias("language")), "prefix", "left")
+    tree = graph.hierarchy_nodes(prefixes, "ordinal").join(by_shuffle(code.select(F.col("path").alias("prefix"), language(F.col("path"), F.lit(None).cast("string")).alias("language"))), "prefix", "left")
     folders = tree.select("id", "label", "name", F.col("prefix").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
     nodes = folders.unionByName(graph.first_wins(s.select("id", "label", "name", "path", "start_line", "end_line", "ordinal"), "id", "ordinal").drop("ordinal"))
     file_id = content_id(F.lit("File"), F.col("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import lines_between
 from tessera.operators import graph
 from tessera.operators.graph import last_wins
-from tessera.operators.lineage import checkpointed
+from tessera.operators.lineage import by_shuffle, checkpointed
 
 STRATEGIES = ("function", "flow", "hybrid")
 
@@ -18,7 +18,7 @@ def function_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Ids are `path:name`, `path:Class.method`, `path:route:method:i` and `path:default_export:i`, `path:file`.
     """
-    f = files.select("path", "content")
+    f = by_shuffle(files.select("path", "content"))
     joined = symbols.join(f, "path")
     sid = (
         F.when(F.col("kind") == "method", F.concat_ws(":", "path", F.concat_ws(".", "parent", "name")))

@@ -39,3 +39,19 @@ def test_kinds_that_are_asked_for_keep_their_ordinals(spark):
     files = spark.createDataFrame([("a.py", "import os\ndef f():\n    g()\n"), ("b.py", "def (\n")], "path string, content string")
     whole = {tuple(r) for r in scan.found(files).where("what in ('call', 'error')").select("path", "what", "name", "ordinal").collect()}
     assert {tuple(r) for r in scan.found(files, "call").select("path", "what", "name", "ordinal").collect()} == whole
+
+
+
+def test_of_equal_names_the_last_file_defines(spark):
+    files = spark.createDataFrame([(f"a/m{k}.py", "def f():\n    pass\n", k, "r") for k in (3, 9, 1, 7, 5)], "path string, content string, ordinal long, repo_id string")
+    (row,) = analysis.analyze(files.repartition(5), "function")["usage"].collect()
+    assert row["defined_in"] == "a/m9.py"
+
+
+
+def test_joins_with_made_texts_broadcast_none(spark):
+    """A chunk's file is text that a plan makes of small columns; by their estimated size it would be sent to the driver whole."""
+    files = spark.range(0, 50, 1, 1).select(F.format_string("a/m%d.py", "id").alias("path"), F.concat(F.lit("def f():\n    pass\n"), F.repeat(F.lit("# text\n"), 100)).alias("content"), F.col("id").alias("ordinal"), F.lit("r").alias("repo_id"))
+    made = analysis.analyze(files, "function")["chunks"]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert made.count() == 50 and "Broadcast" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines_between
+from tessera.operators.lineage import by_shuffle, checkpointed
 
 # What a reader sees of long texts.
 SNIPPET_CHARS, SOURCE_CHARS, LOGGED, SHALLOW_LINES, SHALLOW_CHARS, BATCH = 500, 3000, 5, 12, 1500, 3
@@ -43,13 +44,17 @@ def symbol_summary(symbols: DataFrame) -> DataFrame:
     typed = F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type")))
     function = F.struct("ordinal", "name", typed.alias("parameters"), "return_type", "is_async", "is_exported", "start_line", "end_line", F.substring(F.coalesce("body", F.lit("")), 1, SNIPPET_CHARS).alias("snippet"))
     method = F.struct("ordinal", "name", F.size(F.coalesce("parameters", F.array())).alias("parameters"))
-    s = symbols
-    methods = s.where("kind = 'method'").groupBy("path", F.col("parent").alias("name")).agg(F.sort_array(F.collect_list(method)).alias("methods"))
-    properties = s.where("kind = 'property'").groupBy("path", F.col("parent").alias("name")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "return_type"))).alias("properties"))
-    classes = s.where("kind = 'class'").join(methods, ["path", "name"], "left").join(properties, ["path", "name"], "left")
-    listed = F.sort_array(F.collect_list(F.struct("ordinal", "name", "methods", "properties", "extends", "is_exported", "start_line", "end_line")))
-    f = s.where("kind = 'function'").groupBy("path").agg(F.sort_array(F.collect_list(function)).alias("functions"))
-    return f.join(classes.groupBy("path").agg(listed.alias("classes")), "path", "full_outer")
+    attribute = F.struct("ordinal", "name", "return_type")
+    declared = F.struct("ordinal", "name", "extends", "is_exported", "start_line", "end_line")
+    kind, owner = F.col("kind"), F.when(F.col("kind") == "class", F.col("name")).when(F.col("kind") != "function", F.col("parent"))
+    all_of = lambda name, value: F.collect_list(F.when(kind == name, value))
+    some = lambda listed: F.when(F.size(listed) > 0, F.sort_array(listed))
+    # members come to the classes of their name, then classes and functions to their file
+    wanted = symbols.where("kind = 'function' or (kind in ('class', 'method', 'property') and coalesce(if(kind = 'class', name, parent), '') != '')")
+    owned = wanted.groupBy("path", owner.alias("_owner")).agg(all_of("function", function).alias("f"), all_of("class", declared).alias("c"), some(all_of("method", method)).alias("m"), some(all_of("property", attribute)).alias("p"))
+    classes = F.transform("c", lambda c: F.struct(c["ordinal"].alias("ordinal"), c["name"].alias("name"), F.col("m").alias("methods"), F.col("p").alias("properties"), c["extends"].alias("extends"), c["is_exported"].alias("is_exported"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line")))
+    by_file = owned.groupBy("path").agg(some(F.flatten(F.collect_list("f"))).alias("functions"), some(F.flatten(F.collect_list(classes))).alias("classes"))
+    return by_file.where("functions is not null or classes is not null")
 
 
 def dependency_view(dependencies: DataFrame) -> DataFrame:
@@ -84,17 +89,19 @@ def enrichment_rows(files: DataFrame, symbols: DataFrame) -> DataFrame:
     listed = symbols.where("kind in ('function', 'class')").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", F.col("kind").alias("type"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end")))).alias("s"))
     source = F.when(F.length("content") > SOURCE_CHARS, F.concat(F.substring("content", 1, SOURCE_CHARS), F.lit(SOURCE_MARK))).otherwise(F.col("content"))
     told = F.transform(F.coalesce("s", F.array().cast(listed.schema["s"].dataType)), lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
-    return files.join(listed, "path", "left").select("path", F.coalesce("language", F.lit("")).alias("language"), source.alias("source"), told.alias("symbols"), F.size(told).alias("children"))
+    return by_shuffle(files).join(listed, "path", "left").select("path", F.coalesce("language", F.lit("")).alias("language"), source.alias("source"), told.alias("symbols"), F.size(told).alias("children"))
 
 
 def enrichment_batches(rows: DataFrame, size: int = BATCH) -> DataFrame:
-    """(batch, files): JSON of ``size`` files each, those with the most symbols first. The places come from counts by number of
-    symbols and a rank within them, so that no window sees all files."""
-    within = F.row_number().over(Window.partitionBy("children").orderBy("path"))
-    before = rows.groupBy("children").agg(F.count(F.lit(1)).alias("n"))
-    # a row for each number of symbols a file can have
-    place = before.select("children", (F.sum("n").over(Window.orderBy(F.desc("children"))) - F.col("n")).alias("offset"))
-    placed = rows.withColumn("within", within).join(F.broadcast(place), "children").withColumn("place", F.col("offset") + F.col("within") - 1)
+    """(batch, files): JSON of ``size`` files each, those with the most symbols first. The files are sorted by ranges; the place of
+    one is its place in its range after the counts of the ranges before, so that no window sees all files."""
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    ordered = rows.repartitionByRange(F.desc("children"), "path").sortWithinPartitions(F.desc("children"), "path")
+    ordered = checkpointed(ordered.select("path", "language", "source", "symbols", F.shiftright(at, 33).alias("range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("within")), sized=False)
+    # a row for each range
+    counts = ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("offset"))
+    placed = ordered.join(F.broadcast(before), "range").withColumn("place", F.col("offset") + F.col("within"))
     told = F.struct("place", F.struct("path", "language", "source", "symbols").alias("file"))
     grouped = placed.groupBy(F.floor(F.col("place") / size).alias("batch")).agg(F.sort_array(F.collect_list(told)).alias("f"))
     return grouped.select("batch", F.to_json(F.transform("f", lambda x: x["file"])).alias("files"))
@@ -110,4 +117,4 @@ def shallow_symbols(files: DataFrame, symbols: DataFrame) -> DataFrame:
     last = F.least("end_line", F.col("start_line") + SHALLOW_LINES - 1)
     cut = lines_between(F.col("content"), F.col("start_line"), last)
     sample = F.when(F.col("end_line") > last, F.concat(cut, F.lit("\n" + SHALLOW_MARK))).otherwise(cut)
-    return top.join(files.select("path", "content"), "path").select("path", "kind", "name", "start_line", "end_line", F.substring(sample, 1, SHALLOW_CHARS).alias("code_sample"))
+    return top.join(by_shuffle(files.select("path", "content")), "path").select("path", "kind", "name", "start_line", "end_line", F.substring(sample, 1, SHALLOW_CHARS).alias("code_sample"))

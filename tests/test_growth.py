@@ -55,3 +55,25 @@ def test_joins_with_made_texts_broadcast_none(spark):
     made = analysis.analyze(files, "function")["chunks"]
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert made.count() == 50 and "Broadcast" not in plan
+
+
+
+def test_summaries_take_one_pass(spark):
+    source = "class A:\n    def m(self, x):\n        pass\nclass B:\n    pass\ndef f():\n    pass\n"
+    files = spark.createDataFrame([("a.py", source), ("b.py", "class C:\n    pass\n"), ("c.py", "x = 1\n")], "path string, content string")
+    rows = summaries.symbol_summary(scan.symbols(scan.found(files)))
+    got = {r["path"]: r for r in rows.collect()}
+    assert set(got) == {"a.py", "b.py"}
+    assert [(c["name"], c["methods"] and [m["name"] for m in c["methods"]]) for c in got["a.py"]["classes"]] == [("A", ["m"]), ("B", None)]
+    assert got["b.py"]["functions"] is None and {f["name"] for f in got["a.py"]["functions"]} == {"f", "m"}
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("MapInPandas") == 1
+
+
+
+def test_batches_of_files_with_equally_many_symbols(spark):
+    rows = spark.range(0, 1000, 1, 3).select(F.format_string("m%03d.py", "id").alias("path"), F.lit("python").alias("language"), F.lit("x").alias("source"), F.array().cast("array<string>").alias("symbols"), F.when(F.col("id") == 500, 1).otherwise(0).alias("children"))
+    paths = F.transform(F.from_json("files", "array<struct<path:string>>"), lambda f: f["path"])
+    got = {r["batch"]: r["p"] for r in summaries.enrichment_batches(rows).select("batch", paths.alias("p")).collect()}
+    order = ["m500.py", *[f"m{k:03d}.py" for k in range(1000) if k != 500]]
+    assert got == {k: order[3 * k : 3 * k + 3] for k in range(334)}
+    assert "windowspecdefinition(children" not in summaries.enrichment_batches(rows)._jdf.queryExecution().toString()

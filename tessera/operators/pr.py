@@ -66,11 +66,16 @@ def counts_for_risk(path: Column, severity: Column, description: Column, explana
 PROMPT_FILES, PROMPT_LINES, PROMPT_CHARS, PROMPT_ISSUES, CONTEXT_FILES = 15, 500, 2000, 10, 3
 
 
-def prompt_files(files: DataFrame, key: str = "pr_number") -> DataFrame:
-    """(key, file_path, rank, patch): the first files of each request, their patches cut by lines and then by signs."""
+def prompt_files(files: DataFrame, key: str = "pr_number", patch: Column | None = None) -> DataFrame:
+    """(key, file_path, rank, patch): the first files of each request, their patches cut by lines and then by signs.
+
+    ``patch`` is the column of that name, cut before files are ranked, or what makes the patch out of other columns. Then only
+    these are moved and sorted, and the patches are made of the files that are shown."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy("file_path"))
-    cut = F.substring(F.array_join(F.slice(F.split("patch", "\n", -1), 1, PROMPT_LINES), "\n"), 1, PROMPT_CHARS)
-    return with_patch(files).withColumn("rank", rank).where(F.col("rank") <= PROMPT_FILES).select(key, "file_path", "rank", cut.alias("patch"))
+    cut = lambda text: F.substring(F.array_join(F.slice(F.split(text, "\n", -1), 1, PROMPT_LINES), "\n"), 1, PROMPT_CHARS)
+    shown = F.col("patch") if patch is None else cut(patch)
+    rows = with_patch(files).withColumn("patch", cut(F.col("patch"))) if patch is None else files.where(F.length(F.coalesce(patch, F.lit(""))) > 0)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= PROMPT_FILES).select(key, "file_path", "rank", shown.alias("patch"))
 
 
 def context_query(files: DataFrame, title: str = "title", key: str = "pr_number") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, pr, prompts, regenerate, store, sync, tree
@@ -136,19 +136,24 @@ def compact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATCHED = f"x AS (SELECT {_PR} AS pr_number, l_orderkey * 10 + l_linenumber AS file, l_partkey % 3 <> 0 AS patched FROM lineitem), u AS (SELECT DISTINCT pr_number, file FROM x WHERE patched)"
 
 
+def _patch() -> Column:
+    """The patch of a file of ``_patched``."""
+    return F.concat(F.lit("@@ -1 +1 @@\n"), F.repeat(F.lit("+line\n"), F.col("lines")))
+
+
 def _patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pr_number, file_path, lines); ``_patch`` makes a patch of the last."""
     number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     size = F.floor(F.col("l_orderkey") / 100) % 7
     pr_number = (F.floor(F.col("l_orderkey") / (size + 1)) * 7 + size).alias("pr_number")
-    patch = F.concat(F.lit("@@ -1 +1 @@\n"), F.repeat(F.lit("+line\n"), (F.col("l_orderkey") % 700).cast("int")))
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 3 != 0").select(pr_number, F.format_string("%012d", number).alias("file_path"), patch.alias("patch"))
+    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 3 != 0").select(pr_number, F.format_string("%012d", number).alias("file_path"), (F.col("l_orderkey") % 700).cast("int").alias("lines"))
     return rows.distinct()
 
 
 @query("pr_prompt_files", "T15 P9", f"WITH {_PATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY pr_number ORDER BY file) AS rank FROM u) SELECT pr_number, file, rank, least(2000, 11 + 6 * least(file // 10 % 700, 498) + 1 + CASE WHEN file // 10 % 700 > 498 THEN 5 ELSE 0 END) AS size FROM r WHERE rank <= 15")
 def pr_prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifteen changed files of a request, 500 lines and 2000 signs of each."""
-    shown = pr.prompt_files(_patched(spark, sf_dir))
+    shown = pr.prompt_files(_patched(spark, sf_dir), patch=_patch())
     return shown.select("pr_number", F.col("file_path").cast("long").alias("file"), "rank", F.length("patch").alias("size"))
 
 

@@ -77,3 +77,16 @@ def test_batches_of_files_with_equally_many_symbols(spark):
     order = ["m500.py", *[f"m{k:03d}.py" for k in range(1000) if k != 500]]
     assert got == {k: order[3 * k : 3 * k + 3] for k in range(334)}
     assert "windowspecdefinition(children" not in summaries.enrichment_batches(rows)._jdf.queryExecution().toString()
+
+
+
+def test_patches_are_made_of_the_files_that_are_shown(spark):
+    from tessera.operators import pr
+
+    files = spark.range(0, 40, 1, 2).select((F.col("id") % 2).alias("pr_number"), F.format_string("f%02d", "id").alias("file_path"), F.col("id").cast("int").alias("lines"))
+    patch = F.repeat(F.lit("+l\n"), F.col("lines"))
+    made = pr.prompt_files(files, patch=patch)
+    same = pr.prompt_files(files.withColumn("patch", patch))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, same.collect())) and made.count() == 30
+    below = made._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert not [line for line in below.splitlines() if "Project" in line and "repeat(" in line]

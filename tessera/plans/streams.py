@@ -64,12 +64,12 @@ def _chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chat_id, user_id, coalesce(nullif(CASE WHEN length(t) > 36 THEN left(t, 36) || '…' ELSE t END, ''), 'New chat') AS title, (1 + 2 * coalesce(s.n, 0))::INT AS messages, coalesce(last, c.seq) AS updated FROM c LEFT JOIN s USING (chat_id)""",
 )
 def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chats as a stream leaves them that gets the events in three files, in no order, some twice."""
+    """The chats as a stream leaves them that gets the events in three parts, in no order, some twice. A part has a file for each core."""
     events = _chat_events(spark, sf_dir)
     at = scratch(spark, "chat-events")
-    for part in range(3):
-        events.where(F.pmod(F.xxhash64("chat_id", "event_id"), F.lit(3)) == part).coalesce(1 + part).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(at)
+    files = spark.sparkContext.defaultParallelism
+    events.repartition(3 * files, "chat_id", "event_id").write.parquet(at)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(at)
     return keyed.latest(keyed.collected(keyed.chat_stream(stream), name="chats"), "chat_id")
 
 

@@ -2,31 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, resolve, summaries
+from tessera.operators import analysis, graph, resolve, summaries
 from tessera.operators.extract import scan
 
 
 
-def test_imports_meet_a_folder_once(spark):
-    """Two thousand files and imports in one folder: far fewer rows than pairs."""
-    files = spark.range(2000).select(F.format_string("a/m%d.ts", "id").alias("path"), F.col("id").alias("ordinal"))
-    imports = spark.range(2000).select(F.format_string("a/x%d.ts", "id").alias("from_path"), F.format_string("./m%d", (F.col("id") + 1) % 2100).alias("source"))
-    found = resolve.resolve_imports(imports, files)
-    rows = {r["source"]: r["to_path"] for r in found.collect()}
-    assert len(rows) == 2000 and rows["./m1999"] == "a/m1999.ts" and rows["./m2"] == "a/m2.ts" and rows["./m2000"] is None
-    plan = found._jdf.queryExecution().sparkPlan().toString()
-    assert "startswith(to_path" not in plan.lower()
-
-
-
-def test_a_beginning_means_the_first_file(spark):
-    files = spark.createDataFrame([("a/util.go", 5), ("a/utility.ts", 2), ("a/util/deep/x.ts", 1), ("b/y.ts", 3)], "path string, ordinal long")
-    imports = spark.createDataFrame([("a/x.ts", "./util"), ("a/x.ts", "../b"), ("a/x.ts", "./none"), ("a/x.ts", "react")], "from_path string, source string")
-    got = {r["source"]: r["to_path"] for r in resolve.resolve_imports(imports, files).collect()}
-    assert got == {"./util": "a/util/deep/x.ts", "../b": "b/y.ts", "./none": None, "react": None}
-
-
-
 def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
     files = spark.range(0, 400, 1, 1).select(F.format_string("a/m%d.py", "id").alias("path"), F.lit("def f():\n    g()\n").alias("content"))
     found = scan.found(files)
@@ -58,6 +38,26 @@ def test_joins_with_made_texts_broadcast_none(spark):
 
 
 
+def test_imports_meet_a_folder_once(spark):
+    """Two thousand files and imports in one folder: far fewer rows than pairs."""
+    files = spark.range(2000).select(F.format_string("a/m%d.ts", "id").alias("path"), F.col("id").alias("ordinal"))
+    imports = spark.range(2000).select(F.format_string("a/x%d.ts", "id").alias("from_path"), F.format_string("./m%d", (F.col("id") + 1) % 2100).alias("source"))
+    found = resolve.resolve_imports(imports, files)
+    rows = {r["source"]: r["to_path"] for r in found.collect()}
+    assert len(rows) == 2000 and rows["./m1999"] == "a/m1999.ts" and rows["./m2"] == "a/m2.ts" and rows["./m2000"] is None
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "startswith(to_path" not in plan.lower()
+
+
+
+def test_a_beginning_means_the_first_file(spark):
+    files = spark.createDataFrame([("a/util.go", 5), ("a/utility.ts", 2), ("a/util/deep/x.ts", 1), ("b/y.ts", 3)], "path string, ordinal long")
+    imports = spark.createDataFrame([("a/x.ts", "./util"), ("a/x.ts", "../b"), ("a/x.ts", "./none"), ("a/x.ts", "react")], "from_path string, source string")
+    got = {r["source"]: r["to_path"] for r in resolve.resolve_imports(imports, files).collect()}
+    assert got == {"./util": "a/util/deep/x.ts", "../b": "b/y.ts", "./none": None, "react": None}
+
+
+
 def test_summaries_take_one_pass(spark):
     source = "class A:\n    def m(self, x):\n        pass\nclass B:\n    pass\ndef f():\n    pass\n"
     files = spark.createDataFrame([("a.py", source), ("b.py", "class C:\n    pass\n"), ("c.py", "x = 1\n")], "path string, content string")
@@ -90,3 +90,17 @@ def test_patches_are_made_of_the_files_that_are_shown(spark):
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, same.collect())) and made.count() == 30
     below = made._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
     assert not [line for line in below.splitlines() if "Project" in line and "repeat(" in line]
+
+
+
+def test_a_round_of_community_moves_takes_few_jobs(spark):
+    """Ten rings of six; the moves took 537 jobs on the same session settings while each round joined the links again for its modularity."""
+    edges = spark.range(60).select(F.col("id").alias("source_id"), ((F.col("id") / 6).cast("long") * 6 + (F.col("id") + 1) % 6).alias("target_id"))
+    spark.sparkContext.setJobGroup("moves", "moves")
+    try:
+        rows = graph.communities_by_modularity(spark.range(60), edges).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("moves")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {r["community"] for r in rows} == set(range(0, 60, 6))
+    assert 0 < len(jobs) < 450

@@ -77,7 +77,12 @@ def containing(sites: DataFrame, functions: DataFrame, innermost: bool = False)
     keys = sites.columns
     if innermost:
         hit = (F.col("path") == F.col("_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-        return sites.join(f, hit, "left").groupBy(*keys).agg(F.max_by("_name", F.struct("start_line", -F.col("end_line"), "_name")).alias("context"))
+        number = F.row_number().over(Window.partitionBy("_path").orderBy("start_line", F.desc("end_line"), "_name"))
+        f = f.withColumn("_n", number)
+        # a line's innermost function as a number: sums of pairs are kept in a table of numbers, nothing is sorted by names
+        best = sites.select("path", "line").distinct().join(f, hit).groupBy("path", "line").agg(F.max("_n").alias("_n"))
+        named = best.join(f.select(F.col("_path").alias("path"), "_n", F.col("_name").alias("context")), ["path", "_n"]).drop("_n")
+        return sites.distinct().join(named, ["path", "line"], "left").select(*keys, "context")
     before = Window.partitionBy("_path").orderBy("start_line", F.desc("end_line"), "_name").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end_line").over(before)
     outer = f.withColumn("_reach", reach).where("_reach is null or end_line > _reach")

@@ -104,3 +104,13 @@ def test_a_round_of_community_moves_takes_few_jobs(spark):
         spark.sparkContext._jsc.clearJobGroup()
     assert {r["community"] for r in rows} == set(range(0, 60, 6))
     assert 0 < len(jobs) < 450
+
+
+
+def test_the_innermost_function_needs_no_sorted_aggregation(spark):
+    functions = spark.createDataFrame([("a", 1, 9, "x"), ("a", 2, 5, "y"), ("a", 2, 5, "z"), ("a", 2, 4, "b"), ("b", 1, 1, None)], "path string, start_line int, end_line int, name string")
+    sites = spark.createDataFrame([("a", 3, 1), ("a", 3, 1), ("a", 5, 1), ("a", 9, 2), ("a", 10, 1), ("b", 1, 1), (None, 1, 1)], "path string, line int, col int")
+    found = resolve.containing(sites, functions, innermost=True)
+    want = {("a", 3, 1, "b"), ("a", 5, 1, "z"), ("a", 9, 2, "x"), ("a", 10, 1, None), ("b", 1, 1, "anonymous"), (None, 1, 1, None)}
+    assert found.count() == 6 and {tuple(r) for r in found.collect()} == want
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

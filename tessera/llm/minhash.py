@@ -6,9 +6,8 @@ one key of either: ``side`` squared tables from ``2 * side * width`` minhashes.
 table only if all keys of a collection differ, (1 - s**width)**side for either: 1.5e-4 together at 0.85, 2.4e-5 at 0.87.
 Keys of which no second set has the same are left out before they are combined.
 
-Texts with one shingle set are one entry. Sets that share a table key are compared by ``links.spanned``, which gives
-the groups of all pairs of a table without making them: first by a byte of each minhash, of which similar sets
-have so many in common that none fails (``signatures.SIGMAS``), then by their full shingle sets.
+Texts with one shingle set are one entry. Sets that share a table key are a family, of whose full shingle sets
+``families.linked`` gives the groups that all pairs would, without making them.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, light
-from tessera.llm.links import spanned
-from tessera.llm.signatures import Collections, alike, least_equal, table_entries, within_keys
+from tessera.llm.families import linked, meeting
+from tessera.llm.signatures import Collections, table_entries
 from tessera.llm.simhash import LIGHT_KEYS, text_key
 
 SEED = 42
@@ -49,8 +48,7 @@ def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, collections: Collections) -> DataFrame:
-    """(id, k, s, n, keys, small): the keys of the text and of its shingle set (null without words), its size, short keys
-    and a byte of each minhash."""
+    """(id, k, s, n, keys): the keys of the text and of its shingle set (null without words), its size and short keys."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -58,11 +56,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, collection
         for batch in batches:
             found = [shingles(t.as_py(), width) for t in batch.column("text")]
             sets = pa.array([hashlib.md5(h.tobytes()).digest() if len(h) else None for h in found], type=pa.binary())
-            made = [collections.keys(h) if len(h) else (None, None) for h in found]
-            keys, small = pa.array([k for k, _ in made], type=pa.list_(pa.int64())), pa.array([b for _, b in made], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), sets, pa.array([len(h) for h in found], type=pa.int64()), keys, small], names=["id", "k", "s", "n", "keys", "small"])
+            keys = pa.array([collections.keys(h)[0] if len(h) else None for h in found], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), sets, pa.array([len(h) for h in found], type=pa.int64()), keys], names=["id", "k", "s", "n", "keys"])
 
-    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, keys array<long>, small binary")
+    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -81,22 +78,6 @@ def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, wid
     return chosen.mapInArrow(run, "t long, h array<long>").dropDuplicates(["t"])
 
 
-def compared(sets: DataFrame, sizes: DataFrame, num: int, den: int, least: int):
-    """A check of pairs: those whose full sets have an intersection of at least ``num`` / ``den`` of their union.
-
-    ``sizes`` has (t, n, small). Pairs whose sizes or minhashes exclude that don't get their sets."""
-
-    def check(pairs: DataFrame) -> DataFrame:
-        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"small_{c}"))
-        side = lambda c: sets.select(F.col("t").alias(c), F.col("h").alias(f"h_{c}"))
-        near = pairs.join(size("a"), "a").join(size("b"), "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        both = cut(alike(near, least)).join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("h_a", "h_b"))
-        return both.where(den * common >= num * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
-
-    return check
-
-
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, side: int = SIDE, minhashes: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(id, n, component): one row per document; ``n`` is the size of its shingle set, ``component`` the smallest id
     reachable over pairs whose intersection is at least ``percent`` hundredths of their union.
@@ -107,19 +88,15 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored, whatever their names.
     """
     rows = cut(sketches(docs, id_col, text_col, width, Collections(side, minhashes, seed)))
-    one = rows.where("s is not null").groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("small").alias("small"))
+    one = rows.where("s is not null").groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     # ids of the sets are their places in the table as it is written here
     texts = cut(one.withColumn("t", F.monotonically_increasing_id()))
-    members = cut(table_entries(texts, side))
-    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    asked = members.join(met, "key", "left_semi").select("t").distinct()
-    read = texts.join(asked, "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
-    sets = cut(full_sets(docs, read, id_col, text_col, width))
-    sizes, least = texts.select("t", "n", "small"), least_equal(percent, 100, 2 * side * minhashes)
-    roots = spanned(members, compared(sets, sizes, percent, 100, least), within=within_keys(sizes, least, percent, 100))
-    linked = roots.select(F.col("node").alias("t"), "root").join(texts.select("t", "s", "owner"), "t")
-    named = light(linked.groupBy("root").agg(F.min("owner").alias("component")), LIGHT_KEYS)
-    of = light(linked.join(named, "root").select("s", F.lit(True).alias("joined"), "component"), LIGHT_KEYS)
+    of = cut(meeting(cut(table_entries(texts, side).select("key", "t"))))
+    read = texts.join(of, "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
+    roots = linked(of, full_sets(docs, read, id_col, text_col, width), percent, 100)
+    joined = roots.select(F.col("node").alias("t"), "root").join(texts.select("t", "s", "owner"), "t")
+    named = light(joined.groupBy("root").agg(F.min("owner").alias("component")), LIGHT_KEYS)
+    of = light(joined.join(named, "root").select("s", F.lit(True).alias("joined"), "component"), LIGHT_KEYS)
     every = texts.select("s", "owner").join(of, "s", "left").select("s", F.when(F.col("joined"), F.col("component")).otherwise(F.col("owner")).alias("component"))
     alone = rows.where("s is null").select("id", "n", F.col("id").alias("component"))
     return rows.where("s is not null").join(every, "s").select("id", "n", "component").unionByName(alone)

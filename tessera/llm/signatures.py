@@ -1,17 +1,12 @@
-"""Minhashes of sets: keys of two collections, a byte of each, and pairs that these bytes let be similar."""
+"""Minhashes of sets: keys of two collections, a byte of each, and the tables under which sets meet."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
-#: Standard deviations below the expected number of equal minhashes at which a pair is not compared in full: 1e-11.
-SIGMAS = 7
 _ROWS = 2048
 
 
@@ -50,76 +45,3 @@ def table_entries(texts: DataFrame, side: int) -> DataFrame:
     first, second = F.filter("own", lambda e: e["i"] < side), F.filter("own", lambda e: e["i"] >= side)
     both = own.select("t", "d", F.explode(first).alias("a"), second.alias("b")).select("t", "d", "a", F.explode("b").alias("b"))
     return both.select(F.xxhash64("a.i", "a.v", "b.i", "b.v").alias("key"), "t", "d")
-
-
-def alike(pairs: DataFrame, least: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose ``small_a`` and ``small_b`` have ``least`` or more bytes in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("small_a", "small_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
-
-    return pairs.select("a", "b", "small_a", "small_b").mapInArrow(run, "a long, b long")
-
-
-def least_equal(num: float, den: int, minhashes: int) -> int:
-    """How many of the minhashes of similar sets are equal at least."""
-    share = num / den
-    return int(minhashes * share - SIGMAS * (minhashes * share * (1 - share)) ** 0.5)
-
-
-#: Bytes of minhashes that are compared at once.
-_AT_ONCE = 1 << 24
-
-
-def near_rows(t: np.ndarray, of: np.ndarray, n: np.ndarray, small: np.ndarray, least: int, num: float, den: int) -> np.ndarray:
-    """The pairs among the rows of a key, of different groups, that sizes and bytes of minhashes let be similar."""
-    found, width = [np.zeros((0, 2), dtype=np.int64)], small.shape[1]
-    step = max(1, _AT_ONCE // (len(t) * width))
-    for i in range(0, len(t), step):
-        a = slice(i, i + step)
-        ok = (of[a, None] != of[None, :]) & (t[a, None] < t[None, :]) & (den * np.minimum(n[a, None], n[None, :]) >= num * np.maximum(n[a, None], n[None, :]))
-        x, y = np.nonzero(ok)
-        for k in range(0, len(x), _AT_ONCE // width):
-            p, q = x[k : k + _AT_ONCE // width] + i, y[k : k + _AT_ONCE // width]
-            same = (small[p] == small[q]).sum(axis=1) >= least
-            found.append(np.stack([t[p[same]], t[q[same]]], axis=1))
-    return np.concatenate(found)
-
-
-def within_keys(sizes: DataFrame, least: int, num: float, den: int):
-    """Pairs under one key by ``near_rows``; ``sizes`` has (t, n, small)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            key, *rest = (np.concatenate(c) for c in zip(*held))
-            ends = np.flatnonzero(np.r_[key[1:] != key[:-1], last])
-            start, pairs = 0, []
-            for e in (ends + 1).tolist():
-                if e - start > 1:
-                    pairs.append(near_rows(*[c[start:e] for c in rest], least, num, den))
-                start = e
-            held[:] = [tuple(c[start:] for c in (key, *rest))] if start < len(key) else []
-            if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                bytes_ = np.frombuffer(b"".join(batch.column("small").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                held.append((*[batch.column(c).to_numpy() for c in ("key", "t", "of", "n")], bytes_))
-                yield from groups(False)
-        if held:
-            yield from groups(True)
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        # a set meets its minhashes once, whatever the number of its keys
-        own = rows.groupBy("t").agg(F.first("of").alias("of"), F.collect_list("key").alias("keys")).join(sizes, "t")
-        full = own.select(F.explode("keys").alias("key"), "t", "of", "n", "small").repartition("key").sortWithinPartitions("key")
-        return full.mapInArrow(scan, "a long, b long")
-
-    return pairs

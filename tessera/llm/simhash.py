@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, fresh, light
 from tessera.llm.components import connected_components
-from tessera.llm.links import spanned
-from tessera.llm.signatures import Collections, alike, least_equal, table_entries, within_keys
+from tessera.llm.families import linked, meeting
+from tessera.llm.signatures import Collections, table_entries
 
 SEED = 42
 SHINGLE_BLOCK = 1 << 16
@@ -256,36 +257,33 @@ def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, k, s, n, fp, keys, small): what a text is compared by, the text left out: the keys of the text and of its shingle set, the
-    size of the set, the fingerprint, the set's short keys and a byte of each of its minhashes."""
+    """(id, k, s, fp, keys): what a text is compared by, the text left out: the keys of the text and of its shingle set, the
+    fingerprint and the set's short keys."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     hashes = Collections(SIDE, WIDTH)
-    none = ([], bytes(2 * SIDE * WIDTH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sets = [_shingle_hashes(_words(t), width) for t in texts]
-            made = [hashes.keys(h.view(np.uint64)) if len(h) else none for h in sets]
-            columns = [pa.array([hashlib.md5(h.tobytes()).digest() for h in sets], type=pa.binary()), pa.array([len(h) for h in sets], type=pa.int64()), pa.array([fingerprint(t, width) for t in texts], type=pa.int64())]
-            columns += [pa.array([k for k, _ in made], type=pa.list_(pa.int64())), pa.array([b for _, b in made], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), *columns], names=["id", "k", "s", "n", "fp", "keys", "small"])
+            made = [hashes.keys(h.view(np.uint64))[0] if len(h) else [] for h in sets]
+            columns = [pa.array([hashlib.md5(h.tobytes()).digest() for h in sets], type=pa.binary()), pa.array([fingerprint(t, width) for t in texts], type=pa.int64()), pa.array(made, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), *columns], names=["id", "k", "s", "fp", "keys"])
 
-    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, n long, fp long, keys array<long>, small binary")
+    return rows.mapInArrow(run, f"id {kind}, k binary, s binary, fp long, keys array<long>")
 
 
 def shared_keys(sets: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
-    """(key, t, d) under which sets meet: each fingerprint, each link of the fingerprints by multi-index hashing, and the tables
-    of minhashes; ``d`` grows with how many share the short keys of a set."""
-    tables = table_entries(sets, SIDE)
+    """(key, t) under which sets meet: each fingerprint, each link of the fingerprints by multi-index hashing, and the tables
+    of minhashes."""
+    tables = table_entries(sets, SIDE).select("key", "t")
     prints = cut(sets.groupBy("fp").agg(F.min("t").alias("t")))
     same = sets.join(prints.select("fp", F.col("t").alias("rep")), "fp").where("t != rep").select(F.col("t").alias("a"), F.col("rep").alias("b"))
     one = lambda c: prints.select(F.col("fp").alias(f"fp_{c}"), F.col("t").alias(c))
     near = fingerprint_links(prints, radius, bucket_rows=bucket_rows).toDF("fp_a", "fp_b").join(one("a"), "fp_a").join(one("b"), "fp_b").select("a", "b")
     pairs = same.unionByName(near).distinct().select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("t"))
-    own = tables.groupBy("t").agg(F.first("d").alias("d"))
-    return tables.unionByName(pairs.join(own, "t", "left").select("key", "t", F.coalesce("d", F.lit(0)).alias("d")))
+    return tables.unionByName(pairs)
 
 
 def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -304,42 +302,26 @@ def full_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, wid
     return chosen.mapInArrow(run, "t long, h array<long>").dropDuplicates(["t"])
 
 
-def compared(sizes: DataFrame, sets: DataFrame, similarity: float, least: int):
-    """A check of pairs of sets: those with a Jaccard similarity of at least ``similarity``; sizes and minhashes that exclude it
-    come first, and pairs left out by them don't get their sets. ``sizes`` has (t, n, small)."""
-
-    def check(pairs: DataFrame) -> DataFrame:
-        size = lambda c: sizes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"), F.col("small").alias(f"small_{c}"))
-        side = lambda c: sets.select(F.col("t").alias(c), F.col("h").alias(f"h_{c}"))
-        near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-        both = cut(alike(near, least)).join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("h_a", "h_b"))
-        return both.where(common >= similarity * (F.size("h_a") + F.size("h_b") - common)).select("a", "b")
-
-    return check
-
-
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
     """(id, k, root, component): one row per document; ``component`` is the smallest id among the texts reachable over pairs
     of at least ``similarity`` in their ``width``-word shingles, ``root`` names the group and ``k`` the text.
 
-    Sets whose fingerprints multi-index hashing links, and sets that meet in a table of minhashes, are compared by ``links.spanned``
-    on their whole sets. A pair can be lost only if it meets nowhere (``SIDE``), or by ``signatures.SIGMAS``. Words are those of ``simhash_groups``; texts without words are one
+    Sets whose fingerprints multi-index hashing links, and sets that meet in a table of minhashes, are a family, whose whole sets
+    ``families.linked`` compares. A pair can be lost only if it meets nowhere (``SIDE``). Words are those of ``simhash_groups``; texts without words are one
     group, and so are texts of fewer than ``width`` words that are equal. Null texts are empty. Rows with a null id take
     part. Repeated rows stay repeated. An empty table gives an empty result. Other columns are ignored.
     """
     rows = cut(sketches(docs, id_col, text_col, width))
-    one = rows.groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("small").alias("small"))
+    one = rows.groupBy("s").agg(F.min(F.struct("id", "k")).alias("least"), F.min("id").alias("owner"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     # ids of the sets are their places in the table as it is written here
     sets = cut(one.withColumn("t", F.monotonically_increasing_id()))
-    members = cut(shared_keys(sets, radius, bucket_rows))
-    asked = sets.join(members.select("t").distinct(), "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
-    full = cut(full_sets(docs, asked, id_col, text_col, width))
-    sizes, least = sets.select("t", "n", "small"), least_equal(similarity, 1, 2 * SIDE * WIDTH)
-    roots = spanned(members, compared(sizes, full, similarity, least), within=within_keys(sizes, least, similarity, 1))
-    linked = roots.select(F.col("node").alias("t"), "root").join(sets.select("t", "s", "owner"), "t")
-    named = light(linked.groupBy("root").agg(F.min("owner").alias("least")), LIGHT_KEYS)
-    of = light(linked.join(named, "root").select("s", "root", "least"), LIGHT_KEYS)
+    of = cut(meeting(cut(shared_keys(sets, radius, bucket_rows))))
+    asked = sets.join(of, "t").select("t", F.col("least.k").alias("k"), F.col("least.id").alias("owner"))
+    least = Fraction(str(similarity))
+    roots = linked(of, full_sets(docs, asked, id_col, text_col, width), least.numerator, least.denominator)
+    joined = roots.select(F.col("node").alias("t"), "root").join(sets.select("t", "s", "owner"), "t")
+    named = light(joined.groupBy("root").agg(F.min("owner").alias("least")), LIGHT_KEYS)
+    of = light(joined.join(named, "root").select("s", "root", "least"), LIGHT_KEYS)
     every = sets.select("s", "t", "owner").join(of, "s", "left")
     grouped = F.col("root").isNotNull()
     each = every.select("s", F.coalesce("root", "t").alias("root"), F.when(grouped, F.col("least")).otherwise(F.col("owner")).alias("component"))

@@ -19,9 +19,9 @@ FILES_AT_ONCE = 500
 
 def extract_file(path: str, content: str, lang: str, what: tuple[str, ...] = ()) -> list[dict]:
     """All rows of one file, or those of the kinds in ``what``; a file that cannot be parsed gives one error row."""
-    reader = python_source.extract if lang == "python" else script_source.extract
     try:
-        return [f.row(path, k) for k, f in enumerate(reader(content)) if not what or f.what in what]
+        made = python_source.extract(content, what) if lang == "python" else script_source.extract(content)
+        return [f.row(path, k) for k, f in enumerate(made) if f is not None and (not what or f.what in what)]
     except (SyntaxError, ValueError, RecursionError, IndexError) as e:
         return [Found("error", type(e).__name__, str(e)[:200]).row(path, 0)]
 

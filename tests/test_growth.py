@@ -114,3 +114,19 @@ def test_the_innermost_function_needs_no_sorted_aggregation(spark):
     want = {("a", 3, 1, "b"), ("a", 5, 1, "z"), ("a", 9, 2, "x"), ("a", 10, 1, None), ("b", 1, 1, "anonymous"), (None, 1, 1, None)}
     assert found.count() == 6 and {tuple(r) for r in found.collect()} == want
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_python_rows_of_other_kinds_are_not_made(monkeypatch):
+    """Only rows that are asked for are made, in their places among all; nothing is unparsed for the others."""
+    from tessera.operators.extract import python_source
+
+    code = "import os\nfrom .a import (b, c as d)\nclass A(x.B):\n    def m(self, *, p: int = 3 + 4) -> 'A':\n        return [g(q) for q in f.h(1)(2)]\n@app.get('/r')\nasync def r(): return A()\n"
+    whole = scan.extract_file("a.py", code, "python")
+    assert [f["name"] for f in whole if f["what"] == "call"] == ["get", "A", "g", "h"]
+    for what in ("symbol", "import", "inheritance", "call"):
+        assert scan.extract_file("a.py", code, "python", (what,)) == [f for f in whole if f["what"] == what]
+    unparsed = []
+    monkeypatch.setattr(python_source.ast, "unparse", lambda e: unparsed.append(e) or "x")
+    assert len(scan.extract_file("a.py", "def f(a: list[int] = 1 + 2) -> int: pass\nimport os\n", "python", ("import",))) == 1
+    assert not unparsed

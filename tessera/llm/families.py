@@ -51,12 +51,20 @@ def _either(a: Column, b: Column) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
+def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the links ``new`` (a, b), few of which join what isn't joined yet."""
+    one = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
+    ends = new.join(one("a"), "a", "left").join(one("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    more = cut(ends.where("a != b").distinct())
+    return roots if more.isEmpty() else cut(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+
+
 def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of all rows linked to another: those in one family of ``of``, as ``meeting`` gives it, whose sets have at least
     ``num`` / ``den`` of their union in common. ``sets`` has (t, h), ``h`` without repeats."""
     more, less = den + num, den - num
     rows = cut(_counted(of).join(sets, "t").select("g", "t", "m", F.size("h").alias("n"), F.col("h").alias("d")))
-    links = None
+    roots = None
     while True:
         each = rows.select("g", "m", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"), F.first("m").alias("m"))
         most = each.where("2 * f > m").groupBy("g").agg(F.collect_list("e").alias("c"), F.first("m").alias("m"))
@@ -65,8 +73,7 @@ def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         least = apart.groupBy("g").agg(F.min(F.struct("w", "t")).alias("low"), F.first("m").alias("m"))
         near = cut(_with(apart.select("g", "t", "m", "w", F.size("d").alias("k")), least, "inner"))
         new = near.where(F.col("w") + F.col("low.w") <= 0).where(F.col("t") != F.col("low.t")).select(F.col("t").alias("a"), F.col("low.t").alias("b"))
-        links = cut(new if links is None else links.unionByName(new))
-        roots = cut(connected_components(links))
+        roots = cut(connected_components(new)) if roots is None else _joined(roots, new)
         # in up to three rows no element of a difference is in two
         root = lambda c: roots.select(F.col("node").alias("t"), F.col("root").alias(c))
         left = near.where("m > 3").join(root("_own"), "t", "left").withColumn("root", F.coalesce("_own", "t")).drop("_own")
@@ -77,8 +84,8 @@ def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         bound = F.when(F.col("root") == F.col("low_root"), F.col("w_else")).otherwise(F.col("low.w"))
         common = F.greatest(F.lit(1), F.ceil((F.col("w") + bound) / (2 * more)))
         asked = _with(left, others, "inner").select("g", "t", "root", "k", (F.col("k") - common + 1).alias("p")).where("p > 0")
-        parts = apart.where("m > 3").join(asked.select("g", "t"), ["g", "t"]).select("g", "t", F.explode("d").alias("e"))
-        parts = parts.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("g", "e"))).where("f > 1").join(asked, ["g", "t"])
+        parts = apart.select("g", "t", "d").join(asked, ["g", "t"]).select("g", "t", "root", "k", "p", F.explode("d").alias("e"))
+        parts = parts.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("g", "e"))).where("f > 1")
         own = Window.partitionBy("g", "t")
         at = F.row_number().over(own.orderBy("f", "e")) + F.col("k") - F.count(F.lit(1)).over(own)
         rarest = cut(parts.withColumn("at", at).where("at <= p").select("g", "e", "t", "root"))

@@ -17,6 +17,9 @@ from tessera.operators.lineage import checkpointed
 LIGHT_ROWS = 1_000_000
 
 
+#: Rows of a few numbers each that are worth a task in a loop.
+TASK_ROWS = 20_000
+
 #: Bytes of texts that go to a Python worker at once, so that ten thousand long texts do not.
 BATCH_BYTES = 8 << 20
 
@@ -61,6 +64,20 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def gathered(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more tasks than ``each`` rows apiece fill; never in more than it has.
+
+    Every task of a shuffle leaves files, whatever its rows: loops over small tables otherwise cost the tasks, not the rows."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def swept(spark: SparkSession) -> None:
+    """Have files of shuffles and checkpoints that nothing refers to any more removed; the driver collects its garbage, and
+    with it those, only when its heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, longer until no column of ``docs`` is called so."""
     taken = {c.lower() for c in docs.columns}

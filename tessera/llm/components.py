@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, gathered, swept
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``root`` is the smallest node reachable. Edges with a null end and self loops are ignored;
     repeated and reversed edges count once. Each round moves O(edges) rows, sums per node are
     combined before the shuffle, and the edge set is checkpointed so that lost executors cost
-    one round only.
+    one round only. A round has no more tasks than its edges fill.
     """
     e = cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -33,21 +33,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = _state(e)
     while before[0]:
+        few = lambda df, n=before[0]: gathered(df, n)
+        e = few(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(least, "u")
+            few(both.join(least, "u"))
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v")
             .distinct()
         )
+        large = few(large)
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(parent, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(parent.select("u", F.col("m").alias("v"))).distinct())
+        moved = few(large.join(parent, "u")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(few(moved.unionByName(few(parent.select("u", F.col("m").alias("v")))).distinct()))
         after = _state(e)
         if after == before:
             break
         before = after
-    stars = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    swept(edges.sparkSession)
+    few = lambda df, n=before[0]: gathered(df, n)
+    stars = few(e.groupBy("u").agg(F.min("v").alias("root"))).select(F.col("u").alias("node"), "root")
+    return stars.unionByName(few(stars.select(F.col("root").alias("node"), "root").distinct()))

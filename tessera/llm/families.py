@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, light
+from tessera.llm.common import cut, gathered, light, swept
 from tessera.llm.components import connected_components
 from tessera.llm.links import _same_rows
 
 #: Rows of a family that meet what belongs to the family in one place.
 TOGETHER = 64
 
+#: Sets, or differences of sets, that are worth a task.
+TASK_SETS = 2_000
+
 
 def meeting(members: DataFrame) -> DataFrame:
     """(t, g) of the rows of ``members`` (key, t) that meet others: ``g`` is the least row reachable over shared keys."""
@@ -51,48 +54,60 @@ def _either(a: Column, b: Column) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
-def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
-    """``roots`` (node, root) with the links ``new`` (a, b), few of which join what isn't joined yet."""
+def _joined(roots: DataFrame, new: DataFrame, rows: int) -> DataFrame:
+    """``roots`` (node, root) of at most ``rows`` nodes with the links ``new`` (a, b), few of which join what isn't joined yet.
+    Only the groups that these join are sought anew, not all their rows."""
     one = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
     ends = new.join(one("a"), "a", "left").join(one("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    more = cut(ends.where("a != b").distinct())
-    return roots if more.isEmpty() else cut(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    more = cut(gathered(ends.where("a != b").distinct(), rows))
+    if more.isEmpty():
+        return roots
+    moved = light(connected_components(more))
+    kept = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return cut(gathered(kept.unionByName(moved.join(roots.select("node"), "node", "left_anti")), rows))
 
 
 def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of all rows linked to another: those in one family of ``of``, as ``meeting`` gives it, whose sets have at least
     ``num`` / ``den`` of their union in common. ``sets`` has (t, h), ``h`` without repeats."""
     more, less = den + num, den - num
-    rows = cut(_counted(of).join(sets, "t").select("g", "t", "m", F.size("h").alias("n"), F.col("h").alias("d")))
+    every = n = of.count()
+    rows = cut(gathered(_counted(of).join(sets, "t").select("g", "t", "m", F.size("h").alias("n"), F.col("h").alias("d")), n, TASK_SETS))
     roots = None
     while True:
+        few = lambda df, n=n: gathered(df, n)
+        swept(rows.sparkSession)
         each = rows.select("g", "m", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"), F.first("m").alias("m"))
         most = each.where("2 * f > m").groupBy("g").agg(F.collect_list("e").alias("c"), F.first("m").alias("m"))
         apart = _with(rows, most).withColumn("d", _either(F.col("d"), F.coalesce("c", F.array().cast("array<long>")))).drop("c")
-        apart = cut(apart.withColumn("w", more * F.size("d") - less * F.col("n")))
+        apart = cut(gathered(apart.withColumn("w", more * F.size("d") - less * F.col("n")), n, TASK_SETS))
         least = apart.groupBy("g").agg(F.min(F.struct("w", "t")).alias("low"), F.first("m").alias("m"))
-        near = cut(_with(apart.select("g", "t", "m", "w", F.size("d").alias("k")), least, "inner"))
+        near = cut(few(_with(apart.select("g", "t", "m", "w", F.size("d").alias("k")), least, "inner")))
         new = near.where(F.col("w") + F.col("low.w") <= 0).where(F.col("t") != F.col("low.t")).select(F.col("t").alias("a"), F.col("low.t").alias("b"))
-        roots = cut(connected_components(new)) if roots is None else _joined(roots, new)
+        roots = cut(few(connected_components(new))) if roots is None else _joined(roots, new, every)
         # in up to three rows no element of a difference is in two
         root = lambda c: roots.select(F.col("node").alias("t"), F.col("root").alias(c))
-        left = near.where("m > 3").join(root("_own"), "t", "left").withColumn("root", F.coalesce("_own", "t")).drop("_own")
+        left = few(near.where("m > 3").join(root("_own"), "t", "left")).withColumn("root", F.coalesce("_own", "t")).drop("_own")
         left = left.join(root("low_root").withColumnRenamed("t", "_low"), F.col("low.t") == F.col("_low"), "left").withColumn("low_root", F.coalesce("low_root", "low.t")).drop("_low")
-        left = cut(left)
+        left = cut(few(left))
         # the least w that a row of another group has; two of one group need no look
         others = left.where("root != low_root").groupBy("g").agg(F.min("w").alias("w_else"), F.first("m").alias("m"))
         bound = F.when(F.col("root") == F.col("low_root"), F.col("w_else")).otherwise(F.col("low.w"))
         common = F.greatest(F.lit(1), F.ceil((F.col("w") + bound) / (2 * more)))
-        asked = _with(left, others, "inner").select("g", "t", "root", "k", (F.col("k") - common + 1).alias("p")).where("p > 0")
-        parts = apart.select("g", "t", "d").join(asked, ["g", "t"]).select("g", "t", "root", "k", "p", F.explode("d").alias("e"))
-        parts = parts.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("g", "e"))).where("f > 1")
+        asked = cut(few(_with(left, others, "inner").select("g", "t", "root", "k", (F.col("k") - common + 1).alias("p")).where("p > 0")))
+        elements = asked.agg(F.sum("k")).first()[0]
+        if not elements:
+            return roots
+        parts = gathered(apart.select("g", "t", "d").join(asked, ["g", "t"]), n, TASK_SETS).select("g", "t", "root", "k", "p", F.explode("d").alias("e"))
+        parts = gathered(parts.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("g", "e"))), elements).where("f > 1")
         own = Window.partitionBy("g", "t")
         at = F.row_number().over(own.orderBy("f", "e")) + F.col("k") - F.count(F.lit(1)).over(own)
-        rarest = cut(parts.withColumn("at", at).where("at <= p").select("g", "e", "t", "root"))
+        rarest = cut(gathered(parts.withColumn("at", at), elements).where("at <= p").select("g", "e", "t", "root"))
         lists = rarest.groupBy("g", "e").agg(*_same_rows(), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
         once = lists.groupBy("n", "x", "y").agg(F.min(F.struct("g", "e")).alias("l")).select("l.g", "l.e", F.col("n").alias("m"), F.monotonically_increasing_id().alias("q"))
-        once = cut(once)
-        if once.isEmpty():
+        once = cut(gathered(once, elements))
+        n = once.agg(F.sum("m")).first()[0]
+        if not n:
             return roots
         inside = rarest.select("g", "e", "t").join(once, ["g", "e"])
-        rows = cut(inside.join(apart.select("g", "t", "n", "d"), ["g", "t"]).select(F.col("q").alias("g"), "t", "m", "n", "d"))
+        rows = cut(gathered(inside.join(apart.select("g", "t", "n", "d"), ["g", "t"]).select(F.col("q").alias("g"), "t", "m", "n", "d"), n, TASK_SETS))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.llm import families
+from tessera.llm import components, families
 
 
 def all_pairs(sets, num, den):
@@ -64,3 +64,31 @@ def test_a_family_of_unlinked_copies_costs_no_pairs(spark, monkeypatch):
     sets = {t: set(rng.sample(range(150), 135)) | {1000 + 20 * t + i for i in range(15)} for t in range(400)}
     assert run(spark, sets, 85, 100) == all_pairs(sets, 85, 100) == {}
     assert max(made) < 40 * len(sets)
+
+
+def test_few_rows_are_few_tasks_however_many_partitions(spark, monkeypatch):
+    """Rounds over a few hundred rows wrote as many files a shuffle as there are shuffle partitions."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, made, cut = {k: spark.conf.get(k) for k in held}, [], components.cut
+
+    def counted(df):
+        df = cut(df)
+        made.append(df.rdd.getNumPartitions())
+        return df
+
+    rng = random.Random(4)
+    sets = {t: set(rng.sample(range(150), 135)) | {1000 + 20 * (t // 2) + i for i in range(15)} for t in range(100)}
+    edges = spark.createDataFrame([(t, t + 1) for t in range(40)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(components, "cut", counted)
+        assert {r.root for r in components.connected_components(edges).collect()} == {0}
+        assert len(made) > 2 and max(made[1:]) == 1
+        monkeypatch.setattr(families, "cut", counted)
+        made.clear()
+        assert run(spark, sets, 85, 100) == all_pairs(sets, 85, 100)
+        assert sum(n > 4 for n in made) * 3 <= len(made)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -84,7 +84,9 @@ def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         least = apart.groupBy("g").agg(F.min(F.struct("w", "t")).alias("low"), F.first("m").alias("m"))
         near = cut(few(_with(apart.select("g", "t", "m", "w", F.size("d").alias("k")), least, "inner")))
         new = near.where(F.col("w") + F.col("low.w") <= 0).where(F.col("t") != F.col("low.t")).select(F.col("t").alias("a"), F.col("low.t").alias("b"))
-        roots = cut(few(connected_components(new))) if roots is None else _joined(roots, new, every)
+        roots = cut(few(connected_components(new))) if roots is None else _joined(roots, new, max(n, every))
+        # all roots are read, however few rows are left
+        few = lambda df, n=max(n, every): gathered(df, n)
         # in up to three rows no element of a difference is in two
         root = lambda c: roots.select(F.col("node").alias("t"), F.col("root").alias(c))
         left = few(near.where("m > 3").join(root("_own"), "t", "left")).withColumn("root", F.coalesce("_own", "t")).drop("_own")
@@ -106,8 +108,10 @@ def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         lists = rarest.groupBy("g", "e").agg(*_same_rows(), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
         once = lists.groupBy("n", "x", "y").agg(F.min(F.struct("g", "e")).alias("l")).select("l.g", "l.e", F.col("n").alias("m"), F.monotonically_increasing_id().alias("q"))
         once = cut(gathered(once, elements))
-        n = once.agg(F.sum("m")).first()[0]
+        before, n = n, once.agg(F.sum("m")).first()[0]
         if not n:
             return roots
         inside = rarest.select("g", "e", "t").join(once, ["g", "e"])
-        rows = cut(gathered(inside.join(apart.select("g", "t", "n", "d"), ["g", "t"]).select(F.col("q").alias("g"), "t", "m", "n", "d"), n, TASK_SETS))
+        # all differences are read for the few that go on: tasks by what goes in, then by what came out
+        rows = inside.join(apart.select("g", "t", "n", "d"), ["g", "t"]).select(F.col("q").alias("g"), "t", "m", "n", "d")
+        rows = gathered(cut(gathered(rows, max(before, n), TASK_SETS)), n, TASK_SETS)

@@ -9,14 +9,21 @@ Where w_A + w_B <= 0, both are linked with the set of the least w. A pair beyond
 of its differences in common, one of them among the rarest of either. All sets with such an element are a family of the next round, in which
 their differences stand for them. An element of a difference is in at most half of the differences of its family, so
 families halve each round, and the groups are exactly those that all pairs of each first family would give.
+
+A family of at most ``WITHIN`` rows and ``ELEMENTS`` elements needs no rounds: it goes to one task as it is, where its sets are
+compared with each other. Only elements of larger families become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, gathered, light, swept
+from tessera.llm.common import bounded_batches, cut, gathered, light, swept
 from tessera.llm.components import connected_components
 from tessera.llm.links import _same_rows
 
@@ -26,6 +33,12 @@ TOGETHER = 64
 #: Sets, or differences of sets, that are worth a task.
 TASK_SETS = 2_000
 
+#: Rows and elements of a family up to which a task compares it: some MB, and no more comparisons for a row than the first.
+WITHIN, ELEMENTS = 128, 1 << 20
+
+#: Elements that are counted at once in such a comparison.
+_ELEMENTS_AT_ONCE = 4096
+
 
 def meeting(members: DataFrame) -> DataFrame:
     """(t, g) of the rows of ``members`` (key, t) that meet others: ``g`` is the least row reachable over shared keys."""
@@ -67,6 +80,79 @@ def _joined(roots: DataFrame, new: DataFrame, rows: int) -> DataFrame:
     return cut(gathered(kept.unionByName(moved.join(roots.select("node"), "node", "left_anti")), rows))
 
 
+def _in_common(d: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    sizes = [len(x) for x in d]
+    _, which, times = np.unique(np.concatenate(d), return_inverse=True, return_counts=True)
+    shared = times > 1
+    again = shared[which]
+    row, column = np.repeat(np.arange(len(d)), sizes)[again], (np.cumsum(shared) - 1)[which[again]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(d), len(d)), dtype=np.int64)
+    total = int(shared.sum())
+    for low in range(0, total, _ELEMENTS_AT_ONCE):
+        i, j = np.searchsorted(column, (low, low + _ELEMENTS_AT_ONCE))
+        has = np.zeros((len(d), min(_ELEMENTS_AT_ONCE, total - low)), dtype=np.float32)
+        has[row[i:j], column[i:j] - low] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def _stars(t: np.ndarray, near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(row, least row of its group) for the groups that ``near`` joins, but for the least rows themselves."""
+    left = np.ones(len(t), dtype=bool)
+    for start in np.argsort(t):
+        if left[start]:
+            left[start], queue = False, [start]
+            while queue:
+                found = np.flatnonzero(near[queue.pop()] & left)
+                left[found] = False
+                queue.extend(found)
+                yield from ((int(t[x]), int(t[start])) for x in found)
+
+
+def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) that join what all pairs within each family of ``rows`` (g, t, n, d) do; every family is in one task."""
+    more, less = den + num, den - num
+
+    def compared(t: list, n: list, d: list) -> Iterator[tuple[int, int]]:
+        w = np.array([more * len(x) - less * y for x, y in zip(d, n)], dtype=np.int64)
+        yield from _stars(np.array(t, dtype=np.int64), w[:, None] + w[None, :] <= 2 * more * _in_common(d))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        now, t, n, d, found = None, [], [], [], []
+        for batch in batches:
+            kinds, ids, sizes = (batch.column(c).to_pylist() for c in ("g", "t", "n"))
+            lists = batch.column("d")
+            for i, g in enumerate(kinds):
+                if g != now:
+                    found.extend(compared(t, n, d) if len(t) > 1 else ())
+                    now, t, n, d = g, [], [], []
+                t.append(ids[i])
+                n.append(sizes[i])
+                d.append(lists[i].values.to_numpy())
+            if found:
+                yield given(found)
+                found = []
+        if len(t) > 1:
+            yield given(list(compared(t, n, d)))
+
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _small(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The families of ``rows`` (g, m, d, ..) that a task compares, and the others; ``n`` is the number of rows."""
+    long = rows.where(F.col("m") <= WITHIN).groupBy("g").agg(F.sum(F.size("d")).alias("_e")).where(F.col("_e") > ELEMENTS)
+    long = light(gathered(long.select("g"), n))
+    few = F.col("m") <= WITHIN
+    return rows.where(few).join(long, "g", "left_anti"), rows.where(~few).unionByName(rows.where(few).join(long, "g", "left_semi"))
+
+
 def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of all rows linked to another: those in one family of ``of``, as ``meeting`` gives it, whose sets have at least
     ``num`` / ``den`` of their union in common. ``sets`` has (t, h), ``h`` without repeats."""
@@ -77,6 +163,13 @@ def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     while True:
         few = lambda df, n=n: gathered(df, n)
         swept(rows.sparkSession)
+        small, rows = _small(rows, n)
+        found = gathered(small.select("g", "t", "n", "d").repartition("g"), n, TASK_SETS).sortWithinPartitions("g")
+        found = cut(_within(found, num, den))
+        rows = cut(gathered(rows, n, TASK_SETS))
+        n = rows.count()
+        if not n:
+            return cut(few(connected_components(found))) if roots is None else _joined(roots, found, every)
         each = rows.select("g", "m", F.explode("d").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"), F.first("m").alias("m"))
         most = each.where("2 * f > m").groupBy("g").agg(F.collect_list("e").alias("c"), F.first("m").alias("m"))
         apart = _with(rows, most).withColumn("d", _either(F.col("d"), F.coalesce("c", F.array().cast("array<long>")))).drop("c")
@@ -84,6 +177,7 @@ def linked(of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         least = apart.groupBy("g").agg(F.min(F.struct("w", "t")).alias("low"), F.first("m").alias("m"))
         near = cut(few(_with(apart.select("g", "t", "m", "w", F.size("d").alias("k")), least, "inner")))
         new = near.where(F.col("w") + F.col("low.w") <= 0).where(F.col("t") != F.col("low.t")).select(F.col("t").alias("a"), F.col("low.t").alias("b"))
+        new = new.unionByName(found)
         roots = cut(few(connected_components(new))) if roots is None else _joined(roots, new, max(n, every))
         # all roots are read, however few rows are left
         few = lambda df, n=max(n, every): gathered(df, n)

@@ -92,3 +92,42 @@ def test_few_rows_are_few_tasks_however_many_partitions(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def mixed(seed):
+    """A family of six families, none of whose elements most of it has; half of the rows have no link."""
+    rng, sets = random.Random(seed), {}
+    for f in range(6):
+        for i in range(10):
+            gone = 4 if i % 2 else 15
+            sets[len(sets)] = set(rng.sample(range(1000 * f, 1000 * f + 100), 100 - gone)) | {10**6 + 100 * len(sets) + j for j in range(gone)}
+    return sets
+
+
+def test_a_small_family_is_compared_in_a_task(spark, monkeypatch):
+    """Each rare element made another copy of all differences that have it: several times the sets for a round."""
+    made, cut = [], families.cut
+
+    def counted(df):
+        df = cut(df)
+        made.append(df.selectExpr("coalesce(sum(size(d)), 0)").first()[0] if "d" in df.columns else 0)
+        return df
+
+    monkeypatch.setattr(families, "cut", counted)
+    sets = mixed(6)
+    assert run(spark, sets, 4, 5) == all_pairs(sets, 4, 5) != {}
+    assert max(made) == sum(map(len, sets.values())) and sum(made) == max(made)
+
+
+@pytest.mark.parametrize("within, elements", [(0, 1 << 20), (128, 500)])
+def test_bounds_of_a_task_change_nothing(spark, monkeypatch, within, elements):
+    monkeypatch.setattr(families, "WITHIN", within)
+    monkeypatch.setattr(families, "ELEMENTS", elements)
+    monkeypatch.setattr(families, "_ELEMENTS_AT_ONCE", 64)
+    sets = mixed(7) | {100: set(), 101: set(), 102: {1}}
+    assert run(spark, sets, 4, 5) == all_pairs(sets, 4, 5)
+    thirds = {t: t % 3 for t in sets}
+    want = {}
+    for third in range(3):
+        want |= all_pairs({t: s for t, s in sets.items() if t % 3 == third}, 4, 5)
+    assert run(spark, sets, 4, 5, thirds) == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import identifier_words, title_case
 from tessera.operators import density, layout
+from tessera.operators.lineage import checkpointed
 
 # Fixed value: words that do not name a cluster.
 STOP_WORDS = (
@@ -35,8 +36,9 @@ def cluster_vectors(vectors: DataFrame, id_col: str, vector_col: str, min_cluste
     if len(rows.take(LEAST_SNIPPETS)) < LEAST_SNIPPETS:
         return rows.select("id", F.lit(-1).alias("cluster"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     blocks = density.blocked(rows)
-    clustered = density.density_clusters(vectors, min_cluster_size=min_cluster_size, blocks=(rows, blocks))
-    xy = rows.select("n", "id").join(layout.laid_out(rows, blocks), "n").select("id", "x", "y")
+    near = checkpointed(density.neighbours(blocks, max(density.NEAR, layout.MOST_NEIGHBOURS)))
+    clustered = density.density_clusters(vectors, min_cluster_size=min_cluster_size, blocks=(rows, blocks), near=near)
+    xy = rows.select("n", "id").join(layout.laid_out(rows, blocks, near=near), "n").select("id", "x", "y")
     ends = xy.agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))])
     scaled = [F.round((F.col(c) - F.col(f"{c}0")) / F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-6)) * 2 - 1, 4).alias(c) for c in "xy"]
     return xy.join(F.broadcast(ends)).join(clustered, "id").select("id", "cluster", *scaled)

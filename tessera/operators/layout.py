@@ -80,10 +80,12 @@ def projected(rows: DataFrame) -> DataFrame:
     return flat.select("n", (F.col("x") * 10 / reach).alias("x"), (F.col("y") * 10 / reach).alias("y"))
 
 
-def laid_out(rows: DataFrame, blocks: Blocks, rounds: int = ROUNDS) -> DataFrame:
-    """(n, x, y) for rows (n, v) in ``blocks``: close rows end up close, groups apart."""
+def laid_out(rows: DataFrame, blocks: Blocks, rounds: int = ROUNDS, near: DataFrame | None = None) -> DataFrame:
+    """(n, x, y) for rows (n, v) in ``blocks``: close rows end up close, groups apart. ``near`` are ``MOST_NEIGHBOURS`` or
+    more ``neighbours`` of each, if they are known."""
     count = rows.count()
-    edges = checkpointed(fuzzy_edges(neighbours(blocks, neighbour_count(count))))
+    k = neighbour_count(count)
+    edges = checkpointed(fuzzy_edges(neighbours(blocks, k) if near is None else near.where(F.col("rank") <= k)))
     jitter = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "n"), F.lit(1000)) / 1e5
     at = checkpointed(projected(rows).select("n", (F.col("x") + jitter("x")).alias("x"), (F.col("y") + jitter("y")).alias("y")))
     buckets = max(1, count // BUCKET)

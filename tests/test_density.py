@@ -148,3 +148,16 @@ def test_rows_whose_lists_are_too_short(spark, monkeypatch, near):
     ids = list(range(len(v)))
     got = {r.id: r.cluster for r in density.density_clusters(table(spark, ids, v), min_cluster_size=4, block=16).collect()}
     assert got == condensed(ids, v, 4)
+
+
+def test_the_layout_takes_the_lists_of_the_clusters(spark, monkeypatch):
+    """The nearest rows are found once; the layout compared all vectors a second time."""
+    from tessera.operators import cluster
+
+    def again(*_):
+        raise AssertionError("compared again")
+
+    monkeypatch.setattr(layout, "neighbours", again)
+    rng = np.random.default_rng(2)
+    found = cluster.cluster_vectors(table(spark, range(60), rng.normal(0, 1, (60, 3))), "id", "v")
+    assert len({r.id for r in found.collect()}) == 60

@@ -11,6 +11,8 @@ from tessera.operators.lineage import by_shuffle
 
 # Fixed value: ends tried for a relative import, in this order.
 CANDIDATE_ENDS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx")
+#: About how many related chunks travel together. It changes the speed only.
+LIST = 64
 
 
 def call_dependencies(calls: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -94,17 +96,30 @@ def containing(sites: DataFrame, functions: DataFrame, innermost: bool = False)
     return met.select("_s.*", F.when(inside, F.col("_next._name")).alias("context"))
 
 
+def _lists(targets: DataFrame, *key: str) -> DataFrame:
+    """(…key, related array): what each key means, ``targets`` (…key, related) once each in lists of about ``LIST``."""
+    count = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    piece = F.pmod(F.xxhash64("related"), F.ceil(count / LIST))
+    found = F.sort_array(F.collect_set("related"))
+    found = F.when(F.bool_or(F.col("related").isNull()), F.array_append(found, F.lit(None))).otherwise(found)
+    rows = targets.where(" and ".join(f"{k} is not null" for k in key)).withColumn("_piece", piece)
+    return rows.groupBy(*key, "_piece").agg(found.alias("related")).drop("_piece")
+
+
 def related_chunks(chunks: DataFrame) -> DataFrame:
     """(id, related): chunks linked by a called name, by a file dependency, or by a caller `file:name`; distinct pairs.
 
-    Three equi-joins; links are rows, so that a chunk in demand does not become one huge list.
+    Three equi-joins. What a name or a file means is shuffled as short lists, and lists are dealt by the chunk that asks before
+    they become pairs, so pairs aren't shuffled; a chunk in demand is many lists and not a huge one.
     """
     other = chunks.select(F.col("id").alias("related"), F.col("function_name").alias("_fn"), F.col("file_path").alias("_file"))
-    by_call = chunks.select("id", F.explode("calls").alias("_fn")).join(other, "_fn").select("id", "related")
-    by_file = chunks.select("id", F.explode("dependencies").alias("_file")).join(other, "_file").select("id", "related")
+    by_call = chunks.select("id", F.explode("calls").alias("_fn")).join(_lists(other.select("_fn", "related"), "_fn"), "_fn").select("id", "related")
+    by_file = chunks.select("id", F.explode("dependencies").alias("_file")).join(_lists(other.select("_file", "related"), "_file"), "_file").select("id", "related")
     caller = F.regexp_extract("c", "^(.*):([^:]*)$", 1), F.regexp_extract("c", "^(.*):([^:]*)$", 2)
-    by_caller = chunks.select("id", F.explode("called_by").alias("c")).select("id", caller[0].alias("_file"), caller[1].alias("_fn")).join(other, ["_file", "_fn"]).select("id", "related")
-    return by_call.unionByName(by_file).unionByName(by_caller).distinct()
+    callers = chunks.select("id", F.explode("called_by").alias("c")).select("id", caller[0].alias("_file"), caller[1].alias("_fn"))
+    by_caller = callers.join(_lists(other, "_file", "_fn"), ["_file", "_fn"]).select("id", "related")
+    met = by_call.unionByName(by_file).unionByName(by_caller).repartition("id")
+    return met.select("id", F.explode("related").alias("related")).distinct()
 
 
 def symbol_uses(symbols: DataFrame, files: DataFrame, most: int = 10) -> DataFrame:

@@ -130,3 +130,24 @@ def test_python_rows_of_other_kinds_are_not_made(monkeypatch):
     monkeypatch.setattr(python_source.ast, "unparse", lambda e: unparsed.append(e) or "x")
     assert len(scan.extract_file("a.py", "def f(a: list[int] = 1 + 2) -> int: pass\nimport os\n", "python", ("import",))) == 1
     assert not unparsed
+
+
+
+def test_pairs_of_related_chunks_are_not_shuffled(spark):
+    """Three hundred chunks call one name that three hundred define: 90,000 pairs, far fewer rows in shuffles."""
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None).iterator()
+        while found.hasNext():
+            yield found.next()
+
+    k = F.col("id")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    # ids come twice, with another file each time; the last chunk has no id
+    rows = spark.range(602).select(F.when(k < 601, name(k % 300)).alias("id"), F.lit("f").alias("function_name"), F.concat(F.lit("p"), (k % 7).cast("string")).alias("file_path"))
+    rows = rows.withColumn("calls", F.array(F.lit("f"), F.lit("g"))).withColumn("dependencies", F.array(F.lit("p3"), F.lit(None))).withColumn("called_by", F.array(F.lit("p1:f"), F.lit("f")))
+    last = max((s.stageId() for s in stages()), default=-1)
+    found = resolve.related_chunks(rows).collect()
+    written = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > last)
+    ids = [f"c{i}" for i in range(300)] + [None]
+    assert len(found) == 301 * 301 and {tuple(r) for r in found} == {(a, b) for a in ids for b in ids}
+    assert written < 40000
